@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTER = re.compile(r"[^\W\d_]")
 #: The filter is fitted on at most this many labelled documents of a language, those of least hash,
@@ -103,8 +104,8 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> LanguageFilte
     return LanguageFilter(samples)
 
 
-def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of ``docs``, from its whole text alone.
+def identify(docs: DataFrame, model: LanguageFilter, keep_row: bool = False) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row of ``docs``, from its whole text alone; with ``keep_row`` the row as a struct ``row`` too.
 
     Null, empty or letterless texts are ``und`` with score 0. Repeated rows give repeated rows, an
     empty table gives none. A null doc_id is never held out nor learned from. Other columns
@@ -116,7 +117,9 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
         for batch in batches:
             found = [shared.value.predict(t.as_py()) for t in batch.column(2)]
             out = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.record_batch([*batch.columns[:2], *out], names=["doc_id", "held_out", "lang_pred", "score"])
+            row = batch.columns[3:]
+            yield pa.record_batch([*batch.columns[:2], *out, *row], names=["doc_id", "held_out", "lang_pred", "score", *["row"] * len(row)])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(kernel, "doc_id long, held_out boolean, lang_pred string, score double")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"), *[F.struct(*docs.columns).alias("row")] * keep_row)
+    kinds = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
+    return source.mapInArrow(kernel, kinds.add("row", docs.schema) if keep_row else kinds)

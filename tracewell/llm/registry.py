@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import langid, linededup, neighbours, packing, secrets, simhash, substrings, warc
+from tracewell.llm import langid, linededup, media, neighbours, packing, pieces, secrets, simhash, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.conversation_matches(table(spark, sf_dir, "conversations"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
@@ -50,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_best_fit_packing, op2_warc, op3_simhash, op6_substring_dedup, op7_line_dedup, op8_nearest_neighbours, op9_language_id, op10_secret_scan)
+    own = (op1_best_fit_packing, op2_warc, op3_simhash, op4_chroma_fingerprints, op5_sentencepiece, op6_substring_dedup, op7_line_dedup, op8_nearest_neighbours, op9_language_id, op10_secret_scan)
     return {f.__name__: f for f in own}
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -119,11 +120,11 @@ def _spelled(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] = WORDS, redact: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] = WORDS, redact: str | None = None, keep_row: bool = False) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans and redacted.
 
     spans has all spans, base_sha256 the SHA-256 of the spelled base spans. redacted is the text
-    with each covered stretch replaced by ``redact`` (null if that is None or the text is null). A null
+    with each covered stretch replaced by ``redact`` (null if that is None or the text is null); ``keep_row`` adds the row as a struct ``row``. A null
     text counts as empty; repeated rows give repeated rows; an empty table gives none; other
     columns are ignored. Texts are scanned whole, values of up to 128 characters are costed.
     """
@@ -149,8 +150,11 @@ def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] =
                 rows.append((*(sum(s[2] == k for s in base) for k in KINDS[:3]), hashlib.sha256(_spelled(base).encode()).hexdigest(), _spelled(spans), redacted(text, spans)))
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = [pa.int64()] * 3 + [pa.string()] * 3
-            yield pa.record_batch([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            yield pa.record_batch([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[2:]], names=[*names, *["row"] * (batch.num_columns - 2)])
 
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"]
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(kernel, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*docs.columns).alias("row")] * keep_row)
+    kinds = T.StructType()
+    for name in names:
+        kinds = kinds.add(name, "long" if name.startswith(("doc", "n_")) else "string")
+    return source.mapInArrow(kernel, kinds.add("row", docs.schema) if keep_row else kinds)
