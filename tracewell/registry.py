@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tracewell.plans import relational  # noqa: F401
+from tracewell.plans.base import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
