@@ -1,0 +1 @@
+"""Structured Streaming forms of the batch jobs: files in, checkpointed progress, keyed results out."""
