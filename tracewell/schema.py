@@ -2,11 +2,18 @@
 
 from pyspark.sql import types as T
 
+
+def _row(**kinds: T.DataType | str) -> T.StructType:
+    out = T.StructType()
+    for name, kind in kinds.items():
+        out.add(name.removesuffix("_"), kind)
+    return out
+
+
 #: The input of every detector. ts is in epoch seconds, 0 for missing.
-TRANSFERS = T.StructType.fromDDL("tx_hash string, block_number long, ts double, from_address string, to_address string, value double, is_contract_call boolean, method_id string")
-FLAT = T.StructType.fromDDL("tx_hash string, block_number long, timestamp string, from_address string, to_address string, value_eth decimal(38,18), is_contract_call boolean, gas_used long, status int")
-RAW_BLOCK = T.StructType.fromDDL(
-    "block_number long, fetched_at string, network string, transaction_count int, transactions array<struct<hash:string,`from`:string,`to`:string,value:string,input:string,gas:string>>, "
-    "receipts array<struct<transactionHash:string,status:string,gasUsed:string>>"
-)
-SERVICE_LABELS = T.StructType.fromDDL("address string, category string")
+TRANSFERS = _row(tx_hash="string", block_number="long", ts="double", from_address="string", to_address="string", value="double", is_contract_call="boolean", method_id="string")
+FLAT = _row(tx_hash="string", block_number="long", timestamp="string", from_address="string", to_address="string", value_eth=T.DecimalType(38, 18), is_contract_call="boolean", gas_used="long", status="integer")
+_TX = _row(hash="string", from_="string", to="string", value="string", input="string", gas="string")
+_RECEIPT = _row(transactionHash="string", status="string", gasUsed="string")
+RAW_BLOCK = _row(block_number="long", fetched_at="string", network="string", transaction_count="integer", transactions=T.ArrayType(_TX), receipts=T.ArrayType(_RECEIPT))
+SERVICE_LABELS = _row(address="string", category="string")
