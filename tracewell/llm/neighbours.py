@@ -161,7 +161,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, trees: int = 8, shar
         ids, m = ids[order], _matrix(there["v"])[order] if len(ids) else None
         vectors = _matrix(asked["v"])
         for a in range(0, len(q) if len(ids) else 0, 256):
-            score = vectors[a : a + 256] @ m.T
+            # one order of summing whatever else is in the leaf
+            score = np.einsum("ij,kj->ik", vectors[a : a + 256], m)
             # the k + 1 best, ties to the smaller id, so k are left without the query's own
             best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
             out.append((np.repeat(q[a : a + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
@@ -174,7 +175,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, trees: int = 8, shar
     parts = max(1, math.ceil(first.count() / QUERIES))
     kind = "leaf long, block long, vec_id long, v array<double>"
     met = first.mapInArrow(probes, kind).groupBy("leaf", "block").cogroup(indexed.mapInArrow(members, kind).groupBy("leaf", "block"))
-    found = met.applyInArrow(rank_leaf, "asked long, vec_id long, score double").distinct()
+    found = met.applyInArrow(rank_leaf, "asked long, vec_id long, score double").groupBy("asked", "vec_id").agg(F.max("score").alias("score"))
     by_score = lambda key: Window.partitionBy(key).orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(by_score("asked"))).where(F.col("r") <= k + 1).drop("r")
     who = asked.join(first.select(F.col("vec_id").alias("asked"), "v"), "v").select(F.col("vec_id").alias("query_id"), "asked")
