@@ -12,9 +12,11 @@ Copies of documents don't make their lines templates: a template must recur in d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.storage import materialise
+
 DEPTH, STRETCHES = 4, 4
 
 
@@ -55,9 +57,11 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, cont
     document, and give repeated rows. Lines are split at ``\\n``, tokens at spaces. An empty table gives
     no rows. Columns whose names clash with those used inside are kept apart from them.
     """
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("text_key", key60(F.coalesce("text", F.lit(""))))
-    lines = parsed_lines(own.select("doc_id", "text_key", "text"), min_tokens)
+    row = F.struct(*docs.columns) if keep_columns else F.struct("text")
+    own = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key60(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
+    text = F.col("row")["text"].cast("string")
+    # parsed once: all that follows reads these numbers, not the texts
+    lines = materialise(parsed_lines(own.select("doc_id", "text_key", text.alias("text")), min_tokens), "lines")
     stretches = [f"s{k + 1}" for k in range(STRETCHES)]
     # exact but for variable tokens
     exact = recurring(lines, ["leaf", *stretches], min_docs, context_share).select("leaf", *stretches, F.lit(True).alias("is_exact"))
@@ -75,8 +79,8 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, cont
     dropped = hit.where(F.col("is_exact") | F.coalesce(close, F.lit(False))).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
     dropped = dropped.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "gone")
     joined = own.join(dropped, own["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    parts = F.split(text, "\n")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     if keep_columns:
         out = {c: F.col("row")[c] for c in docs.columns} | {"text": kept} | ({"n_chars": F.length(kept).cast("long")} if "n_chars" in docs.columns else {})
         return joined.select(*[v.alias(c) for c, v in out.items()])
