@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LETTER = re.compile(r"[^\W\d_]")
-#: The filter is fitted on at most this many labelled documents of a language, those of least hash,
-#: and at most this many leading bytes of each; predictions read whole texts.
+#: The filter is fitted on about this many labelled documents of a language, chosen by hash,
+#: and at most this many leading characters of each; predictions read whole texts.
 DOCS_PER_LANGUAGE = 1500
-BYTES_PER_DOCUMENT = 20_000
+BYTES_PER_DOCUMENT = 10_000
 GRAM, CELLS_LOG2, PROBES = 4, 20, 3
 STEP = 1 << 20
 
@@ -93,14 +93,18 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> LanguageFilter:
-    """From text and lang of documents that are not held out; at most ``per_language`` * 64 rows come to the driver."""
+    """From text and lang of documents that are not held out, ``per_language`` of each language, give or take
+    the chance of a hash (a hard limit is twice as many); their first BYTES_PER_DOCUMENT characters come to the driver."""
     usable = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    languages = [r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    if not counts:
+        return LanguageFilter({})
+    # a share of all hashes, so any order or place of rows gives the same sample
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
+    kept = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share * float(1 << 40))
     samples: dict[str, list[str]] = {}
-    for lang in languages:
-        # the least hashes, so any order or place of rows gives the same sample
-        part = usable.where(F.col("lang") == F.lit(lang)).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, BYTES_PER_DOCUMENT).alias("text"))
-        samples[lang] = [r["text"] for r in part.orderBy("h", "text").limit(per_language).select("text").collect()]
+    for r in kept.select("lang", F.substring("text", 1, BYTES_PER_DOCUMENT).alias("text")).limit(2 * per_language * len(counts)).collect():
+        samples.setdefault(r["lang"], []).append(r["text"])
     return LanguageFilter(samples)
 
 
