@@ -11,24 +11,29 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.batches import stretches
 from tracewell.llm.storage import materialise
 
 #: Words whose ids a task keeps; a full cache starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 SALTS = 64
 
 
 class WordIds(dict):
-    """Ids of white-space separated words, encoded once each. No piece spans white space."""
+    """Little-endian 32-bit ids of white-space separated words. No token spans white space.
+
+    Words that differ in ASCII case or in one comma or full stop after a letter share an encoding: the
+    tokenizer lower-cases, and cuts between letters and signs.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,21 +41,40 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tails = dict(zip(("", ",", "."), self._encoded(["", ",", "."]), strict=True))
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = e.ids
-
-    def ids(self, text: str, end: int) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        for at in range(0, len(words), CACHE_WORDS):
-            self.learn(set(words[at : at + CACHE_WORDS]))
-            part = [self[w] for w in words[at : at + CACHE_WORDS]]
-            yield np.fromiter(chain.from_iterable(part), np.uint32)
-        yield np.array([end], np.uint32)
+        new = []
+        for w in words:
+            if w not in self:
+                tail = w[-1] if w[-1:] in (",", ".") and w[-2:-1].lower().isalpha() else ""
+                core = w[:-1] if tail else w
+                new.append((w, core.lower() if core.isascii() else core, tail))
+        cores = list({core for _, core, _ in new if core not in self})
+        for at in range(0, len(cores), 10_000):
+            self.update(zip(cores[at : at + 10_000], self._encoded(cores[at : at + 10_000]), strict=True))
+        for w, core, tail in new:
+            self[w] = self[core] + self.tails[tail]
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        """Ids of whole texts, each with ``end`` after it."""
+        words, last = [t.replace("\n", " ").split(" ") for t in texts], array("I", [end]).tobytes()
+        out = []
+        if sum(map(len, words)) <= 3 * CACHE_WORDS:
+            self.learn(set().union(*words))
+            return [b"".join([*map(self.__getitem__, own), last]) for own in words]
+        for own in words:
+            parts = []
+            for at in range(0, len(own), CACHE_WORDS):
+                self.learn(set(own[at : at + CACHE_WORDS]))
+                parts += map(self.__getitem__, own[at : at + CACHE_WORDS])
+            out.append(b"".join([*parts, last]))
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int = 0) -> DataFrame:
@@ -60,12 +84,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_
         known = WordIds(tokenizer_path)
         for batch in batches:
             out = defaultdict(list)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate(list(known.ids(text.as_py() or "", end_id))).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), max_len)):
-                    own = ids[start : start + max_len]
-                    for k, v in zip(names, (doc_id, piece, start, len(own), zlib.crc32(own.tobytes())), strict=True):
-                        out[k].append(v)
+            for at, texts in stretches(batch.column(1)):
+                for doc_id, raw in zip(batch.column(0).slice(at, len(texts)).to_pylist(), known.encode(texts, end_id), strict=True):
+                    for piece, start in enumerate(range(0, len(raw) // 4, max_len)):
+                        own = raw[4 * start : 4 * (start + max_len)]
+                        for k, v in zip(names, (doc_id, piece, start, len(own) // 4, zlib.crc32(own)), strict=True):
+                            out[k].append(v)
             yield pa.record_batch([pa.array(out[k], kind) for k, kind in names.items()], names=list(names))
 
     names = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}

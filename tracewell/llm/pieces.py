@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.batches import stretches
+
 SPACE = "▁"
 WORD = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Words of up to this many characters are folded in arrays, longer ones one by one; encoded words that a task keeps.
@@ -215,18 +217,6 @@ class WordPieces(dict):
         return [b"".join(x) for x in out]
 
 
-def _stretches(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of successive rows with about ``most`` characters."""
-    first, own, size = 0, [], 0
-    for i, one in enumerate(texts):
-        own.append(one.as_py() or "")
-        size += len(own[-1])
-        if size >= most:
-            yield first, own
-            first, own, size = i + 1, [], 0
-    yield first, own
-
-
 def decode_ids(ids: list[int], model: Model) -> str:
     """Text of ids; bytes that are no UTF-8 become U+FFFD, the dummy space goes."""
     return b"".join(map(model.output.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
@@ -244,7 +234,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         model = Model.read(model_path)
         known = WordPieces(model)
         for batch in batches:
-            for at, texts in _stretches(batch.column(1)):
+            for at, texts in stretches(batch.column(1)):
                 part, raw = batch.slice(at, len(texts)), known.encode(texts)
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in raw]
                 crc = [zlib.crc32(x) for x in raw]
