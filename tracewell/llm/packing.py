@@ -14,6 +14,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.batches import stretches
 from tracewell.llm.storage import materialise
 
-#: Words whose ids a task keeps; a full cache starts afresh.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps over its tasks; a full cache starts afresh. Words that are learnt at once.
+CACHE_WORDS, BATCH_WORDS = 1_200_000, 1_500_000
 SALTS = 64
 
 
@@ -65,23 +66,29 @@ class WordIds(dict):
         """Ids of whole texts, each with ``end`` after it."""
         words, last = [t.replace("\n", " ").split(" ") for t in texts], array("I", [end]).tobytes()
         out = []
-        if sum(map(len, words)) <= 3 * CACHE_WORDS:
+        if sum(map(len, words)) <= BATCH_WORDS:
             self.learn(set().union(*words))
             return [b"".join([*map(self.__getitem__, own), last]) for own in words]
         for own in words:
             parts = []
-            for at in range(0, len(own), CACHE_WORDS):
-                self.learn(set(own[at : at + CACHE_WORDS]))
-                parts += map(self.__getitem__, own[at : at + CACHE_WORDS])
+            for at in range(0, len(own), BATCH_WORDS):
+                self.learn(set(own[at : at + BATCH_WORDS]))
+                parts += map(self.__getitem__, own[at : at + BATCH_WORDS])
             out.append(b"".join([*parts, last]))
         return out
 
 
+@cache
+def known_words(path: str) -> WordIds:
+    """One cache a worker process, which Spark reuses for many tasks."""
+    return WordIds(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text, then ``end_id``, cut every ``max_len``."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer_path)
+        known = known_words(tokenizer_path)
         for batch in batches:
             out = defaultdict(list)
             for at, texts in stretches(batch.column(1)):

@@ -18,6 +18,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from tracewell.llm.batches import stretches
 
 SPACE = "▁"
 WORD = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: Words of up to this many characters are folded in arrays, longer ones one by one; encoded words that a task keeps.
-ARRAY_CHARS, CACHE_WORDS = 24, 400_000
+#: Words of up to this many characters are folded in arrays, longer ones one by one; encoded words that a worker keeps over its tasks.
+ARRAY_CHARS, CACHE_WORDS = 24, 1_000_000
 NONE = np.int32(2**31 - 1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,6 +218,12 @@ class WordPieces(dict):
         return [b"".join(x) for x in out]
 
 
+@cache
+def known_words(path: str) -> WordPieces:
+    """One cache a worker process, which Spark reuses for many tasks."""
+    return WordPieces(Model.read(path))
+
+
 def decode_ids(ids: list[int], model: Model) -> str:
     """Text of ids; bytes that are no UTF-8 become U+FFFD, the dummy space goes."""
     return b"".join(map(model.output.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
@@ -231,8 +238,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.read(model_path)
-        known = WordPieces(model)
+        known = known_words(model_path)
+        model = known.model
         for batch in batches:
             for at, texts in stretches(batch.column(1)):
                 part, raw = batch.slice(at, len(texts)), known.encode(texts)
