@@ -26,7 +26,7 @@ def key60(x: F.Column) -> F.Column:
 
 
 def parsed_lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc_id, text_key, pos, leaf, s1..s4, ctx) of each line of at least ``min_tokens`` tokens."""
+    """(doc_id, text_key, pos, leaf, s1..s4, ctx, same) of each line of at least ``min_tokens`` tokens."""
     lines = F.split("text", "\n")
     n = F.size(lines)
     around = F.arrays_zip(lines.alias("line"), F.concat(F.array(F.lit("")), lines).alias("prev"), F.concat(F.slice(lines, 2, n), F.array(F.lit(""))).alias("next"))
@@ -39,14 +39,15 @@ def parsed_lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     step = F.greatest(F.ceil(rest / STRETCHES), F.lit(1)).cast("int")
     stretch = lambda k: key60(F.array_join(F.slice("t", DEPTH + 1 + k * step, step), " "))
     leaf = key60(F.concat_ws(" ", F.size("t").cast("string"), F.array_join(F.slice("t", 1, DEPTH), " ")))
-    return rows.select("doc_id", "text_key", "pos", leaf.alias("leaf"), *[stretch(k).alias(f"s{k + 1}") for k in range(STRETCHES)], "ctx")
+    rows = rows.select("doc_id", "text_key", "pos", leaf.alias("leaf"), *[stretch(k).alias(f"s{k + 1}") for k in range(STRETCHES)], "ctx")
+    return rows.withColumn("same", key60(F.concat_ws(",", "leaf", *[f"s{k + 1}" for k in range(STRETCHES)])))
 
 
 def recurring(lines: DataFrame, keys: list[str], min_docs: int, context_share: float) -> DataFrame:
     """The ``keys`` that recur: per document first, so no group is larger than its documents."""
     per_doc = lines.groupBy(*keys, "doc_id", "text_key").agg(F.min("ctx").alias("ctx"))
     met = per_doc.groupBy(*keys).agg(F.count("*").alias("docs"), F.countDistinct("ctx").alias("contexts"))
-    return met.where((F.col("docs") >= min_docs) & (F.col("contexts") >= F.lit(context_share) * F.col("docs")))
+    return met.where((F.col("docs") >= min_docs) & (F.col("contexts") >= F.lit(context_share) * F.col("docs"))).select(*keys)
 
 
 def drop_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, context_share: float = 0.5, keep_columns: bool = False) -> DataFrame:
@@ -63,20 +64,21 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, cont
     # parsed once: all that follows reads these numbers, not the texts
     lines = materialise(parsed_lines(own.select("doc_id", "text_key", text.alias("text")), min_tokens), "lines")
     stretches = [f"s{k + 1}" for k in range(STRETCHES)]
-    # exact but for variable tokens
-    exact = recurring(lines, ["leaf", *stretches], min_docs, context_share).select("leaf", *stretches, F.lit(True).alias("is_exact"))
-    # leaves with several different lines: the commonest of each stretch, by documents, makes the template
-    kinds = lines.groupBy("leaf", *stretches).agg(F.count("*").alias("n"))
-    wide = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where(f"kinds > 1 and total >= {min_docs}").select("leaf")
-    spread = kinds.join(wide, "leaf", "left_semi").select("leaf", "n", F.posexplode(F.array(*stretches)).alias("k", "s"))
-    votes = spread.groupBy("leaf", "k", "s").agg(F.sum("n").alias("n"))
+    # exact but for variable tokens; ``same`` stands for leaf and stretches
+    exact = recurring(lines, ["same"], min_docs, context_share)
+    gone = lines.select("same", "doc_id", "text_key", "pos").join(exact, "same", "left_semi").drop("same")
+    # leaves with several different lines: the commonest of each stretch, by lines, makes the template
+    wide = lines.groupBy("leaf").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.count("*").alias("n")).where(f"a <> b and n >= {min_docs}").select("leaf")
+    mixed = materialise(lines.join(wide, "leaf", "left_semi").select("leaf", *stretches, "doc_id", "text_key", "pos", "ctx"), "mixed-leaves")
+    kinds = mixed.groupBy("leaf", *stretches).agg(F.count("*").alias("n"))
+    votes = kinds.select("leaf", "n", F.posexplode(F.array(*stretches)).alias("k", "s")).groupBy("leaf", "k", "s").agg(F.sum("n").alias("n"))
     best = votes.groupBy("leaf").pivot("k", list(range(STRETCHES))).agg(F.max_by("s", F.struct("n", "s")))
     best = best.select("leaf", *[F.col(str(k)).alias(f"m{k + 1}") for k in range(STRETCHES)])
-    followed = lines.join(best, "leaf").where(sum((F.col(f"s{k}") == F.col(f"m{k}")).cast("int") for k in range(1, STRETCHES + 1)) >= STRETCHES - 1)
-    general = recurring(followed, ["leaf"], min_docs, context_share).join(best, "leaf").select("leaf", *[f"m{k + 1}" for k in range(STRETCHES)])
-    hit = lines.join(exact, ["leaf", *stretches], "left").join(general, "leaf", "left")
-    close = sum((F.col(f"s{k}") == F.col(f"m{k}")).cast("int") for k in range(1, STRETCHES + 1)) >= STRETCHES - 1
-    dropped = hit.where(F.col("is_exact") | F.coalesce(close, F.lit(False))).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
+    followed = mixed.join(best, "leaf").where(sum((F.col(f"s{k}") == F.col(f"m{k}")).cast("int") for k in range(1, STRETCHES + 1)) >= STRETCHES - 1)
+    followed = followed.select("leaf", "doc_id", "text_key", "pos", "ctx")
+    general = recurring(followed, ["leaf"], min_docs, context_share)
+    gone = gone.unionByName(followed.join(general, "leaf", "left_semi").select("doc_id", "text_key", "pos"))
+    dropped = gone.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
     dropped = dropped.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "gone")
     joined = own.join(dropped, own["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     parts = F.split(text, "\n")
