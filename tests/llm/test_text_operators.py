@@ -130,6 +130,52 @@ def test_near_duplicates(spark):
     assert sorted(kept) == [*range(41), 60]
 
 
+def _kept_by_brute_force(rows):
+    """Ids that stay when each connected group at a Jaccard similarity of 0.8 keeps its least, over all pairs."""
+    def shingles(text):
+        w = text.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rows = sorted(rows)
+    own, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for b in range(len(rows)):
+        for a in range(b):
+            small, large = sorted((len(own[a]), len(own[b])))
+            if 5 * small >= 4 * large and (both := len(own[a] & own[b])) * 9 >= 4 * (small + large):
+                assert both or not large
+                links += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [rows[k][0] for k in range(len(rows)) if find(k) == k], links
+
+
+def test_near_duplicates_at_the_least_similarity(spark):
+    rng = np.random.default_rng(8)
+    made = []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(20, 400)))]
+        # a block of new words at the end, for similarities around 0.8
+        extra = [f"n{x}" for x in rng.integers(0, 50_000, round(len(words) * rng.uniform(0.15, 0.35)))]
+        made += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + extra))]
+    want, links = _kept_by_brute_force(made)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(made, "doc_id long, text string"))
+    assert 10 < links < 50
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_near_duplicates_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want, _ = _kept_by_brute_force([(r.doc_id, r.text or "") for r in docs.collect()])
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == want
+
+
 def test_substrings(docs, rows, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP_BYTES", 100_000)
     monkeypatch.setattr(substrings, "RANGE_BYTES", 50_000)

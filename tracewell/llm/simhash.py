@@ -154,90 +154,109 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> Da
     return own.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate documents: words a shingle, covering radius of the word fingerprints, 64-bit shingle fingerprints a document.
-NEAR_SHINGLE, NEAR_RADIUS, SKETCHES = 5, 6, 4
-#: Of the sketches' bits, this many may differ. At a Jaccard similarity of 0.8 a share acos(8/9)/pi = 0.151 differs, 39 of 256,
-#: with a standard deviation of 5.7; one deviation is allowed.
-NEAR_BITS = 44
-#: Buckets of up to PAIRS documents give all pairs within the radius; larger ones, in slices of about SLICE, give each document's NEAREST.
-PAIRS, SLICE, NEAREST = 128, 1024, 8
-
-
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * (k * 0x51ED270B % (1 << 31)))
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+#: Near-duplicate documents: words a shingle, hash tables, MinHashes a table. At the least similarity S a pair shares no
+#: table with probability (1 - S**ROWS)**TABLES = 4.7e-8, and less above.
+NEAR_SHINGLE, TABLES, ROWS = 5, 32, 4
+#: Least Jaccard similarity of the distinct shingles, in fifths: 4/5.
+FIFTHS = 4
+#: Parts into which the pairs of one text are dealt.
+PAIR_SALTS = 64
+_MULTIPLIERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([k]), 42) for k in range(TABLES * ROWS)), np.uint64) | np.uint64(1)
+
+
+def distinct_shingles(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(_ascii_words(text), NEAR_SHINGLE))
+
+
+def table_keys(shingles: np.ndarray, step: int = 512) -> list[int]:
+    """One key a table, of the least of ``shingles`` under each of its ROWS hash functions; none for no shingles."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_MULTIPLIERS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), step):
+        x = _MULTIPLIERS[:, None] * shingles[None, at : at + step]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, x.min(axis=1), out=least)
+    raw, size = least.tobytes(), 8 * ROWS
+    return [signed(xxhash.xxh64_intdigest(raw[size * k : size * (k + 1)], k)) for k in range(TABLES)]
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp, s0..s3): fingerprints of a text's distinct words and of its distinct shingles."""
+    """(doc_id, text_key, cid, size, keys): texts of the same distinct shingles have one cid; keys in the hash tables."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            cids, sizes, keys = [], [], []
             for one in batch.column(2):
-                words = _ascii_words(one.as_py())
-                shingles = np.unique(shingle_hashes(words, NEAR_SHINGLE))
-                out.append([signed(majority_bits(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64))), *(signed(majority_bits(_mixed(shingles, k))) for k in range(SKETCHES))])
-            columns = zip(*out, strict=True) if out else [[]] * (SKETCHES + 1)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(list(c), pa.int64()) for c in columns)], names=names)
+                shingles = distinct_shingles(one.as_py())
+                cids.append(signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42)))
+                sizes.append(len(shingles))
+                keys.append(table_keys(shingles))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "cid", "size", "keys"])
 
-    names = ["doc_id", "text_key", "fp", *(f"s{k}" for k in range(SKETCHES))]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(kernel, ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(kernel, "doc_id long, text_key long, cid long, size long, keys array<long>")
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, text_a, text_b) whose distinct shingles have the least similarity."""
+    last, left = None, np.zeros(0, np.uint64)
     for batch in batches:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for one in batch.column(0):
-            own = np.array([(x["cid"], x["fp"]) for x in one.as_py()], np.int64)
-            ids, fps = own[:, 0], own[:, 1].copy().view(np.uint64)
-            far = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.int16)
-            if len(ids) <= PAIRS:
-                i, j = np.nonzero(np.triu(far <= NEAR_RADIUS, 1))
-            else:
-                # each one's nearest, and the one in the middle: copies are near what they were copied from
-                np.fill_diagonal(far, 99)
-                near = np.argpartition(far, NEAREST, axis=1)[:, :NEAREST]
-                bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1)
-                middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(ids)).view(np.uint64)[0]
-                hub = int(np.bitwise_count(fps ^ middle).argmin())
-                i = np.concatenate([np.repeat(np.arange(len(ids)), NEAREST), np.arange(len(ids))])
-                j = np.concatenate([near.ravel(), np.full(len(ids), hub)])
-                keep = far[i, j] <= NEAR_RADIUS
-                i, j = i[keep], j[keep]
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        keep = []
+        for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if a != last:
+                last, left = a, distinct_shingles(text_a.as_py())
+            right = distinct_shingles(text_b.as_py())
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            keep.append(5 * both >= FIFTHS * (len(left) + len(right) - both))
+        own = pa.array(keep, pa.bool_())
+        yield pa.record_batch([batch.column(0).filter(own), batch.column(1).filter(own)], names=["a", "b"])
+
+
+def alike_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) whose ``texts`` (cid, text) are near duplicates, by exact Jaccard similarity."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(PAIR_SALTS)).alias("salt"))
+    left = salted.select("a", "salt").distinct().join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+    right = salted.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+    # the side with one row a key comes second, as that is the side a sort-merge join holds in memory
+    return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a long, b long")
+
+
+def _sizes_allow(x: str, y: str) -> F.Column:
+    """A similarity of s needs sizes in a ratio of s at least."""
+    return F.least(x, y) * 5 >= F.greatest(x, y) * FIFTHS
+
+
+def near_links(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) among the texts of each bucket. ``shared``: (key, cid, size) of the buckets with more than one text."""
+    x, y = (shared.select("key", F.col("cid").alias(c), F.col("size").alias(f"size_{c}")) for c in "ab")
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & _sizes_allow("size_a", "size_b")).select("a", "b").distinct()
+    return alike_pairs(materialise(pairs, "pairs"), texts)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with its columns, of which each group of near duplicates keeps the one of least doc_id.
 
-    Two texts are near duplicates at a similarity of their five-word shingles of 0.8 or more, as estimated from
-    256 SimHash bits (NEAR_BITS); groups are connected. Candidates are texts whose distinct-word fingerprints
-    differ in at most NEAR_RADIUS bits, all of which the covering tables bring together. Texts of the same fingerprints
-    are one candidate, so copies cost one row. A-Z is lower-cased, words split at ASCII white space.
+    Two texts are near duplicates at an exact Jaccard similarity of their distinct five-word shingles of 0.8 or
+    more; groups are connected. Candidates are texts that share a bucket of one of TABLES MinHash tables, which
+    a pair misses with probability 4.7e-8 at 0.8. Texts of the same shingles
+    are one candidate, so copies cost one row. A-Z is lower-cased, words split at ASCII white space;
+    a text of fewer than five words is one shingle.
     Null and blank texts are one group. Repeated rows leave one. A null doc_id stays only if its
     group has no other. An empty table gives none.
     """
     own = materialise(sketched(docs), "sketches")
-    sketch = [f"s{k}" for k in range(SKETCHES)]
-    named = own.withColumn("cid", F.xxhash64("fp", *sketch))
-    classes = materialise(named.groupBy("cid").agg(F.min("fp").alias("fp"), *[F.min(s).alias(s) for s in sketch], F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("least")), "sketch-classes")
-    rows = bucket_rows(classes.select("cid", "fp"), NEAR_RADIUS)
-    met = materialise(rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min(F.struct("cid", "fp")).alias("x"), F.max(F.struct("cid", "fp")).alias("y")).where("n > 1"), "buckets")
-    two = met.where("n = 2").where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= NEAR_RADIUS).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-    more = rows.join(met.where("n > 2").select("table", "key", "n"), ["table", "key"])
-    slices = more.withColumn("slice", F.pmod(F.xxhash64("cid", "table"), F.ceil(F.col("n") / SLICE)))
-    pairs = slices.groupBy("table", "key", "slice").agg(F.collect_list(F.struct("cid", "fp")).alias("in")).select("in").mapInArrow(_bucket_pairs, "a long, b long")
-    pairs = two.unionByName(pairs).where("a <> b").distinct()
-    left = classes.select(F.col("cid").alias("a"), *[F.col(s).alias(f"a_{s}") for s in sketch])
-    right = classes.select(F.col("cid").alias("b"), *[F.col(s).alias(f"b_{s}") for s in sketch])
-    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
-    roots = connected_components(pairs.join(left, "a").join(right, "b").where(differ <= NEAR_BITS).select("a", "b"))
-    kept = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("least").alias("least"))
-    kept = kept.select(F.col("least.doc_id").alias("d"), F.col("least.text_key").alias("k"))
+    classes = materialise(own.groupBy("cid").agg(F.min("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("least")), "sketch-classes")
+    rows = classes.select("cid", "size", F.explode("keys").alias("key"))
+    met = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
+    shared = materialise(rows.join(met, "key").select("key", "cid", "size"), "shared-buckets")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"))
-    one = keyed.join(kept.distinct(), keyed["d"].eqNullSafe(kept["d"]) & (keyed["k"] == kept["k"]), "left_semi").dropDuplicates(["d", "k"])
+    needed = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("least.doc_id").alias("need_d"), F.col("least.text_key").alias("need_k"))
+    texts = keyed.select("d", "k", F.col("row")["text"].cast("string").alias("text")).join(needed, F.col("d").eqNullSafe(F.col("need_d")) & (F.col("k") == F.col("need_k")))
+    texts = materialise(texts.select("cid", "text").dropDuplicates(["cid"]), "candidate-texts")
+    roots = connected_components(near_links(shared, texts))
+    kept = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias("need_d"), F.col("least.text_key").alias("need_k"))
+    one = keyed.join(kept.distinct(), keyed["d"].eqNullSafe(kept["need_d"]) & (keyed["k"] == kept["need_k"]), "left_semi").dropDuplicates(["d", "k"])
     return one.select("row.*")
