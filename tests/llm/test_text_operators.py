@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from tracewell.llm import langid, linededup, packing, pieces, secrets, simhash, substrings
+from tracewell.llm.storage import materialise
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -176,6 +177,41 @@ def test_near_duplicates_of_the_tables(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == want
 
 
+@pytest.mark.parametrize("stars", [0, 4])
+def test_near_duplicates_in_large_buckets(spark, stars):
+    rng = np.random.default_rng(9)
+    made = []
+    for group in range(2):
+        # each has a partner of its own beside hundreds of texts that are nearly as near
+        base = [f"g{group}w{x}" for x in rng.integers(0, 50_000, 100)]
+        for i in range(90):
+            own = list(base)
+            for at in rng.choice(20, 4 - group, replace=False):
+                own[int(at) * 5 + 2] = f"n{rng.integers(0, 10**9)}"
+            made += [" ".join(own), " ".join([*own, "more", "of", "it"])]
+    made = list(enumerate(made))
+    keys = {i: simhash.table_keys(simhash.distinct_shingles(t)) for i, t in made}
+    assert max(Counter(k for own in keys.values() for k in own).values()) > 64
+    want, links = _kept_by_brute_force(made)
+    texts = spark.createDataFrame(made, "cid long, text string")
+    entries = spark.createDataFrame([(k, i, len(simhash.distinct_shingles(t))) for i, t in made for k in keys[i]], "key long, cid long, size long")
+    roots = {r.node: r.root for r in simhash.connected_components(simhash.near_links(entries, texts, stars=stars, few=0, block=16)).collect()}
+    assert [i for i, _ in made if roots.get(i, i) == i] == want and len(want) < len(made) <= 2 * links
+    assert simhash.drop_near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).count() == len(want)
+
+
+def test_a_bucket_of_copies_needs_one_pair_a_text(spark, monkeypatch):
+    # a pair found among few is found among many, without all pairs
+    words = [f"w{i}" for i in range(300)]
+    made = [(i, " ".join([*words, f"n{i}"])) for i in range(400)]
+    entries = spark.createDataFrame([(1, i, 297) for i, _ in made], "key long, cid long, size long")
+    judged = []
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: judged.append(df.count()) or df if name == "pairs" else materialise(df, name))
+    roots = simhash.connected_components(simhash.near_links(entries, spark.createDataFrame(made, "cid long, text string")))
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(400)}
+    assert judged == [399]
+
+
 def test_substrings(docs, rows, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP_BYTES", 100_000)
     monkeypatch.setattr(substrings, "RANGE_BYTES", 50_000)
