@@ -1,0 +1,35 @@
+"""Values in a credential context are masked whole."""
+
+import random
+
+import pytest
+
+from tracewell.llm import secrets
+
+CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+LONG = "".join(random.Random(1).choices(CHARS, k=300))
+
+
+@pytest.mark.parametrize(
+    "text, base, value",
+    [
+        ('password="Abcdefgh1234$Secret!9zQ"', ["assign:0:22"], "Abcdefgh1234$Secret!9zQ"),
+        ("pwd: 0123456789abcdef$Xq9!vT2#mZ7p", ["hex:5:21"], "0123456789abcdef$Xq9!vT2#mZ7p"),
+        (f"private_key={LONG}", [], LONG),
+        (f"auth: {LONG * 40} end", [], LONG * 40),
+        ("password = 'hunter2hunter22'", ["assign:0:27"], None),
+    ],
+)
+def test_values_are_masked_whole(spark, text, base, value):
+    (row,) = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), redact="").collect()
+    spans = row.spans.split(",")
+    assert [s for s in spans if not s.startswith("guess")] == base
+    guessed = [tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("guess")]
+    assert [text[a:b] for a, b in guessed] == ([] if value is None else [value])
+    if value:
+        assert not any(value[i : i + 6] in row.redacted for i in range(len(value) - 5))
+
+
+def test_long_values_are_costed_in_proportion():
+    guess = secrets.GuessCost()
+    assert guess.segment("a" * 50_000)[0] < 7 and guess.segment("qwertyuiop" * 5_000)[0] < 18

@@ -22,7 +22,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that announce a credential. Each match of the longer pattern below contains one of them.
 CUES = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"pin")
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)?[_-]?key|credentials?|auth|pin)["']?\x20*(?::|=|=>|\bis\b)\x20*["']?([!-&(-~]{6,128})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)?[_-]?key|credentials?|auth|pin)["']?\x20*(?::|=|=>|\bis\b)\x20*["']?([!-&(-~]{6,})""", re.I | re.A)
 KINDS = ("assign", "access", "hex", "guess")
 #: Values of at least this many log10 guesses are secrets.
 MIN_COST = 9.0
@@ -53,30 +53,35 @@ class GuessCost:
     def _alphabet(value: str) -> int:
         return sum(n for test, n in ((str.islower, 26), (str.isupper, 26), (str.isdigit, 10), (lambda c: not c.isalnum(), 33)) if any(map(test, value))) or 1
 
+    @staticmethod
+    def _runs(hits: list[bool]) -> list[int]:
+        """How many hits in a row begin at each place."""
+        out, run = [], 0
+        for hit in reversed(hits):
+            run = run + 1 if hit else 0
+            out.append(run)
+        return out[::-1]
+
     def spans(self, value: str) -> Iterator[tuple[int, int, str, float]]:
         """(start, end, kind, cost) of all spans but brute force."""
         low, n = value.lower(), len(value)
         plain = low.translate(LEET)
+        # from each place on, how many characters stand again ``unit`` later, or continue a walk or sequence: one pass each
+        same = {unit: self._runs([low[i] == low[i + unit] for i in range(n - unit)]) for unit in range(1, min(17, n // 2) + 1)}
+        near = {"walk": lambda a, b: (a, b) in self.next_key, "sequence": lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()}
+        steps = {kind: [*self._runs([test(a, b) for a, b in zip(low, low[1:], strict=False)]), 0] for kind, test in near.items()}
         for i in range(n):
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 for form, extra in ((low, 0.0), (plain, 0.6)):
                     if (c := self.cost.get(form[i:j])) is not None:
                         mixed = 0.0 if value[i:j].islower() or not value[i:j].isalpha() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0
                         yield i, j, "word", c + extra + mixed
-            for unit in range(1, (n - i) // 2 + 1):
-                times = 1
-                while low.startswith(low[i : i + unit], i + unit * times):
-                    times += 1
-                if times > 1 and unit * times >= 3:
+            for unit, run in same.items():
+                if i < len(run) and (times := 1 + run[i] // unit) > 1 and unit * times >= 3:
                     yield i, i + unit * times, "repeat", unit * math.log10(self._alphabet(value[i : i + unit])) + math.log10(times)
-                if unit > 16:
-                    break
-            for kind, near in (("walk", lambda a, b: (a, b) in self.next_key), ("sequence", lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum())):
-                j = i + 1
-                while j < n and near(low[j - 1], low[j]):
-                    j += 1
-                if j - i >= 3:
-                    yield i, j, kind, 2.0 + math.log10(j - i)
+            for kind, run in steps.items():
+                if run[i] >= 2:
+                    yield i, i + 1 + run[i], kind, 2.0 + math.log10(1 + run[i])
         for m in DATE.finditer(value):
             yield *m.span(), "date", math.log10(36_500 if m.end() - m.start() > 4 else 130)
 
@@ -111,7 +116,7 @@ def find_secrets(text: str, guess: GuessCost, min_cost: float = MIN_COST) -> lis
             a, b = m.span(1)
             value = m[1].rstrip(".,;:)\"")
             b = a + len(value)
-            if len(value) >= 6 and not any(x < b and a < y for x, y in taken) and guess.segment(value)[0] >= min_cost:
+            if len(value) >= 6 and not any(x <= a and b <= y for x, y in taken) and guess.segment(value)[0] >= min_cost:
                 found.append((a, b, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -126,7 +131,8 @@ def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] =
     spans has all spans, base_sha256 the SHA-256 of the spelled base spans. redacted is the text
     with each covered stretch replaced by ``redact`` (null if that is None or the text is null); ``keep_row`` adds the row as a struct ``row``. A null
     text counts as empty; repeated rows give repeated rows; an empty table gives none; other
-    columns are ignored. Texts are scanned whole, values of up to 128 characters are costed.
+    columns are ignored. Texts are scanned and values costed whole. A value in a credential context that a base span
+    covers only in part has a span of its own, which overlaps the base span.
     """
 
     def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
