@@ -33,7 +33,8 @@ class WordIds(dict):
     """Little-endian 32-bit ids of white-space separated words. No token spans white space.
 
     Words that differ in ASCII case or in one comma or full stop after a letter share an encoding: the
-    tokenizer lower-cases, and cuts between letters and signs.
+    tokenizer lower-cases, and cuts between letters and signs. Words with the literal of a special token, in any
+    case, are encoded as they stand: the literal is one id where it is spelled exactly.
     """
 
     def __init__(self, path: str):
@@ -41,7 +42,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.begin = os.path.commonprefix(self.special)
         self.tails = dict(zip(("", ",", "."), self._encoded(["", ",", "."]), strict=True))
 
     def _encoded(self, words: list[str]) -> list[bytes]:
@@ -53,6 +55,10 @@ class WordIds(dict):
         new = []
         for w in words:
             if w not in self:
+                low = w.lower()
+                if self.begin in low and any(t in low for t in self.special):
+                    new.append((w, w, ""))
+                    continue
                 tail = w[-1] if w[-1:] in (",", ".") and w[-2:-1].lower().isalpha() else ""
                 core = w[:-1] if tail else w
                 new.append((w, core.lower() if core.isascii() else core, tail))
