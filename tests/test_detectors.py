@@ -1,6 +1,7 @@
 """Hand-computed cases of the detectors."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,28 @@ def test_shell_network(spark):
     assert [r.nodes for r in got] == ["s,w1,w2,w3"]
 
 
+@pytest.mark.parametrize("order", ["ordered", "reversed", "shuffled", "alternating"])
+def test_components_of_long_chains(spark, order):
+    n = 10_000
+    ids = list(range(n))
+    if order == "reversed":
+        ids = ids[::-1]
+    elif order == "shuffled":
+        random.Random(3).shuffle(ids)
+    elif order == "alternating":
+        ids = [x for i in range(n // 2) for x in (i, n - 1 - i)]
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    got = connected_components(chain, max_rounds=20)
+    assert (got.count(), got.agg(F.max("root")).first()[0]) == (n, 0)
+
+
+def test_components_of_odd_edges(spark):
+    rows = [("x", "y"), ("y", "x"), ("x", "y"), ("z", "z"), (None, "x"), ("q", None), ("m", "n")]
+    got = connected_components(spark.createDataFrame(rows, "a string, b string"))
+    assert {(r.node, r.root) for r in got.collect()} == {("x", "x"), ("y", "x"), ("z", "z"), ("m", "m"), ("n", "m")}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_and_cycles(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.root for r in connected_components(e).collect()} == {0, 100}

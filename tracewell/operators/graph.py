@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.sources.storage import cut
+from tracewell.sources.storage import cut, materialise
 
 
 def multigraph(transfers: DataFrame) -> DataFrame:
@@ -19,25 +19,51 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.where("u <> v").distinct()
 
 
+def pointer_roots(parent: DataFrame) -> DataFrame:
+    """(u, p) with p the root of u's chain, of (u, p) where roots point to themselves: pointers double until none moves."""
+    while True:
+        for _ in range(2):
+            before = parent
+            up = before.select(F.col("u").alias("p"), F.col("p").alias("next"))
+            parent = before.join(up, "p").select("u", F.col("p").alias("last"), F.col("next").alias("p"))
+        parent = materialise(parent, "pointers")
+        if parent.where("p <> last").isEmpty():
+            return parent.select("u", "p")
+        parent = parent.select("u", "p")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, root), root the least node reachable, of string or number pairs (a, b).
+    """(node, root) of each node of the string or number pairs ``edges`` (a, b); root is the least node reachable.
 
-    Hook to the least neighbour, shorten chains, contract; the nodes of a component at least halve each round.
+    Each round hooks every node to its least neighbour, follows the chains to their roots and contracts the edges to
+    them. A root that stays for two rounds has taken in at least one node, so a component's nodes halve every
+    two rounds; a chain of n nodes in any order needs O(log n) joins. Nodes that occur in self loops only are their own
+    root; null ends are ignored; no edges give no rows. Hubs meet a map-side combined ``min`` and joins
+    that adaptive execution can split.
     """
-    current = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
+
+    def canonical(df: DataFrame) -> DataFrame:
+        return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    given = edges.select("a", "b").where("a is not null and b is not null")
+    current, labels = materialise(canonical(given), "edges"), None
+    alone = given.where("a = b").select(F.col("a").alias("node")).distinct()
     for _ in range(max_rounds):
         if current.isEmpty():
-            return labels
-        parent = cut(undirected(current).groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
-        for _ in range(2):
-            parent = parent.join(parent.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
-        parent = cut(parent)
-        labels = cut(labels.join(parent.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            break
+        parent = pointer_roots(undirected(current).groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
+        if labels is None:
+            labels = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
+        else:
+            step = parent.select(F.col("u").alias("root"), "p")
+            labels = materialise(labels.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
         a, b = (parent.select(F.col("u").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
-        moved = current.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        current = cut(moved.distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        current = materialise(canonical(current.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if labels is None:
+        return alone.select("node", F.col("node").alias("root"))
+    return labels.unionByName(alone.join(labels, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
