@@ -1,46 +1,5 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from tracewell.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tracewell.llm.storage import materialise
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a long, b long); root is the smallest node reachable.
-
-    Each round hooks every node to its smallest neighbour, shortens the chains twice and
-    contracts the edges to the new roots, so the nodes of a component at least halve.
-    Self loops, repeated edges and null ends are ignored; no edges give no rows. Hubs meet a
-    map-side combined ``min`` and joins that adaptive execution can split.
-    """
-
-    def canonical(df: DataFrame) -> DataFrame:
-        return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    current, labels = materialise(canonical(edges), "edges"), None
-    for _ in range(max_rounds):
-        if current.isEmpty():
-            break
-        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        parent = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
-        for _ in range(2):
-            up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p").select("u", F.col("pp").alias("p"))
-        parent = materialise(parent, "roots")
-        if labels is None:
-            labels = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
-        else:
-            step = parent.select(F.col("u").alias("root"), "p")
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        labels = materialise(labels, "labels")
-        a = parent.select(F.col("u").alias("a"), F.col("p").alias("pa"))
-        b = parent.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        current = materialise(canonical(current.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if labels is None:
-        return edges.where("false").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+__all__ = ["connected_components"]
