@@ -5,9 +5,8 @@ import hashlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from tracewell.llm import media, neighbours, warc
+from tracewell.llm import neighbours, warc
 
 TRICK = "x" * 300 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99999\r\n\r\nfoo" + "y" * 1000 + "WARC/1.0\r\n" * 3
 
@@ -72,23 +71,3 @@ def test_few_vectors(spark):
     assert {(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(table).collect()} == {(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)}
 
 
-def test_aligned_recordings(spark):
-    rng = np.random.default_rng(4)
-    words = lambda n: [f"w{x}" for x in rng.integers(0, 10_000, n)]
-    passage = words(60)
-    rows = [("q", " ".join(passage)), ("copy", " ".join(passage)), ("later", " ".join(words(20) + passage)), *[(f"x{i}", " ".join(words(60))) for i in range(8)], ("none", None), ("empty", "")]
-    fps = media.fingerprint(media.sonify(spark.createDataFrame(rows, "rec_id string, text string")))
-    members, links = media.align(fps, F.col("rec_id") == "q")
-    named = {r.rec_id: r.class_id for r in members.collect()}
-    assert named["q"] == named["copy"] and named["none"] == named["empty"] and len(set(named.values())) == 11
-    (link,) = links.collect()
-    # twenty notes of a quarter second, in hops of 512 samples
-    assert (link.class_id, abs(link.offset - round(20 * media.NOTE * media.RATE / media.HOP))) == ("later", 0) or abs(link.offset - 20 * int(media.RATE * media.NOTE) / media.HOP) <= 1
-    assert link.bit_error <= 0.15
-
-
-def test_conversations(spark):
-    rows = [(0, 1, "one two three four five six seven eight nine ten eleven twelve"), (20, 1, None), (1, 1, ""), (None, None, "a b"), (0, 1, "one two three four five six seven eight nine ten eleven twelve")]
-    got = media.conversation_matches(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
-    assert Counter(r.rec_id for r in got) == Counter({"0/1": 2, "20/1": 1, "1/1": 1, "null/null": 1})
-    assert media.conversation_matches(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0

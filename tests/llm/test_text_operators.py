@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from tracewell.llm import langid, linededup, packing, pieces, secrets, simhash, substrings
+from tracewell.llm import groups, langid, linededup, packing, pieces, secrets, simhash, substrings
 from tracewell.llm.storage import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -206,7 +206,7 @@ def test_a_bucket_of_copies_needs_one_pair_a_text(spark, monkeypatch):
     made = [(i, " ".join([*words, f"n{i}"])) for i in range(400)]
     entries = spark.createDataFrame([(1, i, 297) for i, _ in made], "key long, cid long, size long")
     judged = []
-    monkeypatch.setattr(simhash, "materialise", lambda df, name: judged.append(df.count()) or df if name == "pairs" else materialise(df, name))
+    monkeypatch.setattr(groups, "materialise", lambda df, name: judged.append(df.count()) or df if name == "pairs" else materialise(df, name))
     roots = simhash.connected_components(simhash.near_links(entries, spark.createDataFrame(made, "cid long, text string")))
     assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(400)}
     assert judged == [399]

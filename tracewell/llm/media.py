@@ -1,14 +1,16 @@
 """Media columns: chroma audio fingerprints and their alignment.
 
 A recording becomes frames of twelve pitch classes; box filters over the integral image of the frames,
-each quantised to two Gray-coded bits, pack one 32-bit integer a frame. Recordings align at the offset
-that most of their common integers agree on, and the share of differing bits there decides.
+each quantised to two Gray-coded bits, pack one 32-bit integer a frame. Two recordings align at the offset
+that most of their common anchors (selected pairs of successive integers) agree on, and the share of differing
+bits there decides. Alike recordings are found in the buckets of their anchors, and grouped.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,36 +18,71 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.components import connected_components
+from tracewell.llm.groups import group_links, judged_pairs
 from tracewell.llm.storage import materialise
 
 RATE, FRAME, HOP = 5512, 1024, 512
-#: Quarter points of a filter's log ratio.
-CUTS = (-0.18, 0.0, 0.18)
+#: Quarter points of a filter's log ratio; steps in which a frame's shares are counted, so that sums are exact.
+CUTS, UNIT = (-0.18, 0.0, 0.18), 1 << 20
 WIDTH, ANCHORS = 16, 6
-NOTE = 0.25
+#: Words, frames that are worked on together.
+NOTES, BLOCK = 1024, 2048
+#: What aligned recordings have at least: anchors that agree, as a share of those of the recording with fewer; overlap in frames. And at most: differing bits.
+MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERROR = 0.25, 8, 0.15
+
+Blocks = Iterator[np.ndarray]
+
+
+def filters() -> np.ndarray:
+    """16 box filters by rule: (filter, side, box, (first frame, end frame, first pitch class, end)); a filter compares its sides, of one or two boxes."""
+    out = np.zeros((16, 2, 2, 4), np.int64)
+    for k in range(16):
+        p, w = (5 * k) % 9, (4, 8, 12, 16)[k // 4]
+        h = 3 + k % 4 // 2 * 2 if p < 8 else 3
+        q, half, mid = (p + 6) % (13 - h), w // 2, p + h // 2
+        if k % 4 == 0:
+            sides = [[(0, w, p, p + h)], [(0, w, q, q + h)]]
+        elif k % 4 == 1:
+            sides = [[(0, half, p, p + h)], [(half, w, p, p + h)]]
+        elif k % 4 == 2:
+            sides = [[(0, w, p, mid)], [(0, w, mid, p + h)]]
+        else:
+            sides = [[(0, half, p, mid), (half, w, mid, p + h)], [(0, half, mid, p + h), (half, w, p, mid)]]
+        for side, boxes in enumerate(sides):
+            out[k, side, : len(boxes)] = boxes
+    return out
 
 
-def filters() -> list[tuple[int, int, int, int]]:
-    """16 box filters by rule: (kind, first pitch class, height, width in frames)."""
-    return [(k % 4, (5 * k) % 9, 3 + k % 4 // 2 * 2 if (5 * k) % 9 < 8 else 3, (4, 8, 12, 16)[k // 4]) for k in range(16)]
+FILTERS = np.minimum(filters(), [WIDTH, WIDTH, 12, 12])
 
 
-def chroma_frames(audio: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """(frame, 12) energies of pitch classes from 65 Hz to under half the rate, each frame's sum 1; silence is all zero."""
-    if len(audio) < FRAME:
-        return np.zeros((0, 12))
+def pitch_bins(rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency bins from 65 Hz to just under half the rate, ordered by pitch class, and where each class begins."""
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
     heard = np.flatnonzero((hz >= 65) & (hz < rate / 2 * 0.95))
     pitch = np.round(12 * np.log2(hz[heard] / 440.0)).astype(int) % 12
-    to = np.zeros((len(heard), 12))
-    to[np.arange(len(heard)), pitch] = 1
-    window, parts = np.hanning(FRAME), []
-    views = sliding_window_view(audio, FRAME)[::HOP]
-    for at in range(0, len(views), 256):
-        parts.append((np.abs(np.fft.rfft(views[at : at + 256] * window, axis=1))[:, heard] ** 2) @ to)
-    frames = np.concatenate(parts)
-    total = frames.sum(axis=1, keepdims=True)
-    return np.divide(frames, total, out=np.zeros_like(frames), where=total > 1e-9)
+    order = np.argsort(pitch, kind="stable")
+    return heard[order], np.searchsorted(pitch[order], np.arange(12))
+
+
+def chroma_frames(blocks: Blocks, rate: int = RATE) -> np.ndarray:
+    """(frame, 12) energies of pitch classes, a frame's sum UNIT give or take rounding; silence is all zero. Samples come in blocks of any length."""
+    heard, begins = pitch_bins(rate)
+    window, parts, rest = np.hanning(FRAME).astype(np.float32), [np.zeros((0, 12), np.int64)], np.zeros(0, np.float32)
+    for block in blocks:
+        samples = np.concatenate([rest, block.astype(np.float32)])
+        n = max(0, (len(samples) - FRAME) // HOP + 1)
+        if n:
+            views = sliding_window_view(samples, FRAME)[::HOP]
+            for at in range(0, n, 256):
+                spectrum = np.fft.rfft(views[at : at + 256] * window, axis=1)
+                power = spectrum.real**2 + spectrum.imag**2
+                energy = np.add.reduceat(power[:, heard], begins, axis=1).astype(np.float64)
+                total = energy.sum(axis=1, keepdims=True)
+                parts.append(np.rint(UNIT * np.divide(energy, total, out=np.zeros_like(energy), where=total > 1e-9)).astype(np.int64))
+        rest = samples[n * HOP :]
+    return np.concatenate(parts)
 
 
 def packed(frames: np.ndarray) -> np.ndarray:
@@ -53,135 +90,161 @@ def packed(frames: np.ndarray) -> np.ndarray:
     n = len(frames) - WIDTH + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    image = np.zeros((len(frames) + 1, 13))
+    image = np.zeros((len(frames) + 1, 13), np.int64)
     image[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
-
-    def box(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return image[at + t1, p1] - image[at + t0, p1] - image[at + t1, p0] + image[at + t0, p0]
-
+    t0, t1, p0, p1 = (FILTERS[..., i, None] for i in range(4))
     out = np.zeros(n, np.uint32)
-    for kind, p, h, w in filters():
-        whole = box(0, w, p, p + h)
-        if kind == 0:
-            part = box(0, w, (p + 6) % (13 - h), (p + 6) % (13 - h) + h)
-            first, second = whole, part
-        elif kind == 1:
-            first, second = box(0, w // 2, p, p + h), box(w // 2, w, p, p + h)
-        elif kind == 2:
-            first, second = box(0, w, p, p + h // 2), box(0, w, p + h // 2, p + h)
-        else:
-            first = box(0, w // 2, p, p + h // 2) + box(w // 2, w, p + h // 2, p + h)
-            second = whole - first
-        ratio = np.log1p(np.maximum(first, 0)) - np.log1p(np.maximum(second, 0))
+    for first in range(0, n, BLOCK):
+        at = np.arange(first, min(n, first + BLOCK))
+        boxes = image[at + t1, p1] - image[at + t0, p1] - image[at + t1, p0] + image[at + t0, p0]
+        sides = np.log1p(boxes.sum(axis=2) / UNIT)
+        ratio = sides[:, 0] - sides[:, 1]
         level = sum((ratio > c).astype(np.uint32) for c in CUTS)
-        out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
+        for code in level ^ (level >> np.uint32(1)):
+            out[at] = (out[at] << np.uint32(2)) | code
     return out
 
 
-def tones(text: str) -> np.ndarray:
-    """A text as a melody: each word a note, two harmonics, of a pitch by its CRC-32; whole text."""
-    t = np.arange(int(RATE * NOTE)) / RATE
-    shape = np.minimum(1, np.minimum(t, t[::-1]) * 40)
-    notes: dict[int, np.ndarray] = {}
-    out = []
-    for word in text.split():
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass")) % 24
-        if key not in notes:
-            f = 220.0 * 2 ** (key / 12)
-            notes[key] = ((np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t)) * shape * 12000).astype(np.int16)
-        out.append(notes[key])
-    return np.concatenate(out) if out else np.zeros(0, np.int16)
-
+def pcm(raw: pa.Scalar) -> Blocks:
+    """Blocks of 16-bit little-endian mono samples."""
+    data = raw.as_buffer()
+    for at in range(0, len(data) // 2, 1 << 18):
+        yield np.frombuffer(data, "<i2", min(1 << 18, len(data) // 2 - at), 2 * at)
 
-def sonify(rows: DataFrame, rec_id: str = "rec_id", text: str = "text") -> DataFrame:
-    """(rec_id, audio binary): 16-bit mono PCM of each text; a null text is null audio."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # a few recordings at a time, as audio is far larger than its text
-            for at in range(0, batch.num_rows, 16):
-                part = batch.slice(at, 16)
-                yield pa.record_batch([part.column(0), pa.array([None if x.as_py() is None else tones(x.as_py()).tobytes() for x in part.column(1)], pa.binary())], names=["rec_id", "audio"])
+def _notes() -> np.ndarray:
+    """Two octaves from 220 Hz, a row a semitone: one hop each, with its octave at less strength."""
+    t = np.arange(HOP) / RATE
+    shape = np.minimum(1, np.minimum(t, t[::-1]) * 200)
+    f = 220.0 * 2 ** (np.arange(24)[:, None] / 12)
+    return ((np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t)) * shape * 12000).astype(np.int16)
 
-    return rows.select(F.col(rec_id).cast("string").alias("rec_id"), F.col(text).cast("string").alias("text")).mapInArrow(kernel, "rec_id string, audio binary")
 
+NOTE_SAMPLES = _notes()
 
-def fingerprint(recordings: DataFrame) -> DataFrame:
-    """(rec_id, n_frames, fp array<long>) from (rec_id, audio); audio of under WIDTH frames, or null, has no integers."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = []
-            for one in batch.column(1):
-                raw = one.as_buffer()
-                fps.append(packed(chroma_frames(np.frombuffer(raw, "<i2", len(raw) // 2).astype(np.float64))) if raw else np.zeros(0, np.uint32))
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in fps], pa.int64()), pa.array([x.tolist() for x in fps], pa.list_(pa.int64()))], names=["rec_id", "n_frames", "fp"])
+def tones(text: pa.Scalar) -> Blocks:
+    """A text as a melody: each white-space separated word of the whole text a note of one hop, its pitch by the word's CRC-32."""
+    words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+    for at in range(0, len(words), NOTES):
+        yield NOTE_SAMPLES[[zlib.crc32(w) % 24 for w in words[at : at + NOTES]]].ravel()
 
-    return recordings.select(F.col("rec_id").cast("string").alias("rec_id"), F.col("audio").cast("binary").alias("audio")).mapInArrow(kernel, "rec_id string, n_frames long, fp array<long>")
 
+def fingerprint(recordings: DataFrame, column: str = "audio", kind: str = "binary", samples: Callable[[pa.Scalar], Blocks] = pcm) -> DataFrame:
+    """(rec_id, n_frames, fp binary) from (rec_id, ``column``): little-endian unsigned 32-bit integers.
 
-def anchors(fps: DataFrame) -> DataFrame:
-    """(class_id, pos, key): of any ANCHORS successive integers the rightmost least, mixed; equal stretches share theirs."""
+    ``samples`` makes blocks of samples of a value: ``pcm`` of audio, ``tones`` of a text. Audio of under WIDTH frames, or null,
+    has no integers. One recording is worked on at a time, a block at a time. Repeated rows give repeated rows,
+    an empty table gives none; other columns are ignored.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, pos, keys = [], [], []
-            for class_id, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                # two successive integers make a key
-                fp = np.array(one.as_py() or [], np.uint64)
-                key = ((fp[:-1] << np.uint64(32)) | fp[1:]) * np.uint64(0x9E3779B97F4A7C15)
-                if len(key) < ANCHORS:
-                    continue
-                back = sliding_window_view(key, ANCHORS)[:, ::-1].argmin(axis=1)
-                at = np.unique(np.arange(len(back)) + ANCHORS - 1 - back)
-                ids += [class_id] * len(at)
-                pos += at.tolist()
-                keys += key[at].view(np.int64).tolist()
-            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(pos, pa.int64()), pa.array(keys, pa.int64())], names=["class_id", "pos", "key"])
-
-    return fps.select("class_id", "fp").mapInArrow(kernel, "class_id string, pos long, key long")
-
-
-def align(fingerprints: DataFrame, is_query: F.Column, max_bit_error: float = 0.15, min_overlap: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of (rec_id, fp, ...): members (rec_id, class_id and what other columns there are), links (query_class, class_id, offset, votes, bit_error).
-
-    Recordings with the same integers are one class, named by its least rec_id, so copies are never
-    paired. Classes that hold a row of ``is_query`` are looked up among all. The offset with most common
-    anchors (ties: the smaller) is taken for each pair; it links if at least ``min_overlap`` integers overlap there and
-    at most ``max_bit_error`` of their bits differ. Recordings without integers are classes without links.
+            fps = [packed(chroma_frames(samples(one))).astype("<u4") if one.is_valid else np.zeros(0, "<u4") for one in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in fps], pa.int64()), pa.array([x.tobytes() for x in fps], pa.binary())], names=["rec_id", "n_frames", "fp"])
+
+    return recordings.select(F.col("rec_id").cast("string").alias("rec_id"), F.col(column).cast(kind).alias("own")).mapInArrow(kernel, "rec_id string, n_frames long, fp binary")
+
+
+def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys (two successive integers, mixed): of any ANCHORS successive keys the rightmost least, so equal stretches share theirs."""
+    wide = fp.astype(np.uint64)
+    key = ((wide[:-1] << np.uint64(32)) | wide[1:]) * np.uint64(0x9E3779B97F4A7C15)
+    if len(key) < ANCHORS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    back = sliding_window_view(key, ANCHORS)[:, ::-1].argmin(axis=1)
+    at = np.unique(np.arange(len(back)) + ANCHORS - 1 - back)
+    return at, key[at].view(np.int64)
+
+
+def best_offset(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], step: int = 1 << 12) -> tuple[int, int]:
+    """(offset, votes): the place in b less that in a which most distinct common keys agree on; ties go to the nearest to zero, then the smaller. (0, 0) for no common key."""
+    votes: dict[int, int] = {}
+    for key in np.intersect1d(a[1], b[1]).tolist():
+        left, right = a[0][a[1] == key], b[0][b[1] == key]
+        offsets: set[int] = set()
+        for at in range(0, len(left), step):
+            for to in range(0, len(right), step):
+                offsets |= set(np.unique(right[to : to + step, None] - left[None, at : at + step]).tolist())
+        for x in offsets:
+            votes[x] = votes.get(x, 0) + 1
+    return max(votes.items(), key=lambda v: (v[1], -abs(v[0]), -v[0]), default=(0, 0))
+
+
+def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
+    """(overlap in integers, share of differing bits in it) of b moved back by ``offset``."""
+    start = max(0, -offset)
+    n = min(len(a) - start, len(b) - start - offset)
+    if n <= 0:
+        return 0, 1.0
+    return n, float(np.bitwise_count(a[start : start + n] ^ b[start + offset : start + offset + n]).sum()) / (32.0 * n)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, offset, votes, bit_error) of the rows (a, b, integers of both) that align."""
+    last = left = own = None
+    for batch in batches:
+        rows = []
+        for a, b, item_a, item_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if a != last:
+                last, left = a, np.frombuffer(item_a.as_py(), "<u4")
+                own = anchors(left)
+            right = np.frombuffer(item_b.as_py(), "<u4")
+            other = anchors(right)
+            offset, votes = best_offset(own, other)
+            n, error = aligned(left, right, offset)
+            fewer = min(len(np.unique(own[1])), len(np.unique(other[1])))
+            if votes >= max(1, math.ceil(MIN_VOTES * fewer)) and n >= MIN_OVERLAP and error <= MAX_BIT_ERROR:
+                rows.append((a, b, offset, votes, error))
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["a", "b", "offset", "votes", "bit_error"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, key, m): the m distinct anchors of each class (cid, fp)."""
+    for batch in batches:
+        found = [np.unique(anchors(np.frombuffer(one.as_py(), "<u4"))[1]) for one in batch.column(1)]
+        sizes = [len(x) for x in found]
+        cid = np.repeat(batch.column(0).to_numpy(), sizes)
+        yield pa.record_batch([pa.array(cid), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(sizes, sizes), pa.int64())], names=["cid", "key", "m"])
+
+
+def align(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (rec_id, n_frames, class_id, group_id) of (rec_id, n_frames, fp), links (a, b, offset, votes, bit_error) between classes.
+
+    Recordings with the same integers are one class, named by its least rec_id, so copies are never paired. Two classes align if
+    at the offset that most of their common anchors agree on (ties: the nearest to zero) at least MIN_VOTES of the distinct
+    anchors of the class with fewer agree, MIN_OVERLAP integers or more overlap, and at most MAX_BIT_ERROR of their bits differ.
+    Groups are connected over aligned classes and named by their least rec_id; links are enough to connect each group, and judged in
+    the order that the buckets of anchors give, so a hot anchor needs no pair of each two classes. An anchor among the
+    commonest of a class, as many as could all be missing from an alignment, brings it no candidates: every alignment has a
+    rarer one too. Recordings without integers are one class without links. A null rec_id is never a name unless
+    its group has no other. Repeated rows give repeated rows, an empty table gives none.
     """
-    own = fingerprints.withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    classes = materialise(own.groupBy("fp").agg(F.min("rec_id").alias("class_id"), F.max("asks").alias("asks")), "audio-classes")
-    members = own.join(classes.select("fp", "class_id"), "fp").drop("fp", "asks")
-    keyed = materialise(anchors(classes), "audio-anchors")
-    asked = keyed.join(classes.where("asks").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query_class"), F.col("pos").alias("at"), "key")
-    met = asked.join(keyed, "key").where("query_class <> class_id").groupBy("query_class", "class_id", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    top = Window.partitionBy("query_class", "class_id").orderBy(F.desc("votes"), F.abs("offset"), "offset")
-    best = met.withColumn("r", F.row_number().over(top)).where("r = 1").drop("r")
-    left = classes.select(F.col("class_id").alias("query_class"), F.col("fp").alias("a"))
-    right = classes.select("class_id", F.col("fp").alias("b"))
-    both = best.join(left, "query_class").join(right, "class_id")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    n = F.least(F.size("a").cast("long") - start, F.size("b") - (start + F.col("offset")))
-    pairs = F.arrays_zip(F.slice("a", (start + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int")).alias("x"), F.slice("b", (start + F.col("offset") + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int")).alias("y"))
-    differing = F.aggregate(pairs, F.lit(0).cast("long"), lambda t, p: t + F.bit_count(p["x"].bitwiseXOR(p["y"])))
-    error = F.when(n >= min_overlap, differing / (32.0 * n))
-    links = both.withColumn("bit_error", error).where(F.col("bit_error") <= max_bit_error)
-    return members, links.select("query_class", "class_id", "offset", "votes", "bit_error")
-
-
-def conversation_matches(conversations: DataFrame, every: int = 20) -> DataFrame:
-    """(rec_id, class_id, n_frames, n_links): each conversation turn as a recording, and what it aligns with.
-
-    n_links counts the classes that the turn's class aligns with; null where no turn of the class was
-    looked up, that is, had a conv_id divisible by ``every``. A null text is silent; repeated rows give repeated rows.
+    own = fingerprints.select("rec_id", "n_frames", F.xxhash64("fp").alias("cid"), "fp")
+    classes = materialise(own.groupBy("cid").agg(F.min("rec_id").alias("class_id"), F.first("fp").alias("fp")), "audio-classes")
+    entries = materialise(classes.select("cid", "fp").mapInArrow(_keys, "cid long, key long, m long"), "audio-anchors")
+    met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # the commonest first: one fewer than the least number that must agree may go
+    common = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "key"))
+    shared = entries.join(met, "key").select("key", "cid", F.col("m").alias("size"), (common > F.ceil(MIN_VOTES * F.col("m")) - 1).alias("asks"))
+    items = classes.select("cid", F.col("fp").alias("item"))
+    judge = lambda pairs: judged_pairs(pairs, items, _links, "a long, b long, offset long, votes long, bit_error double")
+    links = group_links(materialise(shared, "shared-anchors"), judge, lambda x, y: F.lit(True))
+    named = classes.select("cid", "class_id").join(connected_components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    group = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    members = own.drop("fp").join(named.join(group, "root").select("cid", "class_id", "group_id"), "cid").drop("cid")
+    name = classes.select("cid", "class_id")
+    links = links.join(name.withColumnsRenamed({"cid": "a", "class_id": "class_a"}), "a").join(name.withColumnsRenamed({"cid": "b", "class_id": "class_b"}), "b")
+    return members, links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "offset", "votes", "bit_error")
+
+
+def conversation_groups(conversations: DataFrame) -> DataFrame:
+    """(rec_id, n_frames, class_id, group_id): each conversation turn rendered as a recording, and the recordings that it aligns with.
+
+    rec_id is ``conv_id/turn``, with ``null`` for nulls; rows that share it keep their own rows. A null or empty text is silent. Very long
+    texts are rendered and analysed whole, in blocks. Ties, repeated rows and empty tables as ``align`` has them; other columns are ignored.
     """
-    rows = conversations.select(F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.coalesce(F.col("turn").cast("string"), F.lit("null"))).alias("rec_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    fps = materialise(fingerprint(sonify(rows)), "audio")
-    asks = F.expr(f"try_cast(split(rec_id, '/')[0] as long) % {every} = 0")
-    members, links = align(fps, asks)
-    counts = links.groupBy(F.col("query_class").alias("class_id")).agg(F.count("*").alias("n"))
-    asked = members.where(asks).select("class_id").distinct().withColumn("asked", F.lit(True))
-    named = members.join(counts, "class_id", "left").join(asked, "class_id", "left")
-    return named.select("rec_id", "class_id", "n_frames", F.when(F.col("asked"), F.coalesce("n", F.lit(0))).alias("n_links"))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    rows = conversations.select(F.concat_ws("/", part("conv_id"), part("turn")).alias("rec_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return align(materialise(fingerprint(rows, "text", "string", tones), "audio"))[0]

@@ -29,7 +29,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.conversation_matches(table(spark, sf_dir, "conversations"))
+    return media.conversation_groups(table(spark, sf_dir, "conversations"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

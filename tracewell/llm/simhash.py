@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import connected_components
+from tracewell.llm.groups import group_links, judged_pairs
 from tracewell.llm.storage import materialise
 
 BITS = 64
@@ -159,10 +160,6 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> Da
 NEAR_SHINGLE, TABLES, ROWS = 5, 32, 4
 #: Least Jaccard similarity of the distinct shingles, in fifths: 4/5.
 FIFTHS = 4
-#: Rounds of one text a bucket against its others; pairs a text up to which all are compared at once; members a block of a bucket.
-STARS, FEW, BLOCK = 4, 2, 256
-#: Parts into which the pairs of one text are dealt.
-PAIR_SALTS = 64
 _MULTIPLIERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([k]), 42) for k in range(TABLES * ROWS)), np.uint64) | np.uint64(1)
 
 
@@ -218,11 +215,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def alike_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose ``texts`` (cid, text) are near duplicates, by exact Jaccard similarity."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(PAIR_SALTS)).alias("salt"))
-    left = salted.select("a", "salt").distinct().join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    right = salted.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-    # the side with one row a key comes second, as that is the side a sort-merge join holds in memory
-    return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a long, b long")
+    return judged_pairs(pairs, texts.select("cid", F.col("text").alias("item")), _alike, "a long, b long")
 
 
 def _sizes_allow(x: str, y: str) -> F.Column:
@@ -230,55 +223,12 @@ def _sizes_allow(x: str, y: str) -> F.Column:
     return F.least(x, y) * 5 >= F.greatest(x, y) * FIFTHS
 
 
-def bucket_pairs(members: DataFrame, block: int) -> DataFrame:
-    """Distinct pairs (a, b) of the ``members`` (key, cid, size, root) of each bucket that have different roots and sizes that allow it.
-
-    Buckets of over ``block`` members are cut into blocks, and every two blocks of a bucket meet as a group of their own.
-    """
-    parts = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    cut = members.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    met = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    first = met.where("own <= other").select("key", F.col("own").alias("x"), F.col("other").alias("y"), *[F.col(c).alias(f"a_{c}") for c in ("cid", "size", "root")])
-    second = met.where("other <= own").select("key", F.col("other").alias("x"), F.col("own").alias("y"), *[F.col(c).alias(f"b_{c}") for c in ("cid", "size", "root")])
-    pairs = first.join(second, ["key", "x", "y"]).where(((F.col("x") < F.col("y")) | (F.col("a_cid") < F.col("b_cid"))) & (F.col("a_root") != F.col("b_root")) & _sizes_allow("a_size", "b_size"))
-    return pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
-
-
-def near_links(shared: DataFrame, texts: DataFrame, stars: int = STARS, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def near_links(shared: DataFrame, texts: DataFrame, **rounds: int) -> DataFrame:
     """Edges (a, b) that connect just the groups which the near duplicates among the texts of each bucket make.
 
-    ``shared``: (key, cid, size) of the buckets with more than one text. In each round every bucket compares its
-    least text with its others and leaves it out; what is in one group by now needs no comparison,
-    so a bucket of one group is done after one row a text. When the buckets not done have at most
-    ``few`` pairs a text, or after ``stars`` rounds, all their pairs of different groups are compared,
-    whatever the number.
+    ``shared``: (key, cid, size) of the buckets with more than one text; ``rounds`` as ``group_links`` has them.
     """
-    links = judged = roots = None
-    left = shared
-    for turn in range(stars + 1):
-        named = left.withColumn("root", F.col("cid")) if roots is None else left.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "size", F.coalesce("root", "cid").alias("root"))
-        open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.min("cid").alias("hub")).where("p <> q").select("key", "n", "hub")
-        open_ = materialise(open_, "open-buckets")
-        n, most = open_.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not n:
-            break
-        members = materialise(named.join(open_.select("key", "hub"), "key"), "open-members")
-        last = turn == stars or most <= few * n
-        if last:
-            pairs = bucket_pairs(members.select("key", "cid", "size", "root"), block)
-        else:
-            hubs = members.where("cid = hub").select("key", F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-            pairs = members.where("cid <> hub").join(hubs, "key").where((F.col("root") != F.col("hub_root")) & _sizes_allow("size", "hub_size")).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-            left = members.where("cid <> hub").select("key", "cid", "size")
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = materialise(alike_pairs(pairs, texts), "links")
-        links, judged = (found, pairs) if links is None else (links.unionByName(found), judged.unionByName(pairs))
-        if last:
-            break
-        roots = connected_components(links)
-    return shared.select(F.col("cid").alias("a"), F.col("cid").alias("b")).where("false") if links is None else links
+    return group_links(shared.withColumn("asks", F.lit(True)), lambda pairs: alike_pairs(pairs, texts), _sizes_allow, **rounds)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
