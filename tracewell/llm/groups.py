@@ -51,7 +51,9 @@ def bucket_pairs(members: DataFrame, allowed: Callable[[str, str], Column], bloc
     return pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
 
 
-def group_links(shared: DataFrame, judge: Callable[[DataFrame], DataFrame], allowed: Callable[[str, str], Column], stars: int = STARS, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def group_links(
+    shared: DataFrame, judge: Callable[[DataFrame], DataFrame], allowed: Callable[[str, str], Column], rest: Callable[[DataFrame], DataFrame] | None = None, stars: int = STARS, few: int = FEW, block: int = BLOCK
+) -> DataFrame:
     """Edges (a, b) that connect just the groups which the alike pairs among the members of each bucket make.
 
     ``shared``: (key, cid long, size, asks boolean) of the buckets with more than one member; two members meet if one of
@@ -59,7 +61,8 @@ def group_links(shared: DataFrame, judge: Callable[[DataFrame], DataFrame], allo
     bucket compares its least asking member with its others and leaves it out; what is in one group by now
     needs no comparison, so a bucket of one group is done after one row a member. When the buckets not
     done have at most ``few`` pairs a member, or after ``stars`` rounds, all their pairs of different groups
-    are compared, whatever the number.
+    are compared, whatever the number; after ``stars`` rounds, only those that ``rest`` makes of the members (cid, size, root)
+    if it is given, which must be all that can be alike.
     """
     links = judged = roots = None
     left = shared
@@ -73,7 +76,9 @@ def group_links(shared: DataFrame, judge: Callable[[DataFrame], DataFrame], allo
             break
         members = materialise(named.join(open_.select("key", "hub"), "key"), "open-members")
         last = turn == stars or most <= few * n
-        if last:
+        if last and rest and most > few * n:
+            pairs = rest(members.select("cid", "size", "root").distinct())
+        elif last:
             pairs = bucket_pairs(members.select("key", *MEMBER), allowed, block)
         else:
             hubs = members.where("cid = hub").select("key", *_as("b", *MEMBER))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.batches import stretches
 from tracewell.llm.storage import materialise
 
-#: Words whose ids a worker keeps over its tasks; a full cache starts afresh. Words that are learnt at once.
-CACHE_WORDS, BATCH_WORDS = 1_200_000, 1_500_000
+#: Words whose ids a worker keeps over its tasks in each of two generations. Words that are learnt at once.
+CACHE_WORDS, BATCH_WORDS = 300_000, 1_500_000
 SALTS = 64
 
 
@@ -34,7 +34,8 @@ class WordIds(dict):
 
     Words that differ in ASCII case or in one comma or full stop after a letter share an encoding: the
     tokenizer lower-cases, and cuts between letters and signs. Words with the literal of a special token, in any
-    case, are encoded as they stand: the literal is one id where it is spelled exactly.
+    case, are encoded as they stand: the literal is one id where it is spelled exactly. A full cache becomes the older generation,
+    from which words in use are taken over and the others go.
     """
 
     def __init__(self, path: str):
@@ -44,6 +45,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.begin = os.path.commonprefix(self.special)
+        self.older: dict[str, bytes] = {}
         self.tails = dict(zip(("", ",", "."), self._encoded(["", ",", "."]), strict=True))
 
     def _encoded(self, words: list[str]) -> list[bytes]:
@@ -51,10 +53,14 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         if len(self) > CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        new = []
+        new, older = [], self.older
         for w in words:
             if w not in self:
+                if (known := older.get(w)) is not None:
+                    self[w] = known
+                    continue
                 low = w.lower()
                 if self.begin in low and any(t in low for t in self.special):
                     new.append((w, w, ""))
@@ -62,6 +68,7 @@ class WordIds(dict):
                 tail = w[-1] if w[-1:] in (",", ".") and w[-2:-1].lower().isalpha() else ""
                 core = w[:-1] if tail else w
                 new.append((w, core.lower() if core.isascii() else core, tail))
+        self.update((core, older[core]) for _, core, _ in new if core in older)
         cores = list({core for _, core, _ in new if core not in self})
         for at in range(0, len(cores), 10_000):
             self.update(zip(cores[at : at + 10_000], self._encoded(cores[at : at + 10_000]), strict=True))

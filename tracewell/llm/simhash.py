@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import connected_components
@@ -223,12 +223,41 @@ def _sizes_allow(x: str, y: str) -> F.Column:
     return F.least(x, y) * 5 >= F.greatest(x, y) * FIFTHS
 
 
-def near_links(shared: DataFrame, texts: DataFrame, **rounds: int) -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, shingle, size): the distinct shingles of each text (cid, text), hashed."""
+    for batch in batches:
+        for cid, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = distinct_shingles(one.as_py()).view(np.int64)
+            yield pa.record_batch([pa.array(np.full(len(own), cid, np.int64)), pa.array(own), pa.array(np.full(len(own), len(own), np.int64))], names=["cid", "shingle", "size"])
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the ``members`` (cid, root) with different roots whose texts may be near duplicates; none that are is missing.
+
+    Shingles are put in order, the rarest first. Two texts of sizes x and y with a similarity of s have at least
+    s / (1 + s) * (x + y) of them in common, so the first common one leaves that many, itself included, in both. It is among the first x - s * x + 1 of
+    either, and texts that differ by rare shingles of their own have none there. Of a shingle, only members of
+    different roots meet, root by root.
+    """
+    own = texts.join(members.select("cid"), "cid", "left_semi").select("cid", "text")
+    rows = materialise(own.mapInArrow(_shingle_rows, "cid long, shingle long, size long"), "shingles")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))
+    first = rows.join(counts, "shingle").withColumn("left", F.col("size") - place + 1).where((F.col("n") > 1) & (F.col("left") * 5 >= F.col("size") * FIFTHS))
+    first = materialise(first.select("cid", "shingle", "size", "left").join(members.select("cid", "root"), "cid"), "prefixes")
+    roots = first.select("shingle", "root").distinct()
+    met = roots.withColumnRenamed("root", "root_a").join(roots.withColumnRenamed("root", "root_b"), "shingle").where("root_a < root_b")
+    a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "left", "root")]) for side in "ab")
+    pairs = met.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where((F.least("left_a", "left_b") * (5 + FIFTHS) >= (F.col("size_a") + F.col("size_b")) * FIFTHS) & _sizes_allow("size_a", "size_b"))
+    return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+
+
+def near_links(shared: DataFrame, texts: DataFrame, stars: int = 1, **rounds: int) -> DataFrame:
     """Edges (a, b) that connect just the groups which the near duplicates among the texts of each bucket make.
 
-    ``shared``: (key, cid, size) of the buckets with more than one text; ``rounds`` as ``group_links`` has them.
+    ``shared``: (key, cid, size) of the buckets with more than one text; ``stars`` and ``rounds`` as ``group_links`` has them.
     """
-    return group_links(shared.withColumn("asks", F.lit(True)), lambda pairs: alike_pairs(pairs, texts), _sizes_allow, **rounds)
+    return group_links(shared.withColumn("asks", F.lit(True)), lambda pairs: alike_pairs(pairs, texts), _sizes_allow, lambda members: prefix_pairs(members, texts), stars=stars, **rounds)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
