@@ -129,18 +129,42 @@ def test_risk(spark):
 
 def test_peeling_chain(spark):
     rows = [("seed", "m1", 9, 10), ("seed", "f1", 1, 11), ("m1", "m2", 8, 100), ("m1", "f2", 1, 101), ("m2", "m3", 7, 200), ("m2", "f3", 1, 201)]
-    r = layering.peeling_chain(edges(spark, rows), spark.createDataFrame([("seed",)], "seed string")).first()
-    assert (r.path, r.hops) == (["seed", "m1", "m2", "m3"], 3)
+    r = layering.peeling_chain(edges(spark, rows), spark.createDataFrame([("seed",)], "seed string"), gap=300.0).first()
+    assert (r.path, r.hops) == (["seed", "m1", "m2", "m3"], 3) and r.confidence == pytest.approx(0.8525, abs=1e-4)
+    ends = layering.peeling_chain(edges(spark, rows), spark.createDataFrame([("seed",)], "seed string"), gap=300.0, exchanges=spark.createDataFrame([("m3",)], "address string")).first()
+    assert ends.confidence == pytest.approx(0.8 * 0.8525, abs=1e-4)
+
+
+def test_peeling_chain_ties(spark):
+    # of equal targets the earlier, then the greater is the main one
+    rows = [("s", "a", 9, 10), ("s", "z", 1, 10), ("a", "b", 4, 20), ("a", "c", 4, 20), ("a", "q", 0.5, 20), ("c", "d", 3, 30), ("c", "e", 0.5, 30)]
+    r = layering.peeling_chain(edges(spark, rows), spark.createDataFrame([("s",)], "seed string"), high=2.0).first()
+    assert r.path == ["s", "a", "c", "d"]
 
 
 def test_bridges(spark):
     rows = [("seed", "bridge", 5, 10), ("bridge", "fresh", 4.95, 100)]
-    c = layering.bridge_candidates(edges(spark, rows), spark.createDataFrame([("bridge",)], "address string"), 0.03, 86400.0)
+    c = layering.bridge_candidates(edges(spark, rows), spark.createDataFrame([("bridge",)], "address string"), 0.03, 300.0)
     found = layering.match_bridges(c)
     assert found.count() == 1
-    hit = layering.bridge_hopping(found, spark.createDataFrame([("seed",)], "seed string"), spark.createDataFrame([("fresh",)], "address string"), 86400.0).first()
-    want = 0.40 * 0.99 + 0.30 * math.exp(-90 / 86400) + 0.20 + 0.10
-    assert hit.confidence == pytest.approx(want, abs=1e-4)
+    hit = layering.bridge_hopping(found, spark.createDataFrame([("seed",)], "seed string"), spark.createDataFrame([("fresh", 100.0, 1)], "address string, first_seen double, degree long"), 300.0).first()
+    want = 0.40 * 0.99 + 0.30 * math.exp(-90 / 300) + 0.20 + 0.10
+    assert hit.confidence == pytest.approx(want, abs=1e-4) and want == pytest.approx(0.9182, abs=1e-4)
+
+
+def test_bridge_rounds_equal_deposits_in_turn(spark):
+    rng = random.Random(5)
+    rows = [(f"u{i}", "b", rng.choice([9.8, 10, 10.2]), rng.randrange(300)) for i in range(60)] + [("b", f"w{i}", rng.choice([9.8, 10, 10.2]), rng.randrange(400)) for i in range(45)]
+    c = layering.bridge_candidates(edges(spark, rows), spark.createDataFrame([("b",)], "address string"), 0.05, 100.0)
+    used, want = set(), set()
+    found = c.collect()
+    for _, deposit in sorted({(r.dts, r.deposit) for r in found}):
+        free = [(r.cost, r.wts, r.withdrawal) for r in found if r.deposit == deposit and r.withdrawal not in used]
+        if free:
+            used.add(min(free)[2])
+            want.add((deposit, min(free)[2]))
+    assert len(want) > 30 and {(r.deposit, r.withdrawal) for r in layering.match_bridges(c).collect()} == want
+    assert layering.match_bridges(c.where("false")).count() == 0
 
 
 def test_bridge_matching_uses_each_withdrawal_once(spark):
@@ -152,20 +176,25 @@ def test_bridge_matching_uses_each_withdrawal_once(spark):
 
 def test_high_depth(spark):
     rows = [("seed", "a1", 5, 10), ("a1", "a2", 4.5, 20), ("a2", "a3", 4, 30), ("a3", "a4", 3.7, 40)]
-    r = layering.high_depth(edges(spark, rows), spark.createDataFrame([("seed",)], "seed string")).first()
-    assert (r.path, r.depth) == ("seed>a1>a2>a3>a4", 4)
+    r = layering.high_depth(edges(spark, rows), spark.createDataFrame([("seed",)], "seed string"), 5, 4, 2, 0.7, 300.0, 0.5).first()
+    assert (r.path, r.depth) == ("seed>a1>a2>a3>a4", 4) and r.score == pytest.approx(0.8809, abs=1e-4)
 
 
 def test_mixing(spark):
     rows = [("seed", "m", 10, 10), ("seed", "m", 10, 40), ("m", "f1", 9.9, 80), ("m", "f2", 9.8, 120)]
-    r = layering.mixing_interaction(edges(spark, rows), spark.createDataFrame([("seed",)], "seed string"), spark.createDataFrame([("m",)], "address string")).first()
-    assert r.seed == "seed" and r.confidence > 0.8
+    r = layering.mixing_interaction(edges(spark, rows), spark.createDataFrame([("seed",)], "seed string"), spark.createDataFrame([("m",)], "address string"), gap=300.0, min_density=0.1).first()
+    assert r.seed == "seed" and r.confidence == pytest.approx(0.9072, abs=1e-4)
 
 
 def test_shell_network(spark):
     rows = [("s", "w1", 1, 10), ("w1", "w2", 0.9, 20), ("w2", "w3", 0.85, 30), ("w3", "s", 0.8, 40), ("s", "w2", 0.75, 200), ("w2", "w1", 0.7, 210), ("w1", "w3", 0.65, 220), ("w3", "s", 0.6, 230)]
     got = layering.shell_networks(edges(spark, rows), spark.createDataFrame([("s",)], "seed string"), window=130.0).collect()
-    assert [r.nodes for r in got] == ["s,w1,w2,w3"]
+    assert [r.nodes for r in got] == ["s,w1,w2,w3"] and 0.5 < got[0].confidence <= 1
+    # services are left out
+    out = layering.shell_networks(edges(spark, rows), spark.createDataFrame([("s",)], "seed string"), window=130.0, services=spark.createDataFrame([("w2",)], "address string"))
+    assert out.count() == 0
+    two = {(f"{g}{i}", f"{g}{j}"): 1.0 for g in "ab" for i in range(4) for j in range(i)} | {("a0", "b0"): 0.1}
+    assert sorted(sorted(c) for c in layering.local_communities(two)) == [["a0", "a1", "a2", "a3"], ["b0", "b1", "b2", "b3"]]
 
 
 @pytest.mark.parametrize("order", ["ordered", "reversed", "shuffled", "alternating"])

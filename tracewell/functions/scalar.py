@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +54,12 @@ def chain_of(address: Column) -> Column:
     return F.when(address.rlike("^0x[0-9a-fA-F]{40}$"), "ethereum").when(address.rlike("^(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,59}$"), "bitcoin").when(address.rlike("^T[1-9A-HJ-NP-Za-km-z]{33}$"), "tron").when(address.rlike("^[1-9A-HJ-NP-Za-km-z]{32,44}$"), "solana").otherwise("unknown")
 
 
-#: What a service's name says about it.
-KEYWORDS = {"mixer": ["mixer", "tornado", "tumbler"], "bridge": ["bridge", "gate"], "exchange": ["exchange", "router", "binance", "coinbase"]}
+#: Words in a service's name or description that tell its category.
+KEYWORDS = {
+    "mixer": ["mixer", "mixing", "tornado", "privacy", "anonymity", "shielded", "stealth"],
+    "bridge": ["bridge", "bridging", "portal", "router", "wormhole", "stargate", "across", "hop"],
+    "exchange": ["exchange", "binance", "coinbase", "kraken", "okx", "bybit", "kucoin", "gate", "bitfinex", "huobi"],
+}
 
 
 def keyword_categories(text: Column) -> Column:
@@ -67,8 +73,56 @@ def keyword_categories(text: Column) -> Column:
 ASCII = {"→": "->", "←": "<-", "—": "-", "–": "-", "…": "...", "“": '"', "”": '"', "‘": "'", "’": "'", " ": " "}
 
 
+def _folded(c: str) -> str:
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+
+
+#: Characters whose compatibility decomposition has one ASCII character, or several.
+ONE = [c for c in map(chr, range(0x80, 0x3400)) if len(_folded(c)) == 1]
+SEVERAL = [c for c in map(chr, [*range(0x80, 0x2200), *range(0xFB00, 0xFB07)]) if len(_folded(c)) > 1]
+
+
 def ascii_text(text: Column) -> Column:
-    """Typographic characters replaced, other non-ASCII dropped, spaces collapsed."""
+    """Typographic characters replaced, others decomposed to their ASCII base (é to e, ﬁ to fi), the rest of non-ASCII dropped, spaces collapsed."""
     for a, b in ASCII.items():
         text = F.replace(text, F.lit(a), F.lit(b))
+    # few texts hold any of these
+    spelled = text
+    for c in SEVERAL:
+        spelled = F.replace(spelled, F.lit(c), F.lit(_folded(c)))
+    text = F.when(text.rlike("[" + "".join(SEVERAL) + "]"), spelled).otherwise(text)
+    text = F.translate(text, "".join(ONE), "".join(map(_folded, ONE)))
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7f]", ""), r"[ \t\n\r]+", " "))
+
+
+def hex_id(x: Column) -> Column:
+    """Lower-case hex text with 0x in front; null for anything that is no hex."""
+    bare = F.regexp_replace(F.lower(F.trim(x)), "^0x", "")
+    return F.when(bare.rlike("^[0-9a-f]+$"), F.concat(F.lit("0x"), bare))
+
+
+def any_timestamp(x: Column) -> Column:
+    """A time in UTC of epoch seconds, hex or decimal, or ISO text; null for anything else."""
+    text = F.trim(x)
+    number = F.when(text.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(text, 3, 15), 16, 10).cast("double")).when(text.rlike(r"^[0-9]{1,15}(\.[0-9]*)?$"), text.try_cast("double"))
+    return F.coalesce(F.timestamp_seconds(number), F.try_to_timestamp(text))
+
+
+#: Behaviours that reports leave out.
+BANNED = ("funneling", "funnel", "immediate_utilization", "immediate-utilization", "immediate utilization")
+
+
+def is_banned(behavior: Column) -> Column:
+    return F.lower(F.trim(behavior)).isin(*BANNED)
+
+
+def owner_addresses(addresses: Column) -> Column:
+    """Lower-cased, trimmed, distinct addresses of an array in their order; an error for anything that is no address."""
+    clean = F.array_distinct(F.filter(F.transform(addresses, lambda a: F.lower(F.trim(a))), lambda a: a != ""))
+    bad = F.filter(clean, lambda a: ~a.rlike("^0x[0-9a-f]{40}$"))
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("not an address: "), F.element_at(bad, 1)))).otherwise(clean)
+
+
+def addresses_in(text: Column) -> Column:
+    """Distinct addresses that a free text (or a list split by commas, spaces or line breaks) holds, lower-cased, in their order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\\b(0x[0-9a-fA-F]{40})\\b")), lambda a: F.lower(a)))

@@ -102,11 +102,18 @@ DECAY = (0.6, 0.3, 0.1)
 
 
 def propagate(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, risk): 1 for sources (node, score), else the most of score * decay over sources at their shortest step."""
-    seen = k_hop(edges, sources.select("node"), len(DECAY))
-    scored = seen.join(sources.select(F.col("node").alias("seed"), "score"), "seed")
-    decay = F.element_at(F.array(*[F.lit(x) for x in (1.0, *DECAY)]), F.col("hop") + 1)
-    return scored.groupBy("node").agg(F.max(F.when(F.col("hop") == 0, 1.0).otherwise(F.col("score") * decay)).alias("risk"))
+    """(node, risk): 1 for sources (node, score), else the most of score * decay over sources at their shortest step, of nodes within reach.
+
+    Each step keeps the greatest source score a node sees over walks of that length, not which source, so there is a row a node
+    and step; a walk longer than the shortest counts less and never wins.
+    """
+    near = undirected(edges)
+    front = sources.groupBy("node").agg(F.max("score").alias("score"))
+    found = front.select("node", F.lit(1.0).alias("risk"))
+    for decay in DECAY:
+        front = cut(front.join(near, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.max("score").alias("score")))
+        found = found.unionByName(front.select("node", (F.col("score") * decay).alias("risk")))
+    return found.groupBy("node").agg(F.max("risk").alias("risk"))
 
 
 def ego_density(edges: DataFrame, centres: DataFrame) -> DataFrame:

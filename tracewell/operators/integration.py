@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tracewell.config import EngineConfig
 from tracewell.functions.scalar import clamp, exact_sum
 
-#: Address prefixes of known exits.
-EXITS = ("C-EXIT", "S-EXIT", "0xexit")
+#: Address prefixes of known exits, lower case.
+EXITS = ("0xd551234", "0xa9d1e08", "0x3f5ce5f", "0xbe0eb53", "0x564286", "0x4e9ce36")
 
 
 def _four(x) -> F.Column:
@@ -39,11 +39,11 @@ def dormancy(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
     return woken.select("address", F.lit("dormancy").alias("signal"), _four(score).alias("score")).where("score >= 0.3")
 
 
-def terminal_node(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Receives and never sends."""
+def terminal_node(transfers: DataFrame, cfg: EngineConfig, exits: tuple[str, ...] = EXITS) -> DataFrame:
+    """Receives and never sends; addresses that begin with one of ``exits`` score more."""
     into = transfers.groupBy(F.col("to_address").alias("address")).agg(exact_sum("value").alias("total")).where("total >= 0.01")
     ends = into.join(transfers.where("value > 0").select(F.col("from_address").alias("address")).distinct(), "address", "left_anti")
-    known = F.col("address").rlike("^(" + "|".join(EXITS) + ")")
+    known = F.lower(F.trim("address")).rlike("^(" + "|".join(exits) + ")")
     score = 0.7 * F.when(known, 0.85).otherwise(0.5) + 0.3 * clamp(F.col("total") / 20)
     return ends.select("address", F.lit("terminal_node").alias("signal"), _four(score).alias("score")).where("score >= 0.35")
 

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import EngineConfig
-from tracewell.functions.scalar import clamp, exact_sum
+from tracewell.functions.scalar import clamp, exact_sum, stable_id
+from tracewell.operators.graph import connected_components
+from tracewell.operators.heuristics import gate
 from tracewell.operators.relational import top_per_group, variation, with_entities
-from tracewell.sources.storage import cut
+from tracewell.sources.storage import cut, materialise
 
 LEAST, CUTOFF = 0.55, 0.25
 
@@ -73,23 +75,36 @@ def highlights(ranked: DataFrame) -> DataFrame:
     return own.select("entity", mode.alias("mode"), F.when(mode == "balanced", 3).when(mode == "paired", 2).otherwise(1).alias("shown"))
 
 
-def trace(flows: DataFrame, roots: DataFrame, cfg: EngineConfig) -> DataFrame:
+def linked_entities(flows: DataFrame) -> DataFrame:
+    """(entity, tx_count, degree): transfers with other entities and how many other entities."""
+    sides = flows.select(F.col("src").alias("entity"), F.col("dst").alias("peer")).unionByName(flows.select(F.col("dst").alias("entity"), F.col("src").alias("peer")))
+    pair = sides.groupBy("entity", "peer").agg(F.count("*").alias("n"))
+    return pair.groupBy("entity").agg(F.sum("n").alias("tx_count"), F.count("*").alias("degree"))
+
+
+def trace(flows: DataFrame, roots: DataFrame, cfg: EngineConfig, within: DataFrame | None = None) -> DataFrame:
     """(root, path, score, end): backward paths from ``roots`` (entity) over the strongest early sources.
 
-    An edge weighs its share of what the entity receives, less with depth and for busy sources; a path
-    stops where nothing came in, where its score falls under the cut-off, or after ``max_hops``.
+    An edge weighs its share of what the entity receives, less with depth, for sources with many targets and for service-like ones (many
+    transfers, those ``within`` them (entity, n) included, or many counterparties); a path stops where nothing came in, where its score
+    falls under the cut-off, or after ``max_hops``.
     """
     edges = flows.groupBy(F.col("src").alias("up"), F.col("dst").alias("at")).agg(exact_sum("value").alias("total"), F.min("ts").alias("first_ts"))
     into = edges.groupBy("at").agg(F.round(F.sum("total"), 2).alias("total_in"))
     fan = edges.groupBy(F.col("up")).agg(F.count("*").alias("fan_out"))
-    weighed = cut(edges.join(into, "at").join(fan, "up"))
+    linked = linked_entities(flows)
+    if within is not None:
+        linked = linked.join(within, "entity", "left").withColumn("tx_count", F.col("tx_count") + F.coalesce("n", F.lit(0)))
+    busy = linked.select(F.col("entity").alias("up"), ((F.col("tx_count") >= max(20, cfg.service_tx)) | (F.col("degree") >= max(5, cfg.service_degree))).alias("service"))
+    weighed = cut(edges.join(into, "at").join(fan, "up").join(busy, "up"))
     front = roots.select(F.col("entity").alias("root"), F.array("entity").alias("path"), F.lit(1.0).alias("score"))
     ends = []
     for depth in range(cfg.max_hops):
         step = cut(front.join(weighed, F.element_at("path", -1) == F.col("at"), "left"))
         sourced = step.where(F.col("up").isNotNull())
         ends.append(step.where(F.col("up").isNull()).select("root", "path", "score", F.lit("no_incoming").alias("end")))
-        weight = clamp((0.45 + 0.55 * F.least(F.lit(1.0), F.col("total") / F.greatest("total_in", "total", F.lit(1e-9)))) * 0.95**depth * F.when(F.col("fan_out") > 3, 0.9).otherwise(1.0))
+        share = 0.45 + 0.55 * F.least(F.lit(1.0), F.col("total") / F.greatest("total_in", "total", F.lit(1e-9)))
+        weight = clamp(share * F.when(F.col("service"), 0.6).otherwise(1.0) * 0.95**depth * F.when(F.col("fan_out") > 3, 0.9).otherwise(1.0))
         grown = sourced.withColumn("next", F.round(F.col("score") * weight, 6)).where(~F.array_contains("path", F.col("up")) & (F.col("next") >= CUTOFF))
         grown = top_per_group(grown, ["root", "path"], [F.col("first_ts"), F.desc("total"), F.col("up")], cfg.branching)
         stopped = sourced.select("root", "path", "score").distinct().join(grown.select("root", "path").distinct(), ["root", "path"], "left_anti")
@@ -99,24 +114,137 @@ def trace(flows: DataFrame, roots: DataFrame, cfg: EngineConfig) -> DataFrame:
     return reduce(DataFrame.unionByName, ends)
 
 
-def scores(traces: DataFrame, ranked: DataFrame, profiles: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """(entity, score): trace origins by behaviour (own or downstream), graph and time."""
+def trace_hops(flows: DataFrame, traces: DataFrame, most: int = 20) -> DataFrame:
+    """(root, path, hop, source, target, tx_hash): the first ``most`` transfers (by time, hash) of each step of each path, from its origin on."""
+    steps = traces.select("root", "path", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("back", "target"), F.size("path").alias("n"))
+    steps = steps.select("root", "path", "target", F.expr("path[back + 1]").alias("source"), (F.col("n") - 1 - F.col("back")).alias("hop"))
+    pairs = steps.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+    shown = top_per_group(flows.join(pairs, ["src", "dst"], "left_semi"), ["src", "dst"], [F.col("ts"), F.col("tx_hash")], most)
+    return steps.join(shown.select(F.col("src").alias("source"), F.col("dst").alias("target"), "tx_hash"), ["source", "target"]).select("root", "path", "hop", "source", "target", "tx_hash")
+
+
+def behavior_profiles(traces: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(entity, behavior, confidence, relation, rank) of trace origins: each behaviour's strongest sign, an origin's own whole, those of its roots at 0.92; the best first."""
+    linked = traces.select(F.element_at("path", -1).alias("entity"), F.col("root").alias("of")).distinct()
+    linked = linked.unionByName(linked.select("entity", F.col("entity").alias("of"))).distinct()
+    own = linked.join(ranked.select(F.col("entity").alias("of"), "behavior", F.col("confidence").alias("c")), "of")
+    signs = own.withColumn("relation", F.when(F.col("of") == F.col("entity"), "origin").otherwise("downstream"))
+    signs = signs.withColumn("confidence", F.round(F.col("c") * F.when(F.col("relation") == "origin", 1.0).otherwise(0.92), 4))
+    best = top_per_group(signs, ["entity", "behavior"], [F.desc("confidence"), F.desc("relation")], 1).select("entity", "behavior", "confidence", "relation")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("confidence"), F.desc("behavior"))))
+
+
+def scores(traces: DataFrame, ranked: DataFrame, profiles: DataFrame, flows: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """(entity, behavior_score, graph_score, temporal_score, history, score): trace origins by behaviour (own or downstream), place in the graph and time.
+
+    Time is the mean of how much later than the origin each root was first seen. Origins that receive from a suspicious entity have a history and count less.
+    """
     best = ranked.groupBy("entity").agg(F.max("confidence").alias("best"))
     paths = traces.select(F.element_at("path", -1).alias("entity"), "root", (F.size("path") - 1).alias("depth"), "score")
-    down = best.select(F.col("entity").alias("root"), (0.92 * F.col("best")).alias("below"))
-    per = paths.join(down, "root").groupBy("entity").agg(F.max("depth").alias("depth"), F.round(F.avg("score"), 6).alias("path_score"), F.max("below").alias("below"), F.count("*").alias("paths"))
-    own = per.join(best, "entity", "left").join(profiles.select("entity", "n_in", (F.col("last_seen") - F.col("first_seen")).alias("age")), "entity")
-    origin = F.coalesce("best", F.lit(0.0))
-    behaviour = F.greatest(origin, F.col("below") * F.when(origin > 0, 1.0).otherwise(0.88))
-    graph = clamp(0.45 * F.when(F.col("n_in") == 0, 1.0).otherwise(0.7) + 0.25 * F.least(F.lit(1.0), F.col("depth") / float(cfg.max_hops)) + 0.30 * F.col("path_score"))
-    temporal = clamp(0.55 * F.least(F.lit(1.0), F.lit(86400.0) / F.greatest(F.lit(86400.0), F.col("age"))) + 0.45 * F.when(F.col("n_in") == 0, 1.0).otherwise(0.7))
-    total = F.round(clamp(0.4 * behaviour + 0.4 * graph + 0.2 * temporal), 4)
-    return own.select("entity", total.alias("score")).where(F.col("score") >= LEAST)
-
-
-def labels(traces: DataFrame, placed: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(entity, label): origins, suspicious receivers that are none, and what lies between."""
-    origins = placed.select("entity", F.lit("placement_origin").alias("label"))
-    receivers = ranked.select("entity").distinct().join(placed, "entity", "left_anti").select("entity", F.lit("suspicious_receiver").alias("label"))
-    between = traces.where("size(path) > 2").select(F.explode(F.expr("slice(path, 2, size(path) - 2)")).alias("entity")).distinct().select("entity", F.lit("intermediate_node").alias("label"))
-    return origins.unionByName(receivers).unionByName(between)
+    seen = profiles.select("entity", "first_seen")
+    graph = paths.groupBy("entity").agg(F.max("depth").alias("depth"), F.round(F.avg("score"), 6).alias("path_score"))
+    roots = paths.select("entity", "root").distinct().join(best.select(F.col("entity").alias("root"), F.col("best").alias("below")), "root", "left")
+    roots = roots.join(seen.select(F.col("entity").alias("root"), F.col("first_seen").alias("root_seen")), "root").join(seen, "entity")
+    later = F.greatest(F.lit(0.0), F.col("root_seen") - F.col("first_seen")).cast("decimal(24,6)")
+    roots = roots.groupBy("entity").agg(F.max("below").alias("below"), (F.sum(later).cast("double") / F.count("*")).alias("gap"))
+    sources = flows.select(F.col("src").alias("up"), F.col("dst").alias("entity")).distinct()
+    history = sources.join(best.select(F.col("entity").alias("up")), "up", "left_semi").select("entity").distinct().withColumn("history", F.lit(True))
+    own = graph.join(roots, "entity").join(best, "entity", "left").join(profiles.select("entity", "n_in"), "entity").join(history, "entity", "left").where("best is not null or below is not null")
+    origin, below = F.coalesce("best", F.lit(0.0)), F.coalesce("below", F.lit(0.0))
+    behaviour = clamp(F.greatest(origin, below * F.when(origin > 0, 1.0).otherwise(0.88)))
+    first = F.when(F.col("n_in") == 0, 1.0).otherwise(0.7)
+    graph_score = clamp(0.45 * first + 0.25 * F.least(F.lit(1.0), F.col("depth") / float(max(1, cfg.max_hops))) + 0.30 * F.col("path_score"))
+    temporal = clamp(0.55 * F.least(F.lit(1.0), F.col("gap") / float(max(86400.0, cfg.smurf_max_age))) + 0.45 * first)
+    known = F.coalesce("history", F.lit(False))
+    total = F.round(clamp((0.4 * behaviour + 0.4 * graph_score + 0.2 * temporal) * F.when(known, 0.8).otherwise(1.0)), 4)
+    out = own.select("entity", F.round(behaviour, 4).alias("behavior_score"), F.round(graph_score, 4).alias("graph_score"), F.round(temporal, 4).alias("temporal_score"), known.alias("history"), total.alias("score"))
+    return out.where(F.col("score") >= LEAST)
+
+
+def labels(traces: DataFrame, placed: DataFrame, ranked: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """(entity, label, confidence): origins, suspicious receivers that are none, and what else lies between, at 0.9 of its ``validation`` (entity, confidence)."""
+    origins = placed.select("entity", F.lit("placement_origin").alias("label"), F.col("score").alias("confidence"))
+    best = ranked.groupBy("entity").agg(F.max("confidence").alias("confidence"))
+    receivers = best.join(placed, "entity", "left_anti").select("entity", F.lit("suspicious_receiver").alias("label"), "confidence")
+    between = traces.where("size(path) > 2").select(F.explode(F.expr("slice(path, 2, size(path) - 2)")).alias("entity")).distinct()
+    between = between.join(placed, "entity", "left_anti").join(best, "entity", "left_anti")
+    if validation is None:
+        between = between.withColumn("confidence", F.lit(None).cast("double"))
+    else:
+        between = between.join(validation.select("entity", F.round(F.col("confidence") * 0.9, 4).alias("confidence")), "entity", "left")
+    return origins.unionByName(receivers).unionByName(between.select("entity", F.lit("intermediate_node").alias("label"), "confidence"))
+
+
+#: Confidence in an entity by where it comes from.
+VALIDATION = {"existing": 0.82, "enhanced": 0.72, "generated": 0.64, "address_fallback": 0.48}
+
+
+def strongly_connected(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, component) of the nodes of directed ``edges`` (a, b) on a cycle; component is the least node that each reaches and is reached by.
+
+    The least node that reaches each node, and the least each reaches, are found by rounds of joins; where both are the same node, that
+    is a component, and it is taken out; edges whose ends differ in either go too, as no cycle crosses them. Repeated until no edges are left.
+    """
+
+    def least(current: DataFrame, source: str, target: str) -> DataFrame:
+        nodes = current.select(F.col("a").alias("node")).unionByName(current.select(F.col("b").alias("node"))).distinct()
+        best = materialise(nodes.withColumn("low", F.col("node")), "least")
+        for _ in range(max_rounds):
+            coming = current.join(best.withColumnRenamed("node", source), source).groupBy(F.col(target).alias("node")).agg(F.min("low").alias("new"))
+            grown = best.join(coming, "node", "left").select("node", F.least("low", "new").alias("low"), (F.col("new") < F.col("low")).alias("moved"))
+            grown = materialise(grown, "least")
+            best = grown.select("node", "low")
+            if grown.where("moved").isEmpty():
+                return best
+        raise RuntimeError(f"reach did not settle in {max_rounds} rounds")
+
+    current, found = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
+    while not current.isEmpty():
+        marks = least(current, "a", "b").withColumnRenamed("low", "from_low").join(least(current, "b", "a").withColumnRenamed("low", "to_low"), "node")
+        marks = materialise(marks, "marks")
+        done = marks.where("from_low = to_low").select("node", F.col("from_low").alias("component"))
+        found = done if found is None else found.unionByName(done)
+        a, b = (marks.select(F.col("node").alias(c), F.col("from_low").alias(f"f{c}"), F.col("to_low").alias(f"t{c}")) for c in "ab")
+        current = materialise(current.join(a, "a").join(b, "b").where("fa = fb and ta = tb and fa <> ta").select("a", "b"), "edges")
+    if found is None:
+        return edges.where("false").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return found.join(several, "component", "left_semi").select("node", "component")
+
+
+def resolve_entities(transfers: DataFrame, links: DataFrame, clusters: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """(address, entity, entity_type, source_kind, confidence, n_addresses, signals) of every address that transfers.
+
+    Addresses start as their cluster in ``clusters`` (address, cluster_id) or alone. Heuristic pairs ``links`` (a, b, name) that pass the gate merge
+    them; so do members of one strongly connected component of at most ``max_pattern_size`` that have another signal too.
+    An entity keeps the id of a cluster that it equals; others are named by their members.
+    """
+    every = transfers.select(F.col("from_address").alias("address")).unionByName(transfers.select(F.col("to_address").alias("address"))).where("address is not null and address <> ''").distinct()
+    seeded = materialise(every.join(clusters.select("address", "cluster_id"), "address", "left").withColumn("seed", F.coalesce("cluster_id", F.concat(F.lit("ADDR::"), "address"))), "seeds")
+
+    def by_seed(pairs: DataFrame) -> DataFrame:
+        a, b = (seeded.select(F.col("address").alias(c), F.col("seed").alias(f"s{c}")) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "name")
+
+    own = by_seed(links.join(gate(links, cfg), ["a", "b"], "left_semi"))
+    flow = transfers.where("from_address <> to_address").select(F.col("from_address").alias("a"), F.col("to_address").alias("b")).distinct()
+    strong = strongly_connected(flow)
+    small = strong.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n").between(2, max(10, cfg.max_pattern_size))).select("component")
+    # strong connectivity needs a second signal, so only pairs that have one are looked up
+    side = lambda c: strong.join(small, "component", "left_semi").join(seeded.select(F.col("address").alias("node"), "seed"), "node").select(F.col("seed").alias(c), F.col("component").alias(f"c{c}")).distinct()
+    shared = own.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where("ca = cb").select("a", "b").distinct()
+    signals = materialise(own.unionByName(shared.withColumn("name", F.lit("strong_connectivity"))).distinct(), "signals")
+    accepted = gate(signals, cfg).select("a", "b").unionByName(shared).distinct()
+    roots = connected_components(accepted)
+    named = seeded.join(roots.withColumnRenamed("node", "seed"), "seed", "left").withColumn("root", F.coalesce("root", "seed"))
+    merged = signals.join(accepted, ["a", "b"], "left_semi").join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.array_sort(F.collect_set("name")).alias("signals"))
+    held = seeded.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("held"))
+    group = named.groupBy("root").agg(F.count("*").alias("n_addresses"), F.countDistinct("cluster_id").alias("k"), F.min("cluster_id").alias("cluster_id"), stable_id("C-", F.collect_list("address")).alias("made"), F.min("address").alias("only"))
+    group = group.join(held, "cluster_id", "left").join(merged, "root", "left")
+    kind = F.when((F.col("k") == 0) & (F.col("n_addresses") == 1), "address_fallback").when((F.col("k") == 1) & (F.col("held") == F.col("n_addresses")), "existing").when(F.col("k") > 0, "enhanced").otherwise("generated")
+    group = group.withColumn("source_kind", kind).withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
+    entity = F.when(F.col("source_kind") == "address_fallback", F.col("only")).when(F.col("source_kind") == "existing", F.col("cluster_id")).otherwise(F.col("made"))
+    base = F.create_map(*[F.lit(x) for kv in VALIDATION.items() for x in kv])[F.col("source_kind")]
+    sure = base + F.least(F.lit(0.12), (F.col("n_addresses") - 1) * 0.02) + F.least(F.lit(0.16), F.size("signals") * 0.04)
+    group = group.select("root", entity.alias("entity"), F.when(F.col("source_kind") == "address_fallback", "address").otherwise("cluster").alias("entity_type"), "source_kind", F.round(clamp(sure), 4).alias("confidence"), "n_addresses", "signals")
+    return named.select("address", "root").join(group, "root").drop("root")

@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import clamp
 
-#: Weights of label categories, behaviours, integration signals and factors.
-LABELS = {"sanctioned": 1.0, "mixer": 0.85, "scam": 0.75, "watchlist": 0.55, "bridge": 0.35, "exchange": 0.15}
-BEHAVIOURS = {"structuring": 0.25, "smurfing": 0.25, "micro_funding": 0.15, "peeling_chain": 0.30, "mixing_interaction": 0.35, "bridge_hopping": 0.25, "shell_wallet_network": 0.30, "high_depth_transaction_chaining": 0.25}
-INTEGRATION = {"convergence": 0.25, "dormancy": 0.20, "terminal_node": 0.30, "reaggregation": 0.25}
-FACTORS = {"behavior": 0.25, "propagation": 0.20, "label": 0.15, "temporal": 0.10, "exposure": 0.10, "integration": 0.20}
+#: Weights of label categories, behaviours, integration signals and factors; scores at which a person of interest enters and leaves.
+LABELS = {
+    "sanctioned": 1.00, "sanction": 1.00, "scam": 0.95, "fraud": 0.92, "mixer": 0.90, "mixing": 0.90, "darknet": 0.88, "ransomware": 0.88,
+    "hack": 0.82, "exploit": 0.82, "high_risk": 0.75, "watchlist": 0.55, "exchange": 0.15, "merchant": 0.05, "unknown": 0.00,
+}
+BEHAVIOURS = {
+    "loop_detection": 0.40, "coordinated_cashout": 0.40, "mixing_interaction": 0.35, "shell_wallet_network": 0.35, "bridge_hopping": 0.30, "peeling_chain": 0.30,
+    "smurfing": 0.25, "structuring": 0.25, "high_depth_transaction_chaining": 0.25, "micro_funding": 0.15, "immediate_utilization": 0.10, "funneling": 0.10,
+}
+INTEGRATION = {"terminal_node": 0.30, "convergence": 0.25, "value_reaggregation": 0.20, "dormancy": 0.15, "asset_transformation": 0.10}
+FACTORS = {"label": 0.25, "behavior": 0.20, "propagation": 0.15, "temporal": 0.10, "exposure": 0.10, "integration": 0.20}
 ENTER, LEAVE, STRONG = 0.80, 0.70, 0.40
 
 
-def weight_of(name: Column, weights: dict[str, float]) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[name], F.lit(0.0))
+def weight_of(name: Column, weights: dict[str, float], other: Column | None = None) -> Column:
+    """The weight of a name; of ``other`` if the name is unknown; else 0."""
+    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    return F.coalesce(table[name], *([table[other]] if other is not None else []), F.lit(0.0))
 
 
 def label_score(labels: DataFrame) -> DataFrame:
-    """(entity, label): the greatest weight of its categories (entity, category)."""
-    return labels.groupBy("entity").agg(F.max(weight_of(F.col("category"), LABELS)).alias("label"))
+    """(entity, label): the greatest weight of its labels (entity, category, and entity_type, which serves where the category is unknown)."""
+    category = F.lower(F.coalesce("category", F.lit("")))
+    other = F.lower(F.coalesce("entity_type", F.lit(""))) if "entity_type" in labels.columns else None
+    return labels.groupBy("entity").agg(clamp(F.max(weight_of(category, LABELS, other))).alias("label"))
 
 
 def behavior_score(found: DataFrame) -> DataFrame:
@@ -38,9 +48,10 @@ def temporal_score(stats: DataFrame) -> DataFrame:
     return stats.select("entity", (burst + big).alias("temporal"))
 
 
-def integration_score(signals: DataFrame) -> DataFrame:
-    """(entity, integration) from (entity, signal, score)."""
-    part = (weight_of(F.col("signal"), INTEGRATION) * clamp(F.col("score"))).cast("decimal(12,6)")
+def integration_score(signals: DataFrame, alias: bool = False) -> DataFrame:
+    """(entity, integration) from (entity, signal, score). The detector's name ``reaggregation`` has no weight unless ``alias`` counts it as value_reaggregation."""
+    name = F.when(F.lit(alias) & (F.col("signal") == "reaggregation"), "value_reaggregation").otherwise(F.col("signal"))
+    part = (weight_of(name, INTEGRATION) * clamp(F.col("score"))).cast("decimal(12,6)")
     return signals.groupBy("entity").agg(clamp(F.sum(part).cast("double")).alias("integration"))
 
 

@@ -12,8 +12,7 @@ from tracewell.plans.base import QUERIES, ORACLES, query, table
 from tracewell.sources.transfers import EV, HV, event_transfers, purchase_transfers
 
 #: Event times are hours apart, so spans are days.
-CFG = EngineConfig(min_shared_counterparties=2, temporal_window=21600, fan_threshold=3, cashout_window=86400, pass_through_window=432000, amount_ratio=0.3, loop_max_depth=5)
-EVB = EV + ", evb AS (SELECT * FROM ev WHERE value >= 120)"
+CFG = EngineConfig(min_shared_counterparties=2, temporal_window=21600, fan_threshold=3, cashout_window=86400, pass_through_window=86400 * 30, amount_ratio=0.3, loop_max_depth=5)
 
 
 def _meant(src: str, contracts: bool = False, self_transfers: bool = False) -> str:
@@ -76,14 +75,13 @@ def _cycles(m: str) -> str:
  closed AS (SELECT p, len(p) AS length FROM walk JOIN step ON p[-1] = u AND v = p[1])"""
 
 
-_SOURCES = {"deposit_address_reuse": "hv", "coordinated_cashout": "evb", "common_funder": "hv", "behavioral_similarity": "hv", "contract_interaction": "evb", "repeated_flow": "ev", "temporal_coordination": "ev", "fan_pattern": "hv", "loop_detection": "hv"}
+_SOURCES = {"deposit_address_reuse": "hv", "coordinated_cashout": "ev", "common_funder": "hv", "behavioral_similarity": "hv", "contract_interaction": "ev", "repeated_flow": "ev", "temporal_coordination": "ev", "fan_pattern": "hv", "loop_detection": "hv"}
 
 
 def _rows(spark, sf_dir, src):
     if src == "hv":
         return purchase_transfers(spark, sf_dir)
-    rows = event_transfers(spark, sf_dir)
-    return rows.where("value >= 120") if src == "evb" else rows
+    return event_transfers(spark, sf_dir)
 
 
 def _register(name: str, src: str) -> None:
@@ -91,15 +89,15 @@ def _register(name: str, src: str) -> None:
         return H.HEURISTICS[name](_rows(spark, sf_dir, src), CFG)
 
     QUERIES[name] = run
-    prefix = {"hv": HV, "ev": EV, "evb": EVB}[src]
+    prefix = {"hv": HV, "ev": EV}[src]
     ORACLES[name] = f"WITH {prefix} SELECT a, b FROM {heuristic_sql(name, src)}"
 
 
 for _name, _src in _SOURCES.items():
     _register(_name, _src)
 
-#: The heuristics of the cluster queries.
-_USED = ["common_funder", "behavioral_similarity", "repeated_flow", "fan_pattern", "loop_detection"]
+#: The cluster queries use all heuristics.
+_USED = list(_SOURCES)
 LINKS = "links AS MATERIALIZED (" + " UNION ".join(f"SELECT a, b, '{n}' AS name FROM {heuristic_sql(n, 'hv')}" for n in _USED) + ")"
 _PRIMARY = ", ".join(f"'{p}'" for p in H.PRIMARY)
 GATED = f"{HV}, {LINKS}, gated AS MATERIALIZED (SELECT a, b, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM links GROUP BY 1, 2 HAVING count(DISTINCT name) >= 2 AND bool_or(name IN ({_PRIMARY})))"
@@ -147,15 +145,15 @@ def cluster_indicators(spark, sf_dir):
     return C.indicators(purchase_transfers(spark, sf_dir), _members(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {CLUSTERED}, o AS (SELECT c_nationkey AS owner_id, 'U' || (c_custkey % 150) AS address, c_custkey % 4 = 0 AS is_primary FROM customer WHERE c_custkey < 60),
+@query(f"""WITH RECURSIVE {CLUSTERED}, o AS (SELECT c_nationkey AS owner_id, 'U' || (c_custkey // 10) AS address, c_custkey % 4 = 0 AS is_primary FROM customer),
  per AS (SELECT cluster_id, owner_id, count(*) AS n, max(is_primary::INT) AS p, min(address) AS any_address, min(CASE WHEN is_primary THEN address END) AS main FROM members JOIN o USING (address) GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS n2, lead(p) OVER w AS p2 FROM per WINDOW w AS (PARTITION BY cluster_id ORDER BY n DESC, p DESC, owner_id))
 SELECT cluster_id, CASE WHEN r.r IS NULL THEN 'unlabeled' WHEN n = n2 AND p = p2 THEN 'conflict' ELSE 'matched' END AS status,
  CASE WHEN coalesce(n = n2 AND p = p2, false) THEN NULL ELSE owner_id END AS owner_id, CASE WHEN coalesce(n = n2 AND p = p2, false) THEN NULL ELSE coalesce(main, any_address) END AS address
 FROM (SELECT DISTINCT cluster_id FROM members) LEFT JOIN (SELECT * FROM r WHERE r = 1) r USING (cluster_id)""")
 def owner_labels(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 60")
-    owners = c.select(F.col("c_nationkey").alias("owner_id"), F.concat(F.lit("U"), F.col("c_custkey") % 150).alias("address"), (F.col("c_custkey") % 4 == 0).alias("is_primary"))
+    c = table(spark, sf_dir, "customer")
+    owners = c.select(F.col("c_nationkey").alias("owner_id"), F.concat(F.lit("U"), F.floor(F.col("c_custkey") / 10)).alias("address"), (F.col("c_custkey") % 4 == 0).alias("is_primary"))
     return C.owner_labels(_members(spark, sf_dir), owners)
 
 

@@ -10,12 +10,14 @@ from tracewell.operators import placement as P
 from tracewell.operators import relational as R
 from tracewell.operators import risk as K
 from tracewell.operators.graph import propagate
-from tracewell.plans.base import ORACLES, QUERIES, query
-from tracewell.plans.relational import ENT, MEMBERS, _SUM, members
+from tracewell.plans.base import ORACLES, QUERIES, query, table
 from tracewell.sources.storage import cut
-from tracewell.sources.transfers import EV, HV, event_transfers, purchase_transfers
+from tracewell.sources.transfers import EV, HV, epoch, event_transfers, purchase_transfers
 
-CFG = EngineConfig(convergence_senders=3, reaggregation_inputs=2, dormancy_seconds=86400 * 2, structuring_window=86400 * 2, structuring_min_tx=4, structuring_max_cv=0.3, high_value=500, smurf_senders=5, smurf_max_age=86400 * 60, micro_max=20, micro_count=3, micro_total=10)
+CFG = EngineConfig(
+    convergence_senders=3, reaggregation_inputs=2, dormancy_seconds=86400 * 2, structuring_window=43200, structuring_min_tx=3, structuring_max_cv=0.3, high_value=200,
+    smurf_senders=5, smurf_max_age=86400 * 365 * 40, micro_max=20, micro_count=40, micro_total=300, service_tx=430, service_degree=400,
+)
 _C = "greatest(0.0, least(1.0, {}))".format
 _D = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
 
@@ -26,8 +28,8 @@ SIGNAL_SQL = {
  o AS (SELECT from_address AS address, value, ts - coalesce(lag(ts) OVER w, first_seen) AS gap, row_number() OVER w AS k FROM hv JOIN seen ON from_address = address WINDOW w AS (PARTITION BY from_address ORDER BY ts, tx_hash)),
  t AS (SELECT address, gap, k AS k0 FROM o QUALIFY row_number() OVER (PARTITION BY address ORDER BY gap DESC, k) = 1)
  SELECT address, max(t.gap) AS gap, {_D} AS v FROM o JOIN t USING (address) WHERE t.gap >= {CFG.dormancy_seconds} AND k >= k0 AND k < k0 + 3 GROUP BY 1) WHERE v >= {CFG.activation_value}""",
-    "terminal_node": f"""SELECT address, 'terminal_node' AS signal, round(0.7 * CASE WHEN regexp_matches(address, '^({'|'.join(I.EXITS)})') THEN 0.85 ELSE 0.5 END + 0.3 * {_C('total / 20')}, 4) AS score
- FROM (SELECT to_address AS address, {_D} AS total FROM hv GROUP BY 1) WHERE total >= 0.01 AND address NOT IN (SELECT from_address FROM hv WHERE value > 0)""",
+    "terminal_node": """SELECT address, 'terminal_node' AS signal, round(0.7 * CASE WHEN starts_with(address, '{exit}') THEN 0.85 ELSE 0.5 END + 0.3 * greatest(0.0, least(1.0, total / 20)), 4) AS score
+ FROM (SELECT to_address AS address, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM hv GROUP BY 1) WHERE total >= 0.01 AND address NOT IN (SELECT from_address FROM hv WHERE value > 0)""",
     "reaggregation": f"""SELECT address, 'reaggregation' AS signal, round(0.35 * {_C('n / 16.0')} + 0.40 * {_C('(ratio - 0.7) / 0.3')} + 0.25 * {_C('(ao - ai) / greatest(ai, 0.001) / 10')}, 4) AS score FROM (
  SELECT i.address, n, ti, tout, ai, ao, tout / greatest(ti, 1e-9) AS ratio FROM (SELECT to_address AS address, count(*) AS n, {_D} AS ti, avg(value) FILTER (value > 0) AS ai FROM hv GROUP BY 1) i
  JOIN (SELECT from_address AS address, {_D} AS tout, avg(value) FILTER (value > 0) AS ao FROM hv GROUP BY 1) o USING (address)) WHERE n >= {CFG.reaggregation_inputs} AND ti >= 0.1 AND tout >= 0.1 AND ratio >= {CFG.reaggregation_ratio} AND ao > ai""",
@@ -37,16 +39,18 @@ _LEAST = {"terminal_node": 0.35}
 
 def _signal(name: str):
     def run(spark, sf_dir):
-        return getattr(I, name)(purchase_transfers(spark, sf_dir), CFG)
+        # known exits of the event graph: users whose number begins with 7
+        more = {"exits": ("u7",)} if name == "terminal_node" else {}
+        return getattr(I, name)(purchase_transfers(spark, sf_dir), CFG, **more)
 
     return run
 
 
 for _n, _q in SIGNAL_SQL.items():
     QUERIES[_n] = _signal(_n)
-    ORACLES[_n] = f"WITH {HV} SELECT * FROM ({_q}) WHERE score >= {_LEAST.get(_n, 0.3)}"
+    ORACLES[_n] = f"WITH {HV} SELECT * FROM ({_q.replace('{exit}', 'U7')}) WHERE score >= {_LEAST.get(_n, 0.3)}"
 
-FIRED = "fired AS (" + " UNION ALL ".join(f"SELECT * FROM ({q}) WHERE score >= {_LEAST.get(n, 0.3)}" for n, q in SIGNAL_SQL.items()) + ")"
+FIRED = "fired AS (" + " UNION ALL ".join(f"SELECT * FROM ({q.replace('{exit}', '0xd551234')}) WHERE score >= {_LEAST.get(n, 0.3)}" for n, q in SIGNAL_SQL.items()) + ")"
 UP = "up AS (SELECT DISTINCT from_address AS address, CAST((CAST(substr(from_address, 2) AS INT) % 10) / 10.0 AS DOUBLE) AS layering, CAST((CAST(substr(from_address, 2) AS INT) % 4) / 4.0 AS DOUBLE) AS placement FROM hv)"
 
 
@@ -59,14 +63,28 @@ def integration_alerts(spark, sf_dir):
     return I.alerts(hv, CFG, up)
 
 
-#: Flows between users' entities; a quarter as many entities as users.
-FLOW = f"""{EV}, mem AS (SELECT DISTINCT 'U' || user_id AS address, 'C-' || (user_id % 60) AS entity FROM events), flow AS (SELECT a.entity AS src, b.entity AS dst, ts, tx_hash, value FROM ev
- JOIN mem a ON from_address = a.address JOIN mem b ON to_address = b.address WHERE method_id = 'purchase' AND value < 60 AND a.entity <> b.entity),
+#: Three users an entity; flows are all transfers between different ones, and what customers, who receive nothing, pay to suppliers, who own the users of their number.
+MEM = "mem AS (SELECT DISTINCT 'U' || user_id AS address, 'C-' || (user_id // 3) AS entity FROM events)"
+FLOW = f"""{EV}, {MEM}, flow AS (SELECT a.entity AS src, b.entity AS dst, ts, tx_hash, value FROM ev JOIN mem a ON from_address = a.address JOIN mem b ON to_address = b.address WHERE a.entity <> b.entity
+  UNION ALL SELECT 'K' || o_custkey, 'C-' || (l_suppkey // 3), epoch(l_shipdate), concat_ws('-', 'D', l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch(l_shipdate)::BIGINT, l_quantity::BIGINT), l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  prof AS (SELECT entity, min(ts) AS first_seen, max(ts) AS last_seen, count(CASE WHEN r = 'in' THEN 1 END) AS n_in FROM (SELECT src AS entity, ts, 'out' AS r FROM flow UNION ALL SELECT dst, ts, 'in' FROM flow) GROUP BY 1)"""
 
 
+def _entity(user):
+    return F.concat(F.lit("C-"), F.floor(user / 3))
+
+
+def _trios(spark, sf_dir):
+    user = table(spark, sf_dir, "events").select("user_id").distinct()
+    return user.select(F.concat(F.lit("U"), "user_id").alias("address"), _entity(F.col("user_id")).alias("entity"))
+
+
 def _flows(spark, sf_dir):
-    return P.entity_flows(event_transfers(spark, sf_dir).where("method_id = 'purchase' and value < 60"), members(spark, sf_dir, 60))
+    within = P.entity_flows(event_transfers(spark, sf_dir), _trios(spark, sf_dir))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    ts = epoch(F.col("l_shipdate"))
+    name = F.concat_ws("-", F.lit("D"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ts.cast("long"), F.col("l_quantity").cast("long"))
+    return within.unionByName(lines.select(F.concat(F.lit("K"), "o_custkey").alias("src"), _entity(F.col("l_suppkey")).alias("dst"), ts.alias("ts"), name.alias("tx_hash"), F.col("l_quantity").alias("value")))
 
 
 def _profiles(flows):
@@ -128,9 +146,9 @@ def behavior_highlights(spark, sf_dir):
 
 def _trace_sql() -> str:
     """The traces hop by hop."""
-    w = "greatest(0.0, least(1.0, (0.45 + 0.55 * least(1.0, total / greatest(total_in, total, 1e-9))) * {d} * CASE WHEN fan_out > 3 THEN 0.9 ELSE 1.0 END))"
+    w = "greatest(0.0, least(1.0, (0.45 + 0.55 * least(1.0, total / greatest(total_in, total, 1e-9))) * CASE WHEN tx_count >= 430 OR degree >= 400 THEN 0.6 ELSE 1.0 END * {d} * CASE WHEN fan_out > 3 THEN 0.9 ELSE 1.0 END))"
     parts, ends = [
-        f"edges AS (SELECT src AS up, dst AS rcv, {_D} AS total, min(ts) AS first_ts FROM flow GROUP BY 1, 2), tin AS (SELECT rcv, round(sum(total), 2) AS total_in FROM edges GROUP BY 1), fan AS (SELECT up, count(*) AS fan_out FROM edges GROUP BY 1), we AS (SELECT * FROM edges JOIN tin USING (rcv) JOIN fan USING (up))",
+        f"edges AS (SELECT src AS up, dst AS rcv, {_D} AS total, min(ts) AS first_ts FROM flow GROUP BY 1, 2), tin AS (SELECT rcv, round(sum(total), 2) AS total_in FROM edges GROUP BY 1), fan AS (SELECT up, count(*) AS fan_out FROM edges GROUP BY 1), busy AS (SELECT entity AS up, sum(n) AS tx_count, count(*) AS degree FROM (SELECT entity, peer, count(*) AS n FROM (SELECT src AS entity, dst AS peer FROM flow UNION ALL SELECT dst, src FROM flow) GROUP BY 1, 2) GROUP BY 1), we AS (SELECT * FROM edges JOIN tin USING (rcv) JOIN fan USING (up) JOIN busy USING (up))",
         "f0 AS (SELECT DISTINCT entity AS root, [entity] AS path, CAST(1.0 AS DOUBLE) AS score FROM ranked)",
     ], []
     for d in range(CFG.max_hops):
@@ -157,109 +175,146 @@ def trace_paths(spark, sf_dir):
     return _traces(spark, sf_dir)[2].withColumn("path", F.array_join("path", ">"))
 
 
-SCORED = f"""{TRACED}, best AS (SELECT entity, max(confidence) AS best FROM ranked GROUP BY 1), per AS (SELECT path[-1] AS entity, max(len(path) - 1) AS depth, round(avg(score), 6) AS ps, max(0.92 * best) AS below FROM traces JOIN best ON root = best.entity GROUP BY 1),
- placed AS MATERIALIZED (SELECT * FROM (SELECT per.entity, round({_C(f"0.4 * greatest(coalesce(best, 0), below * CASE WHEN coalesce(best, 0) > 0 THEN 1.0 ELSE 0.88 END) + 0.4 * {_C(f'0.45 * CASE WHEN n_in = 0 THEN 1.0 ELSE 0.7 END + 0.25 * least(1.0, depth / {CFG.max_hops}.0) + 0.30 * ps')} + 0.2 * {_C('0.55 * least(1.0, 86400.0 / greatest(86400.0, last_seen - first_seen)) + 0.45 * CASE WHEN n_in = 0 THEN 1.0 ELSE 0.7 END')}")}, 4) AS score
- FROM per LEFT JOIN best USING (entity) JOIN prof USING (entity)) WHERE score >= 0.55)"""
+SCORED = f"""{TRACED}, best AS (SELECT entity, max(confidence) AS best FROM ranked GROUP BY 1), pt AS (SELECT path[-1] AS entity, root, len(path) - 1 AS depth, score FROM traces),
+ gr AS (SELECT entity, max(depth) AS depth, round(avg(score), 6) AS ps FROM pt GROUP BY 1),
+ rt AS (SELECT p.entity, max(b.best) AS below, sum(CAST(greatest(0, r.first_seen - o.first_seen) AS DECIMAL(24,6)))::DOUBLE / count(*) AS gap FROM (SELECT DISTINCT entity, root FROM pt) p LEFT JOIN best b ON root = b.entity JOIN prof r ON root = r.entity JOIN prof o ON p.entity = o.entity GROUP BY 1),
+ hist AS (SELECT DISTINCT dst AS entity FROM flow WHERE src IN (SELECT entity FROM best)),
+ parts AS (SELECT entity, {_C("greatest(coalesce(best, 0), coalesce(below, 0) * CASE WHEN coalesce(best, 0) > 0 THEN 1.0 ELSE 0.88 END)")} AS b,
+  {_C(f"0.45 * CASE WHEN n_in = 0 THEN 1.0 ELSE 0.7 END + 0.25 * least(1.0, depth / {CFG.max_hops}.0) + 0.30 * ps")} AS g, {_C(f"0.55 * least(1.0, gap / {float(max(86400, CFG.smurf_max_age))}) + 0.45 * CASE WHEN n_in = 0 THEN 1.0 ELSE 0.7 END")} AS t, entity IN (SELECT entity FROM hist) AS history
+  FROM gr JOIN rt USING (entity) LEFT JOIN best USING (entity) JOIN prof USING (entity) WHERE best IS NOT NULL OR below IS NOT NULL),
+ placed AS MATERIALIZED (SELECT * FROM (SELECT entity, round(b, 4) AS behavior_score, round(g, 4) AS graph_score, round(t, 4) AS temporal_score, history, round({_C("(0.4 * b + 0.4 * g + 0.2 * t) * CASE WHEN history THEN 0.8 ELSE 1.0 END")}, 4) AS score FROM parts) WHERE score >= 0.55)"""
 
 
-@query(f"WITH {SCORED} SELECT * FROM placed")
-def placement_scores(spark, sf_dir):
+def _placed(spark, sf_dir):
     flows, ranked, traces = _traces(spark, sf_dir)
-    return P.scores(traces, ranked, _profiles(flows), CFG)
+    return traces, ranked, P.scores(traces, ranked, _profiles(flows), flows, CFG)
 
 
-@query(f"""WITH {SCORED} SELECT entity, 'placement_origin' AS label FROM placed UNION ALL SELECT DISTINCT entity, 'suspicious_receiver' FROM ranked WHERE entity NOT IN (SELECT entity FROM placed)
- UNION ALL SELECT DISTINCT unnest(path[2:-2]), 'intermediate_node' FROM traces WHERE len(path) > 2""")
-def placement_labels(spark, sf_dir):
-    flows, ranked, traces = _traces(spark, sf_dir)
-    return P.labels(traces, P.scores(traces, ranked, _profiles(flows), CFG), ranked)
+@query(f"WITH {SCORED} SELECT * FROM placed")
+def placement_scores(spark, sf_dir):
+    return _placed(spark, sf_dir)[2]
 
 
-# risk: factors of 20 entities, derived from the event graph by rule
-_NAMES = {"category": list(K.LABELS), "behavior": list(K.BEHAVIOURS), "signal": list(K.INTEGRATION)}
+@query(f"""WITH {SCORED}, sus AS (SELECT entity, max(confidence) AS confidence FROM ranked GROUP BY 1) SELECT entity, 'placement_origin' AS label, score AS confidence FROM placed
+ UNION ALL SELECT entity, 'suspicious_receiver', confidence FROM sus WHERE entity NOT IN (SELECT entity FROM placed)
+ UNION ALL SELECT DISTINCT entity, 'intermediate_node', CAST(NULL AS DOUBLE) FROM (SELECT unnest(path[2:-2]) AS entity FROM traces WHERE len(path) > 2) WHERE entity NOT IN (SELECT entity FROM placed) AND entity NOT IN (SELECT entity FROM sus)""")
+def placement_labels(spark, sf_dir):
+    traces, ranked, placed = _placed(spark, sf_dir)
+    return P.labels(traces, placed, ranked)
 
 
-def _case(weights: dict[str, float], name: str) -> str:
-    return f"(CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 0 END)"
+@query(f"""WITH {TRACED}, l AS (SELECT DISTINCT path[-1] AS entity, root AS src FROM traces UNION SELECT DISTINCT path[-1], path[-1] FROM traces),
+ sign AS (SELECT l.entity, behavior, round(confidence * CASE WHEN src = l.entity THEN 1.0 ELSE 0.92 END, 4) AS confidence, CASE WHEN src = l.entity THEN 'origin' ELSE 'downstream' END AS relation FROM l JOIN ranked ON src = ranked.entity),
+ best AS (SELECT * FROM sign QUALIFY row_number() OVER (PARTITION BY entity, behavior ORDER BY confidence DESC, relation DESC) = 1)
+SELECT *, row_number() OVER (PARTITION BY entity ORDER BY confidence DESC, behavior DESC) AS rank FROM best""")
+def behavior_profiles(spark, sf_dir):
+    _, ranked, traces = _traces(spark, sf_dir)
+    return P.behavior_profiles(traces, ranked)
 
 
-def _pick(names: list[str], n: str) -> str:
-    return f"['{chr(39) + ', ' + chr(39)}']".replace("'" + chr(39) + ", " + chr(39) + "'", ", ".join(f"'{x}'" for x in names)) + f"[({n}) % {len(names)} + 1]"
+@query(f"""WITH {TRACED}, st AS (SELECT root, path, unnest(range(1, len(path))) AS i FROM traces WHERE len(path) > 1), hp AS (SELECT root, path, len(path) - i AS hop, path[i + 1] AS source, path[i] AS target FROM st),
+ tx AS (SELECT src, dst, tx_hash FROM flow QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY ts, tx_hash) <= 20)
+SELECT root, array_to_string(path, '>') AS path, hop, source, target, tx_hash FROM hp JOIN tx ON src = source AND dst = target""")
+def trace_hops(spark, sf_dir):
+    flows, _, traces = _traces(spark, sf_dir)
+    return P.trace_hops(flows, traces).withColumn("path", F.array_join("path", ">"))
 
 
-FACTOR_SQL = {
-    "label_score": f"SELECT entity, CAST(max({_case(K.LABELS, 'category')}) AS DOUBLE) AS label FROM (SELECT 'C-' || (user_id % 20) AS entity, {_pick(_NAMES['category'], 'user_id')} AS category FROM events WHERE user_id % 20 < 12 AND event_id < 400) GROUP BY 1",
-    "behavior_score": f"SELECT entity, round(1 - exp(-CAST(sum(CAST({_case(K.BEHAVIOURS, 'behavior')} AS DECIMAL(9,4))) AS DOUBLE)), 6) AS behavior FROM (SELECT 'C-' || (user_id % 20) AS entity, {_pick(_NAMES['behavior'], 'event_id')} AS behavior FROM events WHERE event_id < 60) GROUP BY 1",
-    "temporal_score": "SELECT entity, CASE WHEN n > 50 AND d < 3600 THEN 0.25 WHEN n > 20 AND d < 1800 THEN 0.15 WHEN n > 10 AND d < 3600 THEN 0.10 ELSE 0 END + CASE WHEN v > 10 AND d < 3600 THEN 0.25 WHEN v > 5 AND d < 7200 THEN 0.15 WHEN v > 1 AND d < 14400 THEN 0.05 ELSE 0 END AS temporal FROM (SELECT 'C-' || (user_id % 20) AS entity, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v, max(epoch(ts)) - min(epoch(ts)) AS d FROM events WHERE event_id < 100 GROUP BY 1)",
-    "integration_score": f"SELECT entity, greatest(0.0, least(1.0, CAST(sum(CAST({_case(K.INTEGRATION, 'signal')} * score AS DECIMAL(12,6))) AS DOUBLE))) AS integration FROM (SELECT 'C-' || (user_id % 20) AS entity, {_pick(_NAMES['signal'], 'event_id')} AS signal, (event_id % 11) / 10.0 AS score FROM events WHERE event_id < 80) GROUP BY 1",
-}
-for _n, _q in FACTOR_SQL.items():
-    ORACLES[_n] = _q
+@query(f"""WITH {FLOW}, {RANKED} SELECT 'behavior' AS kind, behavior AS name, count(*) AS n FROM ranked GROUP BY 2 UNION ALL SELECT 'rank', CAST(rank AS VARCHAR), count(*) FROM ranked GROUP BY 2""")
+def run_summary(spark, sf_dir):
+    ranked = cut(_ranked(spark, sf_dir))
+    return ranked.groupBy(F.lit("behavior").alias("kind"), F.col("behavior").alias("name")).agg(F.count("*").alias("n")).unionByName(ranked.groupBy(F.lit("rank").alias("kind"), F.col("rank").cast("string").alias("name")).agg(F.count("*").alias("n")))
 
 
-def _events(spark, sf_dir, most):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") < most).withColumn("entity", F.concat(F.lit("C-"), F.col("user_id") % 20))
+# risk: factors of entities, each from a whole table by a stated rule; the statements hold the weights as literals
+LABEL_SQL = """lab AS (SELECT 'C-' || (s_suppkey // 3) AS entity, ['sanctioned', 'Sanction', 'scam', 'fraud', 'mixer', 'mixing', 'darknet', 'ransomware', 'hack', 'exploit', 'high_risk', 'watchlist', 'exchange', 'merchant', 'unknown', 'company'][s_nationkey % 16 + 1] AS category,
+  CASE WHEN s_acctbal < 0 THEN 'scam' WHEN s_acctbal < 5000 THEN 'merchant' ELSE 'person' END AS entity_type FROM supplier),
+ w AS (SELECT * FROM (VALUES ('sanctioned', 1.00), ('sanction', 1.00), ('scam', 0.95), ('fraud', 0.92), ('mixer', 0.90), ('mixing', 0.90), ('darknet', 0.88), ('ransomware', 0.88), ('hack', 0.82), ('exploit', 0.82), ('high_risk', 0.75),
+  ('watchlist', 0.55), ('exchange', 0.15), ('merchant', 0.05), ('unknown', 0.00)) t(name, weight)),
+ labelled AS (SELECT entity, max(coalesce(c.weight, e.weight, 0))::DOUBLE AS label FROM lab LEFT JOIN w c ON lower(category) = c.name LEFT JOIN w e ON entity_type = e.name GROUP BY 1)"""
+BEHAVIOUR_SQL_RISK = """bh AS (SELECT DISTINCT 'C-' || (user_id // 3) AS entity, ['funneling', 'immediate_utilization', 'micro_funding', 'high_depth_transaction_chaining', 'structuring', 'smurfing', 'peeling_chain', 'bridge_hopping', 'shell_wallet_network', 'mixing_interaction', 'coordinated_cashout', 'loop_detection', 'other'][least(12, floor(value / 40))::INT + 1] AS behavior FROM events),
+ bw AS (SELECT * FROM (VALUES ('loop_detection', 0.40), ('coordinated_cashout', 0.40), ('mixing_interaction', 0.35), ('shell_wallet_network', 0.35), ('bridge_hopping', 0.30), ('peeling_chain', 0.30), ('smurfing', 0.25), ('structuring', 0.25), ('high_depth_transaction_chaining', 0.25),
+  ('micro_funding', 0.15), ('immediate_utilization', 0.10), ('funneling', 0.10)) t(behavior, weight)),
+ behaved AS (SELECT entity, round(1 - exp(-sum(coalesce(weight, 0))::DOUBLE), 6) AS behavior FROM bh LEFT JOIN bw USING (behavior) GROUP BY 1)"""
+SIGNAL_SQL_RISK = """sg AS (SELECT 'C-' || (user_id // 3) AS entity, CASE event_type WHEN 'view' THEN 'terminal_node' WHEN 'click' THEN 'convergence' WHEN 'purchase' THEN 'value_reaggregation' WHEN 'signup' THEN 'dormancy' ELSE 'reaggregation' END AS signal, floor(max(value)) / 500 AS score FROM events GROUP BY 1, 2),
+ iw AS (SELECT * FROM (VALUES ('terminal_node', 0.30), ('convergence', 0.25), ('value_reaggregation', 0.20), ('dormancy', 0.15), ('asset_transformation', 0.10)) t(signal, weight)),
+ integrated AS (SELECT entity, greatest(0.0, least(1.0, sum((coalesce(weight, 0) * greatest(0.0, least(1.0, score)))::DECIMAL(12,6))::DOUBLE)) AS integration FROM sg LEFT JOIN iw USING (signal) GROUP BY 1)"""
+_BURST = """CASE WHEN n > 50 AND d < 3600 THEN 0.25 WHEN n > 20 AND d < 1800 THEN 0.15 WHEN n > 10 AND d < 3600 THEN 0.10 ELSE 0 END + CASE WHEN v > 10 AND d < 3600 THEN 0.25 WHEN v > 5 AND d < 7200 THEN 0.15 WHEN v > 1 AND d < 14400 THEN 0.05 ELSE 0 END"""
+_LIFE = "count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v, max(epoch(ts)) - min(epoch(ts)) AS d FROM events"
 
 
-def _named(rows, names, n):
-    return rows.select("entity", F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(n) % len(names) + 1).cast("int")).alias("name"), "event_id")
+def _listed(names, index):
+    return F.element_at(F.array(*[F.lit(x) for x in names]), (index + 1).cast("int"))
 
 
+@query(f"WITH {LABEL_SQL} SELECT * FROM labelled")
 def label_score(spark, sf_dir):
-    return K.label_score(_named(_events(spark, sf_dir, 400).where("user_id % 20 < 12"), _NAMES["category"], "user_id").withColumnRenamed("name", "category"))
+    """Suppliers own the users of their number; the category goes by nation."""
+    kinds = ["sanctioned", "Sanction", "scam", "fraud", "mixer", "mixing", "darknet", "ransomware", "hack", "exploit", "high_risk", "watchlist", "exchange", "merchant", "unknown", "company"]
+    other = F.when(F.col("s_acctbal") < 0, "scam").when(F.col("s_acctbal") < 5000, "merchant").otherwise("person")
+    return K.label_score(table(spark, sf_dir, "supplier").select(_entity(F.col("s_suppkey")).alias("entity"), _listed(kinds, F.col("s_nationkey") % 16).alias("category"), other.alias("entity_type")))
 
 
+@query(f"WITH {BEHAVIOUR_SQL_RISK} SELECT * FROM behaved")
 def behavior_score(spark, sf_dir):
-    return K.behavior_score(_named(_events(spark, sf_dir, 60), _NAMES["behavior"], "event_id").withColumnRenamed("name", "behavior"))
+    """A behaviour for each step of 40 in the value of an entity's events."""
+    kinds = ["funneling", "immediate_utilization", "micro_funding", "high_depth_transaction_chaining", "structuring", "smurfing", "peeling_chain", "bridge_hopping", "shell_wallet_network", "mixing_interaction", "coordinated_cashout", "loop_detection", "other"]
+    rows = table(spark, sf_dir, "events").select(_entity(F.col("user_id")).alias("entity"), F.least(F.lit(12), F.floor(F.col("value") / 40)).alias("k")).distinct()
+    return K.behavior_score(rows.select("entity", _listed(kinds, F.col("k")).alias("behavior")))
 
 
-def temporal_score(spark, sf_dir):
+def _stats(spark, sf_dir, entity):
     t = F.col("ts").cast("timestamp").cast("double")
-    stats = _events(spark, sf_dir, 100).groupBy("entity").agg(F.count("*").alias("tx_count"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.min(t).alias("first_ts"), F.max(t).alias("last_ts"))
-    return K.temporal_score(stats)
+    return table(spark, sf_dir, "events").groupBy(entity.alias("entity")).agg(F.count("*").alias("tx_count"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.min(t).alias("first_ts"), F.max(t).alias("last_ts"))
 
 
+@query(f"SELECT entity, {_BURST} AS temporal FROM (SELECT 'H' || floor(epoch(ts) / 3600)::BIGINT AS entity, {_LIFE} GROUP BY 1)")
+def temporal_score(spark, sf_dir):
+    """Each hour's events as an entity."""
+    return K.temporal_score(_stats(spark, sf_dir, F.concat(F.lit("H"), F.floor(F.col("ts").cast("timestamp").cast("double") / 3600))))
+
+
+@query(f"WITH {SIGNAL_SQL_RISK} SELECT * FROM integrated")
 def integration_score(spark, sf_dir):
-    rows = _named(_events(spark, sf_dir, 80), _NAMES["signal"], "event_id").withColumnRenamed("name", "signal")
-    return K.integration_score(rows.withColumn("score", F.col("event_id") % 11 / 10.0))
+    """A signal for each type of event, as strong as its greatest value; the detector's own name for value_reaggregation has no weight."""
+    kind = F.when(F.col("event_type") == "view", "terminal_node").when(F.col("event_type") == "click", "convergence").when(F.col("event_type") == "purchase", "value_reaggregation").when(F.col("event_type") == "signup", "dormancy").otherwise("reaggregation")
+    rows = table(spark, sf_dir, "events").groupBy(_entity(F.col("user_id")).alias("entity"), kind.alias("signal")).agg((F.floor(F.max("value")) / 500).alias("score"))
+    return K.integration_score(rows)
 
 
-QUERIES |= {f.__name__: f for f in (label_score, behavior_score, temporal_score, integration_score)}
-#: Propagation over the sparse purchase graph of 40 entities, from three of them.
-PROP = f"""{HV}, pe AS (SELECT DISTINCT 'C-' || (CAST(substr(from_address, 2) AS INT) % 40) AS a, 'C-' || (CAST(substr(to_address, 2) AS INT) % 40) AS b FROM hv), pn AS (SELECT a AS u, b AS v FROM pe WHERE a <> b UNION SELECT b, a FROM pe WHERE a <> b),
- ps AS (SELECT * FROM (VALUES ('C-1', CAST(0.9 AS DOUBLE)), ('C-2', CAST(0.85 AS DOUBLE)), ('C-33', CAST(0.95 AS DOUBLE))) t(s, score)),
- h AS (SELECT s AS seed, s AS node, 0 AS hop FROM ps WHERE s IN (SELECT u FROM pn) UNION SELECT seed, v, hop + 1 FROM h JOIN pn ON node = u WHERE hop < 3),
- prop AS (SELECT node, max(CASE hop WHEN 0 THEN 1.0 WHEN 1 THEN score * 0.6 WHEN 2 THEN score * 0.3 ELSE score * 0.1 END) AS risk FROM (SELECT seed, node, min(hop) AS hop FROM h GROUP BY 1, 2) JOIN ps ON seed = s GROUP BY 1)"""
+#: Propagation over the purchase graph of entities, from those whose label weighs 0.9 or more.
+PROP = f"""{HV}, pe AS (SELECT DISTINCT 'C-' || (CAST(substr(from_address, 2) AS INT) // 3) AS a, 'C-' || (CAST(substr(to_address, 2) AS INT) // 3) AS b FROM hv), pn AS (SELECT a AS u, b AS v FROM pe WHERE a <> b UNION SELECT b, a FROM pe WHERE a <> b),
+ ps AS (SELECT entity AS s, label AS score FROM labelled WHERE label >= 0.9),
+ h AS (SELECT s AS seed, s AS node, 0 AS hop FROM ps UNION SELECT seed, v, hop + 1 FROM h JOIN pn ON node = u WHERE hop < 3),
+ prop AS (SELECT node, max(CASE hop WHEN 0 THEN 1.0 WHEN 1 THEN score * 0.6 WHEN 2 THEN score * 0.3 ELSE score * 0.1 END)::DOUBLE AS risk FROM (SELECT seed, node, min(hop) AS hop FROM h GROUP BY 1, 2) JOIN ps ON seed = s GROUP BY 1)"""
 
 
 def _propagated(spark, sf_dir):
-    name = lambda c: F.concat(F.lit("C-"), F.substring(c, 2, 9).cast("int") % 40)
+    name = lambda c: _entity(F.substring(c, 2, 18).cast("long"))
     edges = purchase_transfers(spark, sf_dir).select(name("from_address").alias("a"), name("to_address").alias("b")).distinct()
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    given = spark.createDataFrame([("C-1", 0.9), ("C-2", 0.85), ("C-33", 0.95)], "node string, score double")
-    return propagate(edges, given.join(nodes, "node", "left_semi"))
+    return propagate(edges, label_score(spark, sf_dir).where("label >= 0.9").select(F.col("entity").alias("node"), F.col("label").alias("score")))
 
 
-@query(f"WITH RECURSIVE {PROP} SELECT node, CAST(risk AS DOUBLE) AS risk FROM prop")
+@query(f"WITH RECURSIVE {LABEL_SQL}, {PROP} SELECT node, risk FROM prop")
 def propagation(spark, sf_dir):
     return _propagated(spark, sf_dir)
 
 
-EXPO = f"""s AS (SELECT te AS entity, CAST(coalesce(sum(CASE WHEN fe IN ('C-0', 'C-1', 'C-2') THEN CAST(value AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS risky, {_SUM.format('value')} AS total FROM ent WHERE fe <> te GROUP BY te),
- expo AS (SELECT entity, CASE WHEN total < 0.01 THEN 0 ELSE round(risky / greatest(total, 1e-9), 6) END AS exposure FROM s)"""
-_FACTORS = " + ".join(f"coalesce({f}, 0) * {w}" for f, w in K.FACTORS.items())
-RISK = f"""{ENT}, {PROP.split(', pe AS', 1)[0].removeprefix(EV + ', ')}, pe AS{PROP.split(', pe AS', 1)[1]}, {EXPO}, {", ".join(f"f_{n} AS ({q})" for n, q in FACTOR_SQL.items())},
- risk AS (SELECT entity, {", ".join(f"CAST(coalesce({f}, 0) AS DOUBLE) AS {f}" for f in K.FACTORS)}, round({_C(_FACTORS)}, 6) AS risk FROM (SELECT DISTINCT entity FROM members)
- LEFT JOIN f_label_score USING (entity) LEFT JOIN f_behavior_score USING (entity) LEFT JOIN f_temporal_score USING (entity) LEFT JOIN f_integration_score USING (entity) LEFT JOIN expo USING (entity) LEFT JOIN (SELECT node AS entity, CAST(risk AS DOUBLE) AS propagation FROM prop) USING (entity))"""
+RISK = f"""{LABEL_SQL}, {BEHAVIOUR_SQL_RISK}, {SIGNAL_SQL_RISK}, {PROP}, {MEM}, fl AS (SELECT a.entity AS src, b.entity AS dst, value FROM ev JOIN mem a ON from_address = a.address JOIN mem b ON to_address = b.address WHERE a.entity <> b.entity),
+ es AS (SELECT dst AS entity, CAST(coalesce(sum(CASE WHEN src IN (SELECT s FROM ps) THEN CAST(value AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS risky, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM fl GROUP BY 1),
+ ex AS (SELECT entity, CASE WHEN total < 0.01 THEN 0 ELSE round(risky / greatest(total, 1e-9), 6) END AS exposure FROM es),
+ te AS (SELECT entity, {_BURST} AS temporal FROM (SELECT 'C-' || (user_id // 3) AS entity, {_LIFE} GROUP BY 1)),
+ f AS (SELECT entity, coalesce(label, 0)::DOUBLE AS label, coalesce(behavior, 0)::DOUBLE AS behavior, coalesce(prop.risk, 0)::DOUBLE AS propagation, coalesce(temporal, 0)::DOUBLE AS temporal, coalesce(exposure, 0)::DOUBLE AS exposure, coalesce(integration, 0)::DOUBLE AS integration
+  FROM (SELECT DISTINCT entity FROM mem) LEFT JOIN labelled USING (entity) LEFT JOIN behaved USING (entity) LEFT JOIN te USING (entity) LEFT JOIN integrated USING (entity) LEFT JOIN ex USING (entity) LEFT JOIN prop ON entity = node),
+ risk AS (SELECT *, round({_C("0.25 * label + 0.20 * behavior + 0.15 * propagation + 0.10 * temporal + 0.10 * exposure + 0.20 * integration")}, 6) AS risk FROM f)"""
 
 
 def _scored(spark, sf_dir):
-    parts = [f(spark, sf_dir) for f in (label_score, behavior_score, temporal_score, integration_score)]
-    ms = members(spark, sf_dir)
-    risky = ms.where(F.col("entity").isin("C-0", "C-1", "C-2")).select("entity").distinct()
-    parts.append(R.exposure(event_transfers(spark, sf_dir), ms, risky).select("entity", "exposure"))
+    label, own = label_score(spark, sf_dir), _trios(spark, sf_dir)
+    parts = [label, behavior_score(spark, sf_dir), integration_score(spark, sf_dir), K.temporal_score(_stats(spark, sf_dir, _entity(F.col("user_id"))))]
+    parts.append(R.exposure(event_transfers(spark, sf_dir), own, label.where("label >= 0.9").select("entity")).select("entity", "exposure"))
     parts.append(_propagated(spark, sf_dir).select(F.col("node").alias("entity"), F.col("risk").alias("propagation")))
-    return K.risk_scores(ms, *parts)
+    return K.risk_scores(own, *parts)
 
 
 @query(f"WITH RECURSIVE {RISK} SELECT * FROM risk")
@@ -267,13 +322,14 @@ def risk_scores(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
-@query(f"""WITH RECURSIVE {RISK} SELECT entity, risk + 0.35 AS risk, (CASE WHEN risk + 0.35 >= 0.8 THEN true WHEN risk + 0.35 < 0.7 THEN false ELSE CAST(substr(entity, 3) AS INT) % 2 = 0 END) AND {" + ".join(f"({f} >= 0.4)::INT" for f in K.FACTORS)} >= 2 AS is_poi FROM risk""")
+@query(f"""WITH RECURSIVE {RISK} SELECT entity, risk, coalesce(CASE WHEN risk >= 0.8 THEN true WHEN risk < 0.7 THEN false ELSE CAST(substr(entity, 3) AS INT) % 2 = 0 END, false)
+ AND (label >= 0.4)::INT + (behavior >= 0.4)::INT + (propagation >= 0.4)::INT + (temporal >= 0.4)::INT + (exposure >= 0.4)::INT + (integration >= 0.4)::INT >= 2 AS is_poi FROM risk""")
 def poi_hysteresis(spark, sf_dir):
-    scored = _scored(spark, sf_dir).withColumn("risk", F.col("risk") + 0.35)
+    scored = _scored(spark, sf_dir)
     return K.poi_status(scored, scored.select("entity", (F.substring("entity", 3, 9).cast("int") % 2 == 0).alias("was_poi")))
 
 
-@query(f"""WITH RECURSIVE {RISK}, sim AS (SELECT *, round({_C(" + ".join(f"{'1.0' if f == 'label' else f} * {0.5 if f == 'behavior' else w}" for f, w in K.FACTORS.items()))}, 6) AS simulated FROM risk) SELECT entity, risk, simulated, round(simulated - risk, 6) AS change FROM sim""")
+@query(f"""WITH RECURSIVE {RISK}, sim AS (SELECT *, round({_C("0.25 * 1.0 + 0.5 * behavior + 0.15 * propagation + 0.10 * temporal + 0.10 * exposure + 0.20 * integration")}, 6) AS simulated FROM risk) SELECT entity, risk, simulated, round(simulated - risk, 6) AS change FROM sim""")
 def simulate(spark, sf_dir):
     return K.simulate(_scored(spark, sf_dir), {"label": 1.0}, {"behavior": 0.5})
 
@@ -286,8 +342,7 @@ def watchlist_screening(spark, sf_dir):
     return K.screen(ev, users.select(F.concat(F.lit("U"), "user_id").alias("address"), (1700000000 + 86400.0 * (F.col("user_id") % 14 - 7)).alias("expires_at")), 1700000000.0)
 
 
-@query(f"WITH {SCORED} SELECT entity, round(least(1.0, score + round(least(0.15, 0.15 * i), 4)), 4) AS score, round(least(0.15, 0.15 * i), 4) AS boost FROM (SELECT *, (CAST(substr(entity, 3) AS INT) % 11) / 10.0 AS i FROM placed) WHERE i >= 0.6")
+@query(f"WITH {SCORED} SELECT entity, round(least(1.0, score + round(least(0.15, 0.15 * i), 4)), 4) AS score, round(least(0.15, 0.15 * i), 4) AS boost FROM (SELECT *, (CAST(regexp_extract(entity, '[0-9]+') AS INT) % 11) / 10.0 AS i FROM (SELECT entity, score FROM placed)) WHERE i >= 0.6")
 def integration_feedback(spark, sf_dir):
-    flows, ranked, traces = _traces(spark, sf_dir)
-    placed = P.scores(traces, ranked, _profiles(flows), CFG)
-    return K.feedback(placed, placed.select("entity", (F.substring("entity", 3, 9).cast("int") % 11 / 10.0).alias("integration")))
+    placed = _placed(spark, sf_dir)[2].select("entity", "score")
+    return K.feedback(placed, placed.select("entity", (F.regexp_extract("entity", "[0-9]+", 0).cast("int") % 11 / 10.0).alias("integration")))

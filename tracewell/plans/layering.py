@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import exact_sum
 from tracewell.operators import layering as L
+from tracewell.operators import relational as R
 from tracewell.operators import wallet as W
 from tracewell.operators.etl import keep_latest
 from tracewell.plans.base import query, table
@@ -29,11 +33,11 @@ def _seeds(spark, sf_dir):
     return purchase_transfers(spark, sf_dir).select(F.col("from_address").alias("seed")).distinct()
 
 
-@query(f"""WITH {EV}, {_SVC}, named AS (SELECT * FROM svc UNION SELECT DISTINCT to_address, 'bridge' FROM ev WHERE method_id = 'refund'), sides AS (SELECT from_address AS address, to_address AS peer FROM ev UNION ALL SELECT to_address, from_address FROM ev),
+@query(f"""WITH {EV}, {_SVC}, named AS (SELECT * FROM svc UNION SELECT DISTINCT to_address, 'bridge' FROM ev WHERE method_id = 'signup'), sides AS (SELECT from_address AS address, to_address AS peer FROM ev UNION ALL SELECT to_address, from_address FROM ev),
  busy AS (SELECT address, 'service_like' AS category FROM sides WHERE address NOT IN (SELECT address FROM named WHERE category IN ('mixer', 'bridge', 'exchange')) GROUP BY 1 HAVING count(*) >= 200 OR count(DISTINCT peer) >= 25)
 SELECT address, array_to_string(list_sort(list(DISTINCT category)), ',') AS labels FROM (SELECT * FROM named UNION ALL SELECT * FROM busy) GROUP BY 1""")
 def address_labels(spark, sf_dir):
-    methods = spark.createDataFrame([("refund", "bridge")], "method_id string, category string")
+    methods = spark.createDataFrame([("signup", "bridge")], "method_id string, category string")
     return L.address_labels(event_transfers(spark, sf_dir), _services(spark), methods).withColumn("labels", F.array_join("labels", ","))
 
 
@@ -58,35 +62,61 @@ def bridge_pairs(spark, sf_dir):
 
 @query()
 def bridge_hopping(spark, sf_dir):
-    ev = event_transfers(spark, sf_dir)
-    fresh = ev.groupBy(F.col("to_address").alias("address")).agg(F.count("*").alias("n")).where("n <= 2")
-    return L.bridge_hopping(L.match_bridges(_candidates(spark, sf_dir)), _seeds(spark, sf_dir), fresh, GAP)
+    return L.bridge_hopping(L.match_bridges(_candidates(spark, sf_dir)), _seeds(spark, sf_dir), R.address_degree(event_transfers(spark, sf_dir)), GAP)
 
 
-@query()
+def _peel_sql() -> str:
+    """Hop by hop: the targets of the first day's transfers after the last hop, and the main one of them."""
+    parts = ["f0 AS (SELECT DISTINCT from_address AS seed, [from_address] AS path, CAST(0 AS DOUBLE) AS since, CAST([] AS DOUBLE[]) AS mains, CAST([] AS DOUBLE[]) AS frags, CAST([] AS DOUBLE[]) AS times FROM hv)"]
+    for k in range(6):
+        falls = "true" if k == 0 else "v <= mains[-1] * 0.98"
+        parts.append(f"s{k} AS (SELECT f.*, to_address AS target, ts, value, min(ts) OVER (PARTITION BY seed) AS t0 FROM f{k} f JOIN ev ON from_address = path[-1] AND from_address <> to_address AND ts >= since)")
+        parts.append(f"p{k} AS (SELECT seed, any_value(path) AS path, any_value(mains) AS mains, any_value(frags) AS frags, any_value(times) AS times, target, round(sum(value), 8) AS v, min(ts) AS t FROM s{k} WHERE ts <= t0 + 86400 GROUP BY seed, target)")
+        parts.append(f"r{k} AS MATERIALIZED (SELECT *, (sum(v) OVER w - v) / greatest(v, 1e-9) AS frag, count(*) OVER w AS n FROM p{k} WINDOW w AS (PARTITION BY seed) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY v DESC, t, target DESC) = 1)")
+        parts.append(f"f{k + 1} AS MATERIALIZED (SELECT seed, list_append(path, target) AS path, t AS since, list_append(mains, v) AS mains, list_append(frags, frag) AS frags, list_append(times, t) AS times FROM r{k} WHERE n >= 2 AND frag BETWEEN 0.01 AND 5 AND NOT list_contains(path, target) AND {falls})")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {HV}, {_peel_sql()}, done AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT *, {k} AS hops FROM f{k}" for k in range(2, 7))}) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hops DESC) = 1),
+ x AS (SELECT *, list_avg(frags) AS m FROM done)
+SELECT seed, array_to_string(path, '>') AS path, hops, round(m, 6) AS fragment_share, round(least(1.0, 0.30 * least(1.0, hops / 3.0) + 0.25 * 1.0 + 0.20 * greatest(0.0, 1 - sqrt(list_avg([power(f - m, 2) FOR f IN frags])) / m)
+ + 0.15 * list_avg([exp(-(times[i + 1] - times[i]) / 86400) FOR i IN range(1, len(times))]) + 0.10 * list_avg([1 / (1 + f) FOR f IN frags])), 4) AS confidence FROM x""")
 def peeling_chain(spark, sf_dir):
     return L.peeling_chain(event_transfers(spark, sf_dir), _seeds(spark, sf_dir), gap=86400.0, min_hops=2, high=5.0).withColumn("path", F.array_join("path", ">"))
 
 
-@query()
+@query(f"""WITH {EV}, {_SVC}, mx AS (SELECT address FROM svc WHERE category = 'mixer'), own AS (SELECT * FROM ev WHERE to_address IN (SELECT address FROM mx) AND from_address IN (SELECT from_address FROM ev WHERE method_id = 'purchase' AND value >= 100 AND from_address <> to_address)),
+ n AS (SELECT from_address AS seed, count(*) AS n, count(DISTINCT to_address) AS mixers FROM own GROUP BY 1 HAVING count(*) >= 2), dn AS (SELECT seed, count(*) AS denominations FROM (SELECT from_address AS seed, round(value, 3) AS v FROM own GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1),
+ fo AS (SELECT i.tx_hash FROM ev i JOIN ev o ON i.to_address = o.from_address AND o.ts BETWEEN i.ts AND i.ts + {GAP} AND abs(i.value - o.value) <= i.value * 0.05 WHERE i.to_address IN (SELECT address FROM mx) AND i.from_address <> o.to_address),
+ hd AS (SELECT from_address AS seed, count(*) AS concealed FROM own JOIN fo USING (tx_hash) GROUP BY 1), gp AS (SELECT from_address AS seed, ts - lag(ts) OVER (PARTITION BY from_address ORDER BY ts, tx_hash) AS g FROM own), dl AS (SELECT seed, coalesce(avg(exp(-g / {GAP}.0)), 0.5) AS delay FROM gp GROUP BY 1),
+ near AS (SELECT DISTINCT from_address AS u, to_address AS v FROM ev WHERE from_address <> to_address UNION SELECT DISTINCT to_address, from_address FROM ev WHERE from_address <> to_address), ego AS (SELECT address AS c, address AS x FROM mx UNION SELECT u, v FROM near WHERE u IN (SELECT address FROM mx)),
+ en AS (SELECT c, count(*) AS n FROM ego GROUP BY 1), em AS (SELECT p.c, count(*) AS m FROM near JOIN ego p ON u = p.x JOIN ego q ON v = q.x AND p.c = q.c WHERE u < v GROUP BY 1), ed AS (SELECT max(round(2 * m / (n * (n - 1)), 6)) AS density FROM en JOIN em USING (c)),
+ al AS (SELECT n.*, coalesce(denominations, 0) AS denominations, coalesce(concealed, 0) AS concealed, delay, (SELECT density FROM ed) AS density FROM n LEFT JOIN dn USING (seed) LEFT JOIN hd USING (seed) JOIN dl USING (seed))
+SELECT seed, round(least(1.0, 0.30 + 0.25 * least(1.0, n / 3.0) + 0.20 * greatest(least(1.0, denominations), least(1.0, concealed / 2.0)) + 0.15 * least(1.0, density / 0.18) + 0.10 * delay), 4) AS confidence, n FROM al WHERE denominations >= 1 OR concealed >= 1 OR mixers >= 2 OR density >= 0.18""")
 def mixing(spark, sf_dir):
     return L.mixing_interaction(event_transfers(spark, sf_dir), _seeds(spark, sf_dir), _of(spark, "mixer"), gap=GAP)
 
 
 @query()
 def shell_wallets(spark, sf_dir):
-    return L.shell_networks(purchase_transfers(spark, sf_dir), _seeds(spark, sf_dir), window=86400.0 * 10, min_ratio=0.3, min_density=0.05)
+    return L.shell_networks(purchase_transfers(spark, sf_dir), _seeds(spark, sf_dir), window=86400.0 * 10, min_ratio=0.3, min_density=0.05, pass_through=GAP, services=_services(spark).select("address"))
 
 
 @query()
 def high_depth(spark, sf_dir):
-    return L.high_depth(purchase_transfers(spark, sf_dir), _seeds(spark, sf_dir), min_depth=3, latency=86400.0 * 5, least=0.3)
+    return L.high_depth(purchase_transfers(spark, sf_dir), _seeds(spark, sf_dir), min_depth=3, latency=86400.0 * 5, least=0.3, exchanges=_of(spark, "exchange"))
+
+
+def _layering_hits(spark, sf_dir):
+    """(seed, method, confidence) of all five detectors."""
+    deep = high_depth(spark, sf_dir).groupBy("seed").agg(F.max("score").alias("confidence"))
+    every = {"peeling_chain": peeling_chain(spark, sf_dir), "mixing_interaction": mixing(spark, sf_dir), "bridge_hopping": bridge_hopping(spark, sf_dir), "shell_wallet_network": shell_wallets(spark, sf_dir), "high_depth_transaction_chaining": deep}
+    return reduce(DataFrame.unionByName, [df.select("seed", F.lit(n).alias("method"), "confidence") for n, df in every.items()])
 
 
 @query()
 def layering_alerts(spark, sf_dir):
-    hits = mixing(spark, sf_dir).select("seed", F.lit("mixing_interaction").alias("method"), "confidence").unionByName(bridge_hopping(spark, sf_dir).select("seed", F.lit("bridge_hopping").alias("method"), "confidence"))
-    return L.layering_alerts(hits)
+    return L.layering_alerts(_layering_hits(spark, sf_dir))
 
 
 @query(f"""WITH {EV} SELECT i.tx_hash, o.tx_hash AS follow FROM ev i JOIN ev o ON i.to_address = o.from_address AND o.ts BETWEEN i.ts AND i.ts + {GAP} AND abs(i.value - o.value) <= i.value * 0.05 WHERE i.to_address IN ('U0', 'U1') AND i.from_address <> o.to_address""")

@@ -232,35 +232,44 @@ def incremental_watermark(spark, sf_dir):
     return etl.incremental(rows, rows.where("block_number % 97 = 0 and block_number < 5000"))
 
 
-@query("""SELECT lower(trim(o_orderpriority)) AS priority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,18))::VARCHAR AS amount, CAST(o_orderstatus = 'F' AS INT) AS done, o_orderkey FROM orders WHERE o_orderkey % 10 = 0""")
+@query("""SELECT lower(trim(o_orderpriority)) AS priority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,18))::VARCHAR AS amount, CAST(o_orderstatus = 'F' AS INT) AS done, o_orderkey FROM orders""")
 def clean_rows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.lower(F.trim("o_orderpriority")).alias("priority"), F.col("o_totalprice").cast("decimal(18,2)").cast("decimal(38,18)").cast("string").alias("amount"), (F.col("o_orderstatus") == "F").cast("int").alias("done"), "o_orderkey")
 
 
-@query("""SELECT o_orderkey AS block_number, 't' || o_orderkey || '-' || i AS tx_hash, CASE WHEN i = 2 THEN NULL ELSE 'a' || i END AS to_address, i = 2 AS is_contract_call, CASE WHEN i <> 1 THEN 1 ELSE 0 END AS status FROM orders, (SELECT unnest([0, 1, 2]) AS i) WHERE o_orderkey % 50 = 0""")
+@query("""SELECT o_orderkey AS block_number, 't' || o_orderkey || '-' || i AS tx_hash, CASE WHEN i = 2 THEN NULL ELSE 'a' || i END AS to_address, i = 2 AS is_contract_call, CASE WHEN i <> 1 THEN 1 ELSE 0 END AS status FROM orders, (SELECT unnest([0, 1, 2]) AS i)""")
 def flatten_documents(spark, sf_dir):
     k = F.col("o_orderkey").cast("string")
     tx = [F.struct(F.concat(F.lit("T"), k, F.lit(f"-{i}")).alias("hash"), F.lit("A0").alias("from"), (F.lit(None) if i == 2 else F.lit(f"A{i}")).cast("string").alias("to"), F.lit("1000000000000000000").alias("value"), F.lit(None).cast("string").alias("input"), F.lit("1").alias("gas")) for i in range(3)]
     receipts = [F.struct(F.concat(F.lit("T"), k, F.lit(f"-{i}")).alias("transactionHash"), F.lit(f"0x{s}").alias("status"), F.lit("0x5208").alias("gasUsed")) for i, s in ((0, 0), (0, 1), (2, 1))]
-    blocks = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("block_number"), F.lit("x").alias("fetched_at"), F.array(*tx, tx[0]).alias("transactions"), F.array(*receipts).alias("receipts"))
+    blocks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_number"), F.lit("x").alias("fetched_at"), F.array(*tx, tx[0]).alias("transactions"), F.array(*receipts).alias("receipts"))
     return etl.flatten_blocks(blocks).select("block_number", "tx_hash", "to_address", "is_contract_call", "status")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")
 def stale_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Parts that no large order holds."""
+    large = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").join(large, "p_partkey", "left_anti").select("p_partkey")
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(v)}') THEN '{k}' END" for k, v in sorted(S.KEYWORDS.items()))}], lambda x: x IS NOT NULL), ',') AS categories FROM documents""")
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), 'bridge|bridging|portal|router|wormhole|stargate|across|hop') THEN 'bridge' END,
+ CASE WHEN regexp_matches(lower(text), 'exchange|binance|coinbase|kraken|okx|bybit|kucoin|gate|bitfinex|huobi') THEN 'exchange' END, CASE WHEN regexp_matches(lower(text), 'mixer|mixing|tornado|privacy|anonymity|shielded|stealth') THEN 'mixer' END) AS categories FROM documents""")
 def keyword_categories(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(S.keyword_categories(F.col("text")), ",").alias("categories"))
 
 
-@query("""SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS addresses FROM (SELECT doc_id, ['0x' || substr(sha1(text), 1, 40)] AS list_distinct_ordered FROM documents)""")
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pay to 0x' || substr(sha1(text), 1, 40) || ', or 0x' || upper(substr(sha1(text), 1, 40)) || '; not 0x12' WHEN 1 THEN text WHEN 2 THEN 'x0x' || sha1(text) || ' 0x' || sha1(text) || 'f' ELSE '0x' || sha1(source) || ' 0X' || sha1(text) || ' 0x' || sha1(lang) END AS t FROM documents),
+ m AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?:^|[^0-9A-Za-z_])(0x[0-9a-fA-F]{40})(?:$|[^0-9A-Za-z_])', 1), x -> lower(x)) AS a FROM (SELECT doc_id, replace(t, ' ', '  ') AS t FROM t))
+SELECT doc_id, array_to_string(list_filter(a, (x, i) -> list_position(a, x) = i), ',') AS addresses FROM m""")
 def address_extract(spark, sf_dir):
-    made = F.concat(F.lit("pay to 0x"), F.sha1("text"), F.lit(" or 0x"), F.sha1("text"), F.lit("."))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.regexp_extract_all(made, F.lit("0x[0-9a-fA-F]{40}"), F.lit(0))), ",").alias("addresses"))
+    """Whole addresses in texts that hold them once, twice, in either case, glued to others or not at all."""
+    h = F.sha1("text")
+    k = F.col("doc_id") % 4
+    made = F.when(k == 0, F.concat(F.lit("pay to 0x"), h, F.lit(", or 0x"), F.upper(h), F.lit("; not 0x12"))).when(k == 1, F.col("text")).when(k == 2, F.concat(F.lit("x0x"), h, F.lit(" 0x"), h, F.lit("f")))
+    made = made.otherwise(F.concat(F.lit("0x"), F.sha1("source"), F.lit(" 0X"), h, F.lit(" 0x"), F.sha1("lang")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(S.addresses_in(made), ",").alias("addresses"))
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1")
@@ -273,7 +282,7 @@ for _a, _b in S.ASCII.items():
     _ASCII_SQL = f"replace({_ASCII_SQL}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_ASCII_SQL}, '[^\\x00-\\x7f]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS ascii FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents({_ASCII_SQL}), '[^\\x00-\\x7f]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS ascii FROM documents")
 def text_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.ascii_text(F.col("text")).alias("ascii"))
 
