@@ -234,14 +234,31 @@ def test_substrings(docs, rows, monkeypatch):
 
 
 def test_lines(spark):
-    rows = [(i, f"alpha{i} opens this one\nVisit page {i} of our site today\nbody of {i} is here only{i}\nclosing words for {chr(97 + i) * 3} end") for i in range(6)]
-    # copies: their lines are no templates
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join(f"own{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}" for x in rng.integers(0, 676, 30))
+    rows = [(i, f"{prose()}\nVisit page {i} of our site today\n{prose()}") for i in range(6)]
+    # a block of three lines has one context in any number of texts
+    block = "All rights are reserved here\nno part may be copied out\nwithout the leave of all"
+    rows += [(30 + i, f"{prose()}\n{block}\n{prose()}") for i in range(4)]
+    # copies, and copies with changes: their lines are no templates, and do not dilute what they carry
     rows += [(10 + i, "a copied text line\nanother copied line here\nthird copied line too") for i in range(5)]
-    rows += [(20, None), (21, "")]
-    got = {r.doc_id: r for r in linededup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "Visit page" not in got[3].kept_text and got[3].n_lines == 4
+    story = [prose() for _ in range(8)]
+    for i in range(40):
+        own = list(story)
+        own[i % 8] = prose()
+        rows.append((50 + i, "\n".join([*own, "Visit page 7 of our site today"])))
+    rows += [(20, None), (21, ""), (22, "x" * 200_000 + "\n" + "long " * 50_000), (30, rows[6][1]), (None, "a null id here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as text_key", "2 as gone", "3 as row", "4 as pos")
+    found = linededup.drop_templates(table).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
+    assert "Visit page" not in got[3].kept_text and (got[3].n_lines, got[3].n_dropped) == (3, 1)
+    assert all(got[30 + i].n_dropped == 3 and got[30 + i].n_lines == 5 for i in range(4))
     assert all(got[10 + i].n_dropped == 0 for i in range(5))
-    assert got[20].kept_text is None and got[20].n_lines == 0 and got[21].kept_text == ""
+    assert all(r.n_dropped == 1 and r.kept_text.count("\n") == 7 for i, r in got.items() if i is not None and i >= 50)
+    assert got[20].kept_text is None and got[20].n_lines == 0 and got[21].kept_text == "" and got[22].n_dropped == 0
+    wide = linededup.drop_templates(table, keep_columns=True)
+    assert wide.columns == table.columns and {r.doc_id: r.text for r in wide.collect()} == {i: r.kept_text for i, r in got.items()}
 
 
 def test_languages(spark, docs):

@@ -58,18 +58,19 @@ def group_links(
 
     ``shared``: (key, cid long, size, asks boolean) of the buckets with more than one member; two members meet if one of
     them asks and ``allowed`` holds for their sizes. ``judge`` keeps the alike ones of distinct pairs (a, b). In each round every
-    bucket compares its least asking member with its others and leaves it out; what is in one group by now
+    bucket compares the asking member that shares most buckets with its others and leaves it out; what is in one group by now
     needs no comparison, so a bucket of one group is done after one row a member. When the buckets not
     done have at most ``few`` pairs a member, or after ``stars`` rounds, all their pairs of different groups
     are compared, whatever the number; after ``stars`` rounds, only those that ``rest`` makes of the members (cid, size, root)
     if it is given, which must be all that can be alike.
     """
     links = judged = roots = None
-    left = shared
+    # what others are copies of shares most buckets with them
+    left = shared.join(shared.groupBy("cid").agg(F.count("*").alias("weight")), "cid")
     for turn in range(stars + 1):
-        named = left.withColumn("root", F.col("cid")) if roots is None else left.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "size", "asks", F.coalesce("root", "cid").alias("root"))
+        named = left.withColumn("root", F.col("cid")) if roots is None else left.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "size", "asks", "weight", F.coalesce("root", "cid").alias("root"))
         ask = F.count(F.when(F.col("asks"), 1))
-        open_ = named.groupBy("key").agg(F.count("*").alias("n"), ask.alias("q"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("asks"), F.col("cid"))).alias("hub"))
+        open_ = named.groupBy("key").agg(F.count("*").alias("n"), ask.alias("q"), F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("cid", F.when(F.col("asks"), F.struct("weight", "cid"))).alias("hub"))
         open_ = materialise(open_.where("low <> high and q > 0").select("key", "n", "q", "hub"), "open-buckets")
         n, most = open_.agg(F.sum("n"), F.sum(F.col("q") * F.col("n") - F.col("q") * (F.col("q") + 1) / 2)).first()
         if not n:
@@ -84,7 +85,7 @@ def group_links(
             hubs = members.where("cid = hub").select("key", *_as("b", *MEMBER))
             met = members.where("cid <> hub").select("key", "hub", *_as("a", *MEMBER)).join(hubs, "key")
             pairs = met.where(_may_meet(allowed)).select(F.least("hub", "a_cid").alias("a"), F.greatest("hub", "a_cid").alias("b")).distinct()
-            left = members.where("cid <> hub").select("key", "cid", "size", "asks")
+            left = members.where("cid <> hub").select("key", "cid", "size", "asks", "weight")
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")

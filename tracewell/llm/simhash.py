@@ -245,10 +245,14 @@ def prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("cid").orderBy("n", "shingle"))
     first = rows.join(counts, "shingle").withColumn("left", F.col("size") - place + 1).where((F.col("n") > 1) & (F.col("left") * 5 >= F.col("size") * FIFTHS))
     first = materialise(first.select("cid", "shingle", "size", "left").join(members.select("cid", "root"), "cid"), "prefixes")
-    roots = first.select("shingle", "root").distinct()
-    met = roots.withColumnRenamed("root", "root_a").join(roots.withColumnRenamed("root", "root_b"), "shingle").where("root_a < root_b")
-    a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "left", "root")]) for side in "ab")
-    pairs = met.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where((F.least("left_a", "left_b") * (5 + FIFTHS) >= (F.col("size_a") + F.col("size_b")) * FIFTHS) & _sizes_allow("size_a", "size_b"))
+    # the size of the largest text that can be near this one with this shingle as the first common one
+    first = first.withColumn("reach", F.floor(F.col("left") * (5 + FIFTHS) / FIFTHS) - F.col("size"))
+    roots = first.groupBy("shingle", "root").agg(F.max("reach").alias("reach"), F.min("size").alias("size"))
+    root_a, root_b = (roots.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "reach", "size")]) for side in "ab")
+    met = root_a.join(root_b, "shingle").where("root_a < root_b and reach_a >= size_b and reach_b >= size_a").select("shingle", "root_a", "root_b", F.col("reach_b").alias("most"), F.col("size_b").alias("least"))
+    a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("cid", "size", "reach", "root")]) for side in "ab")
+    pairs = met.join(a, ["shingle", "root_a"]).where("reach_a >= least and size_a <= most")
+    pairs = pairs.join(b, ["shingle", "root_b"]).where(F.expr("reach_a >= size_b and reach_b >= size_a") & _sizes_allow("size_a", "size_b"))
     return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
