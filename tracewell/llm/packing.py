@@ -24,18 +24,18 @@ from pyspark.sql import functions as F
 from tracewell.llm.batches import stretches
 from tracewell.llm.storage import materialise
 
-#: Words whose ids a worker keeps over its tasks in each of two generations. Words that are learnt at once.
-CACHE_WORDS, BATCH_WORDS = 300_000, 1_500_000
+#: Encodings that a worker keeps over its tasks in each of two generations. Words that are learnt at once.
+CACHE_WORDS, BATCH_WORDS = 500_000, 1_500_000
 SALTS = 64
 
 
-class WordIds(dict):
+class WordIds:
     """Little-endian 32-bit ids of white-space separated words. No token spans white space.
 
     Words that differ in ASCII case or in one comma or full stop after a letter share an encoding: the
     tokenizer lower-cases, and cuts between letters and signs. Words with the literal of a special token, in any
-    case, are encoded as they stand: the literal is one id where it is spelled exactly. A full cache becomes the older generation,
-    from which words in use are taken over and the others go.
+    case, are encoded as they stand: the literal is one id where it is spelled exactly. Encodings are kept; when they are many, they
+    become the older generation, from which those in use are taken over and the others go.
     """
 
     def __init__(self, path: str):
@@ -45,48 +45,56 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.begin = os.path.commonprefix(self.special)
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails = dict(zip(("", ",", "."), self._encoded(["", ",", "."]), strict=True))
+        self.tails = {sign: self._encoded([sign])[0] for sign in (",", ".")}
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        new, older = [], self.older
+        """Ids of words, encoded as one text and cut where words begin."""
+        found = self.tokenizer.encode_batch([" ".join(words)], add_special_tokens=False)[0]
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        at = np.searchsorted([start for start, _ in found.offsets], begins)
+        ids = array("I", found.ids).tobytes()
+        return [ids[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+    def _is_literal(self, word: str) -> bool:
+        low = word.lower()
+        return any(t in low for t in self.special)
+
+    def ids(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each of ``words``."""
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        known, older, begin, whole, tailed = self.known, self.older, self.begin, [], []
         for w in words:
-            if w not in self:
-                if (known := older.get(w)) is not None:
-                    self[w] = known
-                    continue
-                low = w.lower()
-                if self.begin in low and any(t in low for t in self.special):
-                    new.append((w, w, ""))
-                    continue
-                tail = w[-1] if w[-1:] in (",", ".") and w[-2:-1].lower().isalpha() else ""
-                core = w[:-1] if tail else w
-                new.append((w, core.lower() if core.isascii() else core, tail))
-        self.update((core, older[core]) for _, core, _ in new if core in older)
-        cores = list({core for _, core, _ in new if core not in self})
-        for at in range(0, len(cores), 10_000):
-            self.update(zip(cores[at : at + 10_000], self._encoded(cores[at : at + 10_000]), strict=True))
-        for w, core, tail in new:
-            self[w] = self[core] + self.tails[tail]
+            low = w.lower()
+            if begin in low and self._is_literal(w):
+                whole.append((w, w))
+            elif w[-1:] in (",", ".") and low[-2:-1].isalpha():
+                tailed.append((w, (low if w.isascii() else w)[:-1], w[-1]))
+            else:
+                whole.append((w, low if w.isascii() else w))
+        new = {x[1] for cut in (whole, tailed) for x in cut} - known.keys()
+        known.update((core, older[core]) for core in new & older.keys())
+        learnt = list(new - known.keys())
+        for at in range(0, len(learnt), 10_000):
+            known.update(zip(learnt[at : at + 10_000], self._encoded(learnt[at : at + 10_000]), strict=True))
+        out = {w: known[core] for w, core in whole}
+        out.update((w, known[core] + self.tails[tail]) for w, core, tail in tailed)
+        return out
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of whole texts, each with ``end`` after it."""
         words, last = [t.replace("\n", " ").split(" ") for t in texts], array("I", [end]).tobytes()
-        out = []
         if sum(map(len, words)) <= BATCH_WORDS:
-            self.learn(set().union(*words))
-            return [b"".join([*map(self.__getitem__, own), last]) for own in words]
+            found = self.ids(set().union(*words))
+            return [b"".join([*map(found.__getitem__, own), last]) for own in words]
+        out = []
         for own in words:
             parts = []
             for at in range(0, len(own), BATCH_WORDS):
-                self.learn(set(own[at : at + BATCH_WORDS]))
-                parts += map(self.__getitem__, own[at : at + BATCH_WORDS])
+                found = self.ids(set(own[at : at + BATCH_WORDS]))
+                parts += map(found.__getitem__, own[at : at + BATCH_WORDS])
             out.append(b"".join([*parts, last]))
         return out
 
