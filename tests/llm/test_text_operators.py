@@ -272,7 +272,29 @@ def test_languages(spark, docs):
         assert 0 <= r.score <= 1
         if r.doc_id in (9001, 9002, 9003):
             assert (r.lang_pred, r.score) == ("und", 0.0)
-    assert langid.LanguageFilter({}).predict("abc") == ("und", 0.0)
+    assert langid.LanguageFilter({}).predict("abc") == ("und", 0.0, 0.0)
+    # numbers that count as word characters are no letters
+    assert all(model.predict(t)[0] == "und" for t in ("½ ² Ⅷ", "12 34", "№ 7"[1:], "— …"))
+    shown = [r.evidence for r in held]
+    assert 0 < model.least_evidence < min(shown) and model.predict("zzxqj qqqvk xxjzw kkqzx")[2] < model.least_evidence
+
+
+def test_many_languages():
+    rng = np.random.default_rng(6)
+    own = {f"l{i:03}": rng.integers(0, 2**63, 50).astype(np.uint64) for i in range(70)}
+    model = langid.LanguageFilter(own)
+    for i in (0, 63, 64, 69):
+        bits = [np.all([model.cells[i // 64][p] >> np.uint64(i % 64) & np.uint64(1) for p in langid.places(own[f"l{i:03}"])])]
+        assert all(bits)
+    assert model.cells.shape[0] == 2 and len(model.evidence("abcd efgh")) == 70
+
+
+def test_languages_learn_from_whole_texts(spark):
+    import re
+
+    rows = [(i, "zz " * 6000 + word, lang) for i, (word, lang) in enumerate([("alpha beta", "a"), ("gamma delta", "b")] * 40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict("alpha beta")[0] == "a" and model.predict("gamma delta")[0] == "b" and re.search("zz", rows[0][1])
 
 
 def test_secrets(spark):
@@ -294,16 +316,14 @@ def test_guess_cost():
     g = secrets.GuessCost()
     cheap = ["password", "qwertyuiop", "19990101", "aaaaaaaaaaaa", "letmein123456", "P@ssword", "abcdefgh"]
     assert max(g.segment(x)[0] for x in cheap) < 7 < g.segment("x7#Kp2!vQz")[0]
-    value = "letmein19990101"
-    best = min(sum(c for *_, c in cut) for cut in _cuts(g, value))
-    assert g.segment(value)[0] == pytest.approx(best)
 
 
 def _cuts(g, value):
-    """All cuts of a value into spans, by brute force."""
+    """All cuts of a value into spans, single characters by brute force among them."""
     import math
 
-    spans = list(g.spans(value)) + [(i, i + 1, "brute", math.log10(g._alphabet(value))) for i in range(len(value))]
+    one = math.log10(g._alphabet(value))
+    spans = [*g.spans(value), *((i, i + 1, "brute", one) for i in range(len(value)))]
 
     def go(at):
         if at == len(value):
@@ -314,11 +334,30 @@ def _cuts(g, value):
                 for rest in go(s[1]):
                     yield [(*s[:3], s[3] + extra), *rest]
 
-    # the value is short enough only without single characters inside words
-    spans = [s for s in spans if s[2] != "brute" and s[1] - s[0] > 2]
     yield from go(0)
 
 
+@pytest.mark.parametrize("value", ["letmein1999", "aab#aab#", "qwerty12ab", "Love2024!", "zyx987zyx", "p4ssword"])
+def test_guess_cost_is_the_least_of_all_cuts(value):
+    g = secrets.GuessCost(["password", "love", "letmein", "ab"])
+    cost, cut = g.segment(value)
+    assert cost == pytest.approx(min(sum(c for *_, c in x) for x in _cuts(g, value)))
+    assert [a for a, _, _ in cut] == [0, *(b for _, b, _ in cut[:-1])] and cut[-1][1] == len(value)
+
+
+def test_words_of_a_corpus_are_guessable(spark):
+    rows = [(i, f"the brontosaurus walked {i} times over montmorillonite") for i in range(5)] + [(9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as word", "1 as n")
+    words = secrets.ranked_words(docs)
+    assert words[: len(secrets.WORDS)] == secrets.WORDS and {"brontosaurus", "montmorillonite"} <= set(words)
+    value = "brontosaurusmontmorillonite"
+    assert secrets.GuessCost(words).segment(value)[0] < secrets.MIN_COST < secrets.GuessCost().segment(value)[0]
+    made = spark.createDataFrame([(1, f"password is {value}!#"), (2, "x" * 300_000 + " pwd: Xq9!vT2#mZ7p" + " y" * 100_000), (2, None), (3, "token=aaaa1111bbbb2222cccc password=dddd3333eeee4444ffff")], "doc_id long, text string").selectExpr("*", "1 as spans", "2 as row")
+    got = {r.doc_id: r for r in secrets.scan_secrets(made, words=words).where("spans <> ''").collect()}
+    assert 1 not in got and got[2].spans.startswith("guess:300006:") and got[3].n_assign == 2
+    assert secrets.ranked_words(docs.where("false")) == secrets.WORDS
+
+
 def test_sentencepiece(docs, rows, spark):
     import sentencepiece
 

@@ -8,20 +8,22 @@ language over the whole text and corrected by each language's false-positive rat
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LETTER = re.compile(r"[^\W\d_]")
-#: The filter is fitted on about this many labelled documents of a language, chosen by hash,
-#: and at most this many leading characters of each; predictions read whole texts.
+from tracewell.llm.storage import materialise
+
+LETTER = regex.compile(r"\p{L}")
+#: The filter is fitted on about this many labelled documents of a language, chosen by hash, each whole.
 DOCS_PER_LANGUAGE = 1500
-BYTES_PER_DOCUMENT = 10_000
+#: Least share of a text's n-grams that its language must explain: this part of what all but EVIDENCE_TAIL of the sample reach.
+EVIDENCE_PART, EVIDENCE_TAIL = 0.5, 0.005
 GRAM, CELLS_LOG2, PROBES = 4, 20, 3
 STEP = 1 << 20
 
@@ -49,69 +51,97 @@ def folded(text: str) -> bytes:
 
 
 class LanguageFilter:
-    """Fitted on n-grams that are frequent in a language's sample."""
-
-    def __init__(self, samples: dict[str, list[str]], least_share: float = 0.02):
-        self.languages = sorted(samples)
-        if len(self.languages) > 64:
-            raise ValueError("at most 64 languages")
-        self.cells = np.zeros(1 << CELLS_LOG2, np.uint64)
-        for bit, lang in enumerate(self.languages):
-            seen: dict[int, int] = {}
-            for text in samples[lang]:
-                for h in set(np.concatenate([*grams(folded(text)), np.zeros(0, np.uint64)]).tolist()):
-                    seen[h] = seen.get(h, 0) + 1
-            least = max(1, least_share * len(samples[lang]))
-            kept = np.array([h for h, n in seen.items() if n >= least], np.uint64)
-            for p in places(kept):
-                np.bitwise_or.at(self.cells, p, np.uint64(1 << bit))
-        bits = [np.uint64(1 << b) for b in range(len(self.languages))]
-        self.false_rate = np.array([np.mean((self.cells & b) != 0) ** PROBES for b in bits])
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of all corrected counts; ("und", 0.0) without letters or evidence."""
-        if not text or not self.languages or not LETTER.search(text):
-            return "und", 0.0
+    """Cells of language bits, a 64-bit word for each 64 languages, and what they say of a text."""
+
+    def __init__(self, frequent: dict[str, np.ndarray], least_evidence: float = 0.0):
+        """``frequent``: the hashes of each language's frequent n-grams."""
+        self.languages, self.least_evidence = sorted(frequent), least_evidence
+        self.cells = np.zeros((-(-len(self.languages) // 64), 1 << CELLS_LOG2), np.uint64)
+        rates = []
+        for i, lang in enumerate(self.languages):
+            own, bit = self.cells[i // 64], np.uint64(1 << i % 64)
+            for p in places(frequent[lang]):
+                np.bitwise_or.at(own, p, bit)
+            rates.append(np.mean((own & bit) != 0) ** PROBES)
+        self.false_rate = np.array(rates)
+
+    def evidence(self, text: str) -> np.ndarray:
+        """The share of a text's n-grams that each language explains, corrected for false positives."""
         counts, total = np.zeros(len(self.languages)), 0
         for h in grams(folded(text)):
-            found = self.cells[(p := places(h))[0]]
-            for more in p[1:]:
-                found = found & self.cells[more]
             total += len(h)
-            counts += [np.count_nonzero(found & np.uint64(1 << b)) for b in range(len(counts))]
-        true = np.maximum(counts - total * self.false_rate, 0) / np.maximum(1 - self.false_rate, 1e-9)
-        if not true.sum():
-            return self.languages[0], 0.0
-        best = int(np.argmax(true))
-        # how far the best stands above the runner-up, of what it has
-        second = np.partition(true, -2)[-2] if len(true) > 1 else 0.0
-        return self.languages[best], float(min(1.0, true[best] / (true[best] + second)))
+            at = places(h)
+            for k, cells in enumerate(self.cells):
+                found = cells[at[0]]
+                for more in at[1:]:
+                    found = found & cells[more]
+                for i in range(64 * k, min(len(counts), 64 * k + 64)):
+                    counts[i] += np.count_nonzero(found & np.uint64(1 << i % 64))
+        return np.maximum(counts - total * self.false_rate, 0) / np.maximum(1 - self.false_rate, 1e-9) / max(1, total)
+
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, how far it stands above the runner-up (its share of what both have), and its evidence.
+
+        ("und", 0, 0) without letters or learned languages; a text with letters but no known n-gram gets the first language with a score of 0.
+        """
+        if not text or not self.languages or not LETTER.search(text):
+            return "und", 0.0, 0.0
+        found = self.evidence(text)
+        best = int(np.argmax(found))
+        if not found[best]:
+            return self.languages[0], 0.0, 0.0
+        second = np.partition(found, -2)[-2] if len(found) > 1 else 0.0
+        return self.languages[best], float(min(1.0, found[best] / (found[best] + second))), float(min(1.0, found[best]))
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> LanguageFilter:
-    """From text and lang of documents that are not held out, ``per_language`` of each language, give or take
-    the chance of a hash (a hard limit is twice as many); their first BYTES_PER_DOCUMENT characters come to the driver."""
-    usable = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram) of each text (lang, text), each once a text."""
+    for batch in batches:
+        for lang, one in zip(batch.column(0), batch.column(1), strict=True):
+            own = np.unique(np.concatenate([*grams(folded(one.as_py())), np.zeros(0, np.uint64)])).view(np.int64)
+            yield pa.record_batch([pa.array([lang.as_py()] * len(own), pa.string()), pa.array(own)], names=["lang", "gram"])
+
+
+def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, least_share: float = 0.02) -> LanguageFilter:
+    """From text and lang of documents that are not held out: about ``per_language`` whole texts of each language, chosen by hash.
+
+    An n-gram is a language's if at least ``least_share`` of its texts have it. They are counted on the executors; what
+    comes to the driver is the frequent ones, at most 1 / least_share times as many as a text has on average, and one number for the evidence.
+    Any number of languages is learned; no labelled document gives an empty filter.
+    """
+    usable = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageFilter({})
     # a share of all hashes, so any order or place of rows gives the same sample
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
-    kept = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share * float(1 << 40))
-    samples: dict[str, list[str]] = {}
-    for r in kept.select("lang", F.substring("text", 1, BYTES_PER_DOCUMENT).alias("text")).limit(2 * per_language * len(counts)).collect():
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return LanguageFilter(samples)
+    sample = materialise(usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share * float(1 << 40)).select("lang", "text"), "language-sample")
+    sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    seen = sample.mapInArrow(_distinct_grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1.0, least_share * n))])[F.col("lang")] if sizes else F.lit(1.0)
+    kept = seen.where(F.col("n") >= least).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
+    model = LanguageFilter({lang: np.zeros(0, np.uint64) for lang in counts} | {r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in kept})
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def own_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {lang: i for i, lang in enumerate(shared.value.languages)}
+        for batch in batches:
+            texts = [(lang.as_py(), t.as_py()) for lang, t in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.record_batch([pa.array([float(shared.value.evidence(t)[at[lang]]) for lang, t in texts if LETTER.search(t)], pa.float64())], names=["evidence"])
+
+    tail = sample.mapInArrow(own_evidence, "evidence double").agg(F.percentile_approx("evidence", EVIDENCE_TAIL, 10_000)).first()[0]
+    model.least_evidence = EVIDENCE_PART * float(tail or 0.0)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageFilter, keep_row: bool = False) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of ``docs``, from its whole text alone; with ``keep_row`` the row as a struct ``row`` too.
+    """(doc_id, held_out, lang_pred, score, evidence) for each row of ``docs``, from its whole text alone; with ``keep_row`` the row as a struct ``row`` too.
 
-    Null, empty or letterless texts are ``und`` with score 0. Repeated rows give repeated rows, an
+    evidence is the share of the text's n-grams that the language explains. Null, empty or letterless texts are ``und`` with score 0. Repeated rows give repeated rows, an
     empty table gives none. A null doc_id is never held out nor learned from. Other columns
     are ignored. Ties go to the first language in alphabetical order.
     """
@@ -120,10 +150,10 @@ def identify(docs: DataFrame, model: LanguageFilter, keep_row: bool = False) ->
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(t.as_py()) for t in batch.column(2)]
-            out = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            out = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2))]
             row = batch.columns[3:]
-            yield pa.record_batch([*batch.columns[:2], *out, *row], names=["doc_id", "held_out", "lang_pred", "score", *["row"] * len(row)])
+            yield pa.record_batch([*batch.columns[:2], *out, *row], names=["doc_id", "held_out", "lang_pred", "score", "evidence", *["row"] * len(row)])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"), *[F.struct(*docs.columns).alias("row")] * keep_row)
-    kinds = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
+    kinds = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double").add("evidence", "double")
     return source.mapInArrow(kernel, kinds.add("row", docs.schema) if keep_row else kinds)

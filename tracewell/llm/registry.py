@@ -54,7 +54,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan_secrets(docs, words=secrets.ranked_words(docs)).drop("redacted")
 
 
 def queries() -> dict[str, Query]:

@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,20 +28,25 @@ CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api
 KINDS = ("assign", "access", "hex", "guess")
 #: Values of at least this many log10 guesses are secrets.
 MIN_COST = 9.0
-#: Frequent passwords and words, the most frequent first.
+#: Frequent passwords and words, the most frequent first. Those of a corpus follow them.
 WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login abc iloveyou sunshine princess football "
     "shadow secret test guest root default changeme hello freedom whatever trustno summer winter spring autumn love "
     "user server system access token key example sample the and for with this that from have your not are you was all "
     "can one new use our out day get has him his how man now old see two way who its did yes her may say she time"
 ).split()
+#: Words that a corpus adds, of so many letters; ones that repeat up to so many characters.
+CORPUS_WORDS, LETTERS, UNIT = 20_000, (3, 20), 16
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
 class GuessCost:
-    """log10 of the guesses that the cheapest cut of a value needs."""
+    """log10 of the guesses that the cheapest cut of a value needs.
+
+    A repeat has a unit of at most UNIT characters: a longer one costs over MIN_COST by its first occurrence, whether it is a repeat or not.
+    """
 
     def __init__(self, words: list[str] = WORDS):
         self.cost = {}
@@ -67,7 +74,7 @@ class GuessCost:
         low, n = value.lower(), len(value)
         plain = low.translate(LEET)
         # from each place on, how many characters stand again ``unit`` later, or continue a walk or sequence: one pass each
-        same = {unit: self._runs([low[i] == low[i + unit] for i in range(n - unit)]) for unit in range(1, min(17, n // 2) + 1)}
+        same = {unit: self._runs([low[i] == low[i + unit] for i in range(n - unit)]) for unit in range(1, min(UNIT, n // 2) + 1)}
         near = {"walk": lambda a, b: (a, b) in self.next_key, "sequence": lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()}
         steps = {kind: [*self._runs([test(a, b) for a, b in zip(low, low[1:], strict=False)]), 0] for kind, test in near.items()}
         for i in range(n):
@@ -111,16 +118,29 @@ def find_secrets(text: str, guess: GuessCost, min_cost: float = MIN_COST) -> lis
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     if any(c in raw for c in CUES):
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-        taken = [(a, b) for a, b, _ in found]
+        taken = sorted((a, b) for a, b, _ in found)
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
             value = m[1].rstrip(".,;:)\"")
             b = a + len(value)
-            if len(value) >= 6 and not any(x <= a and b <= y for x, y in taken) and guess.segment(value)[0] >= min_cost:
+            before = bisect_right(starts, a)
+            if len(value) >= 6 and not (before and ends[before - 1] >= b) and guess.segment(value)[0] >= min_cost:
                 found.append((a, b, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def ranked_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """WORDS, then the ``most`` words of ASCII letters that most documents hold (ties: in order of the alphabet), lower-cased; whole texts are read.
+
+    Null and empty texts, and an empty table, add none. The list has a bounded length and goes to every task.
+    """
+    words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+"))
+    counts = docs.select(F.explode(words).alias("word")).where(F.length("word").between(*LETTERS)).groupBy("word").agg(F.count("*").alias("n"))
+    found = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return list(dict.fromkeys([*WORDS, *found]))
+
+
 def _spelled(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
@@ -131,7 +151,7 @@ def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] =
     spans has all spans, base_sha256 the SHA-256 of the spelled base spans. redacted is the text
     with each covered stretch replaced by ``redact`` (null if that is None or the text is null); ``keep_row`` adds the row as a struct ``row``. A null
     text counts as empty; repeated rows give repeated rows; an empty table gives none; other
-    columns are ignored. Texts are scanned and values costed whole. A value in a credential context that a base span
+    columns are ignored. Very long texts are scanned and values costed whole; spans that begin together come in the order of their kinds. A value in a credential context that a base span
     covers only in part has a span of its own, which overlaps the base span.
     """
 
