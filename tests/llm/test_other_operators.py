@@ -50,6 +50,7 @@ def test_neighbours(spark):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     ids = np.array([*range(900), *range(1000, 1060)])
     vectors = np.array([*m, *[same] * 60])
+    # lengths are searched apart, and 2100 is alone in its own
     assert set(got) == {int(i) for i in ids if i % 20 == 0}
     hit = 0
     for q, found in got.items():
@@ -71,3 +72,30 @@ def test_few_vectors(spark):
     assert {(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(table).collect()} == {(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)}
 
 
+
+
+def test_clustered_vectors_are_pruned():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 32)) * 4
+    m = np.concatenate([c + rng.normal(size=(120, 32)) * 0.4 for c in centres])
+    forest = neighbours.Forest(m.astype(np.float32), len(m), 8)
+    share = neighbours.enough_share(forest, m, 20)
+    counts = np.bincount(forest.route(m.astype(np.float32)).ravel(), minlength=forest.leaves * 8)
+    leaf = forest.route(m.astype(np.float32))
+    hit = scored = 0
+    for q in range(0, len(m), 97):
+        opened = forest.search(m[q].astype(np.float32), counts, int(share * len(m)))
+        there = np.flatnonzero(np.isin(leaf, opened).any(axis=1))
+        scored += counts[opened].sum()
+        score = m @ m[q]
+        best = set(np.argsort(-score)[:20].tolist())
+        hit += len(best & set(there.tolist()))
+    asked = len(range(0, len(m), 97))
+    # well under half of the vectors are scored, all copies in all trees counted
+    assert hit >= 0.9 * 20 * asked and scored < 0.5 * asked * len(m)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(30)] + [(100 + i, [1.0, 2.0, 3.0 + i]) for i in range(30)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert {r.query_id for r in got} == {0, 20, 100, 120} and all((r.query_id < 100) == (r.vec_id < 100) for r in got)

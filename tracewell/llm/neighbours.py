@@ -3,7 +3,8 @@
 Trees are fitted on a bounded sample: each node halves its share of the sample at the median along the
 line between two random members. Every vector is routed to its leaf of each tree. A query keeps one
 priority queue over all trees, nearest split first, and opens leaves until it has enough candidates;
-those are ranked by the exact inner product, a leaf at a time. Of equal vectors only
+those are ranked by the exact inner product, a leaf at a time. How many are enough is measured on the sample:
+few where vectors lie in clusters, more than there are where they point anywhere. Of equal vectors only
 the ``k`` + 1 of least id are indexed, since no more can be among the nearest.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from tracewell.llm.storage import materialise
 #: The sample has at most this many numbers in all. Trees have LEAVES leaves, more once those would hold over BLOCK
 #: vectors each; larger leaves, and more than QUERIES queries, are dealt in blocks.
 SAMPLE_VALUES, LEAVES, BLOCK, QUERIES = 8_000_000, 128, 4096, 16_384
+#: Shares of the vectors that a query may open, the recall on the sample that is enough, and sample vectors and queries to measure it.
+SHARES, RECALL, PROBED, ASKED = (0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0, 1.2, 1.6, 2.4), 0.95, 20_000, 200
 
 
 class Forest:
@@ -83,13 +87,40 @@ class Forest:
         return found
 
 
+def enough_share(forest: Forest, sample: np.ndarray, k: int) -> float:
+    """The least of SHARES at which queries of the sample find RECALL of their ``k`` nearest others in it."""
+    own = sample[:PROBED]
+    if len(own) <= k + 1:
+        return SHARES[-1]
+    leaf = forest.route(own.astype(np.float32))
+    order = np.argsort(leaf, axis=0, kind="stable")
+    counts = np.bincount(leaf.ravel(), minlength=forest.leaves * forest.trees)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    members = order.T.ravel()
+    asked = np.linspace(0, len(own) - 1, min(ASKED, len(own))).astype(int)
+    found = np.zeros(len(SHARES))
+    for q in asked:
+        score = own @ own[q]
+        score[q] = -np.inf
+        best = np.argpartition(-score, k)[:k]
+        opened = forest.search(own[q].astype(np.float32), counts, math.ceil(SHARES[-1] * len(own)))
+        held = np.cumsum(counts[opened])
+        first = np.full(len(own), np.iinfo(np.int64).max)
+        for i in reversed(range(len(opened))):
+            first[members[begins[opened[i]] : begins[opened[i] + 1]]] = i
+        for at, share in enumerate(SHARES):
+            last = int(np.searchsorted(held, share * len(own)))
+            found[at] += np.count_nonzero(first[best] <= last)
+    recall = found / (k * len(asked))
+    good = np.flatnonzero(recall >= RECALL)
+    return SHARES[good[0]] if len(good) else SHARES[-1]
+
+
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of finite, non-zero vectors of the commonest length (the smaller, if several are)."""
+    """(vec_id, v array<double>) of finite, non-zero vectors, each row once."""
     own = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    own = own.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
-    common = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return own.where(F.size("v") == (common[0]["n"] if common else -1)).distinct()
+    return own.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).distinct()
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -98,23 +129,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest(table: DataFrame, k: int = 20, every: int = 20, trees: int = 8, share: float = 1.2) -> DataFrame:
+def nearest(table: DataFrame, k: int = 20, every: int = 20, trees: int = 8, share: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by ``every`` its ``k`` nearest found.
 
     score is the inner product in double precision of the original vectors; nearest first, ties to
-    the smaller vec_id; a query is no candidate of its own. Vectors that are null, empty, zero, of another length than
-    the commonest, or hold null or non-finite numbers take no part; rows with a null vec_id neither; wholly
-    repeated rows count once. A query stops once the leaves it has opened, over all trees, hold ``share`` times
-    as many members as there are vectors; 1.2 gave a recall of over 0.95 on isotropic vectors of 64 numbers, the hardest case. An empty table gives no rows; other columns are ignored.
+    the smaller vec_id; a query is no candidate of its own. Vectors of each length are searched among themselves, with a forest of their own. Vectors that
+    are null, empty, zero, or hold null or non-finite numbers take no part; rows with a null vec_id neither; wholly
+    repeated rows count once. A query stops once the leaves it has opened, over all trees, hold ``share`` times as many
+    members as there are vectors; by default as ``enough_share`` measures. An empty table gives no rows; other columns are ignored.
     """
-    spark = table.sparkSession
     vectors = materialise(valid_vectors(table), "vectors")
+    lengths = [r["n"] for r in vectors.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    found = [_nearest(vectors.where(F.size("v") == n), n, k, every, trees, share) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+
+
+def _nearest(vectors: DataFrame, dim: int, k: int, every: int, trees: int, share: float | None) -> DataFrame:
+    """The same for valid vectors of one length."""
+    spark = vectors.sparkSession
     same = Window.partitionBy("v").orderBy("vec_id")
     indexed = materialise(vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "indexed")
     rows = indexed.count()
-    dim = len(indexed.first()["v"]) if rows else 1
-    sample = indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, SAMPLE_VALUES // dim)).select("v").toArrow()
-    forest = Forest(_matrix(sample["v"]).astype(np.float32), rows, trees)
+    # a share of all hashes, so tasks send what is used and little more
+    wanted = max(1, SAMPLE_VALUES // dim)
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < min(1.0, wanted / rows) * float(1 << 40)
+    sample = _matrix(indexed.where(part).select("v").toArrow()["v"])
+    forest = Forest(sample.astype(np.float32), rows, trees)
+    share = share or enough_share(forest, sample, k)
     model = spark.sparkContext.broadcast(forest)
 
     def leaf_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
