@@ -125,4 +125,4 @@ def owner_addresses(addresses: Column) -> Column:
 
 def addresses_in(text: Column) -> Column:
     """Distinct addresses that a free text (or a list split by commas, spaces or line breaks) holds, lower-cased, in their order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\\b(0x[0-9a-fA-F]{40})\\b")), lambda a: F.lower(a)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b(0x[0-9a-fA-F]{40})\b")), lambda a: F.lower(a)))

@@ -239,7 +239,7 @@ def resolve_entities(transfers: DataFrame, links: DataFrame, clusters: DataFrame
     named = seeded.join(roots.withColumnRenamed("node", "seed"), "seed", "left").withColumn("root", F.coalesce("root", "seed"))
     merged = signals.join(accepted, ["a", "b"], "left_semi").join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.array_sort(F.collect_set("name")).alias("signals"))
     held = seeded.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("held"))
-    group = named.groupBy("root").agg(F.count("*").alias("n_addresses"), F.countDistinct("cluster_id").alias("k"), F.min("cluster_id").alias("cluster_id"), stable_id("C-", F.collect_list("address")).alias("made"), F.min("address").alias("only"))
+    group = named.groupBy("root").agg(F.count("*").alias("n_addresses"), F.countDistinct("cluster_id").alias("k"), F.min("cluster_id").alias("cluster_id"), stable_id("PCL-", F.collect_list("address")).alias("made"), F.min("address").alias("only"))
     group = group.join(held, "cluster_id", "left").join(merged, "root", "left")
     kind = F.when((F.col("k") == 0) & (F.col("n_addresses") == 1), "address_fallback").when((F.col("k") == 1) & (F.col("held") == F.col("n_addresses")), "existing").when(F.col("k") > 0, "enhanced").otherwise("generated")
     group = group.withColumn("source_kind", kind).withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))

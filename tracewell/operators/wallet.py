@@ -109,3 +109,20 @@ def chain_of_custody(entities: DataFrame, stages: dict[str, DataFrame], members:
         part = best.select("entity", F.lit(stage).alias("stage"), "score", F.when(F.col("p") == 0, "entity").otherwise("address").alias("via"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def entity_class(txs: DataFrame, found: DataFrame, contracts: DataFrame, most: int = 100) -> DataFrame:
+    """(wallet, class): mixer by its detections, contract by its code (``contracts``: address), exchange by counterparties or detections, bot, else user."""
+    kinds = found.groupBy("wallet").agg(F.max(F.when(F.col("label") == "tornado_cash", 1)).alias("mixer"), F.max(F.when(F.lower("label").contains("exchange"), 1)).alias("exchange"))
+    sides = txs.select("wallet", F.explode(F.array(F.lower(F.coalesce("from_address", F.lit(""))), F.lower(F.coalesce("to_address", F.lit(""))))).alias("peer"))
+    peers = sides.groupBy("wallet").agg(F.countDistinct("peer").alias("peers"))
+    own = peers.join(kinds, "wallet", "left").join(bot_behavior(txs).select("wallet", "is_bot"), "wallet", "left")
+    own = own.join(contracts.select(F.col("address").alias("wallet"), F.lit(1).alias("code")).distinct(), "wallet", "left")
+    name = F.when(F.col("mixer") == 1, "mixer").when(F.col("code") == 1, "smart contract").when((F.col("peers") > most) | (F.col("exchange") == 1), "exchange").when(F.col("is_bot"), "bot").otherwise("user wallet")
+    return own.select("wallet", name.alias("class"))
+
+
+def newest(txs: DataFrame, n: int) -> DataFrame:
+    """(wallet, place, tx_hash, ts): the ``n`` newest transfers of each wallet."""
+    own = txs.withColumn("place", F.row_number().over(Window.partitionBy("wallet").orderBy(F.desc("ts"), "tx_hash")))
+    return own.where(F.col("place") <= n).select("wallet", "place", "tx_hash", "ts")

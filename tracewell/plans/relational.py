@@ -261,8 +261,8 @@ def keyword_categories(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pay to 0x' || substr(sha1(text), 1, 40) || ', or 0x' || upper(substr(sha1(text), 1, 40)) || '; not 0x12' WHEN 1 THEN text WHEN 2 THEN 'x0x' || sha1(text) || ' 0x' || sha1(text) || 'f' ELSE '0x' || sha1(source) || ' 0X' || sha1(text) || ' 0x' || sha1(lang) END AS t FROM documents),
- m AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?:^|[^0-9A-Za-z_])(0x[0-9a-fA-F]{40})(?:$|[^0-9A-Za-z_])', 1), x -> lower(x)) AS a FROM (SELECT doc_id, replace(t, ' ', '  ') AS t FROM t))
-SELECT doc_id, array_to_string(list_filter(a, (x, i) -> list_position(a, x) = i), ',') AS addresses FROM m""")
+ m AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?:^|[^0-9A-Za-z_])(0x[0-9a-fA-F]{40})(?:$|[^0-9A-Za-z_])', 1), lambda x: lower(x)) AS a FROM (SELECT doc_id, replace(t, ' ', '  ') AS t FROM t))
+SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS addresses FROM m""")
 def address_extract(spark, sf_dir):
     """Whole addresses in texts that hold them once, twice, in either case, glued to others or not at all."""
     h = F.sha1("text")
