@@ -57,31 +57,35 @@ class WordIds:
         ids = array("I", found.ids).tobytes()
         return [ids[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
-    def _is_literal(self, word: str) -> bool:
-        low = word.lower()
-        return any(t in low for t in self.special)
-
     def ids(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each of ``words``."""
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
-        known, older, begin, whole, tailed = self.known, self.older, self.begin, [], []
-        for w in words:
-            low = w.lower()
-            if begin in low and self._is_literal(w):
-                whole.append((w, w))
-            elif w[-1:] in (",", ".") and low[-2:-1].isalpha():
-                tailed.append((w, (low if w.isascii() else w)[:-1], w[-1]))
-            else:
-                whole.append((w, low if w.isascii() else w))
-        new = {x[1] for cut in (whole, tailed) for x in cut} - known.keys()
-        known.update((core, older[core]) for core in new & older.keys())
-        learnt = list(new - known.keys())
-        for at in range(0, len(learnt), 10_000):
-            known.update(zip(learnt[at : at + 10_000], self._encoded(learnt[at : at + 10_000]), strict=True))
-        out = {w: known[core] for w, core in whole}
-        out.update((w, known[core] + self.tails[tail]) for w, core, tail in tailed)
-        return out
+        known, older = self.known, self.older
+        names, joined = list(words), " ".join(words)
+        if joined.isascii():
+            cores = joined.lower().split(" ")
+        else:
+            cores = [w.lower() if w.isascii() else w for w in names]
+        if self.begin in joined.lower():
+            cores = [w if any(t in w.lower() for t in self.special) else core for w, core in zip(names, cores, strict=True)]
+        # a comma or full stop after a letter has ids of its own
+        signs = {i: c[-1] for i, c in enumerate(cores) if c.endswith((",", ".")) and c[-2:-1].lower().isalpha()}
+        for i in signs:
+            cores[i] = cores[i][:-1]
+        learnt = []
+        for core in set(cores):
+            if core not in known:
+                if (found := older.get(core)) is None:
+                    learnt.append(core)
+                else:
+                    known[core] = found
+        for at in range(0, len(learnt), 500):
+            known.update(zip(learnt[at : at + 500], self._encoded(learnt[at : at + 500]), strict=True))
+        out = list(map(known.__getitem__, cores))
+        for i, sign in signs.items():
+            out[i] += self.tails[sign]
+        return dict(zip(names, out, strict=True))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of whole texts, each with ``end`` after it."""
