@@ -32,3 +32,36 @@ def test_first_source_with_rows(spark):
         f.write("tx_hash,block_number,timestamp,from_address,to_address,value_eth,is_contract_call,gas_used,status\nx,1,1970-01-01T00:01:00Z,A,,1.5,,21000,1\n")
     r = FirstAvailable(ParquetTransfers(f"{top}/none"), CsvTransfers(f"{top}/flat.csv")).load(spark).first()
     assert (r.from_address, r.to_address, r.ts, r.value) == ("a", None, 60.0, 1.5)
+
+
+def _feed(spark, rows):
+    top = tempfile.mkdtemp()
+    spark.createDataFrame(rows, TRANSFERS).coalesce(1).write.parquet(f"{top}/in")
+    return top, jobs.read_transfers(spark, f"{top}/in")
+
+
+def _shown(stream, name):
+    stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name).collect()
+
+
+def test_a_transfer_delivered_again_counts_once(spark):
+    row = ("t1", 1, 1000.0, "a", "b", 1.5, False, "")
+    _, stream = _feed(spark, [row, row, ("t2", 2, 1001.0, "a", "b", 1.5, False, "")])
+    assert sorted(r.tx_hash for r in _shown(jobs.unique_transfers(stream), "unique_ones")) == ["t1", "t2"]
+
+
+def test_screened_stream(spark):
+    _, stream = _feed(spark, [("t1", 1, 1000.0, "a", "b", 1.5, False, ""), ("t2", 2, 1001.0, "c", "a", 1.5, False, ""), ("t3", 3, 1001.0, "old", "c", 1.5, False, "")])
+    watch = spark.createDataFrame([("a", 5000.0), ("old", 10.0)], "address string, expires_at double")
+    assert {tuple(r) for r in _shown(jobs.screened(stream, watch, 2000.0), "alerts")} == {("t1", "a", "from"), ("t2", "a", "to")}
+
+
+def test_keyed_table_takes_a_batch_again(spark):
+    path = tempfile.mkdtemp()
+    handle = jobs.keyed_table(path, ["k"], ["n"])
+    make = lambda rows: spark.createDataFrame(rows, "k string, n long")
+    handle(make([("a", 1), ("b", 5)]), 0)
+    for _ in range(2):
+        handle(make([("a", 2), ("b", 3), ("c", 1)]), 1)
+    assert {tuple(r) for r in spark.read.parquet(f"{path}/version=1").collect()} == {("a", 2), ("b", 5), ("c", 1)}

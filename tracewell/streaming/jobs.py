@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.functions.scalar import exact_sum
+from tracewell.operators.etl import keep_latest
 from tracewell.operators.relational import role_union
 from tracewell.operators.risk import screen
 from tracewell.schema import TRANSFERS
@@ -37,3 +38,19 @@ def windowed_rollup(stream: DataFrame, width: str = "12 hours", step: str = "6 h
     """(address, window): sides and sums in sliding windows; rows later than ``late`` are left out."""
     sides = role_union(stream).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", late)
     return sides.groupBy("address", F.window("event_time", width, step)).agg(F.count("*").alias("n"), exact_sum("value").alias("total"))
+
+
+def keyed_table(path: str, key: list[str], by: list[str]) -> Callable[[DataFrame, int], None]:
+    """A handler that keeps one row a key in versions of the table at ``path``: the greatest by ``by`` of what is there and each batch.
+
+    Each batch writes the folder of its own number from the one before it, so a batch that is delivered again, after a failure
+    or out of a lost executor, gives the same table.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number:
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={number - 1}").unionByName(batch)
+        keep_latest(rows, key, by).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return handle
