@@ -4,7 +4,7 @@ Documents become token pieces in one Arrow pass. Only the histogram of piece len
 ``max_len`` numbers) reaches the driver: patterns of few lengths that fill a sequence exactly are
 fitted to it by non-negative least squares, rounded down, and what is left of the histogram is
 packed best fit, longest first. The plan is a list of length patterns with counts; pieces find
-their place by their rank among pieces of the same length, which is counted in salted groups.
+their place by their rank among pieces of the same length, which is counted in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from tracewell.llm.storage import materialise
 
 #: Encodings that a worker keeps over its tasks in each of two generations. Words that are learnt at once.
 CACHE_WORDS, BATCH_WORDS = 500_000, 1_500_000
-SALTS = 64
+#: Pieces of one length that are ranked together.
+RANKED = 500_000
 
 
 class WordIds:
@@ -231,14 +232,15 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
 
     A null or empty text is the one id ``end_id``. Repeated rows are packed as often as they come.
     An empty table gives no rows. Columns other than doc_id and text are ignored; a null doc_id is
-    packed like any other. Sequence ids are dense from 0, offsets gapless from 0.
+    packed like any other. Very long texts are read whole; pieces of one length are interchangeable, and go in the order of a hash, doc_id and piece. Sequence ids are dense from 0, offsets gapless from 0.
     """
     spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, tokenizer_path, max_len, end_id), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
-    # both tables below have at most max_len * SALTS rows
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    # a length's pieces are ranked in as many parts as they fill; both small tables have a row a length, or a part
+    parts = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "length long, parts long")
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
     sizes = salted.groupBy("length", "salt").count()
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))

@@ -234,7 +234,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     ids are those of the model's own library. round_trip: decoding them gives the text back, which holds
     unless it has U+2581 or broken characters. A null or empty text has no ids and round-trips.
-    Repeated rows give repeated rows, an empty table gives none, other columns are ignored.
+    Repeated rows give repeated rows, an empty table gives none, other columns are ignored. Very long texts are read whole;
+    of merges with equal scores the leftmost is made first.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,7 +272,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     a pair misses with probability 4.7e-8 at 0.8. Texts of the same shingles
     are one candidate, so copies cost one row. A-Z is lower-cased, words split at ASCII white space;
     a text of fewer than five words is one shingle.
-    Null and blank texts are one group. Repeated rows leave one. A null doc_id stays only if its
+    Null and blank texts are one group. Very long texts are read whole. Repeated rows leave one; of rows with the same least
+    doc_id, the one of the least text hash stays. Names of other columns may clash with those used inside. A null doc_id stays only if its
     group has no other. An empty table gives none.
     """
     own = materialise(sketched(docs), "sketches")

@@ -240,7 +240,12 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), one row a page, as read back from archives in the shared folder."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), one row a page, as read back from archives in the shared folder.
+
+    A null html is an empty payload; very long ones are written and read whole. Rows of one page_id are records of their own; of equal payloads the
+    one with the largest page_id is the response, and so are all rows of that id. A null page_id comes back null. An empty table gives no rows; columns other than
+    page_id, url and html are ignored, whatever their names.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(pages, path, min_bytes)
