@@ -43,10 +43,18 @@ def with_entities(transfers: DataFrame, members: DataFrame) -> DataFrame:
     return transfers.join(a, "from_address").join(b, "to_address")
 
 
-def entity_edges(transfers: DataFrame, members: DataFrame) -> DataFrame:
-    """(src, dst): sum, count, times and sorted hashes of transfers between different entities."""
-    own = with_entities(transfers, members).where("from_entity <> to_entity")
-    return own.groupBy(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst")).agg(exact_sum("value").alias("total"), F.count("*").alias("tx_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("tx_hash")).alias("tx_hashes"))
+def some_hashes(rows: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """(keys, ``name``): the first ``most`` distinct hashes of each key, in order. They are cut before the shuffle, so a hot key sends no more than that from each task."""
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy("tx_hash"))
+    first = rows.select(*keys, "tx_hash").withColumn("_place", place).where(F.col("_place") <= most)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_set("tx_hash")).alias(name))
+
+
+def entity_edges(transfers: DataFrame, members: DataFrame, most: int = 20) -> DataFrame:
+    """(src, dst): sum, count, times and the first ``most`` hashes of transfers between different entities."""
+    own = with_entities(transfers, members).where("from_entity <> to_entity").select(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"), "value", "ts", "tx_hash")
+    sums = own.groupBy("src", "dst").agg(exact_sum("value").alias("total"), F.count("*").alias("tx_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return sums.join(some_hashes(own, ["src", "dst"], most, "tx_hashes"), ["src", "dst"])
 
 
 def entity_profile(transfers: DataFrame, members: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def address_degree(spark, sf_dir):
 def address_stats(spark, sf_dir):
     side = lambda r: F.sum(F.when(F.col("role") == r, F.col("value")).otherwise(0)).cast("double")
     rows = R.role_union(trade_transfers(spark, sf_dir))
-    return rows.groupBy("address").agg(side("in").alias("total_in"), side("out").alias("total_out"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("tx_count"), F.array_join(F.slice(F.array_sort(F.collect_set("tx_hash")), 1, 5), ",").alias("some_hashes"))
+    return rows.groupBy("address").agg(side("in").alias("total_in"), side("out").alias("total_out"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("tx_count")).join(R.some_hashes(rows, ["address"], 5, "h").select("address", F.array_join("h", ",").alias("some_hashes")), "address")
 
 
 ENT = f"{EV}, {MEMBERS}, ent AS (SELECT ev.*, a.entity AS fe, b.entity AS te FROM ev JOIN members a ON from_address = a.address JOIN members b ON to_address = b.address)"
@@ -51,7 +51,7 @@ def entity_profile(spark, sf_dir):
     return R.entity_profile(event_transfers(spark, sf_dir), members(spark, sf_dir))
 
 
-@query(f"""WITH {ENT} SELECT fe AS src, te AS dst, {_SUM.format('value')} AS total, count(*) AS tx_count, min(ts) AS first_ts, max(ts) AS last_ts, array_to_string(list_sort(list(DISTINCT tx_hash)), ',') AS tx_hashes FROM ent WHERE fe <> te GROUP BY ALL""")
+@query(f"""WITH {ENT} SELECT fe AS src, te AS dst, {_SUM.format('value')} AS total, count(*) AS tx_count, min(ts) AS first_ts, max(ts) AS last_ts, array_to_string(list_sort(list(DISTINCT tx_hash))[1:20], ',') AS tx_hashes FROM ent WHERE fe <> te GROUP BY ALL""")
 def entity_edges(spark, sf_dir):
     return R.entity_edges(event_transfers(spark, sf_dir), members(spark, sf_dir)).withColumn("tx_hashes", F.array_join("tx_hashes", ","))
 
