@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.storage import materialise
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -137,7 +139,14 @@ def ranked_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
     """
     words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+"))
     counts = docs.select(F.explode(words).alias("word")).where(F.length("word").between(*LETTERS)).groupBy("word").agg(F.count("*").alias("n"))
-    found = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # tasks send only words of the steps of frequency that are needed, an eighth of an octave each
+    counts = materialise(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    held, least = 0, 0
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        held, least = held + r["count"], r["step"]
+        if held >= most:
+            break
+    found = [r["word"] for r in counts.where(F.col("step") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
     return list(dict.fromkeys([*WORDS, *found]))
 
 
