@@ -31,3 +31,9 @@ def test_packing(spark):
     want = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(TEXTS)}
     got = packing.pack(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), path).collect()
     assert {r.doc_id: r.ids_crc32 for r in got} == want
+
+
+def test_batches_without_words():
+    known = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert known.encode([], 0) == [] and known.ids(set()) == {}
+    assert known.encode(["", "A, a."], 0) == [b"\0" * 4, known.encode(["a , a ."], 0)[0]]

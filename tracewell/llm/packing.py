@@ -64,6 +64,8 @@ class WordIds:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         names, joined = list(words), " ".join(words)
+        if not names:
+            return {}
         if joined.isascii():
             cores = joined.lower().split(" ")
         else:
