@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import langid, linededup, media, neighbours, packing, pieces, secrets, simhash, substrings, warc
+from tracewell.llm import codes, langid, linededup, media, neighbours, packing, pieces, secrets, sharding, simhash, substrings, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs, words=secrets.ranked_words(docs)).drop("redacted")
 
 
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_rows(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_best_fit_packing, op2_warc, op3_simhash, op4_chroma_fingerprints, op5_sentencepiece, op6_substring_dedup, op7_line_dedup, op8_nearest_neighbours, op9_language_id, op10_secret_scan)
+    own = (op1_best_fit_packing, op2_warc, op3_simhash, op4_chroma_fingerprints, op5_sentencepiece, op6_substring_dedup, op7_line_dedup, op8_nearest_neighbours, op9_language_id, op10_secret_scan, op11_hilbert_sharding, op12_vector_codes, op13_embedding_whitening)
     return {f.__name__: f for f in own}
 
 
@@ -88,4 +100,4 @@ FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_line_dedup": linededup.SQL}
+    return {"op2_warc": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_line_dedup": linededup.SQL, "op11_hilbert_sharding": sharding.SQL, "op12_vector_codes": codes.SQL}
