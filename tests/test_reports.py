@@ -12,8 +12,10 @@ from test_detectors import edges
 
 from tracewell.config import EngineConfig
 from tracewell.functions import scalar as S
-from tracewell.operators import placement
+from tracewell.operators import placement, strong
 from tracewell.operators import reports as A
+from tracewell.operators.strong import strongly_connected
+from tracewell.sources.storage import materialise
 
 
 def test_strong_components_match_brute_force(spark):
@@ -25,9 +27,25 @@ def test_strong_components_match_brute_force(spark):
             reach[a] |= reach[b]
     want = {x: min(y for y in reach[x] if x in reach[y]) for x in reach}
     want = {x: c for x, c in want.items() if sum(v == c for v in want.values()) > 1}
-    got = placement.strongly_connected(spark.createDataFrame(sorted(pairs), "a long, b long"))
-    assert {r.node: r.component for r in got.collect()} == want and len(want) > 5
-    assert placement.strongly_connected(spark.createDataFrame([(1, 2)], "a long, b long")).count() == 0
+    for one_task in (0, 100_000):
+        got = strongly_connected(spark.createDataFrame(sorted(pairs), "a long, b long"), one_task=one_task)
+        assert {r.node: r.component for r in got.collect()} == want and len(want) > 5
+    odd = spark.createDataFrame([("a", "b"), ("a", "a"), (None, "a"), ("b", None), ("c", "d"), ("d", "c"), ("d", "c")], "a string, b string")
+    for one_task in (0, 100_000):
+        assert {tuple(r) for r in strongly_connected(odd, one_task=one_task).collect()} == {("c", "c"), ("d", "c")}
+        assert strongly_connected(odd.where("false"), one_task=one_task).count() == 0
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_long_chains_and_rings_take_few_joins(spark, closed, monkeypatch):
+    """10,000 nodes in any order: 15 steps of pointers, where a step an edge would take as many as nodes."""
+    written = []
+    monkeypatch.setattr(strong, "materialise", lambda df, name: (written.append(name), materialise(df, name))[1])
+    order = random.Random(3).sample(range(10_000), 10_000)
+    edges = list(zip(order, order[1:])) + [(order[-1], order[0])] * closed
+    got = strongly_connected(spark.createDataFrame(edges, "a long, b long"), one_task=0)
+    assert {tuple(r) for r in got.collect()} == ({(x, 0) for x in range(10_000)} if closed else set())
+    assert written.count("up") <= 20
 
 
 def test_entities(spark):

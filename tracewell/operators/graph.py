@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.small import ONE_TASK, finish_components
 from tracewell.sources.storage import cut, materialise
 
 
@@ -32,14 +33,14 @@ def pointer_roots(parent: DataFrame) -> DataFrame:
         parent = parent.select("u", "p")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 64, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) of each node of the string or number pairs ``edges`` (a, b); root is the least node reachable.
 
     Each round hooks every node to its least neighbour, follows the chains to their roots and contracts the edges to
     them. A root that stays for two rounds has taken in at least one node, so a component's nodes halve every
     two rounds; a chain of n nodes in any order needs O(log n) joins. Nodes that occur in self loops only are their own
     root; null ends are ignored; no edges give no rows. Hubs meet a map-side combined ``min`` and joins
-    that adaptive execution can split.
+    that adaptive execution can split. The last ``one_task`` edges are left to one task.
     """
 
     def canonical(df: DataFrame) -> DataFrame:
@@ -49,14 +50,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     current, labels = materialise(canonical(given), "edges"), None
     alone = given.where("a = b").select(F.col("a").alias("node")).distinct()
     for _ in range(max_rounds):
-        if current.isEmpty():
+        if not (many := current.count()):
             break
-        parent = pointer_roots(undirected(current).groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
+        if many <= one_task:
+            parent = materialise(finish_components(current), "roots").select(F.col("node").alias("u"), F.col("root").alias("p"))
+        else:
+            parent = pointer_roots(undirected(current).groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             step = parent.select(F.col("u").alias("root"), "p")
             labels = materialise(labels.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
+        if many <= one_task:
+            break
         a, b = (parent.select(F.col("u").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
         current = materialise(canonical(current.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
     else:

@@ -15,6 +15,7 @@ from tracewell.functions.scalar import clamp, exact_sum, stable_id
 from tracewell.operators.graph import connected_components
 from tracewell.operators.heuristics import gate
 from tracewell.operators.relational import top_per_group, variation, with_entities
+from tracewell.operators.strong import strongly_connected
 from tracewell.sources.storage import cut, materialise
 
 LEAST, CUTOFF = 0.55, 0.25
@@ -179,39 +180,6 @@ def labels(traces: DataFrame, placed: DataFrame, ranked: DataFrame, validation:
 VALIDATION = {"existing": 0.82, "enhanced": 0.72, "generated": 0.64, "address_fallback": 0.48}
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, component) of the nodes of directed ``edges`` (a, b) on a cycle; component is the least node that each reaches and is reached by.
-
-    The least node that reaches each node, and the least each reaches, are found by rounds of joins; where both are the same node, that
-    is a component, and it is taken out; edges whose ends differ in either go too, as no cycle crosses them. Repeated until no edges are left.
-    """
-
-    def least(current: DataFrame, source: str, target: str) -> DataFrame:
-        nodes = current.select(F.col("a").alias("node")).unionByName(current.select(F.col("b").alias("node"))).distinct()
-        best = materialise(nodes.withColumn("low", F.col("node")), "least")
-        for _ in range(max_rounds):
-            coming = current.join(best.withColumnRenamed("node", source), source).groupBy(F.col(target).alias("node")).agg(F.min("low").alias("new"))
-            grown = best.join(coming, "node", "left").select("node", F.least("low", "new").alias("low"), (F.col("new") < F.col("low")).alias("moved"))
-            grown = materialise(grown, "least")
-            best = grown.select("node", "low")
-            if grown.where("moved").isEmpty():
-                return best
-        raise RuntimeError(f"reach did not settle in {max_rounds} rounds")
-
-    current, found = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
-    while not current.isEmpty():
-        marks = least(current, "a", "b").withColumnRenamed("low", "from_low").join(least(current, "b", "a").withColumnRenamed("low", "to_low"), "node")
-        marks = materialise(marks, "marks")
-        done = marks.where("from_low = to_low").select("node", F.col("from_low").alias("component"))
-        found = done if found is None else found.unionByName(done)
-        a, b = (marks.select(F.col("node").alias(c), F.col("from_low").alias(f"f{c}"), F.col("to_low").alias(f"t{c}")) for c in "ab")
-        current = materialise(current.join(a, "a").join(b, "b").where("fa = fb and ta = tb and fa <> ta").select("a", "b"), "edges")
-    if found is None:
-        return edges.where("false").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return found.join(several, "component", "left_semi").select("node", "component")
-
-
 def resolve_entities(transfers: DataFrame, links: DataFrame, clusters: DataFrame, cfg: EngineConfig) -> DataFrame:
     """(address, entity, entity_type, source_kind, confidence, n_addresses, signals) of every address that transfers.
 
