@@ -1,5 +1,9 @@
-"""Connected components, as the library has them."""
+"""Connected components, as the library has them, in joins to the last edge."""
 
-from tracewell.operators.graph import connected_components
+from functools import partial
+
+from tracewell.operators import graph
+
+connected_components = partial(graph.connected_components, one_task=0)
 
 __all__ = ["connected_components"]
