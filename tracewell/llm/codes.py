@@ -22,7 +22,7 @@ from tracewell.llm.vectors import matrix, scaled_vectors
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Blocks of a part at each level of the bounds; rows that are worked on at once.
-LEVELS, ROWS = (1, 2, 4), 1024
+LEVELS, ROWS = (1, 2, 4, 8), 1024
 #: Bounds are lowered by a share of both squared norms and a constant, more than what the rounding of doubles can add to them: a residual norm
 #: near zero is off by up to 1e-8 of its vector's norm.
 RELATIVE, ABSOLUTE = 1e-7, 1e-3
@@ -36,6 +36,7 @@ class Codebook:
         width = entries.shape[1]
         self.cuts = [np.unique(np.linspace(0, width, min(blocks, width) + 1).astype(int)) for blocks in LEVELS]
         self.levels = [self._sketch(self.entries, cut) for cut in self.cuts]
+        self.norms = (self.entries * self.entries).sum(axis=1)
 
     @staticmethod
     def _sketch(rows: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,22 +57,19 @@ class Codebook:
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """(index, squared distance) of the nearest entry of each row, ties to the lower index; how many distances were computed."""
-        (sums, rest), (of, left) = self._sketch(rows, self.cuts[0]), self.levels[0]
-        slack = ABSOLUTE + RELATIVE * ((rows * rows).sum(axis=1)[:, None] + (self.entries * self.entries).sum(axis=1)[None, :]).astype(float)
-        bound = (rest[:, None] - left[None, :]) ** 2
-        for b in range(of.shape[1]):
-            bound += (sums[:, b, None] - of[None, :, b]) ** 2
-        guess = bound.argmin(axis=1)
-        known = ((rows - self.entries[guess]) ** 2).sum(axis=1)
-        r, e = np.nonzero(bound - slack <= known[:, None])
-        for (of, left), cut in zip(self.levels[1:], self.cuts[1:], strict=True):
+        slack = ABSOLUTE + RELATIVE * np.add.outer((rows * rows).sum(axis=1), self.norms).astype(float)
+        known, open_ = np.full(len(rows), np.inf), None
+        for cut, (of, left) in zip(self.cuts, self.levels, strict=True):
             sums, rest = self._sketch(rows, cut)
-            finer = ((sums[r] - of[e]) ** 2).sum(axis=1) + (rest[r] - left[e]) ** 2
+            # sum of squared differences of block sums and of residual norms, as one product of matrices
+            mine, theirs = np.column_stack([sums, rest]), np.column_stack([of, left])
+            bound = np.add.outer((mine * mine).sum(axis=1), (theirs * theirs).sum(axis=1)) - 2 * mine @ theirs.T - slack
             # the entry of least bound is as a rule near: its distance tightens what is known
-            best = self._lowest(r, finer, len(rows))
-            known = np.minimum(known, ((rows - self.entries[e[best]]) ** 2).sum(axis=1))
-            stay = finer - slack[r, e] <= known[r]
-            r, e = r[stay], e[stay]
+            guess = bound.argmin(axis=1)
+            known = np.minimum(known, ((rows - self.entries[guess]) ** 2).sum(axis=1))
+            fits = bound <= known[:, None]
+            open_ = fits if open_ is None else open_ & fits
+        r, e = np.nonzero(open_)
         exact = ((rows[r] - self.entries[e]) ** 2).sum(axis=1)
         best = self._lowest(r, exact, len(rows))
         return e[best], exact[best], len(exact)
