@@ -1,3 +1,4 @@
+import os
 import tempfile
 
 from tracewell.schema import TRANSFERS
@@ -59,9 +60,30 @@ def test_screened_stream(spark):
 
 def test_keyed_table_takes_a_batch_again(spark):
     path = tempfile.mkdtemp()
-    handle = jobs.keyed_table(path, ["k"], ["n"])
+    handle = jobs.keyed_table(path, ["k"], ["n"], buckets=8)
     make = lambda rows: spark.createDataFrame(rows, "k string, n long")
+    store = jobs.keyed_store(spark, path, make([]).schema, ["k"], 8)
+    assert store.read("rows").count() == 0
     handle(make([("a", 1), ("b", 5)]), 0)
     for _ in range(2):
         handle(make([("a", 2), ("b", 3), ("c", 1)]), 1)
-    assert {tuple(r) for r in spark.read.parquet(f"{path}/version=1").collect()} == {("a", 2), ("b", 5), ("c", 1)}
+    assert {tuple(r) for r in store.read("rows").collect()} == {("a", 2), ("b", 5), ("c", 1)}
+    for number in (2, 3, 4):
+        handle(make([("d", number)]), number)
+    assert {tuple(r) for r in store.read("rows").collect()} == {("a", 2), ("b", 5), ("c", 1), ("d", 4)}
+    # buckets without a key of the batch are those of the commit that wrote them, and older versions of the others are gone
+    of = {k: store.touched("rows", make([(k, 0)]))[0] for k in "ad"}
+    held = store.last()[1]["rows"]
+    assert held[str(of["d"])] == 4 and (of["a"] == of["d"] or held[str(of["a"])] == 1)
+    assert not os.path.exists(f"{path}/rows/commit=2/bucket={of['d']}")
+
+
+def test_what_a_failed_commit_wrote_is_not_seen(spark):
+    path = tempfile.mkdtemp()
+    make = lambda rows: spark.createDataFrame(rows, "k string, n long")
+    store = jobs.keyed_store(spark, path, make([]).schema, ["k"], 4)
+    jobs.keyed_table(path, ["k"], ["n"], 4)(make([("a", 1)]), 0)
+    make([("a", 9)]).withColumn("bucket", store.bucket("rows")).write.partitionBy("bucket").parquet(f"{path}/rows/commit=1")
+    assert [tuple(r) for r in store.read("rows").collect()] == [("a", 1)]
+    jobs.keyed_table(path, ["k"], ["n"], 4)(make([("a", 2)]), 1)
+    assert [tuple(r) for r in store.read("rows").collect()] == [("a", 2)]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.config import EngineConfig
 from tracewell.functions.scalar import exact_sum, stable_id
 from tracewell.operators.graph import connected_components
+from tracewell.sources.storage import materialise
+from tracewell.sources.tables import KeyedStore
 
 
 def build_clusters(pairs: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -17,6 +20,47 @@ def build_clusters(pairs: DataFrame, cfg: EngineConfig) -> DataFrame:
     return roots.join(named, "root").select(F.col("node").alias("address"), "cluster_id", "size")
 
 
+def cluster_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedStore:
+    """Where clusters are kept between batches: roots by address, addresses by root, and each root's cluster."""
+    columns = lambda *names: T.StructType([T.StructField(n, T.LongType() if n == "size" else T.StringType()) for n in names])
+    return KeyedStore(spark, path, {"roots": (columns("address", "root"), ["address"]), "members": (columns("root", "address"), ["root"]), "clusters": (columns("root", "cluster_id", "size"), ["root"])}, buckets)
+
+
+def update_clusters(store: KeyedStore, number: int, pairs: DataFrame) -> DataFrame:
+    """Take the accepted ``pairs`` (a, b) of batch ``number`` into the store; (root, cluster_id, size) of the clusters that the batch made or changed.
+
+    Old clusters are single nodes, their roots; the batch's pairs join them. Only buckets with an address of the batch, and with a root that it touches, are read
+    and written, and only touched clusters are counted and named again. A batch that is committed already changes nothing.
+    """
+    ends = materialise(pairs.where("a is not null and b is not null and a <> b").select(F.explode(F.array("a", "b")).alias("address"), "a", "b"), "batch-ends")
+    who = ends.select("address").distinct()
+    near = store.touched("roots", who)
+    held = store.read("roots", near)
+    known = materialise(who.join(held, "address", "left").withColumn("was", F.col("root")).withColumn("root", F.coalesce("root", "address")), "batch-roots")
+    a, b = (known.select(F.col("address").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    between = ends.select("a", "b").distinct().join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    merged = materialise(connected_components(between).select(F.col("node").alias("was"), "root"), "merged-roots")
+    # what an old root held goes to its new root, and so does an address that had none
+    old = materialise(store.read("members", store.touched("members", merged, ["was"])).withColumnRenamed("root", "was").join(merged, "was"), "old-members")
+    fresh = known.where("was is null").select("address", F.col("root").alias("was")).join(merged, "was").select("address", "root")
+    now = materialise(old.select("address", "root").unionByName(fresh), "new-members")
+    named = materialise(now.groupBy("root").agg(stable_id("C-", F.collect_list("address")).alias("cluster_id"), F.count("*").alias("size")), "new-clusters")
+
+    def replaced(name: str, gone: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, list[int]]:
+        where = sorted({*store.touched(name, gone, [key]), *store.touched(name, rows, [key])})
+        return store.read(name, where).join(gone.select(key).distinct(), key, "left_anti").unionByName(rows.select(*store.tables[name][0].fieldNames())), where
+
+    moved = now.join(old.where("was = root").select("address"), "address", "left_anti")
+    gone = merged.select(F.col("was").alias("root"))
+    store.commit(number, {"roots": replaced("roots", moved, moved, "address"), "members": replaced("members", gone, now, "root"), "clusters": replaced("clusters", gone, named, "root")})
+    return named
+
+
+def stored_clusters(store: KeyedStore, cfg: EngineConfig) -> DataFrame:
+    """(address, cluster_id, size) of the store's clusters with at least ``min_cluster_size`` members."""
+    return store.read("members").join(store.read("clusters").where(F.col("size") >= cfg.min_cluster_size), "root").select("address", "cluster_id", "size")
+
+
 def evidence(links: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster_id, name, n, confidence) of links within a cluster, accepted or not; confidence is n over its size, at most 1."""
     a = members.select(F.col("address").alias("a"), "cluster_id", "size")

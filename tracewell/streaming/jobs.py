@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.functions.scalar import exact_sum
@@ -13,6 +14,7 @@ from tracewell.operators.etl import keep_latest
 from tracewell.operators.relational import role_union
 from tracewell.operators.risk import screen
 from tracewell.schema import TRANSFERS
+from tracewell.sources.tables import KeyedStore
 
 
 def read_transfers(spark: SparkSession, path: str) -> DataFrame:
@@ -40,17 +42,21 @@ def windowed_rollup(stream: DataFrame, width: str = "12 hours", step: str = "6 h
     return sides.groupBy("address", F.window("event_time", width, step)).agg(F.count("*").alias("n"), exact_sum("value").alias("total"))
 
 
-def keyed_table(path: str, key: list[str], by: list[str]) -> Callable[[DataFrame, int], None]:
-    """A handler that keeps one row a key in versions of the table at ``path``: the greatest by ``by`` of what is there and each batch.
+def keyed_store(spark: SparkSession, path: str, schema: T.StructType, key: list[str], buckets: int = 64) -> KeyedStore:
+    """The table that ``keyed_table`` keeps at ``path``."""
+    return KeyedStore(spark, path, {"rows": (schema, key)}, buckets)
 
-    Each batch writes the folder of its own number from the one before it, so a batch that is delivered again, after a failure
-    or out of a lost executor, gives the same table.
+
+def keyed_table(path: str, key: list[str], by: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A handler that keeps one row a key in the table at ``path``: the greatest by ``by`` of what is there and each batch.
+
+    A batch reads and writes the buckets of its own keys. One that is delivered again, after a failure or out of a lost executor, gives the same table.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={number - 1}").unionByName(batch)
-        keep_latest(rows, key, by).write.mode("overwrite").parquet(f"{path}/version={number}")
+        store = keyed_store(batch.sparkSession, path, batch.schema, key, buckets)
+        if number > store.last()[0]:
+            near = store.touched("rows", batch)
+            store.commit(number, {"rows": (keep_latest(store.read("rows", near).unionByName(batch), key, by), near)})
 
     return handle
