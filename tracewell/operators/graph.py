@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,16 +87,29 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def bounded_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
-    """(path, length) of simple directed cycles of 2 to ``longest`` distinct nodes, each from its least node."""
-    step = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    paths = step.where("v > u").select(F.array("u", "v").alias("path"))
-    found = None
+    """(path, length) of simple directed cycles of 2 to ``longest`` distinct nodes, each from its least node.
+
+    Two half paths meet: one goes out from the least node, one comes back to it, each of at most half the length, written once and used for all lengths that
+    need it. Halves whose ends no half of the other kind has are left out before they meet.
+    """
+    step = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
+
+    def halves(u: str, v: str, most: int) -> dict[int, DataFrame]:
+        on = step.select(F.col(u).alias("u"), F.col(v).alias("v"))
+        out = {1: on.where("v > u").select(F.col("u").alias("least"), F.col("v").alias("end"), F.array("u", "v").alias("path"))}
+        for n in range(2, most + 1):
+            grown = out[n - 1].join(on, F.col("end") == F.col("u")).where((F.col("v") > F.col("least")) & ~F.array_contains("path", F.col("v")))
+            out[n] = materialise(grown.select("least", F.col("v").alias("end"), F.concat("path", F.array("v")).alias("path")), "half-paths")
+        return out
+
+    there, back = halves("a", "b", (longest + 1) // 2), halves("b", "a", longest // 2)
+    found = []
     for n in range(2, longest + 1):
-        grown = paths.join(step, F.element_at("path", -1) == F.col("u"))
-        closed = grown.where(F.col("v") == F.col("path")[0]).select("path", F.lit(n).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        paths = grown.where((F.col("v") > F.col("path")[0]) & ~F.array_contains("path", F.col("v"))).select(F.concat("path", F.array("v")).alias("path"))
-    return found
+        f, b = (n + 1) // 2, n // 2
+        home = back[b].select("least", "end", F.slice("path", 2, b - 1).alias("rest")) if b > 1 else back[b].select("least", "end", F.slice("path", 1, 0).alias("rest"))
+        met = there[f].join(home, ["least", "end"]).where(~F.arrays_overlap("path", "rest"))
+        found.append(met.select(F.concat("path", F.reverse("rest")).alias("path"), F.lit(n).alias("length")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def path_members(cycles: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.config import EngineConfig
 from tracewell.operators.graph import bounded_cycles, path_members
 from tracewell.operators.joins import interval_join, pairs_within, similar
+from tracewell.sources.storage import materialise
 
 #: Heuristics that can carry a link by themselves.
 PRIMARY = ("behavioral_similarity", "contract_interaction", "fan_pattern", "loop_detection", "repeated_flow", "temporal_coordination")
@@ -57,14 +58,30 @@ def common_funder(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def behavioral_similarity(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """At least ``min_shared_counterparties`` common counterparties, or two at a Jaccard similarity of 0.75."""
+    """At least ``min_shared_counterparties`` common counterparties, or two at a Jaccard similarity of 0.75.
+
+    Counterparties are put in order, those of few nodes first. Two nodes that share ``least`` have one in common among all but their last ``least`` - 1, so a hub, which
+    comes last, brings nodes together only if rarer ones do. What two nodes share is then counted along the one with fewer counterparties. Two common ones reach
+    0.75 only if neither has another; such nodes are grouped by their two.
+    """
     own = meaningful(transfers, cfg, contracts=True, self_transfers=False)
     near = own.select(F.col("from_address").alias("u"), F.col("to_address").alias("peer")).unionByName(own.select(F.col("to_address").alias("u"), F.col("from_address").alias("peer"))).distinct()
+    least = max(2, cfg.min_shared_counterparties)
+    common = near.groupBy("peer").agg(F.count("*").alias("often")).where("often >= 2")
+    order = Window.partitionBy("u").orderBy("often", "peer")
+    # counterparties of one node only are shared by nobody, but count in a node's number
     degree = near.groupBy("u").agg(F.count("*").alias("d"))
-    shared = near.withColumnRenamed("u", "a").join(near.withColumnRenamed("u", "b"), "peer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2")
-    both = shared.join(degree.withColumnRenamed("u", "a").withColumnRenamed("d", "da"), "a").join(degree.withColumnRenamed("u", "b").withColumnRenamed("d", "db"), "b")
-    alike = F.col("n") / (F.col("da") + F.col("db") - F.col("n")) >= BEHAVIOUR_JACCARD
-    return both.where((F.col("n") >= cfg.min_shared_counterparties) | alike).select("a", "b")
+    held = materialise(near.join(common, "peer").withColumn("place", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("u"))), "counterparties")
+    prefix = held.where(F.col("place") <= F.col("shared") - (least - 1)).select("u", "peer", "shared")
+    a, b = (prefix.select("peer", F.col("u").alias(c), F.col("shared").alias(f"n{c}")) for c in "ab")
+    # a has fewer, ties by name
+    met = a.join(b, "peer").where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    both = met.join(held.select(F.col("u").alias("a"), "peer"), "a").join(held.select(F.col("u").alias("b"), "peer"), ["b", "peer"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    found = both.where(F.col("n") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if cfg.min_shared_counterparties <= 2:
+        return found
+    two = held.join(degree.where("d = 2").select("u"), "u", "left_semi").where("shared = 2").groupBy("u").agg(F.min("peer").alias("p"), F.max("peer").alias("q"))
+    return found.unionByName(pairs_within(two, ["p", "q"], "u")).distinct()
 
 
 def contract_interaction(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -100,10 +117,22 @@ def temporal_coordination(transfers: DataFrame, cfg: EngineConfig, least: int =
     return each.select("a", F.explode("s").alias("b")).where("a < b").distinct()
 
 
-def fan_pattern(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """All targets of a node that pays many, all senders of a node that many pay."""
+def fan_groups(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """(hub, member): the targets of each node that pays at least ``fan_threshold``, and the senders of each that as many pay."""
     flow = meaningful(transfers, cfg).select("from_address", "to_address").distinct()
-    return pairs_within(flow, ["from_address"], "to_address", cfg.fan_threshold).unionByName(pairs_within(flow, ["to_address"], "from_address", cfg.fan_threshold)).distinct()
+    out = flow.select(F.concat(F.lit("out:"), "from_address").alias("hub"), F.col("to_address").alias("member"))
+    groups = out.unionByName(flow.select(F.concat(F.lit("in:"), "to_address").alias("hub"), F.col("from_address").alias("member")))
+    many = groups.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, cfg.fan_threshold)).select("hub")
+    return groups.join(many, "hub", "left_semi")
+
+
+def fan_pattern(transfers: DataFrame, cfg: EngineConfig, among: DataFrame | None = None) -> DataFrame:
+    """All targets of a node that pays many, all senders of a node that many pay; with ``among`` (a, b) only the pairs of those, which are looked up and not made."""
+    groups = fan_groups(transfers, cfg)
+    if among is None:
+        return pairs_within(groups, ["hub"], "member")
+    met = among.select("a", "b").distinct().join(groups.withColumnRenamed("member", "a"), "a")
+    return met.join(groups.withColumnRenamed("member", "b"), ["b", "hub"], "left_semi").select("a", "b").distinct()
 
 
 def loop_detection(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -121,6 +150,14 @@ def all_links(transfers: DataFrame, cfg: EngineConfig, names: list[str] | None =
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def gated_links(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """(a, b, name) of all heuristics, for every pair that can pass the gate: of fans, where the gate asks for two heuristics or more, only the pairs that another one gives."""
+    if cfg.min_heuristic_support < 2:
+        return all_links(transfers, cfg)
+    other = materialise(all_links(transfers, cfg, [n for n in HEURISTICS if n != "fan_pattern"]), "links")
+    return other.unionByName(fan_pattern(transfers, cfg, other).withColumn("name", F.lit("fan_pattern")))
+
+
 def gate(links: DataFrame, cfg: EngineConfig) -> DataFrame:
     """(a, b, names) of pairs with enough heuristics, a primary one among them."""
     pairs = links.groupBy("a", "b").agg(F.array_sort(F.collect_set("name")).alias("names"))

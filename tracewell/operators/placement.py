@@ -27,20 +27,37 @@ def entity_flows(transfers: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def structuring(flows: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """The best window of like amounts; a window ends at one transfer, of equal times at the later hash."""
-    order = Window.partitionBy("dst").orderBy("ts", "tx_hash")
-    ranked = flows.select("dst", "src", "ts", "value", F.row_number().over(order).alias("k"))
-    right = ranked.select("dst", F.col("ts").alias("rts"), F.col("k").alias("rk"))
-    # time buckets of the window's width keep the join linear in what windows hold
-    w = cfg.structuring_window
-    right = right.withColumn("b", F.explode(F.array(F.floor(F.col("rts") / w), F.floor(F.col("rts") / w) - 1)))
-    met = ranked.withColumn("b", F.floor(F.col("ts") / w)).join(right, ["dst", "b"]).where((F.col("k") <= F.col("rk")) & (F.col("rts") - F.col("ts") <= w))
-    agg = met.groupBy("dst", "rk").agg(F.count("*").alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("pos"), variation(F.col("value")).alias("cv"), exact_sum("value").alias("total"), F.countDistinct("src").alias("senders"))
-    fits = agg.where((F.col("n") >= cfg.structuring_min_tx) & (F.col("pos") >= cfg.structuring_min_tx) & (F.col("cv") <= cfg.structuring_max_cv))
+    """The best window of like amounts; a window ends at one transfer, of equal times at the later hash.
+
+    A window's counts and moments are those of all transfers up to its end less those before its start: two running frames over one sort, linear in a receiver's
+    transfers. Moments are of amounts to eight places, exact. Three senders are in a window if the last transfer of the third
+    latest one is: times at which senders take turns tell it, again by running frames.
+    """
+    w = Window.partitionBy("dst")
+    order = w.orderBy("t", "tx_hash")
+    till, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    before = w.orderBy("t").rangeBetween(Window.unboundedPreceding, -int(cfg.structuring_window * 1_000_000) - 1)
+    x = F.when(F.col("value") > 0, F.col("value").cast("decimal(20,8)"))
+    own = flows.select("dst", "src", "tx_hash", F.round(F.col("ts") * 1_000_000).cast("long").alias("t"), F.lit(1).alias("one"), F.when(F.col("value") > 0, 1).otherwise(0).alias("pos"), x.alias("x"), (x * x).cast("decimal(38,12)").alias("xx"), F.col("value").cast("decimal(18,2)").alias("cents"))
+    none = F.lit(0)
+    within = lambda c: F.coalesce(F.sum(c).over(till), none) - F.coalesce(F.sum(c).over(before), none)
+    last_src, last_t = F.lag("src").over(order), F.lag("t").over(order)
+    own = own.withColumns({"rk": F.row_number().over(order), "n": within("one"), "n_pos": within("pos"), "s1": within("x"), "s2": within("xx"), "total": within("cents").cast("double"), "last_src": last_src, "last_t": last_t})
+    # at the first transfer of a sender's turn: who had the turn before the last one, and when it ended
+    turn = F.col("last_src").isNotNull() & (F.col("last_src") != F.col("src"))
+    own = own.withColumn("two_back", F.last(F.when(turn, F.struct("last_src", "last_t")), ignorenulls=True).over(earlier))
+    third = F.when(turn & (F.col("two_back.last_src") != F.col("src")), F.col("two_back.last_t"))
+    own = own.withColumn("third", F.last(third, ignorenulls=True).over(till))
+    three = F.coalesce(F.col("third") >= F.col("t") - int(cfg.structuring_window * 1_000_000), F.lit(False))
+    mean = F.col("s1").cast("double") / F.greatest("n_pos", F.lit(1))
+    # n * sum of squares - square of the sum has no rounding before the root
+    spread = (F.col("n_pos").cast("decimal(12,0)") * F.col("s2")).cast("double") - F.col("s1").cast("double") * F.col("s1").cast("double")
+    cv = F.when(F.col("n_pos") < 2, 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0))) / F.col("n_pos") / F.greatest(mean, F.lit(1e-9)))
+    fits = own.withColumn("cv", cv).where((F.col("n") >= cfg.structuring_min_tx) & (F.col("n_pos") >= cfg.structuring_min_tx) & (F.col("cv") <= cfg.structuring_max_cv))
     m = float(cfg.structuring_min_tx)
-    conf = clamp(0.35 * F.least(F.lit(1.0), F.col("n") / (2 * m)) + 0.35 * (1 - F.least(F.lit(1.0), F.col("cv") / cfg.structuring_max_cv)) + 0.30 * F.least(F.lit(1.0), F.col("total") / max(cfg.high_value, 1.0)) + F.when(F.col("senders") >= 3, 0.05).otherwise(0.0))
-    best = top_per_group(fits.withColumn("confidence", F.round(conf, 4)), ["dst"], [F.desc("confidence"), F.col("rk")], 1)
-    return best.select(F.col("dst").alias("entity"), F.lit("structuring").alias("behavior"), "confidence").where(F.col("confidence") >= LEAST)
+    conf = clamp(0.35 * F.least(F.lit(1.0), F.col("n") / (2 * m)) + 0.35 * (1 - F.least(F.lit(1.0), F.col("cv") / cfg.structuring_max_cv)) + 0.30 * F.least(F.lit(1.0), F.col("total") / max(cfg.high_value, 1.0)) + F.when(three, 0.05).otherwise(0.0))
+    best = fits.groupBy(F.col("dst").alias("entity")).agg(F.max(F.struct(F.round(conf, 4).alias("confidence"), (-F.col("rk")).alias("first"))).alias("best"))
+    return best.select("entity", F.lit("structuring").alias("behavior"), F.col("best.confidence").alias("confidence")).where(F.col("confidence") >= LEAST)
 
 
 def smurfing(flows: DataFrame, profiles: DataFrame, cfg: EngineConfig) -> DataFrame:

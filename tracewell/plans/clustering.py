@@ -12,7 +12,7 @@ from tracewell.plans.base import QUERIES, ORACLES, query, table
 from tracewell.sources.transfers import EV, HV, event_transfers, purchase_transfers
 
 #: Event times are hours apart, so spans are days.
-CFG = EngineConfig(min_shared_counterparties=2, temporal_window=21600, fan_threshold=3, cashout_window=86400, pass_through_window=86400 * 30, amount_ratio=0.3, loop_max_depth=5)
+CFG = EngineConfig(min_shared_counterparties=2, temporal_window=21600, fan_threshold=3, cashout_window=86400, pass_through_window=86400 * 30, amount_ratio=0.3, loop_max_depth=6)
 
 
 def _meant(src: str, contracts: bool = False, self_transfers: bool = False) -> str:
@@ -114,13 +114,17 @@ def _links(spark, sf_dir):
     return H.all_links(purchase_transfers(spark, sf_dir), CFG, _USED)
 
 
+def _gated(spark, sf_dir):
+    return H.gate(H.gated_links(purchase_transfers(spark, sf_dir), _gate_cfg()), _gate_cfg())
+
+
 def _members(spark, sf_dir):
-    return C.build_clusters(H.gate(_links(spark, sf_dir), _gate_cfg()), CFG)
+    return C.build_clusters(_gated(spark, sf_dir), CFG)
 
 
 @query(f"WITH RECURSIVE {GATED} SELECT * FROM gated")
 def pair_gate(spark, sf_dir):
-    return H.gate(_links(spark, sf_dir), _gate_cfg()).withColumn("names", F.array_join("names", ","))
+    return _gated(spark, sf_dir).withColumn("names", F.array_join("names", ","))
 
 
 @query(f"WITH RECURSIVE {CLUSTERED} SELECT * FROM members")
