@@ -99,3 +99,30 @@ def test_vectors_of_several_lengths(spark):
     rows = [(i, [1.0 + i, 2.0]) for i in range(30)] + [(100 + i, [1.0, 2.0, 3.0 + i]) for i in range(30)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
     assert {r.query_id for r in got} == {0, 20, 100, 120} and all((r.query_id < 100) == (r.vec_id < 100) for r in got)
+
+
+def test_recall_on_the_given_table(spark):
+    """At least 0.9 of the true nearest, and exact scores, on the vectors of a given table."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids = np.array(sorted(rows))
+    m = np.array([rows[i] for i in ids])
+    found = {}
+    for r in neighbours.nearest(table).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hit = total = 0
+    for q in ids[ids % 20 == 0]:
+        score = m @ rows[q]
+        best = [int(ids[i]) for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        hit, total = hit + len(set(best) & set(found[q])), total + len(best)
+        assert all(abs(s - rows[q] @ rows[v]) < 1e-9 for v, s in found[q].items())
+    assert len(found) == np.count_nonzero(ids % 20 == 0) and hit >= 0.9 * total
+
+
+def test_where_no_share_is_enough_all_are_compared(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(18, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(table, k=5, every=3).collect()}
+    assert got == {(q, int(i)) for q in range(0, 18, 3) for i in [x for x in np.argsort(-(m @ m[q]), kind="stable") if x != q][:5]}
+    assert neighbours.enough_share(neighbours.Forest(m.astype(np.float32), 18, 2), m, 20) is None

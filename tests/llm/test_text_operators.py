@@ -1,6 +1,7 @@
 """Text operators against brute force, on ordinary documents and odd ones."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -261,6 +262,42 @@ def test_lines(spark):
     assert wide.columns == table.columns and {r.doc_id: r.text for r in wide.collect()} == {i: r.kept_text for i, r in got.items()}
 
 
+def _words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+
+
+@pytest.mark.parametrize(
+    "lines, own",
+    [
+        (["Accept all cookies to continue reading this site now"], 4), (["Accept all cookies to continue reading this site now"], 40),
+        (["Licensed under the terms of the public licence", "Provided as it is without warranty of any kind", "Copies must retain this notice in full"], 16),
+        ([f"Menu entry {w} of this site" for w in ("one", "two", "three", "four", "five", "six")], 20),
+    ],
+)
+def test_boilerplate_goes_however_much_of_a_page_it_is(spark, lines, own):
+    """Banner, licence and menu pages with a line of their own each: nearly all of the repeated lines go, and none of the others."""
+    rng = random.Random(len(lines) + own)
+    rows = [(i, "\n".join([*lines, _words(rng, own)])) for i in range(200)]
+    # long pages that carry the same lines, and near copies of one text, whose lines stay
+    rows += [(1000 + i, "\n".join([_words(rng, 60), *lines, _words(rng, 60)])) for i in range(3)]
+    story = [_words(rng, 25) for _ in range(10)]
+    rows += [(2000 + i, "\n".join([*story[: i % 10], _words(rng, 25), *story[i % 10 + 1 :]])) for i in range(60)]
+    got = {r.doc_id: r for r in linededup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pages = [got[i] for i, _ in rows if i < 2000]
+    assert sum(r.n_dropped for r in pages) >= 0.9 * len(lines) * len(pages)
+    assert all(text.split("\n")[-1] in got[i].kept_text for i, text in rows if i < 2000)
+    assert all(got[i].n_dropped == 0 for i, _ in rows if i >= 2000)
+
+
+def test_shifted_copies_count_once(spark):
+    """Texts that share most of their lines are one, though none has all of them."""
+    rng = random.Random(1)
+    story = [_words(rng, 20) for _ in range(40)]
+    rows = [(i, "\n".join(story[i : i + 20])) for i in range(6)]
+    got = linededup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_dropped for r in got) == 0
+
+
 def test_languages(spark, docs):
     model = langid.fit(docs)
     got = langid.identify(docs, model).collect()
@@ -324,6 +361,12 @@ def _cuts(g, value):
 
     one = math.log10(g._alphabet(value))
     spans = [*g.spans(value), *((i, i + 1, "brute", one) for i in range(len(value)))]
+    low, n = value.lower(), len(value)
+    for i in range(n):
+        for unit in range(1, (n - i) // 2 + 1):
+            times = next(t for t in range(1, n + 1) if low[i + unit * t : i + unit * (t + 1)] != low[i : i + unit])
+            if times > 1 and unit * times >= 3:
+                spans.append((i, i + unit * times, "repeat", min(sum(c for *_, c in x) for x in _cuts(g, value[i : i + unit])) + math.log10(times)))
 
     def go(at):
         if at == len(value):
@@ -337,7 +380,7 @@ def _cuts(g, value):
     yield from go(0)
 
 
-@pytest.mark.parametrize("value", ["letmein1999", "aab#aab#", "qwerty12ab", "Love2024!", "zyx987zyx", "p4ssword"])
+@pytest.mark.parametrize("value", ["letmein1999", "aab#aab#", "qwerty12ab", "Love2024!", "zyx987zyx", "p4ssword", "dlovelove", "abxabxab", "aaaabaaaab"])
 def test_guess_cost_is_the_least_of_all_cuts(value):
     g = secrets.GuessCost(["password", "love", "letmein", "ab"])
     cost, cut = g.segment(value)

@@ -6,9 +6,9 @@ place, makes the leaf's template, and a line follows it if at most one stretch d
 variable field. Templates that recur across documents are dropped, of which two levels count: lines that are
 the same but for variable tokens, and lines of one leaf's template.
 
-A template must recur in several independent texts. Equal texts are one. Texts more than half of which, by
-characters, are lines that recur (copies with changes, as a rule) count together as one, however many there are, so
-that they do not empty each other, nor dilute what other texts say.
+A template must recur in several independent texts. Equal texts are one, and so is a text with those that are copies of it: they share at least
+three different recurring lines, which are more than 0.7 of either by characters. A line's first holder, by key, stands for its others, so that a text is compared
+with the holder of most of its lines and no pairs are made. A page on which one banner or a short licence stands beside some text of its own is no copy of others like it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.storage import materialise
 
 DEPTH, STRETCHES = 4, 4
+#: A copy shares at least so many different recurring lines with one other text, and more than such a share of both.
+COPY_LINES, COPY_SHARE = 3, 0.7
 
 
 def key60(x: F.Column) -> F.Column:
@@ -40,11 +42,22 @@ def parsed_lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     return rows.withColumn("same", key60(F.concat_ws(",", "leaf", *[f"s{k + 1}" for k in range(STRETCHES)])))
 
 
+def copies(held: DataFrame, whole: DataFrame) -> DataFrame:
+    """(text_key, root) of texts that are copies of another one.
+
+    ``held``: (same, text_key, size) of recurring lines, ``whole``: (text_key, whole) of all lines. A root is the first holder of over half of its own lines, so it is no copy itself.
+    """
+    first = held.groupBy("same").agg(F.min("text_key").alias("of"))
+    shared = held.join(first, "same").where("text_key <> of").groupBy("text_key", "of").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    best = shared.where(F.col("n") >= COPY_LINES).groupBy("text_key").agg(F.max(F.struct("size", "of")).alias("b")).select("text_key", "b.of", "b.size")
+    met = best.join(whole, "text_key").join(whole.select(F.col("text_key").alias("of"), F.col("whole").alias("of_whole")), "of")
+    return met.where(F.col("size") > COPY_SHARE * F.greatest("whole", "of_whole")).select("text_key", F.col("of").alias("root"))
+
+
 def independent(per_text: DataFrame, key: str, copied: DataFrame, min_docs: int) -> DataFrame:
-    """The ``key`` values of (key, text_key) that at least ``min_docs`` independent texts hold; those in ``copied`` (text_key) count as one."""
-    met = per_text.join(copied.withColumn("is_copy", F.lit(1)), "text_key", "left")
-    counts = met.groupBy(key).agg(F.count(F.when(F.col("is_copy").isNull(), 1)).alias("own"), F.coalesce(F.max("is_copy"), F.lit(0)).alias("copies"))
-    return counts.where(F.col("own") + F.col("copies") >= min_docs).select(key)
+    """The ``key`` values of (key, text_key) that at least ``min_docs`` independent texts hold; those of one root in ``copied`` (text_key, root) count as one."""
+    roots = per_text.join(copied, "text_key", "left").select(key, F.coalesce("root", "text_key").alias("root")).distinct()
+    return roots.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
 
 
 def drop_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, keep_columns: bool = False) -> DataFrame:
@@ -67,8 +80,7 @@ def drop_templates(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, keep
     often = per_text.groupBy("same").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("same")
     held = materialise(per_text.join(often, "same", "left_semi"), "frequent-lines")
     whole = per_text.groupBy("text_key").agg(F.sum("size").alias("whole"))
-    copied = held.groupBy("text_key").agg(F.sum("size").alias("held")).join(whole, "text_key").where(F.col("held") * 2 > F.col("whole")).select("text_key")
-    copied = materialise(copied, "copied-texts")
+    copied = materialise(copies(held, whole), "copied-texts")
     gone = lines.select("same", "text_key", "pos").join(independent(held, "same", copied, min_docs), "same", "left_semi").drop("same")
     # leaves with several different lines: the commonest of each stretch, by lines, makes the template
     wide = lines.groupBy("leaf").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.count("*").alias("n")).where(f"a <> b and n >= {min_docs}").select("leaf")
@@ -103,15 +115,19 @@ lines AS MATERIALIZED (SELECT text_key, pos, size, {_KEY.format(f"len(t)::VARCHA
           {", ".join(_KEY.format(f"array_to_string(t[{DEPTH} + 1 + {k} * step:{DEPTH} + {k + 1} * step], ' ')") + f" AS s{k + 1}" for k in range(STRETCHES))} FROM cut),
 often AS (SELECT leaf, {_S} FROM lines GROUP BY ALL HAVING count(DISTINCT text_key) >= 3),
 held AS MATERIALIZED (SELECT leaf, {_S}, text_key, sum(size) AS size FROM lines SEMI JOIN often USING (leaf, {_S}) GROUP BY ALL),
-copied AS MATERIALIZED (SELECT text_key FROM (SELECT text_key, sum(size) AS held FROM held GROUP BY 1) JOIN (SELECT text_key, sum(size) AS whole FROM lines GROUP BY 1) USING (text_key) WHERE held * 2 > whole),
-exact AS (SELECT leaf, {_S} FROM held GROUP BY ALL HAVING count(*) FILTER (text_key NOT IN (SELECT text_key FROM copied)) + max((text_key IN (SELECT text_key FROM copied))::INT) >= 3),
+firsts AS (SELECT leaf, {_S}, min(text_key) AS of FROM held GROUP BY ALL),
+shared AS (SELECT text_key, of, sum(size) AS size FROM held JOIN firsts USING (leaf, {_S}) WHERE text_key <> of GROUP BY ALL HAVING count(*) >= {COPY_LINES}),
+wholes AS (SELECT text_key, sum(size) AS whole FROM lines GROUP BY 1),
+copied AS MATERIALIZED (SELECT s.text_key, s.of AS root FROM (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY text_key ORDER BY size DESC, of DESC) = 1) s
+          JOIN wholes w ON w.text_key = s.text_key JOIN wholes o ON o.text_key = s.of WHERE s.size > {COPY_SHARE} * greatest(w.whole, o.whole)),
+exact AS (SELECT leaf, {_S} FROM held LEFT JOIN copied USING (text_key) GROUP BY ALL HAVING count(DISTINCT coalesce(root, text_key)) >= 3),
 kinds AS (SELECT leaf, {_S}, count(*) AS n FROM lines GROUP BY ALL),
 wide AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= 3),
 votes AS (SELECT leaf, k, s, sum(n) AS n FROM (SELECT leaf, n, unnest([1, 2, 3, 4]) AS k, unnest([{_S}]) AS s FROM kinds SEMI JOIN wide USING (leaf)) GROUP BY ALL),
 top AS (SELECT leaf, k, s FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, k ORDER BY n DESC, s DESC) = 1),
 best AS (SELECT leaf, {", ".join(f"max(s) FILTER (k = {k}) AS m{k}" for k in range(1, STRETCHES + 1))} FROM top GROUP BY leaf),
 followed AS MATERIALIZED (SELECT leaf, text_key, pos FROM lines JOIN best USING (leaf) WHERE {_SAME} >= {STRETCHES - 1}),
-general AS (SELECT leaf FROM (SELECT DISTINCT leaf, text_key FROM followed) GROUP BY leaf HAVING count(*) FILTER (text_key NOT IN (SELECT text_key FROM copied)) + max((text_key IN (SELECT text_key FROM copied))::INT) >= 3),
+general AS (SELECT leaf FROM followed LEFT JOIN copied USING (text_key) GROUP BY leaf HAVING count(DISTINCT coalesce(root, text_key)) >= 3),
 gone AS (SELECT text_key, list(DISTINCT pos) AS gone FROM (
            SELECT text_key, pos FROM lines SEMI JOIN exact USING (leaf, {_S})
            UNION SELECT text_key, pos FROM followed SEMI JOIN general USING (leaf)) GROUP BY ALL)

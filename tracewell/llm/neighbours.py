@@ -87,11 +87,11 @@ class Forest:
         return found
 
 
-def enough_share(forest: Forest, sample: np.ndarray, k: int) -> float:
-    """The least of SHARES at which queries of the sample find RECALL of their ``k`` nearest others in it."""
+def enough_share(forest: Forest, sample: np.ndarray, k: int) -> float | None:
+    """The least of SHARES at which queries of the sample find RECALL of their ``k`` nearest others in it; None if none does, or the sample is too small to tell."""
     own = sample[:PROBED]
     if len(own) <= k + 1:
-        return SHARES[-1]
+        return None
     leaf = forest.route(own.astype(np.float32))
     order = np.argsort(leaf, axis=0, kind="stable")
     counts = np.bincount(leaf.ravel(), minlength=forest.leaves * forest.trees)
@@ -113,7 +113,7 @@ def enough_share(forest: Forest, sample: np.ndarray, k: int) -> float:
             found[at] += np.count_nonzero(first[best] <= last)
     recall = found / (k * len(asked))
     good = np.flatnonzero(recall >= RECALL)
-    return SHARES[good[0]] if len(good) else SHARES[-1]
+    return SHARES[good[0]] if len(good) else None
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
@@ -136,7 +136,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, trees: int = 8, shar
     the smaller vec_id; a query is no candidate of its own. Vectors of each length are searched among themselves, with a forest of their own. Vectors that
     are null, empty, zero, or hold null or non-finite numbers take no part; rows with a null vec_id neither; wholly
     repeated rows count once. A query stops once the leaves it has opened, over all trees, hold ``share`` times as many
-    members as there are vectors; by default as ``enough_share`` measures. An empty table gives no rows; other columns are ignored.
+    members as there are vectors; by default as ``enough_share`` measures, and
+    where it finds no share that is enough, all vectors are compared. An empty table gives no rows; other columns are ignored.
     """
     vectors = materialise(valid_vectors(table), "vectors")
     lengths = [r["n"] for r in vectors.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
@@ -156,6 +157,9 @@ def _nearest(vectors: DataFrame, dim: int, k: int, every: int, trees: int, share
     sample = _matrix(indexed.where(part).select("v").toArrow()["v"])
     forest = Forest(sample.astype(np.float32), rows, trees)
     share = share or enough_share(forest, sample, k)
+    if share is None:
+        # every leaf of one tree: an exact search
+        forest, trees, share = Forest(sample.astype(np.float32), rows, 1), 1, 1.0
     model = spark.sparkContext.broadcast(forest)
 
     def leaf_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

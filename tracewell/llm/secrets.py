@@ -37,20 +37,42 @@ WORDS = (
     "user server system access token key example sample the and for with this that from have your not are you was all "
     "can one new use our out day get has him his how man now old see two way who its did yes her may say she time"
 ).split()
-#: Words that a corpus adds, of so many letters; ones that repeat up to so many characters.
-CORPUS_WORDS, LETTERS, UNIT = 20_000, (3, 20), 16
+#: Words that a corpus adds, of so many letters.
+CORPUS_WORDS, LETTERS = 20_000, (3, 20)
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+def tandem_runs(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of the longest stretches in which each character stands again ``unit`` places later, at least two units long, units ascending.
+
+    Such a stretch holds a multiple of its unit, so only these places are tried and extended both ways: n log n trials. Units that repeat a shorter one are left out.
+    """
+    out, n = [], len(value)
+    for unit in range(1, n // 2 + 1):
+        for x in range(0, n - unit, unit):
+            if value[x] != value[x + unit] or any(unit % q == 0 and a <= x and x + unit < b for a, b, q in out):
+                continue
+            a, b = x, x + unit + 1
+            while a and value[a - 1] == value[a - 1 + unit]:
+                a -= 1
+            while b < n and value[b] == value[b - unit]:
+                b += 1
+            if b - a >= 2 * unit:
+                out.append((a, b, unit))
+    return out
+
+
 class GuessCost:
     """log10 of the guesses that the cheapest cut of a value needs.
 
-    A repeat has a unit of at most UNIT characters: a longer one costs over MIN_COST by its first occurrence, whether it is a repeat or not.
+    A repeat costs the cheapest cut of its unit, of any length, and the number of times. Costs up to ``limit`` are exact; above it, units that cost more
+    alone are not looked into, so that a long value is costed in proportion to its length.
     """
 
-    def __init__(self, words: list[str] = WORDS):
+    def __init__(self, words: list[str] = WORDS, limit: float = MIN_COST):
+        self.limit = limit
         self.cost = {}
         for rank, w in enumerate(words, 1):
             self.cost.setdefault(w, math.log10(rank + 1))
@@ -72,11 +94,10 @@ class GuessCost:
         return out[::-1]
 
     def spans(self, value: str) -> Iterator[tuple[int, int, str, float]]:
-        """(start, end, kind, cost) of all spans but brute force."""
+        """(start, end, kind, cost) of all spans but repeats and brute force."""
         low, n = value.lower(), len(value)
         plain = low.translate(LEET)
-        # from each place on, how many characters stand again ``unit`` later, or continue a walk or sequence: one pass each
-        same = {unit: self._runs([low[i] == low[i + unit] for i in range(n - unit)]) for unit in range(1, min(UNIT, n // 2) + 1)}
+        # from each place on, how many characters continue a walk or sequence: one pass each
         near = {"walk": lambda a, b: (a, b) in self.next_key, "sequence": lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()}
         steps = {kind: [*self._runs([test(a, b) for a, b in zip(low, low[1:], strict=False)]), 0] for kind, test in near.items()}
         for i in range(n):
@@ -85,20 +106,42 @@ class GuessCost:
                     if (c := self.cost.get(form[i:j])) is not None:
                         mixed = 0.0 if value[i:j].islower() or not value[i:j].isalpha() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0
                         yield i, j, "word", c + extra + mixed
-            for unit, run in same.items():
-                if i < len(run) and (times := 1 + run[i] // unit) > 1 and unit * times >= 3:
-                    yield i, i + unit * times, "repeat", unit * math.log10(self._alphabet(value[i : i + unit])) + math.log10(times)
             for kind, run in steps.items():
                 if run[i] >= 2:
                     yield i, i + 1 + run[i], kind, 2.0 + math.log10(1 + run[i])
         for m in DATE.finditer(value):
             yield *m.span(), "date", math.log10(36_500 if m.end() - m.start() > 4 else 130)
 
+    def _unit_cost(self, spans: dict[int, list], start: int, size: int, per: float) -> float | None:
+        """The cheapest cut of ``size`` characters from ``start`` on; None above the limit."""
+        best, reached = {0: 0.0}, 0
+        for at in range(size):
+            if at > reached:
+                return None
+            if (cost := best.pop(at, self.limit + 1)) > self.limit:
+                continue
+            more = 0.3 * (at > 0)
+            for end, step in [(at + 1, per), *((j - start, c + more) for j, _, c in spans.get(start + at, ()))]:
+                if end <= size and cost + step <= min(self.limit, best.get(end, self.limit)):
+                    best[end], reached = cost + step, max(reached, end)
+        return best.get(size)
+
     def segment(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
         """The least cost and its spans in order."""
-        per, by_end = math.log10(self._alphabet(value)), {}
+        per, spans = math.log10(self._alphabet(value)), {}
         for i, j, kind, c in self.spans(value):
-            by_end.setdefault(j, []).append((i, kind, c))
+            spans.setdefault(i, []).append((j, kind, c))
+        for a, b, unit in tandem_runs(value.lower()):
+            own = math.log10(self._alphabet(value[a : a + unit]))
+            for first in range(a, min(a + unit, b - 2 * unit + 1)):
+                if (cost := self._unit_cost(spans, first, unit, own)) is not None:
+                    for i in range(first, b - 2 * unit + 1, unit):
+                        if (times := (b - i) // unit) * unit >= 3:
+                            spans.setdefault(i, []).append((i + unit * times, "repeat", cost + math.log10(times)))
+        by_end: dict[int, list] = {}
+        for i, own in spans.items():
+            for j, kind, c in own:
+                by_end.setdefault(j, []).append((i, kind, c))
         best: list[tuple[float, int, str]] = [(0.0, 0, "")]
         for j in range(1, len(value) + 1):
             options = [(best[j - 1][0] + per, j - 1, "brute")]
@@ -175,7 +218,7 @@ def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] =
         return "".join([*out, text[at:]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guess = GuessCost(words)
+        guess = GuessCost(words, min_cost)
         for batch in batches:
             rows = []
             for one in batch.column(1):
