@@ -103,6 +103,14 @@ def test_ids_and_texts(spark):
     text = {r.entity: r.text for r in A.narrative(ranked, behaviors, spark.createDataFrame([("e", 2)], "entity string, n int")).collect()}
     assert text["e"].endswith("already linked to smurfing, micro funding. 2 bridge-linked transfer pairs support the trace.") and "Cross-chain & bridge hopping also scores" in text["e"]
     assert text["f"] == "Own Method is the dominant layering signal for this entity."
+    assert text["e"].startswith("Peeling chains dominate this entity, with value repeatedly shaved into smaller follow-on transfers. Cross-chain")
+    reasons = spark.createDataFrame([("e", [" ", None, "PEELING chains dominate"]), ("f", ["A raw reason "]), ("g", ["", "only a reason"]), ("h", [])], "entity string, reasons array<string>")
+    more = {r.entity: r.text for r in A.narrative(ranked, behaviors, spark.createDataFrame([("e", 1)], "entity string, n int"), reasons).collect()}
+    assert more["e"].endswith("1 bridge-linked transfer pair supports the trace.") and more["g"] == "only a reason" and more["h"] is None
+    assert more["f"] == "Own Method is the dominant layering signal for this entity. A raw reason"
+    for method, begins in (("mixing_interaction", "Mixing and anonymity-tool"), ("bridge_hopping", "Cross-chain and bridge hopping is"), ("shell_wallet_network", "Shell wallet network behavior"), ("high_depth_transaction_chaining", "High-depth transaction chaining")):
+        one = A.narrative(A.ranked_methods(spark.createDataFrame([("x", method, 0.9)], "entity string, method string, score double")), behaviors, spark.createDataFrame([], "entity string, n int"))
+        assert one.first().text.startswith(begins)
 
 
 def test_owner_lists(spark):

@@ -18,6 +18,14 @@ METHODS = {
     "shell_wallet_network": "Shell wallet networks",
     "high_depth_transaction_chaining": "High-depth transaction chaining",
 }
+#: The first sentence on an entity, by its strongest method.
+FIRST_SENTENCES = {
+    "peeling_chain": "Peeling chains dominate this entity, with value repeatedly shaved into smaller follow-on transfers.",
+    "mixing_interaction": "Mixing and anonymity-tool interaction is the dominant layering signal around this entity.",
+    "bridge_hopping": "Cross-chain and bridge hopping is the dominant signal, suggesting the flow re-entered after bridge use.",
+    "shell_wallet_network": "Shell wallet network behavior dominates here, with funds cycling through a tightly connected wallet set.",
+    "high_depth_transaction_chaining": "High-depth transaction chaining dominates here, with funds forwarded through long value-retaining hops.",
+}
 SECOND, SECOND_SHARE = 0.45, 0.72
 
 
@@ -61,36 +69,51 @@ def ranked_methods(hits: DataFrame) -> DataFrame:
     return own.select("entity", F.transform("s", lambda x: x["method"]).alias("methods"), first["method"].alias("primary"), second["method"].alias("second"), F.coalesce(strong, F.lit(False)).alias("strong_second"))
 
 
-def narrative(ranked: DataFrame, behaviors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(entity, text): what stands out, with ``behaviors`` (entity, behavior, rank) and bridge ``pairs`` (entity, n)."""
+def narrative(ranked: DataFrame, behaviors: DataFrame, pairs: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """(entity, text): what stands out, with ``behaviors`` (entity, behavior, rank), bridge ``pairs`` (entity, n) and detectors' ``reasons`` (entity, reasons array).
+
+    The first reason that is not blank ends the text, unless the text says it already in whatever case; where no method is known it is the text.
+    """
     named = behaviors.where("rank <= 2").groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("rank", "behavior"))).alias("b"))
     rows = ranked.join(named, "entity", "left").join(pairs.select("entity", F.col("n").alias("pairs")), "entity", "left")
+    if reasons is None:
+        rows = rows.withColumn("reason", F.lit(None).cast("string"))
+    else:
+        cleaned = F.filter(F.transform("reasons", lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+        rows = rows.join(reasons.select("entity", F.get(cleaned, 0).alias("reason")), "entity", "full")
+    first = F.create_map(*[F.lit(x) for kv in FIRST_SENTENCES.items() for x in kv])[F.trim("primary")]
     parts = [
-        F.concat(humanised(F.col("primary")), F.lit(" is the dominant layering signal for this entity.")),
+        F.coalesce(first, F.concat(humanised(F.col("primary")), F.lit(" is the dominant layering signal for this entity."))),
         F.when(F.col("strong_second"), F.concat(humanised(F.col("second")), F.lit(" also scores strongly enough to reinforce the same alert."))),
-        F.when(F.size("b") > 0, F.concat(F.lit("Placement seeding for this entity was already linked to "), F.array_join(F.transform("b", lambda x: F.regexp_replace(x["behavior"], "_", " ")), ", "), F.lit("."))),
+        F.when(F.size("b") > 0, F.concat(F.lit("Placement seeding for this entity was already linked to "), F.array_join(F.transform("b", lambda x: F.trim(F.regexp_replace(x["behavior"], "_", " "))), ", "), F.lit("."))),
         F.when(F.col("pairs") == 1, F.lit("1 bridge-linked transfer pair supports the trace.")).when(F.col("pairs") > 1, F.concat(F.col("pairs").cast("string"), F.lit(" bridge-linked transfer pairs support the trace."))),
     ]
-    return rows.select("entity", F.concat_ws(" ", *parts).alias("text"))
+    said = F.concat_ws(" ", *parts)
+    more = F.when(~F.lower(said).contains(F.lower("reason")), F.col("reason"))
+    return rows.select("entity", F.when(F.col("primary").isNull(), F.col("reason")).otherwise(F.concat_ws(" ", said, more)).alias("text"))
 
 
 def paths(edges: DataFrame, starts: DataFrame, hops: int, directed: bool = True, least: float | None = None, most: int | None = None) -> DataFrame:
     """(start, nodes, hashes, total) of walks of 1 to ``hops`` edges (a, b, tx_hash, value) from ``starts`` (node), no edge twice.
 
-    ``least`` is asked of every edge of a whole walk, after it was made; ``most`` keeps the walks of least length (ties: by hashes), a report's limit.
+    ``least`` is asked of every edge, before walks are made; ``most`` keeps the walks of least length (ties: by hashes), a report's limit: as a walk's beginning is
+    no longer than the walk and comes first, each length needs no more than ``most`` of them in all, and steps end once there are as many.
     """
     step = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "tx_hash", "value")
+    step = step if least is None else step.where(F.col("value") >= least)
     if not directed:
         step = step.unionByName(step.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "tx_hash", "value"))
-    front = starts.select(F.col("node").alias("start"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("hashes"), F.lit(0).cast("decimal(18,2)").alias("total"), F.lit(True).alias("keeps"))
-    found = None
-    for _ in range(hops):
+    front = starts.select(F.col("node").alias("start"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("hashes"), F.lit(0).cast("decimal(18,2)").alias("total"))
+    order = [F.size("hashes"), F.array_join("hashes", ">")]
+    found, held = None, 0
+    for hop in range(hops):
         grown = front.join(step, F.element_at("nodes", -1) == F.col("u")).where(~F.array_contains("hashes", F.col("tx_hash")))
-        fits = F.col("keeps") & (F.lit(True) if least is None else F.col("value") >= least)
-        front = cut(grown.select("start", F.concat("nodes", F.array("v")).alias("nodes"), F.concat("hashes", F.array("tx_hash")).alias("hashes"), (F.col("total") + F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total"), fits.alias("keeps")))
+        front = cut(grown.select("start", F.concat("nodes", F.array("v")).alias("nodes"), F.concat("hashes", F.array("tx_hash")).alias("hashes"), (F.col("total") + F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total")))
         found = front if found is None else found.unionByName(front)
-    found = found.where("keeps").select("start", "nodes", "hashes", F.col("total").cast("double").alias("total"))
-    return found if most is None else found.orderBy(F.size("hashes"), F.array_join("hashes", ">")).limit(most)
+        if most is not None and hop + 1 < hops and (held := held + front.count()) >= most:
+            break
+    found = found.select("start", "nodes", "hashes", F.col("total").cast("double").alias("total"))
+    return found if most is None else found.orderBy(*order).limit(most)
 
 
 def edges_of(transfers: DataFrame, addresses: DataFrame, most: int = 200) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import clamp
@@ -84,12 +84,70 @@ def poi_reason(scored: DataFrame) -> DataFrame:
     return scored.select("entity", F.array_join(F.transform(top, lambda x: F.concat(x["name"], F.lit("="), F.format_number(x["v"], 2))), ", ").alias("reason"))
 
 
-def simulate(scored: DataFrame, overrides: dict[str, float], weights: dict[str, float] | None = None) -> DataFrame:
-    """(entity, risk, simulated, change) with factors set as in ``overrides`` and other weights."""
-    own = scored.withColumnsRenamed({"risk": "before"})
-    set_to = own.withColumns({f: F.lit(float(v)) for f, v in overrides.items()})
-    out = set_to.withColumn("simulated", total_risk(set_to, {**FACTORS, **(weights or {})}))
-    return out.select("entity", F.col("before").alias("risk"), "simulated", F.round(F.col("simulated") - F.col("before"), 6).alias("change"))
+def simulate(scored: DataFrame, add_label: str | None = None, remove_label: bool = False, toggle_behavior: str | None = None, add_integration: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(entity, risk, new_risk, difference, six factors anew, changed, would_be_poi, strong): what risks would be, with nothing stored.
+
+    ``add_label`` raises the label factor to the label's weight, ``remove_label`` sets it to 0. ``toggle_behavior`` adds a behaviour's weight to the sum that the
+    behaviour factor stands for, 1 - exp(-sum), turned round; a factor of 1 counts as a sum of 3. ``add_integration`` adds a signal's weight, 0.10 for an unknown one.
+    ``weights`` replace those of FACTORS. changed maps factors to their change where it exceeds 0.001; would_be_poi needs ENTER and two strong factors.
+    """
+    new = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in FACTORS}
+    old = dict(new)
+    if add_label:
+        new["label"] = F.greatest(new["label"], F.lit(LABELS.get(add_label.lower(), 0.0)))
+    if remove_label:
+        new["label"] = F.lit(0.0)
+    if toggle_behavior:
+        held = F.when(old["behavior"] < 1.0, -F.log(F.greatest(1.0 - old["behavior"], F.lit(1e-9)))).otherwise(3.0)
+        new["behavior"] = clamp(1.0 - F.exp(-(held + BEHAVIOURS.get(toggle_behavior, 0.0))))
+    if add_integration:
+        new["integration"] = clamp(old["integration"] + INTEGRATION.get(add_integration, 0.10))
+    own = scored.select("entity", "risk", *[c.alias(f"new_{f}") for f, c in new.items()], *[c.alias(f"old_{f}") for f, c in old.items()])
+    weight = {**FACTORS, **(weights or {})}
+    total = clamp(sum((F.col(f"new_{f}") * weight[f] for f in FACTORS), F.lit(0.0)))
+    strong = sum(((F.col(f"new_{f}") >= STRONG).cast("int") for f in FACTORS), F.lit(0))
+    gap = {f: F.col(f"new_{f}") - F.col(f"old_{f}") for f in FACTORS}
+    changed = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("factor"), F.round(g, 4).alias("by")) for f, g in sorted(gap.items())]), lambda x: F.abs(x["by"]) > 0.001))
+    new_risk = F.round(total, 4)
+    return own.select(
+        "entity", "risk", new_risk.alias("new_risk"), F.round(new_risk - F.col("risk"), 4).alias("difference"), *[F.round(f"new_{f}", 4).alias(f) for f in FACTORS], changed.alias("changed"), ((total >= ENTER) & (strong >= 2)).alias("would_be_poi"), strong.alias("strong")
+    )
+
+
+def audit_rows(simulated: DataFrame, override: str, user: str, at: Column) -> DataFrame:
+    """(entity, action, override, current, simulated, user, at): the log entries of a simulation."""
+    return simulated.select("entity", F.lit("simulate_risk").alias("action"), F.lit(override).alias("override"), F.round("risk", 4).alias("current"), F.col("new_risk").alias("simulated"), F.lit(user).alias("user"), at.alias("at"))
+
+
+def audit_tail(log: DataFrame, most: int = 50) -> DataFrame:
+    """The last ``most`` entries (at, ties: entity), numbered from the oldest of them on."""
+    last = log.orderBy(F.desc("at"), F.desc("entity")).limit(most)
+    return last.withColumn("place", F.row_number().over(Window.orderBy("at", "entity")))
+
+
+def poi_history(scored: DataFrame) -> DataFrame:
+    """(entity, at, risk, is_poi) after each of an entity's scores (entity, at, six factors, risk), in order of time.
+
+    A score of ENTER or more with two strong factors makes a person of interest, one under LEAVE or without them ends that, one between keeps what was: the last score that
+    decided. The window reads an entity's own scores only.
+    """
+    strong = sum(((F.col(f) >= STRONG).cast("int") for f in FACTORS), F.lit(0))
+    decided = F.when((F.col("risk") < LEAVE) | (strong < 2), False).when(F.col("risk") >= ENTER, True)
+    own = scored.withColumn("decided", decided)
+    order = Window.partitionBy("entity").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return own.select("entity", "at", "risk", F.coalesce(F.last("decided", ignorenulls=True).over(order), F.lit(False)).alias("is_poi"))
+
+
+def screen_over_time(transfers: DataFrame, entries: DataFrame) -> DataFrame:
+    """(tx_hash, address, side) of transfers with an end on the watchlist when they happened: ``entries`` (address, added_at, expires_at), the last one added by then deciding.
+
+    An entry of the same moment counts; one that has expired at the transfer's time gives no alert, nor does an older one that it replaced.
+    """
+    sides = [transfers.select("tx_hash", F.col(f"{s}_address").alias("address"), F.lit(s).alias("side"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("until")) for s in ("from", "to")]
+    known = entries.select(F.lit(None).cast("string").alias("tx_hash"), "address", F.lit(None).cast("string").alias("side"), F.col("added_at").alias("at"), F.lit(0).alias("kind"), F.col("expires_at").alias("until"))
+    order = Window.partitionBy("address").orderBy("at", "kind", "until").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sides[0].unionByName(sides[1]).unionByName(known).withColumn("until", F.last("until", ignorenulls=True).over(order))
+    return rows.where("kind = 1 and until > at").select("tx_hash", "address", "side")
 
 
 def screen(transfers: DataFrame, watchlist: DataFrame, now: float) -> DataFrame:

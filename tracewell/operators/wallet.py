@@ -16,20 +16,24 @@ def with_direction(txs: DataFrame) -> DataFrame:
 
 
 def detections(txs: DataFrame, protocols: DataFrame, methods: dict[str, str], large: float = 100.0) -> DataFrame:
-    """(wallet, detector, label, tx_hash): method, known protocol (address, label), and large transfers, each once."""
-    by_method = txs.where(F.col("method_id").isin(*methods)).select("wallet", F.lit("dapp").alias("detector"), F.create_map(*[F.lit(x) for kv in methods.items() for x in kv])[F.col("method_id")].alias("label"), "tx_hash")
-    known = txs.join(protocols.select(F.col("address").alias("to_address"), "label"), "to_address").select("wallet", F.lit("protocol").alias("detector"), "label", "tx_hash")
-    big = txs.where(F.col("value") >= large).select("wallet", F.lit("large_transfer").alias("detector"), F.lit("large").alias("label"), "tx_hash")
+    """(wallet, detector, label, tx_hash): by method signature, known protocol (address, label) and value, each once a transfer."""
+    by_method = txs.where(F.col("method_id").isin(*methods)).select("wallet", F.lit("method_signature").alias("detector"), F.create_map(*[F.lit(x) for kv in methods.items() for x in kv])[F.col("method_id")].alias("label"), "tx_hash")
+    known = txs.join(protocols.select(F.col("address").alias("to_address"), "label"), "to_address").select("wallet", F.lit("known_protocol").alias("detector"), "label", "tx_hash")
+    big = txs.where(F.col("value") >= large).select("wallet", F.lit("value_heuristic").alias("detector"), F.lit("large_transfer").alias("label"), "tx_hash")
     return by_method.unionByName(known).unionByName(big).distinct()
 
 
 def bot_behavior(txs: DataFrame) -> DataFrame:
-    """(wallet, n, rate, top_share, is_bot): at least ten transfers, very frequent or mostly to one address."""
+    """(wallet, n, rate, top_share, is_bot): at least ten transfers, very frequent or mostly to one address.
+
+    rate is transfers a minute of the span, 0 where all are of one moment; the share counts transfers with a target, of all.
+    """
     n = txs.groupBy("wallet").agg(F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    top = txs.groupBy("wallet", "to_address").agg(F.count("*").alias("k")).groupBy("wallet").agg(F.max("k").alias("k"))
-    rate = F.round(F.col("n") / F.greatest((F.col("t1") - F.col("t0")) / 60, F.lit(1e-9)), 6)
-    share = F.round(F.col("k") / F.col("n"), 6)
-    return n.join(top, "wallet").select("wallet", "n", rate.alias("rate"), share.alias("top_share"), ((F.col("n") >= 10) & ((rate > BOT_RATE) | (share > BOT_SHARE))).alias("is_bot"))
+    top = txs.where("coalesce(to_address, '') <> ''").groupBy("wallet", "to_address").agg(F.count("*").alias("k")).groupBy("wallet").agg(F.max("k").alias("k"))
+    span = F.col("t1") - F.col("t0")
+    rate = F.when(span > 0, F.round(F.col("n") / (span / 60), 6)).otherwise(0.0)
+    share = F.round(F.coalesce("k", F.lit(0)) / F.col("n"), 6)
+    return n.join(top, "wallet", "left").select("wallet", "n", rate.alias("rate"), share.alias("top_share"), ((F.col("n") >= 10) & ((rate > BOT_RATE) | (share > BOT_SHARE))).alias("is_bot"))
 
 
 def fast_movement(txs: DataFrame) -> DataFrame:
@@ -39,20 +43,30 @@ def fast_movement(txs: DataFrame) -> DataFrame:
     return own.where((F.col("direction") == "in") & (F.col("next_d") == "out") & (F.col("gap") > 0) & (F.col("gap") < FAST)).groupBy("wallet").agg(F.count("*").alias("times"))
 
 
-def wallet_risk(txs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(wallet, score, level) of 0 to 100 points; ``flagged``: (address, points)."""
+def wallet_risk(txs: DataFrame, found: DataFrame, flagged: DataFrame, classes: DataFrame) -> DataFrame:
+    """(wallet, score, level, reasons) of 0 to 100 points.
+
+    ``found`` are the wallet's ``detections``, ``flagged`` (address, points) the entries that hold for its chain, whose points add up where they name the
+    wallet itself, in either case, ``classes`` its ``entity_class``. reasons names the rules that gave points, in their order.
+    """
     own = with_direction(txs)
+    target = F.lower("to_address")
     agg = own.groupBy("wallet").agg(
-        F.countDistinct(F.when(F.col("to_address") != F.col("wallet"), F.col("to_address"))).alias("targets"), F.count("*").alias("n"), F.count(F.when(F.col("direction") == "out", 1)).alias("n_out"),
-        F.count(F.when(F.col("method_id") == "approve", 1)).alias("approvals"), F.max("value").alias("most"),
-    )
-    sent = own.join(flagged.select(F.col("address").alias("to_address"), "points"), "to_address").groupBy("wallet").agg(F.max("points").alias("points"))
-    out = agg.join(sent, "wallet", "left").join(fast_movement(txs), "wallet", "left").join(bot_behavior(txs).select("wallet", "is_bot"), "wallet")
-    add = lambda c, p: F.when(c, p).otherwise(0)
-    score = F.coalesce("points", F.lit(0)) + add(F.col("targets") >= 10, 10) + add(F.col("n") >= 15, 15) + add((F.col("n_out") / F.col("n") > 0.9) & (F.col("n") >= 5), 10)
-    score = score + add(F.col("times") > 0, 20) + add(F.col("approvals") >= 3, 10) + add(F.col("most") >= 100, 5) + add(F.col("is_bot"), 15)
-    score = F.least(F.lit(100), score).cast("int")
-    return out.select("wallet", score.alias("score"), F.when(score >= 70, "high_risk").when(score >= 30, "suspicious").otherwise("normal").alias("level"))
+        F.countDistinct(F.when((F.coalesce("to_address", F.lit("")) != "") & (target != F.lower("wallet")), target)).alias("targets"), F.count("*").alias("n"), F.count(F.when(F.col("direction") == "out", 1)).alias("n_out")
+    )
+    seen = found.groupBy("wallet").agg(
+        F.count(F.when(F.col("label") == "approval", 1)).alias("approvals"), F.max(F.col("label").isin("tornado_cash", "bridge")).alias("exposed"), F.max(F.col("label") == "large_transfer").alias("large")
+    )
+    flags = flagged.groupBy(F.lower("address").alias("key")).agg(F.sum("points").alias("points"))
+    out = agg.join(seen, "wallet", "left").join(fast_movement(txs), "wallet", "left").join(classes, "wallet", "left").withColumn("key", F.lower("wallet")).join(flags, "key", "left")
+    rules = [
+        ("counterparty fan-out", F.col("targets") >= 10, 10), ("activity burst", F.col("n") >= 15, 15), ("mostly outbound", (F.col("n_out") / F.col("n") > 0.9) & (F.col("n") >= 5), 10), ("fast movement", F.col("times") > 0, 20),
+        ("repeated approvals", F.col("approvals") >= 3, 10), ("mixer or bridge exposure", F.col("exposed"), 25), ("large transfer", F.col("large"), 5), ("bot", F.col("class") == "bot", 15), ("mixer", F.col("class") == "mixer", 30),
+    ]
+    hit = [(name, F.coalesce(c, F.lit(False)), points) for name, c, points in rules]
+    score = F.least(F.lit(100), sum((F.when(c, p).otherwise(0) for _, c, p in hit), F.coalesce("points", F.lit(0)))).cast("int")
+    reasons = F.concat_ws(", ", F.when(F.col("points").isNotNull(), "flagged"), *[F.when(c, name) for name, c, _ in hit])
+    return out.select("wallet", score.alias("score"), F.when(score >= 70, "high_risk").when(score >= 30, "suspicious").otherwise("safe").alias("level"), reasons.alias("reasons"))
 
 
 def wallet_clusters(txs: DataFrame) -> DataFrame:

@@ -192,13 +192,25 @@ def layering_summary(spark, sf_dir):
     return _hits(spark, sf_dir).groupBy("method").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
 
 
-@query(f"""WITH {HITS}, r AS (SELECT seed, list(method ORDER BY confidence DESC, method DESC) AS m, list(confidence ORDER BY confidence DESC, method DESC) AS c FROM hits GROUP BY 1)
-SELECT seed AS entity, CASE m[1] WHEN 'peeling_chain' THEN 'Peeling chains' ELSE 'Mixing & anonymity tool interaction' END || ' is the dominant layering signal for this entity.'
- || CASE WHEN len(m) > 1 AND c[2] >= 0.45 AND c[2] >= 0.72 * c[1] THEN ' ' || CASE m[2] WHEN 'peeling_chain' THEN 'Peeling chains' ELSE 'Mixing & anonymity tool interaction' END || ' also scores strongly enough to reinforce the same alert.' ELSE '' END AS text FROM r""")
+_SAYS = """CASE m[1] WHEN 'peeling_chain' THEN 'Peeling chains dominate this entity, with value repeatedly shaved into smaller follow-on transfers.' ELSE 'Mixing and anonymity-tool interaction is the dominant layering signal around this entity.' END
+ || CASE WHEN len(m) > 1 AND c[2] >= 0.45 AND c[2] >= 0.72 * c[1] THEN ' ' || CASE m[2] WHEN 'peeling_chain' THEN 'Peeling chains' ELSE 'Mixing & anonymity tool interaction' END || ' also scores strongly enough to reinforce the same alert.' ELSE '' END
+ || CASE WHEN b IS NOT NULL THEN ' Placement seeding for this entity was already linked to ' || array_to_string([replace(x, '_', ' ') FOR x IN b], ', ') || '.' ELSE '' END
+ || CASE WHEN pairs = 1 THEN ' 1 bridge-linked transfer pair supports the trace.' WHEN pairs > 1 THEN ' ' || pairs || ' bridge-linked transfer pairs support the trace.' ELSE '' END || ' ' || reason"""
+
+
+@query(f"""WITH {D.FLOW}, {D.RANKED}, {HITS}, r AS (SELECT seed, list(method ORDER BY confidence DESC, method DESC) AS m, list(confidence ORDER BY confidence DESC, method DESC) AS c FROM hits GROUP BY 1),
+ b AS (SELECT address AS seed, list(behavior ORDER BY rank) AS b FROM ranked JOIN mem USING (entity) WHERE rank <= 2 GROUP BY 1), n AS (SELECT seed, len(m) AS n FROM r), pr AS (SELECT from_address AS seed, count(*) AS pairs FROM ev WHERE to_address = 'U3' AND value >= 100 GROUP BY 1)
+SELECT seed AS entity, {_SAYS.replace("|| reason", "|| CASE n WHEN 1 THEN 'Seen by 1 detector' ELSE 'Seen by ' || n || ' detectors' END")} AS text FROM r LEFT JOIN b USING (seed) LEFT JOIN pr USING (seed) JOIN n USING (seed)""")
 def layering_narratives(spark, sf_dir):
-    ranked = A.ranked_methods(_hits(spark, sf_dir).select(F.col("seed").alias("entity"), "method", F.col("confidence").alias("score")))
-    none = ranked.select("entity").where("false")
-    return A.narrative(ranked, none.withColumn("behavior", F.lit("")).withColumn("rank", F.lit(1)), none.withColumn("n", F.lit(1)))
+    """Texts on the entities of two detectors, with their trios' behaviours, large transfers to U3 as bridge pairs, and a reason."""
+    hits = _hits(spark, sf_dir).select(F.col("seed").alias("entity"), "method", F.col("confidence").alias("score"))
+    flows = D._flows(spark, sf_dir)
+    placed = P.behaviors(flows, D._profiles(flows), D.CFG).join(D._trios(spark, sf_dir), "entity").select(F.col("address").alias("entity"), "behavior", "rank")
+    bridged = event_transfers(spark, sf_dir).where("to_address = 'U3' and value >= 100").groupBy(F.col("from_address").alias("entity")).agg(F.count("*").alias("n"))
+    seen = hits.groupBy("entity").agg(F.count("*").alias("k"))
+    reasons = seen.select("entity", F.array(F.lit(" "), F.concat(F.lit("Seen by "), F.col("k"), F.when(F.col("k") == 1, " detector").otherwise(" detectors"))).alias("reasons"))
+    ranked = A.ranked_methods(hits)
+    return A.narrative(ranked, placed, bridged.join(ranked.select("entity"), "entity", "left_semi"), reasons)
 
 
 @query(f"WITH {HV}, {HITS}, one AS (SELECT seed FROM hits ORDER BY confidence DESC, seed LIMIT 1) SELECT tx_hash, from_address, to_address FROM hv WHERE from_address IN (SELECT seed FROM one) OR to_address IN (SELECT seed FROM one) ORDER BY block_number DESC LIMIT 100")
@@ -289,7 +301,7 @@ def edge_filter_cap(spark, sf_dir):
 @query(f"""WITH {L.WTX}, p AS (SELECT wallet, count(DISTINCT x) AS peers FROM (SELECT wallet, unnest([lower(coalesce(from_address, '')), lower(coalesce(to_address, ''))]) AS x FROM wtx) GROUP BY 1),
  b AS (SELECT wallet, count(*) AS n, max(ts) - min(ts) AS d FROM wtx GROUP BY 1), t AS (SELECT wallet, max(k) AS k FROM (SELECT wallet, to_address, count(*) AS k FROM wtx GROUP BY 1, 2) GROUP BY 1),
  m AS (SELECT DISTINCT wallet FROM wtx WHERE to_address = 'U0')
-SELECT wallet, CASE WHEN wallet IN (SELECT wallet FROM m) THEN 'mixer' WHEN wallet IN (SELECT 'U' || s_suppkey FROM supplier WHERE s_acctbal < 0) THEN 'smart contract' WHEN peers > 90 THEN 'exchange' WHEN n >= 10 AND (n / greatest(d / 60, 1e-9) > 5 OR k / n > 0.8) THEN 'bot' ELSE 'user wallet' END AS class
+SELECT wallet, CASE WHEN wallet IN (SELECT wallet FROM m) THEN 'mixer' WHEN wallet IN (SELECT 'U' || s_suppkey FROM supplier WHERE s_acctbal < 0) THEN 'smart contract' WHEN peers > 90 THEN 'exchange' WHEN n >= 10 AND (CASE WHEN d > 0 THEN n / (d / 60) ELSE 0 END > 5 OR k / n > 0.8) THEN 'bot' ELSE 'user wallet' END AS class
  FROM p JOIN b USING (wallet) JOIN t USING (wallet)""")
 def entity_class(spark, sf_dir):
     txs = L._wallet_txs(spark, sf_dir)

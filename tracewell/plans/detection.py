@@ -329,9 +329,65 @@ def poi_hysteresis(spark, sf_dir):
     return K.poi_status(scored, scored.select("entity", (F.substring("entity", 3, 9).cast("int") % 2 == 0).alias("was_poi")))
 
 
-@query(f"""WITH RECURSIVE {RISK}, sim AS (SELECT *, round({_C("0.25 * 1.0 + 0.5 * behavior + 0.15 * propagation + 0.10 * temporal + 0.10 * exposure + 0.20 * integration")}, 6) AS simulated FROM risk) SELECT entity, risk, simulated, round(simulated - risk, 6) AS change FROM sim""")
+#: A sanction label, one more behaviour and an integration signal, with propagation counted double.
+SIM = f"""{RISK}, n AS (SELECT *, greatest(label, 1.0) AS l2, {_C("1 - exp(-(CASE WHEN behavior < 1 THEN -ln(greatest(1 - behavior, 1e-9)) ELSE 3.0 END + 0.35))")} AS b2, {_C("integration + 0.25")} AS i2 FROM risk),
+ sim AS (SELECT *, {_C("0.25 * l2 + 0.20 * b2 + 0.30 * propagation + 0.10 * temporal + 0.10 * exposure + 0.20 * i2")} AS total FROM n)"""
+_CHANGED = " || ".join(f"CASE WHEN abs(round({b} - {a}, 4)) > 0.001 THEN '{name}=' || (round(round({b} - {a}, 4) * 10000))::BIGINT || ';' ELSE '' END" for name, a, b in (("behavior", "behavior", "b2"), ("integration", "integration", "i2"), ("label", "label", "l2")))
+
+
+def _simulated(spark, sf_dir):
+    return K.simulate(_scored(spark, sf_dir), add_label="sanctioned", toggle_behavior="mixing_interaction", add_integration="convergence", weights={"propagation": 0.30})
+
+
+@query(f"""WITH RECURSIVE {SIM} SELECT entity, risk, round(total, 4) AS new_risk, round(round(total, 4) - risk, 4) AS difference, round(l2, 4) AS label, round(b2, 4) AS behavior, round(propagation, 4) AS propagation, round(temporal, 4) AS temporal, round(exposure, 4) AS exposure, round(i2, 4) AS integration,
+ {_CHANGED} AS changed, total >= 0.8 AND (l2 >= 0.4)::INT + (b2 >= 0.4)::INT + (propagation >= 0.4)::INT + (temporal >= 0.4)::INT + (exposure >= 0.4)::INT + (i2 >= 0.4)::INT >= 2 AS would_be_poi,
+ (l2 >= 0.4)::INT + (b2 >= 0.4)::INT + (propagation >= 0.4)::INT + (temporal >= 0.4)::INT + (exposure >= 0.4)::INT + (i2 >= 0.4)::INT AS strong FROM sim""")
 def simulate(spark, sf_dir):
-    return K.simulate(_scored(spark, sf_dir), {"label": 1.0}, {"behavior": 0.5})
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("changed")), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"] * 10000).cast("long").cast("string"), F.lit(";"))), "")
+    return _simulated(spark, sf_dir).withColumn("changed", shown)
+
+
+@query(f"""WITH RECURSIVE {SIM}, log AS (SELECT entity, 'simulate_risk' AS action, round(risk, 4) AS current, round(total, 4) AS simulated, CAST(regexp_extract(entity, '[0-9]+') AS INT) % 7 AS "at" FROM sim)
+SELECT entity, action, current, simulated, "at", row_number() OVER (ORDER BY "at", entity) AS place FROM (SELECT * FROM log ORDER BY "at" DESC, entity DESC LIMIT 50)""")
+def risk_audit(spark, sf_dir):
+    """The end of the log of one simulation of every entity, a day of the week each."""
+    log = K.audit_rows(_simulated(spark, sf_dir), "sanctioned", "analyst", F.regexp_extract("entity", "[0-9]+", 0).cast("int") % 7)
+    return K.audit_tail(log).drop("override", "user")
+
+
+@query(f"""WITH {EV}, e AS (SELECT 'C-' || (CAST(substr(from_address, 2) AS INT) // 3) AS entity, block_number AS "at", value FROM ev WHERE value IS NOT NULL),
+ f AS (SELECT entity, "at", least(1.0, value / 150.0) AS label, least(1.0, value / 300.0) AS behavior, ("at" % 10) / 10.0 AS propagation, 0.0 AS temporal, ("at" % 5) / 5.0 AS exposure, least(1.0, value / 100.0) AS integration FROM e),
+ r AS (SELECT *, round({_C('0.4 * label + 0.2 * behavior + 0.1 * propagation + 0.1 * exposure + 0.2 * integration')} * 1.2, 6) AS risk, (label >= 0.4)::INT + (behavior >= 0.4)::INT + (propagation >= 0.4)::INT + (exposure >= 0.4)::INT + (integration >= 0.4)::INT AS strong FROM f),
+ d AS (SELECT *, CASE WHEN risk < 0.70 OR strong < 2 THEN false WHEN risk >= 0.80 THEN true END AS decided FROM r)
+SELECT entity, "at", risk, coalesce(last_value(decided IGNORE NULLS) OVER (PARTITION BY entity ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS is_poi FROM d""")
+def poi_history(spark, sf_dir):
+    """Persons of interest over time: each event scores its user's trio anew."""
+    return K.poi_history(poi_scores(spark, sf_dir))
+
+
+def poi_scores(spark, sf_dir):
+    """(entity, at, six factors, risk) of each event."""
+    ev = event_transfers(spark, sf_dir).where("value is not null")
+    at, v = F.col("block_number"), F.col("value")
+    own = ev.select(
+        _entity(F.substring("from_address", 2, 9).cast("int")).alias("entity"), at.alias("at"), F.least(F.lit(1.0), v / 150.0).alias("label"), F.least(F.lit(1.0), v / 300.0).alias("behavior"), (at % 10 / 10.0).alias("propagation"),
+        F.lit(0.0).alias("temporal"), (at % 5 / 5.0).alias("exposure"), F.least(F.lit(1.0), v / 100.0).alias("integration"),
+    )
+    total = 0.4 * F.col("label") + 0.2 * F.col("behavior") + 0.1 * F.col("propagation") + 0.1 * F.col("exposure") + 0.2 * F.col("integration")
+    return own.withColumn("risk", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 1.2, 6))
+
+
+@query(f"""WITH {EV}, wl AS (SELECT 'U' || user_id AS address, epoch(ts) AS added_at, epoch(ts) + 86400.0 * (event_id % 9 - 1) AS expires_at FROM events WHERE event_type = 'signup'),
+ t AS (SELECT tx_hash, from_address AS address, 'from' AS side, ts AS "at" FROM ev UNION ALL SELECT tx_hash, to_address, 'to', ts FROM ev),
+ m AS (SELECT tx_hash, t.address, side, "at", arg_max(expires_at, (added_at, expires_at)) AS until FROM t JOIN wl ON wl.address = t.address AND added_at <= "at" GROUP BY ALL) SELECT tx_hash, address, side FROM m WHERE until > m."at" """)
+def watchlist_over_time(spark, sf_dir):
+    """A sign-up puts a user on the list for up to a week."""
+    return K.screen_over_time(event_transfers(spark, sf_dir), watch_entries(spark, sf_dir))
+
+
+def watch_entries(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    return e.select(F.concat(F.lit("U"), "user_id").alias("address"), epoch(F.col("ts")).alias("added_at"), (epoch(F.col("ts")) + 86400.0 * (F.col("event_id") % 9 - 1)).alias("expires_at"))
 
 
 @query(f"""WITH {EV}, wl AS (SELECT DISTINCT 'U' || user_id AS address, 1700000000 + 86400.0 * (user_id % 14 - 7) AS expires_at FROM events WHERE user_id % 10 = 0), ok AS (SELECT address FROM wl WHERE expires_at > 1700000000)

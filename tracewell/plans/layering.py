@@ -13,6 +13,7 @@ from tracewell.operators import relational as R
 from tracewell.operators import wallet as W
 from tracewell.operators.etl import keep_latest
 from tracewell.plans.base import query, table
+from tracewell.sources.storage import cut
 from tracewell.sources.transfers import EV, HV, TR, event_transfers, purchase_transfers, trade_transfers
 
 #: Services of the event graph.
@@ -146,14 +147,21 @@ def _wallet_txs(spark, sf_dir):
     return ev.where("from_address <> to_address").withColumn("wallet", F.col("from_address")).unionByName(ev.withColumn("wallet", F.col("to_address")))
 
 
-@query(f"""WITH {WTX} SELECT DISTINCT wallet, 'dapp' AS detector, CASE method_id WHEN 'purchase' THEN 'swap' ELSE 'approval' END AS label, tx_hash FROM wtx WHERE method_id IN ('purchase', 'signup')
- UNION SELECT wallet, 'protocol', 'tornado', tx_hash FROM wtx WHERE to_address = 'U0' UNION SELECT wallet, 'large_transfer', 'large', tx_hash FROM wtx WHERE value >= 150""")
-def wallet_detections(spark, sf_dir):
-    protocols = spark.createDataFrame([("U0", "tornado")], "address string, label string")
+_FOUND = """SELECT DISTINCT wallet, 'method_signature' AS detector, CASE method_id WHEN 'purchase' THEN 'swap' ELSE 'approval' END AS label, tx_hash FROM wtx WHERE method_id IN ('purchase', 'signup')
+ UNION SELECT wallet, 'known_protocol', CASE to_address WHEN 'U0' THEN 'tornado_cash' ELSE 'bridge' END, tx_hash FROM wtx WHERE to_address IN ('U0', 'U3') UNION SELECT wallet, 'value_heuristic', 'large_transfer', tx_hash FROM wtx WHERE value >= 150"""
+
+
+def _detections(spark, sf_dir):
+    protocols = spark.createDataFrame([("U0", "tornado_cash"), ("U3", "bridge")], "address string, label string")
     return W.detections(_wallet_txs(spark, sf_dir), protocols, {"purchase": "swap", "signup": "approval"}, 150.0)
 
 
-_BOT = """bot AS (SELECT wallet, n, round(n / greatest((t1 - t0) / 60, 1e-9), 6) AS rate, round(k / n, 6) AS top_share FROM (SELECT wallet, count(*) AS n, min(ts) AS t0, max(ts) AS t1 FROM wtx GROUP BY 1)
+@query(f"WITH {WTX} {_FOUND}")
+def wallet_detections(spark, sf_dir):
+    return _detections(spark, sf_dir)
+
+
+_BOT = """bot AS (SELECT wallet, n, CASE WHEN t1 > t0 THEN round(n / ((t1 - t0) / 60), 6) ELSE 0 END AS rate, round(k / n, 6) AS top_share FROM (SELECT wallet, count(*) AS n, min(ts) AS t0, max(ts) AS t1 FROM wtx GROUP BY 1)
  JOIN (SELECT wallet, max(k) AS k FROM (SELECT wallet, to_address, count(*) AS k FROM wtx GROUP BY 1, 2) GROUP BY 1) USING (wallet))"""
 
 
@@ -171,19 +179,31 @@ def fast_movement(spark, sf_dir):
     return W.fast_movement(_wallet_txs(spark, sf_dir))
 
 
-_RISK = f"""{WTX}, {_BOT}, {_FAST}, agg AS (SELECT wallet, count(DISTINCT CASE WHEN to_address <> wallet THEN to_address END) AS targets, count(*) AS n, count(CASE WHEN from_address = wallet THEN 1 END) AS n_out, count(CASE WHEN method_id = 'approve' THEN 1 END) AS approvals, max(value) AS most FROM wtx GROUP BY 1),
- flag AS (SELECT wallet, max(p) AS points FROM wtx JOIN (VALUES ('U0', 40), ('U7', 25)) f(a, p) ON to_address = a GROUP BY 1),
- risk AS (SELECT wallet, least(100, coalesce(points, 0) + (targets >= 10)::INT * 10 + (agg.n >= 15)::INT * 15 + (n_out / agg.n > 0.9 AND agg.n >= 5)::INT * 10 + (coalesce(times, 0) > 0)::INT * 20 + (approvals >= 3)::INT * 10 + (most >= 100)::INT * 5 + (bot.n >= 10 AND (rate > 5 OR top_share > 0.8))::INT * 15)::INT AS score
- FROM agg LEFT JOIN flag USING (wallet) LEFT JOIN fast USING (wallet) JOIN bot USING (wallet))"""
+#: Two lists of flagged addresses: suppliers in debt by their balance, and the nations' users for all chains; an address may be on both.
+_RISK = f"""{WTX}, {_BOT}, {_FAST}, found AS ({_FOUND}),
+ flags AS (SELECT address, sum(points) AS points FROM (SELECT 'u' || s_suppkey AS address, 20 + s_suppkey % 50 AS points FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'U' || n_nationkey, 30 FROM nation) GROUP BY lower(address), address),
+ agg AS (SELECT wallet, count(DISTINCT CASE WHEN lower(to_address) <> lower(wallet) THEN lower(to_address) END) AS targets, count(*) AS n, count(CASE WHEN from_address = wallet THEN 1 END) AS n_out,
+  count(DISTINCT lower(from_address)) AS senders, (SELECT count(*) FROM (SELECT lower(from_address) FROM wtx x WHERE x.wallet = w.wallet UNION SELECT lower(to_address) FROM wtx x WHERE x.wallet = w.wallet)) AS peers FROM wtx w GROUP BY 1),
+ det AS (SELECT wallet, count(*) FILTER (label = 'approval') AS approvals, max((label IN ('tornado_cash', 'bridge'))::INT) AS exposed, max((label = 'tornado_cash')::INT) AS mixed, max((label = 'large_transfer')::INT) AS large FROM found GROUP BY 1),
+ cls AS (SELECT wallet, CASE WHEN mixed = 1 THEN 'mixer' WHEN wallet IN (SELECT 'U' || s_suppkey FROM supplier WHERE s_acctbal < -900) THEN 'smart contract' WHEN peers > 100 THEN 'exchange' WHEN bot.n >= 10 AND (rate > 5 OR top_share > 0.8) THEN 'bot' ELSE 'user wallet' END AS class
+  FROM agg LEFT JOIN det USING (wallet) JOIN bot USING (wallet)),
+ risk AS (SELECT wallet, least(100, coalesce((SELECT sum(points) FROM flags f WHERE lower(f.address) = lower(a.wallet)), 0) + CASE WHEN targets >= 10 THEN 10 ELSE 0 END + CASE WHEN a.n >= 15 THEN 15 ELSE 0 END
+  + CASE WHEN n_out / a.n > 0.9 AND a.n >= 5 THEN 10 ELSE 0 END + CASE WHEN times > 0 THEN 20 ELSE 0 END + CASE WHEN approvals >= 3 THEN 10 ELSE 0 END + CASE WHEN exposed = 1 THEN 25 ELSE 0 END + CASE WHEN large = 1 THEN 5 ELSE 0 END
+  + CASE class WHEN 'bot' THEN 15 WHEN 'mixer' THEN 30 ELSE 0 END)::INT AS score FROM agg a LEFT JOIN det USING (wallet) LEFT JOIN fast USING (wallet) JOIN cls USING (wallet))"""
 
 
 def _wallet_risk(spark, sf_dir):
-    return W.wallet_risk(_wallet_txs(spark, sf_dir), spark.createDataFrame([("U0", 40), ("U7", 25)], "address string, points int"))
+    txs, found = cut(_wallet_txs(spark, sf_dir)), _detections(spark, sf_dir)
+    supplier = table(spark, sf_dir, "supplier")
+    owed = supplier.where("s_acctbal < 0").select(F.concat(F.lit("u"), "s_suppkey").alias("address"), (F.col("s_suppkey") % 50 + 20).alias("points"))
+    flagged = owed.unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("U"), "n_nationkey").alias("address"), F.lit(30).alias("points")))
+    code = supplier.where("s_acctbal < -900").select(F.concat(F.lit("U"), "s_suppkey").alias("address"))
+    return W.wallet_risk(txs, found, flagged, W.entity_class(txs, found, code))
 
 
-@query(f"WITH {_RISK} SELECT wallet, score, CASE WHEN score >= 70 THEN 'high_risk' WHEN score >= 30 THEN 'suspicious' ELSE 'normal' END AS level FROM risk")
+@query(f"WITH {_RISK} SELECT wallet, score, CASE WHEN score >= 70 THEN 'high_risk' WHEN score >= 30 THEN 'suspicious' ELSE 'safe' END AS level FROM risk")
 def wallet_risk(spark, sf_dir):
-    return _wallet_risk(spark, sf_dir)
+    return _wallet_risk(spark, sf_dir).drop("reasons")
 
 
 _CLUS = """wp AS (SELECT from_address AS s, to_address AS t, count(*) AS n, min(ts) AS t0, max(ts) AS t1 FROM {0} GROUP BY 1, 2), wc AS (SELECT s AS source, 'hub' AS kind FROM wp WHERE n >= 2 GROUP BY 1 HAVING count(*) >= 2
