@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.batches import text_or_row, texts_of
 from tracewell.llm.storage import materialise
 
 LETTER = regex.compile(r"\p{L}")
@@ -149,11 +150,11 @@ def identify(docs: DataFrame, model: LanguageFilter, keep_row: bool = False) ->
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(2)]
+            found = [shared.value.predict(t.as_py()) for t in texts_of(batch.column(2))]
             out = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2))]
-            row = batch.columns[3:]
+            row = batch.columns[2:] if keep_row else []
             yield pa.record_batch([*batch.columns[:2], *out, *row], names=["doc_id", "held_out", "lang_pred", "score", "evidence", *["row"] * len(row)])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"), *[F.struct(*docs.columns).alias("row")] * keep_row)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), *text_or_row(docs, keep_row))
     kinds = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double").add("evidence", "double")
-    return source.mapInArrow(kernel, kinds.add("row", docs.schema) if keep_row else kinds)
+    return source.mapInArrow(kernel, kinds.add("row", source.schema["row"].dataType) if keep_row else kinds)

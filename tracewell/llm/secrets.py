@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.batches import text_or_row, texts_of
 from tracewell.llm.storage import materialise
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -221,18 +222,18 @@ def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, words: list[str] =
         guess = GuessCost(words, min_cost)
         for batch in batches:
             rows = []
-            for one in batch.column(1):
+            for one in texts_of(batch.column(1)):
                 text = one.as_py()
                 spans = find_secrets(text or "", guess, min_cost)
                 base = [s for s in spans if s[2] != "guess"]
                 rows.append((*(sum(s[2] == k for s in base) for k in KINDS[:3]), hashlib.sha256(_spelled(base).encode()).hexdigest(), _spelled(spans), redacted(text, spans)))
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = [pa.int64()] * 3 + [pa.string()] * 3
-            yield pa.record_batch([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[2:]], names=[*names, *["row"] * (batch.num_columns - 2)])
+            yield pa.record_batch([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), *[batch.column(1)] * keep_row], names=[*names, *["row"] * keep_row])
 
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"]
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*docs.columns).alias("row")] * keep_row)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_or_row(docs, keep_row))
     kinds = T.StructType()
     for name in names:
         kinds = kinds.add(name, "long" if name.startswith(("doc", "n_")) else "string")
-    return source.mapInArrow(kernel, kinds.add("row", docs.schema) if keep_row else kinds)
+    return source.mapInArrow(kernel, kinds.add("row", source.schema["row"].dataType) if keep_row else kinds)
