@@ -278,12 +278,26 @@ def high_depth(
     return own.groupBy("seed").applyInPandas(walks, "seed string, path string, depth int, score double")
 
 
-def local_communities(weights: dict[tuple[str, str], float]) -> list[set[str]]:
-    """Communities of an undirected graph by local moves of modularity: nodes in order of name join the neighbouring community of most gain until none moves."""
+def _neighbours(weights: dict[tuple[str, str], float]) -> dict[str, dict[str, float]]:
+    """Each node's neighbours with weights; what a node has within itself counts twice, once an end."""
     near: dict[str, dict[str, float]] = defaultdict(dict)
     for (u, v), w in sorted(weights.items()):
         near[u][v] = near[u].get(v, 0.0) + w
         near[v][u] = near[v].get(u, 0.0) + w
+    return near
+
+
+def modularity(weights: dict[tuple[str, str], float], groups: list[set[str]]) -> float:
+    """The share of weight within ``groups`` less the share that ends of the same weights, dealt out at random, would have there."""
+    near = _neighbours(weights)
+    whole = sum(sum(x.values()) for x in near.values())
+    inside = sum(w for g in groups for u in g for v, w in near[u].items() if v in g)
+    return inside / whole - sum((sum(sum(near[u].values()) for u in g) / whole) ** 2 for g in groups)
+
+
+def local_communities(weights: dict[tuple[str, str], float]) -> list[set[str]]:
+    """Communities of an undirected graph by local moves of modularity: nodes in order of name join the neighbouring community of most gain until none moves."""
+    near = _neighbours(weights)
     degree = {u: sum(x.values()) for u, x in near.items()}
     whole, own = sum(degree.values()), {u: u for u in near}
     total = dict(degree)
@@ -293,7 +307,8 @@ def local_communities(weights: dict[tuple[str, str], float]) -> list[set[str]]:
             total[own[u]] -= degree[u]
             links: dict[str, float] = defaultdict(float)
             for v, w in near[u].items():
-                links[own[v]] += w
+                if v != u:
+                    links[own[v]] += w
             links.setdefault(own[u], 0.0)
             gain = {c: w - total[c] * degree[u] / whole for c, w in links.items()}
             best = min(gain, key=lambda c: (-round(gain[c], 12), c != own[u], c))
@@ -308,12 +323,32 @@ def local_communities(weights: dict[tuple[str, str], float]) -> list[set[str]]:
     return list(out.values())
 
 
+def louvain(weights: dict[tuple[str, str], float]) -> list[set[str]]:
+    """Communities by levels: those of local moves become the nodes of a smaller graph, named by their least members, until a level joins none.
+
+    A level keeps or raises modularity. The order is by name throughout, so the result is the same in every run.
+    """
+    inside = {u: {u} for e in weights for u in e}
+    while True:
+        groups = local_communities(weights)
+        if len(groups) == len({u for e in weights for u in e}):
+            return list(inside.values())
+        name = {u: min(g) for g in groups for u in g}
+        joined: dict[str, set[str]] = defaultdict(set)
+        for u, c in name.items():
+            joined[c] |= inside[u]
+        level: dict[tuple[str, str], float] = defaultdict(float)
+        for (u, v), w in weights.items():
+            level[min(name[u], name[v]), max(name[u], name[v])] += w
+        inside, weights = dict(joined), dict(level)
+
+
 def shell_networks(
     transfers: DataFrame, seeds: DataFrame, window: float = 43200.0, min_nodes: int = 4, min_ratio: float = 0.72, min_density: float = 0.28, pass_through: float = 21600.0, min_windows: int = 2, services: DataFrame | None = None
 ) -> DataFrame:
     """(seed, nodes, windows, density, ratio, motion, confidence): the best group around a seed that trades within itself in several windows.
 
-    In each half-overlapping window the seed's group is, of its connected component and its ``local_communities`` community, the one
+    In each half-overlapping window the seed's group is, of its connected component and its ``louvain`` community, the one
     with the higher score of value kept inside, density and motion (transfers that are passed on within the group). Groups of
     windows of which half the members agree are one. ``services`` (address) are left out. Python sees the transfers among a seed's
     SHELL_NODES nearest nodes.
@@ -333,7 +368,7 @@ def shell_networks(
         while front:
             front = [v for u in front for v in near[u] if v not in seen and not seen.add(v)]
         best = None
-        for nodes in [*(c for c in local_communities(weights) if seed in c), seen]:
+        for nodes in [*(c for c in louvain(weights) if seed in c), seen]:
             if len(nodes) < min_nodes:
                 continue
             inside = [r for r in own if r.from_address in nodes and r.to_address in nodes]

@@ -132,9 +132,10 @@ def read_run(spark: SparkSession, path: str, run: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("run_id") == run)
 
 
-def save_blocks(blocks: DataFrame, path: str) -> None:
-    """Raw blocks as JSON, a folder a block number."""
-    blocks.write.partitionBy("block_number").mode("append").json(path)
+def save_blocks(blocks: DataFrame, path: str, per_folder: int = 10_000) -> None:
+    """Raw blocks as JSON, a folder for each range of ``per_folder`` block numbers, rows in order."""
+    own = blocks.withColumn("block_range", F.floor(F.col("block_number") / per_folder))
+    own.repartition("block_range").sortWithinPartitions("block_range", "block_number").write.partitionBy("block_range").mode("append").json(path)
 
 
 def stage_rows(rows: DataFrame, staging: str, processed: str) -> None:

@@ -23,10 +23,43 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder, if it is there, in whatever file system holds it."""
+def _there(spark: SparkSession, path: str):
+    """A path and the file system that holds it, whichever that is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    where, fs = _there(spark, path)
+    fs.delete(where, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if there is no folder."""
+    where, fs = _there(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, which appears whole: it is written beside its place and renamed."""
+    where, fs = _there(spark, path)
+    beside, _ = _there(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(where, False)
+    if not fs.rename(beside, where):
+        raise OSError(f"could not rename to {path}")
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    where, fs = _there(spark, path)
+    held = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    finally:
+        held.close()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

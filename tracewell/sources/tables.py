@@ -14,10 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.sources.storage import drop
-
-MANIFEST = "number long, versions string"
-
+from tracewell.sources.storage import drop, names_in, read_note, write_note
 
 class KeyedStore:
     """Named tables of keyed rows under one folder, each in ``buckets`` folders by a hash of its key, and one manifest for all.
@@ -28,13 +25,16 @@ class KeyedStore:
     def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[T.StructType, list[str]]], buckets: int = 64):
         self.spark, self.path, self.tables, self.buckets = spark, path.rstrip("/"), tables, buckets
 
+    def _manifests(self) -> list[str]:
+        return [n for n in names_in(self.spark, f"{self.path}/manifest") if n.endswith(".json")]
+
+    def _manifest(self, name: str) -> tuple[int, dict[str, dict[str, int]]]:
+        return int(name.removesuffix(".json")), json.loads(read_note(self.spark, f"{self.path}/manifest/{name}"))
+
     def last(self) -> tuple[int, dict[str, dict[str, int]]]:
         """(number, manifest) of the last commit; (-1, {}) before the first."""
-        with contextlib.suppress(AnalysisException):
-            found = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest").orderBy(F.desc("number")).first()
-            if found:
-                return found["number"], json.loads(found["versions"])
-        return -1, {}
+        found = self._manifests()
+        return self._manifest(found[-1]) if found else (-1, {})
 
     def bucket(self, name: str, columns: list[str] | None = None):
         return F.pmod(F.xxhash64(*(columns or self.tables[name][1])), F.lit(self.buckets)).cast("int")
@@ -61,22 +61,17 @@ class KeyedStore:
             out = f"{self.path}/{name}/commit={number}"
             own.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
             now[name] = {b: v for b, v in now[name].items() if int(b) not in buckets}
-            now[name] |= {str(r[0]): number for r in self.spark.read.schema(own.schema).parquet(out).select("bucket").distinct().collect()}
-        row = self.spark.createDataFrame([(number, json.dumps(now))], MANIFEST)
-        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/commit={number}")
-        # a reader may still hold the manifest before this one
-        for name, versions in held.items():
-            used = {(b, v) for m in (held, now) for b, v in m.get(name, {}).items()}
-            for b, v in self._older(before, name) - used:
-                drop(self.spark, f"{self.path}/{name}/commit={v}/bucket={b}")
-
-    def _older(self, number: int, name: str) -> set[tuple[str, int]]:
-        """(bucket, version) of the manifest before ``number``."""
-        with contextlib.suppress(AnalysisException):
-            found = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest").where(F.col("number") < number).orderBy(F.desc("number")).first()
-            if found:
-                return set(json.loads(found["versions"]).get(name, {}).items())
-        return set()
+            now[name] |= {b.removeprefix("bucket="): number for b in names_in(self.spark, out) if b.startswith("bucket=")}
+        write_note(self.spark, f"{self.path}/manifest/{number:012d}.json", json.dumps(now))
+        # a reader may still hold the manifest before this one; what only an older one names can go, and so can that manifest
+        older = self._manifests()[:-2]
+        for found in map(self._manifest, older):
+            for name, versions in found[1].items():
+                used = {(b, v) for m in (held, now) for b, v in m.get(name, {}).items()}
+                for b, v in set(versions.items()) - used:
+                    drop(self.spark, f"{self.path}/{name}/commit={v}/bucket={b}")
+        for name in older:
+            drop(self.spark, f"{self.path}/manifest/{name}")
 
 
 class RunStore:
