@@ -141,3 +141,9 @@ def test_more_scalars(spark):
     assert [r[0] and r[0].timestamp() for r in times.select(S.any_timestamp(F.col("t"))).collect()] == [16, 16, 16, None]
     ids = spark.createDataFrame([("ABC",), ("0xAb",), ("0xzz",)], "t string")
     assert [r[0] for r in ids.select(S.hex_id(F.col("t"))).collect()] == ["0xabc", "0xab", None]
+
+
+def test_strongest_hits(spark):
+    hits = spark.createDataFrame([("e", "m", 0.4, ["b", "a"]), ("e", "m", 0.7, ["c", "a"]), ("e", "n", 0.1, []), ("f", "m", 0.2, None)], "entity string, method string, score double, hashes array<string>")
+    got = {(r.entity, r.method): (r.score, r.hashes) for r in A.strongest_hits(hits).collect()}
+    assert got == {("e", "m"): (0.7, ["a", "b", "c"]), ("e", "n"): (0.1, []), ("f", "m"): (0.2, [])}

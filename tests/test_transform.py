@@ -11,8 +11,8 @@ from tracewell.operators import transform as X
 from tracewell.schema import FLAT_DOC, RAW_BLOCK
 
 
-def doc(block, i, **more):
-    return {"tx_hash": f"t{block}-{i}", "block": {"number": block, "timestamp": "1970-01-01T00:01:00Z"}, "address_pair": {"from": " A ", "to": f"B{i}"}, "value": {"eth": 1.5}, "forensics": {"is_contract": None, "method_id": "0xAB ", "transaction_index": i}, "gas": {"gas_used": 1}, **more}
+def doc(n, i, **more):
+    return {"tx_hash": f"t{n}-{i}", "block": {"number": n, "timestamp": "1970-01-01T00:01:00Z"}, "address_pair": {"from": " A ", "to": f"B{i}"}, "value": {"eth": 1.5}, "forensics": {"is_contract": None, "method_id": "0xAB ", "transaction_index": i}, "gas": {"gas_used": 1}, **more}
 
 
 def raw(block, n, at="1"):
