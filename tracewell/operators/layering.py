@@ -125,10 +125,20 @@ def peeling_chain(
     return kept.select("seed", "path", "hops", F.round(average, 6).alias("fragment_share"), confidence.alias("confidence"))
 
 
-def follow_on(transfers: DataFrame, interactions: DataFrame, gap: float, tolerance: float) -> DataFrame:
-    """(tx_hash, follow): transfers that leave a service soon after one came in, of about the same amount, to an address other than the sender."""
+def follow_on(transfers: DataFrame, interactions: DataFrame, gap: float, tolerance: float, fresh: bool = False, services: DataFrame | None = None) -> DataFrame:
+    """(tx_hash, follow): transfers that leave a service soon after one came in, of about the same amount, to an address other than the sender.
+
+    With ``fresh`` the target must have been seen first within ``gap`` before it; targets among ``services`` (address) don't count.
+    """
     into = transfers.join(interactions.select(F.col("address").alias("to_address")), "to_address", "left_semi").select(F.col("to_address").alias("node"), "tx_hash", F.col("from_address").alias("source"), F.col("ts").alias("its"), F.col("value").alias("iv"))
-    out = transfers.select(F.col("from_address").alias("node"), F.col("tx_hash").alias("follow"), F.col("to_address").alias("target"), F.col("ts").alias("ots"), F.col("value").alias("ov"))
+    out = transfers.join(interactions.select(F.col("address").alias("from_address")), "from_address", "left_semi")
+    if services is not None:
+        out = out.join(services.select(F.col("address").alias("to_address")), "to_address", "left_anti")
+    if fresh:
+        ends = transfers.select(F.col("from_address").alias("to_address"), "ts").unionByName(transfers.select("to_address", "ts"))
+        first = ends.join(out.select("to_address").distinct(), "to_address", "left_semi").groupBy("to_address").agg(F.min("ts").alias("first_ts"))
+        out = out.join(first, "to_address").where(F.col("ts") - F.col("first_ts") <= gap)
+    out = out.select(F.col("from_address").alias("node"), F.col("tx_hash").alias("follow"), F.col("to_address").alias("target"), F.col("ts").alias("ots"), F.col("value").alias("ov"))
     like = F.abs(F.col("iv") - F.col("ov")) <= F.col("iv") * tolerance
     return interval_join(into, out, ["node"], "its", "ots", gap, also=like).where("source <> target").select("tx_hash", "follow")
 

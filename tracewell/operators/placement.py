@@ -141,6 +141,22 @@ def trace_hops(flows: DataFrame, traces: DataFrame, most: int = 20) -> DataFrame
     return steps.join(shown.select(F.col("src").alias("source"), F.col("dst").alias("target"), "tx_hash"), ["source", "target"]).select("root", "path", "hop", "source", "target", "tx_hash")
 
 
+def trace_rows(flows: DataFrame, traces: DataFrame) -> DataFrame:
+    """(root, origin, path_index, depth, upstream, downstream, score, is_terminal, reason, value, first_ts, last_ts): a row for each hop of each path, from its origin on.
+
+    Paths of a root are numbered from 1, the best score first, then by path. The last hop, at the root, is terminal and has the reason; a path of one node has one row, at depth 0.
+    """
+    own = traces.select("root", F.reverse("path").alias("nodes"), "score", F.col("end").alias("reason"))
+    own = own.withColumn("path_index", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "nodes")))
+    hops = F.when(F.size("nodes") > 1, F.arrays_zip(F.expr("slice(nodes, 1, size(nodes) - 1)").alias("upstream"), F.expr("slice(nodes, 2, size(nodes) - 1)").alias("downstream")))
+    alone = F.array(F.struct(F.get("nodes", 0).alias("upstream"), F.lit(None).cast("string").alias("downstream")))
+    each = own.select("root", F.get("nodes", 0).alias("origin"), "path_index", F.size("nodes").alias("n"), "score", "reason", F.posexplode(F.coalesce(hops, alone)).alias("depth", "hop")).select("*", "hop.upstream", "hop.downstream")
+    last = F.col("depth") == F.greatest(F.col("n") - 2, F.lit(0))
+    edges = flows.groupBy(F.col("src").alias("upstream"), F.col("dst").alias("downstream")).agg(exact_sum("value").alias("value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    met = each.join(edges, ["upstream", "downstream"], "left")
+    return met.select("root", "origin", "path_index", "depth", "upstream", "downstream", "score", last.cast("int").alias("is_terminal"), F.when(last, F.col("reason")).alias("reason"), F.coalesce("value", F.lit(0.0)).alias("value"), "first_ts", "last_ts")
+
+
 def behavior_profiles(traces: DataFrame, ranked: DataFrame) -> DataFrame:
     """(entity, behavior, confidence, relation, rank) of trace origins: each behaviour's strongest sign, an origin's own whole, those of its roots at 0.92; the best first."""
     linked = traces.select(F.element_at("path", -1).alias("entity"), F.col("root").alias("of")).distinct()

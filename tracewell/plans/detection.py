@@ -175,6 +175,15 @@ def trace_paths(spark, sf_dir):
     return _traces(spark, sf_dir)[2].withColumn("path", F.array_join("path", ">"))
 
 
+@query(f"""WITH {TRACED}, p AS (SELECT root, list_reverse(path) AS nodes, score, "end" AS reason, row_number() OVER (PARTITION BY root ORDER BY score DESC, list_reverse(path)) AS path_index FROM traces),
+ h AS (SELECT root, nodes, score, reason, path_index, unnest(range(0, greatest(len(nodes) - 1, 1))) AS depth FROM p), e AS (SELECT src, dst, {_D} AS value, min(ts) AS first_ts, max(ts) AS last_ts FROM flow GROUP BY 1, 2)
+SELECT root, nodes[1] AS origin, path_index, depth, nodes[depth + 1] AS upstream, nodes[depth + 2] AS downstream, score, (depth = greatest(len(nodes) - 2, 0))::INT AS is_terminal, CASE WHEN depth = greatest(len(nodes) - 2, 0) THEN reason END AS reason,
+ coalesce(value, 0.0) AS value, first_ts, last_ts FROM h LEFT JOIN e ON src = nodes[depth + 1] AND dst = nodes[depth + 2]""")
+def trace_rows(spark, sf_dir):
+    flows, _, traces = _traces(spark, sf_dir)
+    return P.trace_rows(flows, traces)
+
+
 SCORED = f"""{TRACED}, best AS (SELECT entity, max(confidence) AS best FROM ranked GROUP BY 1), pt AS (SELECT path[-1] AS entity, root, len(path) - 1 AS depth, score FROM traces),
  gr AS (SELECT entity, max(depth) AS depth, round(avg(score), 6) AS ps FROM pt GROUP BY 1),
  rt AS (SELECT p.entity, max(b.best) AS below, sum(CAST(greatest(0, r.first_seen - o.first_seen) AS DECIMAL(24,6)))::DOUBLE / count(*) AS gap FROM (SELECT DISTINCT entity, root FROM pt) p LEFT JOIN best b ON root = b.entity JOIN prof r ON root = r.entity JOIN prof o ON p.entity = o.entity GROUP BY 1),

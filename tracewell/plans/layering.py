@@ -125,6 +125,14 @@ def follow_on_concealment(spark, sf_dir):
     return L.follow_on(event_transfers(spark, sf_dir), _of(spark, "mixer"), GAP, 0.05)
 
 
+@query(f"""WITH {EV}, {_SVC}, seen AS (SELECT address, min(ts) AS first_ts FROM (SELECT from_address AS address, ts FROM ev UNION ALL SELECT to_address, ts FROM ev) GROUP BY 1)
+SELECT i.tx_hash, o.tx_hash AS follow FROM ev i JOIN ev o ON i.to_address = o.from_address AND o.ts BETWEEN i.ts AND i.ts + {20 * GAP} AND abs(i.value - o.value) <= i.value * 0.2 JOIN seen ON seen.address = o.to_address
+ WHERE i.to_address IN ('U0', 'U1') AND i.from_address <> o.to_address AND o.to_address NOT IN (SELECT address FROM svc) AND o.ts - first_ts <= {20 * GAP}""")
+def fresh_follow_on(spark, sf_dir):
+    """What leaves a mixer for addresses that were first seen shortly before."""
+    return L.follow_on(event_transfers(spark, sf_dir), _of(spark, "mixer"), 20 * GAP, 0.2, True, _services(spark).select("address"))
+
+
 @query(f"""WITH {EV}, e AS (SELECT *, CAST(substr(from_address, 2) AS INT) % 10 AS community FROM ev WHERE CAST(substr(from_address, 2) AS INT) % 10 = CAST(substr(to_address, 2) AS INT) % 10)
 SELECT DISTINCT l.community, l.tx_hash FROM e l WHERE EXISTS (SELECT 1 FROM e r WHERE r.community = l.community AND r.from_address = l.to_address AND r.ts BETWEEN l.ts AND l.ts + {GAP})""")
 def layering_motion(spark, sf_dir):
