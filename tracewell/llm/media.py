@@ -28,6 +28,8 @@ CUTS, UNIT = (-0.18, 0.0, 0.18), 1 << 20
 WIDTH, ANCHORS = 16, 6
 #: Words, frames that are worked on together.
 NOTES, BLOCK = 1024, 2048
+#: Pairs of places that are taken at once.
+FEW_PAIRS = 1 << 16
 #: What aligned recordings have at least: anchors that agree, as a share of those of the recording with fewer; overlap in frames. And at most: differing bits.
 MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERROR = 0.25, 8, 0.15
 
@@ -157,18 +159,41 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, key[at].view(np.int64)
 
 
-def best_offset(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], step: int = 1 << 12) -> tuple[int, int]:
+def _differences(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Distinct places of ``right`` less those of ``left``, both rising: by pairs where these are few, else by the product of the places' spectra."""
+    pairs, low = len(left) * len(right), right[0] - left[-1]
+    if pairs <= FEW_PAIRS:
+        return np.unique(right[:, None] - left[None, :])
+    size = int(right[-1] - left[0] - low) + 1
+    seen = np.zeros(size, bool)
+    if pairs <= size * size.bit_length():
+        for at in range(0, len(left), step := max(1, FEW_PAIRS // len(right))):
+            seen[right[:, None] - left[None, at : at + step] - low] = True
+    else:
+        n = 1 << size.bit_length()
+        a, b = np.zeros(n), np.zeros(n)
+        a[left[-1] - left], b[right - right[0]] = 1, 1
+        seen = np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), n)[:size] > 0.5
+    return np.flatnonzero(seen) + low
+
+
+def best_offset(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
     """(offset, votes): the place in b less that in a which most distinct common keys agree on; ties go to the nearest to zero, then the smaller. (0, 0) for no common key."""
-    votes: dict[int, int] = {}
-    for key in np.intersect1d(a[1], b[1]).tolist():
-        left, right = a[0][a[1] == key], b[0][b[1] == key]
-        offsets: set[int] = set()
-        for at in range(0, len(left), step):
-            for to in range(0, len(right), step):
-                offsets |= set(np.unique(right[to : to + step, None] - left[None, at : at + step]).tolist())
-        for x in offsets:
-            votes[x] = votes.get(x, 0) + 1
-    return max(votes.items(), key=lambda v: (v[1], -abs(v[0]), -v[0]), default=(0, 0))
+    keys = np.intersect1d(a[1], b[1])
+    if not len(keys):
+        return 0, 0
+    sides = []
+    for at, own in (a, b):
+        order = np.argsort(own, kind="stable")
+        sides.append((at[order], np.searchsorted(own[order], keys), np.searchsorted(own[order], keys, side="right")))
+    (left, a0, a1), (right, b0, b1) = sides
+    least = int(b[0].min() - a[0].max())
+    votes = np.zeros(int(b[0].max() - a[0].min()) - least + 1, np.int64)
+    for k in range(len(keys)):
+        votes[_differences(left[a0[k] : a1[k]], right[b0[k] : b1[k]]) - least] += 1
+    most = int(votes.max())
+    found = (np.flatnonzero(votes == most) + least).tolist()
+    return min(found, key=lambda x: (abs(x), x)), most
 
 
 def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
