@@ -29,8 +29,8 @@ def entity_flows(transfers: DataFrame, members: DataFrame) -> DataFrame:
 def structuring(flows: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The best window of like amounts; a window ends at one transfer, of equal times at the later hash.
 
-    A window's counts and moments are those of all transfers up to its end less those before its start: two running frames over one sort, linear in a receiver's
-    transfers. Moments are of amounts to eight places, exact. Three senders are in a window if the last transfer of the third
+    A window's counts and moments are those of all transfers up to its end less those up to the last one before its start: running frames over one sort, linear in a
+    receiver's transfers, summed once. Moments are of amounts to eight places, exact. Three senders are in a window if the last transfer of the third
     latest one is: times at which senders take turns tell it, again by running frames.
     """
     w = Window.partitionBy("dst")
@@ -38,11 +38,15 @@ def structuring(flows: DataFrame, cfg: EngineConfig) -> DataFrame:
     till, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     before = w.orderBy("t").rangeBetween(Window.unboundedPreceding, -int(cfg.structuring_window * 1_000_000) - 1)
     x = F.when(F.col("value") > 0, F.col("value").cast("decimal(20,8)"))
-    own = flows.select("dst", "src", "tx_hash", F.round(F.col("ts") * 1_000_000).cast("long").alias("t"), F.lit(1).alias("one"), F.when(F.col("value") > 0, 1).otherwise(0).alias("pos"), x.alias("x"), (x * x).cast("decimal(38,12)").alias("xx"), F.col("value").cast("decimal(18,2)").alias("cents"))
-    none = F.lit(0)
-    within = lambda c: F.coalesce(F.sum(c).over(till), none) - F.coalesce(F.sum(c).over(before), none)
+    cents = (F.col("value").cast("decimal(18,2)") * 100).cast("long")
+    own = flows.select("dst", "src", "tx_hash", F.round(F.col("ts") * 1_000_000).cast("long").alias("t"), F.when(F.col("value") > 0, 1).otherwise(0).alias("pos"), x.alias("x"), (x * x).cast("decimal(38,12)").alias("xx"), cents.alias("cents"))
+    sums = {"n_pos": "pos", "s1": "x", "s2": "xx", "total": "cents"}
+    own = own.withColumns({"rk": F.row_number().over(order)} | {f"all_{k}": F.coalesce(F.sum(c).over(till), F.lit(0)) for k, c in sums.items()})
+    own = own.withColumn("out", F.max(F.struct("rk", *[f"all_{k}" for k in sums])).over(before))
+    own = own.withColumns({"n": F.col("rk") - F.coalesce("out.rk", F.lit(0))} | {k: F.col(f"all_{k}") - F.coalesce(f"out.all_{k}", F.lit(0)) for k in sums})
+    own = own.withColumn("total", F.col("total") / 100)
     last_src, last_t = F.lag("src").over(order), F.lag("t").over(order)
-    own = own.withColumns({"rk": F.row_number().over(order), "n": within("one"), "n_pos": within("pos"), "s1": within("x"), "s2": within("xx"), "total": within("cents").cast("double"), "last_src": last_src, "last_t": last_t})
+    own = own.withColumns({"last_src": last_src, "last_t": last_t})
     # at the first transfer of a sender's turn: who had the turn before the last one, and when it ended
     turn = F.col("last_src").isNotNull() & (F.col("last_src") != F.col("src"))
     own = own.withColumn("two_back", F.last(F.when(turn, F.struct("last_src", "last_t")), ignorenulls=True).over(earlier))

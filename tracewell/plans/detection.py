@@ -128,7 +128,7 @@ QUERIES |= {f.__name__: f for f in (structuring, smurfing, micro_funding)}
 
 
 def _ranked(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
+    flows = cut(_flows(spark, sf_dir))
     return P.behaviors(flows, _profiles(flows), CFG)
 
 
