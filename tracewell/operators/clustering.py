@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.config import EngineConfig
-from tracewell.functions.scalar import exact_sum, stable_id
+from tracewell.functions.scalar import ascii_text, exact_sum, stable_id
 from tracewell.operators.graph import connected_components
 from tracewell.sources.storage import materialise
 from tracewell.sources.tables import KeyedStore
@@ -69,8 +69,44 @@ def evidence(links: DataFrame, members: DataFrame) -> DataFrame:
     return within.groupBy("cluster_id", "name").agg(F.count("*").alias("n"), F.max("size").alias("size")).select("cluster_id", "name", "n", F.least(F.lit(1.0), F.round(F.col("n") / F.col("size"), 6)).alias("confidence"))
 
 
+#: What each heuristic says of the addresses that it links.
+DESCRIPTIONS = {
+    "behavioral_similarity": "Addresses sharing >= N common counterparties are likely controlled by the same entity.",
+    "coordinated_cashout": "Addresses cashing out similar amounts to the same collector in a short window are grouped as likely jointly controlled.",
+    "common_funder": "Addresses funded by the same source and later converging on the same outbound counterparty are grouped as likely jointly controlled.",
+    "contract_interaction": "Addresses interacting with the same smart contracts are grouped. Deposit->Contract->Withdraw cycles are linked as shared contract usage.",
+    "deposit_address_reuse": "Addresses using the same forwarding deposit address are grouped as likely belonging to one operator or exchange account.",
+    "fan_pattern": "Addresses on the receiving end of a fan-out (or sending end of a fan-in) are grouped as likely related.",
+    "loop_detection": "Addresses forming circular transaction flows are grouped as likely coordinated or jointly controlled.",
+    "temporal_coordination": "Addresses transacting within a short time window toward the same destination are flagged as coordinated.",
+    "repeated_flow": "Addresses with repeated value transfers between each other are grouped as likely related entities.",
+}
+
+
+def persisted(found: DataFrame, signs: DataFrame, sums: DataFrame, addresses: DataFrame, owners: DataFrame, old: DataFrame, cfg: EngineConfig) -> dict[str, DataFrame]:
+    """The tables of a clustering run, to be saved as one: ``clusters``, ``addresses``, ``evidence``, ``stale``.
+
+    ``found`` (address, cluster_id, size) is counted again over the known ``addresses`` (address); what has fewer than two of them, or ``min_cluster_size``, goes.
+    clusters: (cluster_id, size, total_balance, risk_level, label_status, owner_id, matched_owner_address), the balance what ``sums`` (``indicators``) moved inside,
+    labelled anew by ``owners``; addresses: every known address with its cluster, null for those of none; evidence: (cluster_id, heuristic, text, confidence) from
+    ``signs`` (``evidence``), in place of all there was; stale: (cluster_id) of ``old`` that is no longer there.
+    """
+    held = addresses.select("address").distinct().join(found.select("address", "cluster_id"), "address", "left")
+    counted = held.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("size")).where(F.col("size") >= max(2, cfg.min_cluster_size))
+    kept = counted.select("cluster_id")
+    assigned = held.join(kept.withColumn("kept", F.lit(True)), "cluster_id", "left").select("address", F.when(F.col("kept"), F.col("cluster_id")).alias("cluster_id"))
+    named = owner_labels(assigned.where("cluster_id is not null"), owners)
+    clusters = counted.join(sums.select("cluster_id", "internal_volume"), "cluster_id", "left").join(named, "cluster_id").select(
+        "cluster_id", "size", F.coalesce("internal_volume", F.lit(0.0)).alias("total_balance"), F.lit("normal").alias("risk_level"), F.col("status").alias("label_status"), "owner_id", F.col("address").alias("matched_owner_address")
+    )
+    told = F.create_map(*[F.lit(x) for kv in DESCRIPTIONS.items() for x in kv])[F.col("name")]
+    text = F.concat(F.coalesce(told, F.regexp_replace("name", "_", " ")), F.lit(" (signals: "), F.col("n").cast("string"), F.lit(")"))
+    rows = signs.join(kept, "cluster_id", "left_semi").select("cluster_id", F.col("name").alias("heuristic"), ascii_text(text).alias("text"), "confidence")
+    return {"clusters": clusters, "addresses": assigned, "evidence": rows, "stale": old.select("cluster_id").distinct().join(kept, "cluster_id", "left_anti")}
+
+
 def indicators(transfers: DataFrame, members: DataFrame) -> DataFrame:
-    """Per cluster: transfers that touch it, within and across, sums, net flow and span."""
+    """Per cluster that a transfer touches: its size, transfers, those within and contract calls, sums, net flow, span between known times."""
     a = members.select(F.col("address").alias("from_address"), F.col("cluster_id").alias("ca"))
     b = members.select(F.col("address").alias("to_address"), F.col("cluster_id").alias("cb"))
     own = transfers.join(a, "from_address", "left").join(b, "to_address", "left").where("ca is not null or cb is not null")
@@ -78,12 +114,13 @@ def indicators(transfers: DataFrame, members: DataFrame) -> DataFrame:
     rows = own.select("*", F.explode(touched).alias("cluster_id"))
     inside = (F.col("ca") == F.col("cb"))
     sent, got = F.col("ca") == F.col("cluster_id"), F.col("cb") == F.col("cluster_id")
-    zero = F.lit(0.0)
+    zero, known = F.lit(0.0), F.when(F.col("ts") > 0, F.col("ts"))
     out = rows.groupBy("cluster_id").agg(
-        F.count("*").alias("tx_count"), F.count(F.when(inside, 1)).alias("internal_tx"), F.coalesce(exact_sum(F.when(inside, F.col("value"))), zero).alias("internal_volume"), exact_sum("value").alias("total_volume"),
-        F.coalesce(exact_sum(F.when(got, F.col("value"))), zero).alias("total_in"), F.coalesce(exact_sum(F.when(sent, F.col("value"))), zero).alias("total_out"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.count("*").alias("tx_count"), F.count(F.when(inside, 1)).alias("internal_tx"), F.count(F.when(F.col("is_contract_call"), 1)).alias("contract_calls"), F.coalesce(exact_sum(F.when(inside, F.col("value"))), zero).alias("internal_volume"), exact_sum("value").alias("total_volume"),
+        F.coalesce(exact_sum(F.when(got, F.col("value"))), zero).alias("total_in"), F.coalesce(exact_sum(F.when(sent, F.col("value"))), zero).alias("total_out"), F.min(known).alias("first_ts"), F.max(known).alias("last_ts"),
     )
-    return out.withColumn("net", F.round(F.col("total_in") - F.col("total_out"), 2)).withColumn("span", F.col("last_ts") - F.col("first_ts"))
+    out = out.join(members.groupBy("cluster_id").agg(F.countDistinct("address").alias("size")), "cluster_id")
+    return out.withColumn("net", F.round(F.col("total_in") - F.col("total_out"), 2)).withColumn("span", F.coalesce(F.col("last_ts") - F.col("first_ts"), zero))
 
 
 def owner_labels(members: DataFrame, owners: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from tracewell.config import EngineConfig
@@ -9,6 +11,8 @@ from tracewell.operators import clustering as C
 from tracewell.operators import heuristics as H
 from tracewell.operators.graph import bounded_cycles, connected_components, ego_density, k_hop
 from tracewell.plans.base import QUERIES, ORACLES, query, table
+from tracewell.sources.storage import cut, fresh_path
+from tracewell.sources.tables import RunStore
 from tracewell.sources.transfers import EV, HV, event_transfers, purchase_transfers
 
 #: Event times are hours apart, so spans are days.
@@ -143,7 +147,7 @@ _D = "CAST(coalesce(sum(CASE WHEN {} THEN CAST(value AS DECIMAL(18,2)) END), 0)
 
 @query(f"""WITH RECURSIVE {CLUSTERED}, j AS (SELECT hv.*, x.cluster_id AS ca, y.cluster_id AS cb FROM hv LEFT JOIN members x ON from_address = x.address LEFT JOIN members y ON to_address = y.address),
  t AS (SELECT *, ca AS cluster_id FROM j WHERE ca IS NOT NULL UNION ALL SELECT *, cb FROM j WHERE cb IS NOT NULL AND cb IS DISTINCT FROM ca)
-SELECT cluster_id, count(*) AS tx_count, count(CASE WHEN ca = cb THEN 1 END) AS internal_tx, {_D.format('ca = cb')} AS internal_volume, {_D.format('true')} AS total_volume, {_D.format('cb = cluster_id')} AS total_in, {_D.format('ca = cluster_id')} AS total_out,
+SELECT cluster_id, count(*) AS tx_count, count(CASE WHEN ca = cb THEN 1 END) AS internal_tx, count(CASE WHEN is_contract_call THEN 1 END) AS contract_calls, (SELECT count(*) FROM members m WHERE m.cluster_id = t.cluster_id) AS size, {_D.format('ca = cb')} AS internal_volume, {_D.format('true')} AS total_volume, {_D.format('cb = cluster_id')} AS total_in, {_D.format('ca = cluster_id')} AS total_out,
  min(ts) AS first_ts, max(ts) AS last_ts, round({_D.format('cb = cluster_id')} - {_D.format('ca = cluster_id')}, 2) AS net, max(ts) - min(ts) AS span FROM t GROUP BY 1""")
 def cluster_indicators(spark, sf_dir):
     return C.indicators(purchase_transfers(spark, sf_dir), _members(spark, sf_dir))
@@ -156,9 +160,51 @@ SELECT cluster_id, CASE WHEN r.r IS NULL THEN 'unlabeled' WHEN n = n2 AND p = p2
  CASE WHEN coalesce(n = n2 AND p = p2, false) THEN NULL ELSE owner_id END AS owner_id, CASE WHEN coalesce(n = n2 AND p = p2, false) THEN NULL ELSE coalesce(main, any_address) END AS address
 FROM (SELECT DISTINCT cluster_id FROM members) LEFT JOIN (SELECT * FROM r WHERE r = 1) r USING (cluster_id)""")
 def owner_labels(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    owners = c.select(F.col("c_nationkey").alias("owner_id"), F.concat(F.lit("U"), F.floor(F.col("c_custkey") / 10)).alias("address"), (F.col("c_custkey") % 4 == 0).alias("is_primary"))
-    return C.owner_labels(_members(spark, sf_dir), owners)
+    return C.owner_labels(_members(spark, sf_dir), _owners(spark, sf_dir))
+
+
+def _owners(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner_id"), F.concat(F.lit("U"), F.floor(F.col("c_custkey") / 10)).alias("address"), (F.col("c_custkey") % 4 == 0).alias("is_primary"))
+
+
+_SAYS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {
+    "behavioral_similarity": "Addresses sharing >= N common counterparties are likely controlled by the same entity.",
+    "coordinated_cashout": "Addresses cashing out similar amounts to the same collector in a short window are grouped as likely jointly controlled.",
+    "common_funder": "Addresses funded by the same source and later converging on the same outbound counterparty are grouped as likely jointly controlled.",
+    "contract_interaction": "Addresses interacting with the same smart contracts are grouped. Deposit->Contract->Withdraw cycles are linked as shared contract usage.",
+    "deposit_address_reuse": "Addresses using the same forwarding deposit address are grouped as likely belonging to one operator or exchange account.",
+    "fan_pattern": "Addresses on the receiving end of a fan-out (or sending end of a fan-in) are grouped as likely related.",
+    "loop_detection": "Addresses forming circular transaction flows are grouped as likely coordinated or jointly controlled.",
+    "temporal_coordination": "Addresses transacting within a short time window toward the same destination are flagged as coordinated.",
+    "repeated_flow": "Addresses with repeated value transfers between each other are grouped as likely related entities.",
+}.items())
+
+
+@query(f"""WITH RECURSIVE {CLUSTERED}, o AS (SELECT c_nationkey AS owner_id, 'U' || (c_custkey // 10) AS address, c_custkey % 4 = 0 AS is_primary FROM customer),
+ known AS (SELECT DISTINCT 'U' || user_id AS address FROM events WHERE event_type = 'signup'), m AS (SELECT address, cluster_id FROM known JOIN members USING (address)), big AS (SELECT cluster_id, count(*) AS size FROM m GROUP BY 1 HAVING count(*) >= 2),
+ mm AS (SELECT * FROM m SEMI JOIN big USING (cluster_id)), per AS (SELECT cluster_id, owner_id, count(*) AS n, max(is_primary::INT) AS p, min(address) AS any_address, min(CASE WHEN is_primary THEN address END) AS main FROM mm JOIN o USING (address) GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER w AS r, coalesce(n = lead(n) OVER w AND p = lead(p) OVER w, false) AS tie FROM per WINDOW w AS (PARTITION BY cluster_id ORDER BY n DESC, p DESC, owner_id)),
+ inner_sum AS (SELECT x.cluster_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM hv JOIN members x ON from_address = x.address JOIN members y ON to_address = y.address WHERE x.cluster_id = y.cluster_id GROUP BY 1),
+ ev_rows AS (SELECT x.cluster_id, name, count(*) AS n, least(1.0, round(count(*) / max(x.size), 6)) AS confidence FROM links JOIN members x ON a = x.address JOIN members y ON b = y.address WHERE x.cluster_id = y.cluster_id GROUP BY 1, 2)
+SELECT 'cluster' AS part, cluster_id AS key, CASE WHEN r IS NULL THEN 'unlabeled' WHEN tie THEN 'conflict' ELSE 'matched' END || '/normal' AS text, CASE WHEN tie THEN NULL ELSE coalesce(main, any_address) END AS other, size AS n, coalesce(v, 0) AS amount FROM big LEFT JOIN (SELECT * FROM r WHERE r = 1) USING (cluster_id) LEFT JOIN inner_sum USING (cluster_id)
+UNION ALL SELECT 'address', address, cluster_id, NULL, NULL, NULL FROM known LEFT JOIN mm USING (address)
+UNION ALL SELECT 'evidence', cluster_id, CASE name {_SAYS} END || ' (signals: ' || n || ')', name, NULL, confidence FROM ev_rows SEMI JOIN big USING (cluster_id)
+UNION ALL SELECT 'stale', cluster_id, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT cluster_id FROM members ANTI JOIN big USING (cluster_id))""")
+def cluster_persist(spark, sf_dir):
+    """A clustering run saved over the accounts that signed up, as one run, and read back: clusters with owners, every account's cluster, evidence, clusters that are gone."""
+    hv, found = cut(purchase_transfers(spark, sf_dir)), cut(_members(spark, sf_dir))
+    known = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.concat(F.lit("U"), "user_id").alias("address"))
+    store = RunStore(spark, fresh_path(spark, "cluster-runs"))
+    tables = C.persisted(found, C.evidence(_links(spark, sf_dir), found), C.indicators(hv, found), known, _owners(spark, sf_dir), found, _gate_cfg())
+    store.save("CLR-1", datetime.datetime(2024, 2, 1), tables)
+    last = cut(store.latest())
+    clusters, addresses, evidence, stale = (store.read(n, last) for n in ("clusters", "addresses", "evidence", "stale"))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda part, key, text, other, n, amount: [F.lit(part).alias("part"), F.col(key).alias("key"), text.alias("text"), other.alias("other"), n.alias("n"), amount.alias("amount")]
+    out = clusters.select(*row("cluster", "cluster_id", F.concat_ws("/", "label_status", "risk_level"), F.col("matched_owner_address"), F.col("size"), F.col("total_balance")))
+    out = out.unionByName(addresses.select(*row("address", "address", F.col("cluster_id"), none("string"), none("long"), none("double"))))
+    out = out.unionByName(evidence.select(*row("evidence", "cluster_id", F.col("text"), F.col("heuristic"), none("long"), F.col("confidence"))))
+    return out.unionByName(stale.select(*row("stale", "cluster_id", none("string"), none("string"), none("long"), none("double"))))
 
 
 _FLOW = "SELECT DISTINCT from_address AS a, to_address AS b FROM hv"
