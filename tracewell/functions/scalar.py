@@ -126,3 +126,26 @@ def owner_addresses(addresses: Column) -> Column:
 def addresses_in(text: Column) -> Column:
     """Distinct addresses that a free text (or a list split by commas, spaces or line breaks) holds, lower-cased, in their order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b(0x[0-9a-fA-F]{40})\b")), lambda a: F.lower(a)))
+
+
+def iso_time(ts: Column) -> Column:
+    """ISO text in UTC, to the second, of epoch seconds (the session's time zone is UTC); null for 0, less, or none."""
+    return F.when(ts > 0, F.date_format(F.timestamp_seconds(F.floor(ts)), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+
+
+def plain_amount(x: Column) -> Column:
+    """A decimal as plain text, without exponent and trailing zeros."""
+    text = F.regexp_replace(F.format_number(x, 18), ",", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+#: Chains whose addresses look like Ethereum's, and one address that tells its own.
+EVM_CHAINS = ("ethereum", "bsc", "polygon", "avalanche", "fantom", "arbitrum", "optimism", "base", "celo", "gnosis", "cronos", "moonbeam", "metis", "kava", "sepolia")
+GNOSIS_ADDRESS = "0x88ad09518695c6c3712ac10a214be5109a655671"
+
+
+def detect_chain(address: Column, current: Column) -> Column:
+    """The chain to look an address up on: Bitcoin by its form; of EVM form the current one if that is such a chain, else Ethereum; otherwise the current one."""
+    a = F.trim(address)
+    evm = F.when(F.lower(a) == GNOSIS_ADDRESS, "gnosis").when(current.isin(*EVM_CHAINS), current).otherwise("ethereum")
+    return F.when(a.rlike("^(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[ac-hj-np-z02-9]{11,71})$"), "bitcoin").when(a.rlike("^0x[a-fA-F0-9]{40}$"), evm).otherwise(current)

@@ -49,3 +49,11 @@ def incremental(rows: DataFrame, sink: DataFrame) -> DataFrame:
     """Rows of blocks beyond the sink's highest; all if it is empty."""
     mark = sink.agg(F.coalesce(F.max("block_number"), F.lit(-1)).alias("mark"))
     return rows.join(F.broadcast(mark), F.col("block_number") > F.col("mark")).drop("mark")
+
+
+def sync_report(rows: DataFrame, sink: DataFrame) -> DataFrame:
+    """(synced, already, total) of an ``incremental`` load: rows that are new, rows of blocks that the sink has reached, and what it holds after it."""
+    new = incremental(rows, sink).agg(F.count("*").alias("synced"))
+    there = sink.agg(F.count("*").alias("held"), F.max("block_number").alias("mark"))
+    already = rows.join(F.broadcast(there.select("mark")), F.col("block_number") <= F.col("mark")).agg(F.count("*").alias("already"))
+    return new.crossJoin(already).crossJoin(there).select("synced", "already", (F.col("held") + F.col("synced")).alias("total"))

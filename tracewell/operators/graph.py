@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.small import ONE_TASK, finish_components
@@ -146,3 +146,14 @@ def ego_density(edges: DataFrame, centres: DataFrame) -> DataFrame:
     n = ego.groupBy("c").agg(F.count("*").alias("n"))
     m = F.coalesce("m", F.lit(0))
     return n.join(inside, "c", "left").select(F.col("c").alias("node"), "n", m.alias("m"), F.when(F.col("n") < 2, 0.0).otherwise(F.round(2 * m / (F.col("n") * (F.col("n") - 1)), 6)).alias("density"))
+
+
+def graph_tables(transfers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts) for a graph store: nodes (address); edges keyed by ends and hash, the last by block and time where one stands several times;
+    counts (loaded, skipped), rows with both ends and without. An end that is null or empty has no edge."""
+    both = transfers.where("from_address <> '' and to_address <> ''")
+    w = Window.partitionBy("from_address", "to_address", "tx_hash").orderBy(F.col("block_number").desc_nulls_last(), F.col("ts").desc_nulls_last(), F.col("value").desc_nulls_last())
+    edges = both.withColumn("r", F.row_number().over(w)).where("r = 1").select("from_address", "to_address", "tx_hash", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("block_number", F.lit(0)).alias("block_number"), "ts", F.coalesce("is_contract_call", F.lit(False)).alias("is_contract_call"))
+    nodes = both.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct()
+    whole = F.coalesce((F.col("from_address") != "") & (F.col("to_address") != ""), F.lit(False))
+    return nodes, edges, transfers.agg(F.count(F.when(whole, 1)).alias("loaded"), F.count(F.when(~whole, 1)).alias("skipped"))

@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +144,34 @@ def newest(txs: DataFrame, n: int) -> DataFrame:
     """(wallet, place, tx_hash, ts): the ``n`` newest transfers of each wallet."""
     own = txs.withColumn("place", F.row_number().over(Window.partitionBy("wallet").orderBy(F.desc("ts"), "tx_hash")))
     return own.where(F.col("place") <= n).select("wallet", "place", "tx_hash", "ts")
+
+
+def labelled(txs: DataFrame, methods: dict[str, str]) -> DataFrame:
+    """``txs`` with ``label``: what its method does (``methods``: id to swap or approval), else send or receive."""
+    known = F.create_map(*[F.lit(x) for kv in methods.items() for x in kv])[F.lower(F.substring("method_id", 1, 10))]
+    return with_direction(txs).withColumn("label", F.coalesce(known, F.when(F.col("direction") == "out", "send").otherwise("receive"))).drop("direction")
+
+
+def scan_chains(chains: dict[str, Callable[[], DataFrame]], scan: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    """(rows, errors): ``scan`` over each chain's transfers, beside its ``chain``; a chain whose table can't be opened is left out and told in errors, and an error if none can.
+
+    A table that opens but whose files are broken fails the job, as rows are read only then.
+    """
+    parts, errors = [], {}
+    for chain, load in chains.items():
+        try:
+            parts.append(scan(load()).withColumn("chain", F.lit(chain)))
+        except AnalysisException as e:
+            errors[chain] = str(e)
+    if not parts:
+        raise RuntimeError(f"no chain could be scanned: {errors}")
+    return reduce(DataFrame.unionByName, parts), errors
+
+
+def explorer_summary(txs: DataFrame, n: int = 10) -> DataFrame:
+    """(wallet, n_sent, n_received, sent, received, first_ts, last_ts, newest): a wallet's sums and its ``n`` newest hashes, the newest first."""
+    own = with_direction(txs)
+    amount = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("value").cast("decimal(18,2)"))).cast("double"), F.lit(0.0))
+    sums = own.groupBy("wallet").agg(F.count(F.when(F.col("direction") == "out", 1)).alias("n_sent"), F.count(F.when(F.col("direction") == "in", 1)).alias("n_received"), amount("out").alias("sent"), amount("in").alias("received"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    last = newest(txs, n).groupBy("wallet").agg(F.sort_array(F.collect_list(F.struct("place", "tx_hash"))).alias("s"))
+    return sums.join(last.select("wallet", F.transform("s", lambda x: x["tx_hash"]).alias("newest")), "wallet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.plans import api, clustering, detection, extensions, layering, relational, runs  # noqa: F401
+from tracewell.plans import api, clustering, detection, extensions, layering, loads, relational, runs  # noqa: F401
 from tracewell.plans.base import ORACLES, QUERIES, Query
 
 
