@@ -428,3 +428,25 @@ def layering_alerts(hits: DataFrame) -> DataFrame:
     """(seed, confidence, layering_score, methods) from (seed, method, confidence)."""
     own = hits.groupBy("seed").agg(F.max("confidence").alias("confidence"), F.round(F.avg("confidence"), 4).alias("layering_score"), F.sort_array(F.collect_list(F.struct(F.col("confidence").alias("c"), F.col("method").alias("m"))), asc=False).alias("s"))
     return own.select("seed", "confidence", "layering_score", F.array_join(F.transform("s", lambda x: x["m"]), ",").alias("methods"))
+
+
+def alert_details(hits: DataFrame, seeds: DataFrame, evidence: DataFrame, pairs: DataFrame) -> DataFrame:
+    """An alert for each of ``seeds`` (seed, placement_score, first_ts, last_ts) that a detector hit, with what the detectors say.
+
+    ``hits``: (seed, method, confidence, summary, hashes array, first_ts, last_ts), one a method; ``evidence`` (seed, evidence_id), bridge ``pairs`` (seed). Methods, their scores and reasons
+    go by confidence, then name, the greatest first; confidence is the best, layering_score the mean of the rounded ones; hashes and evidence are sorted, each once; times are those
+    of the best hit that has one, else the seed's. Hits of other seeds give nothing.
+    """
+    own = hits.join(seeds.select("seed"), "seed", "left_semi").withColumn("confidence", F.round("confidence", 4))
+    ranked = own.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("confidence", "method", "summary", "first_ts", "last_ts")), asc=False).alias("s"))
+    each = own.select("seed", F.explode("hashes").alias("h")).distinct().groupBy("seed").agg(F.array_sort(F.collect_list("h")).alias("hashes"))
+    signs = evidence.distinct().groupBy("seed").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence"))
+    out = ranked.join(seeds, "seed").join(each, "seed", "left").join(signs, "seed", "left").join(pairs.groupBy("seed").agg(F.count("*").alias("bridge_pairs")), "seed", "left")
+    field = lambda name: F.transform("s", lambda x: x[name])
+    known = lambda name: F.coalesce(F.get(F.array_compact(field(name)), 0), F.col(name))
+    total = F.aggregate(F.transform(field("confidence"), lambda c: F.round(c * 10_000).cast("long")), F.lit(0).cast("long"), lambda t, c: t + c)
+    none = F.array().cast("array<string>")
+    return out.select(
+        "seed", F.get(field("confidence"), 0).alias("confidence"), F.round(total / F.size("s") / 10_000, 4).alias("layering_score"), "placement_score", field("method").alias("methods"), F.map_from_arrays(field("method"), field("confidence")).alias("scores"), field("summary").alias("reasons"),
+        F.coalesce("hashes", none).alias("hashes"), F.coalesce("evidence", none).alias("evidence"), known("first_ts").alias("first_ts"), known("last_ts").alias("last_ts"), F.size("s").alias("detectors"), F.coalesce("bridge_pairs", F.lit(0)).alias("bridge_pairs"),
+    )

@@ -12,7 +12,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.relational import top_per_group
+
 BOT_RATE, BOT_SHARE, FAST = 5.0, 0.8, 600.0
+STAGES = ("placement", "layering", "integration")
 
 
 def with_direction(txs: DataFrame) -> DataFrame:
@@ -129,6 +132,15 @@ def chain_of_custody(entities: DataFrame, stages: dict[str, DataFrame], members:
     return out
 
 
+def custody_report(custody: DataFrame, hashes: DataFrame, most: int = 50) -> DataFrame:
+    """(entity, stages, overall, hashes) of ``chain_of_custody`` rows: stages found in their order, the best score of them, and the first ``most`` distinct ``hashes`` (entity, stage, tx_hash) of those stages."""
+    at = F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("stage"))
+    own = custody.groupBy("entity").agg(F.transform(F.array_sort(F.collect_set(F.struct(at.alias("at"), "stage"))), lambda x: x["stage"]).alias("stages"), F.round(F.max("score"), 4).alias("overall"))
+    found = hashes.join(custody.select("entity", "stage"), ["entity", "stage"], "left_semi").select("entity", "tx_hash").distinct()
+    first = top_per_group(found, ["entity"], [F.col("tx_hash")], most).groupBy("entity").agg(F.array_sort(F.collect_list("tx_hash")).alias("hashes"))
+    return own.join(first, "entity", "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
+
+
 def entity_class(txs: DataFrame, found: DataFrame, contracts: DataFrame, most: int = 100) -> DataFrame:
     """(wallet, class): mixer by its detections, contract by its code (``contracts``: address), exchange by counterparties or detections, bot, else user."""
     kinds = found.groupBy("wallet").agg(F.max(F.when(F.col("label") == "tornado_cash", 1)).alias("mixer"), F.max(F.when(F.lower("label").contains("exchange"), 1)).alias("exchange"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell.operators import layering as LO
 from tracewell.operators import placement as P
 from tracewell.operators import reports as A
 from tracewell.operators import wallet as W
@@ -219,6 +220,39 @@ def layering_detail_transfers(spark, sf_dir):
     return A.edges_of(purchase_transfers(spark, sf_dir), one, 100).select("tx_hash", "from_address", "to_address")
 
 
+_TOLD = "hv JOIN hits ON seed = from_address AND CASE method WHEN 'peeling_chain' THEN value >= 200 ELSE value < 200 END"
+
+
+@query(f"""WITH {HV}, {HITS}, h AS (SELECT seed, method, list_sort(list(DISTINCT tx_hash)) AS hs, min(ts) AS a, max(ts) AS b FROM {_TOLD} GROUP BY 1, 2), seeds AS (SELECT from_address AS seed, min(ts) AS sa, max(ts) AS sb, max(value) / 1000 AS p FROM ev GROUP BY 1),
+ one AS (SELECT hits.*, hs, a, b FROM hits LEFT JOIN h USING (seed, method)), e AS (SELECT from_address AS seed, count(*) AS n FROM hv WHERE to_address = 'U3' GROUP BY 1)
+SELECT seed, round(max(confidence), 4) AS confidence, round(sum(round(confidence, 4)::DECIMAL(9,4))::DOUBLE / count(*), 4) AS layering_score, any_value(p) AS placement_score, string_agg(method || '=' || round(confidence * 10000)::BIGINT, ',' ORDER BY round(confidence, 4) DESC, method DESC) AS scores,
+ string_agg('seen by ' || method, '; ' ORDER BY round(confidence, 4) DESC, method DESC) AS reasons, array_to_string(list_sort(list_distinct(flatten(list(coalesce(hs, []))))), ',') AS hashes,
+ coalesce(first(a ORDER BY round(confidence, 4) DESC, method DESC) FILTER (a IS NOT NULL), any_value(sa)) AS first_ts, coalesce(first(b ORDER BY round(confidence, 4) DESC, method DESC) FILTER (b IS NOT NULL), any_value(sb)) AS last_ts, count(*) AS detectors, coalesce(any_value(n), 0) AS bridge_pairs
+ FROM one JOIN seeds USING (seed) LEFT JOIN e USING (seed) GROUP BY 1""")
+def layering_alert_details(spark, sf_dir):
+    """Alerts of two detectors with reasons, transfers, times and payments to U3 as bridge pairs; large purchases support a peeling chain, others mixing."""
+    hits, hv, ev = _hits(spark, sf_dir), cut(purchase_transfers(spark, sf_dir)), event_transfers(spark, sf_dir)
+    told = hv.join(hits.select(F.col("seed").alias("from_address"), "method"), "from_address").where((F.col("method") == "peeling_chain") == (F.col("value") >= 200))
+    told = told.groupBy(F.col("from_address").alias("seed"), "method").agg(F.collect_set("tx_hash").alias("hashes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    seeds = ev.groupBy(F.col("from_address").alias("seed")).agg((F.max("value") / 1000).alias("placement_score"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    said = hits.join(told, ["seed", "method"], "left").withColumn("summary", F.concat(F.lit("seen by "), "method"))
+    pairs = hv.where("to_address = 'U3'").select(F.col("from_address").alias("seed"))
+    own = LO.alert_details(said, seeds, hits.select("seed", F.col("method").alias("evidence_id")), pairs)
+    scores = F.array_join(F.transform("methods", lambda m: F.concat(m, F.lit("="), F.round(F.col("scores")[m] * 10_000).cast("long"))), ",")
+    return own.select("seed", "confidence", "layering_score", "placement_score", scores.alias("scores"), F.array_join("reasons", "; ").alias("reasons"), F.array_join("hashes", ",").alias("hashes"), "first_ts", "last_ts", "detectors", "bridge_pairs")
+
+
+@query(f"""WITH c AS ({ORACLES["chain_of_custody"]}), h AS (SELECT DISTINCT 'C-' || (user_id % 20) AS entity, CASE event_type WHEN 'purchase' THEN 'placement' WHEN 'click' THEN 'layering' ELSE 'integration' END AS stage, 'E' || event_id AS tx_hash FROM events),
+ t AS (SELECT entity, array_to_string(list_sort(list(DISTINCT tx_hash))[1:50], ',') AS hashes FROM h SEMI JOIN c USING (entity, stage) GROUP BY 1)
+SELECT entity, string_agg(stage, '>' ORDER BY CASE stage WHEN 'placement' THEN 1 WHEN 'layering' THEN 2 ELSE 3 END) AS stages, round(max(score), 4) AS overall, coalesce(any_value(hashes), '') AS hashes FROM c LEFT JOIN t USING (entity) GROUP BY 1""")
+def custody_report(spark, sf_dir):
+    """Entities with the stages that were found, the best score and their first transfers; purchases support placement, clicks layering, the rest integration."""
+    stage = F.when(F.col("event_type") == "purchase", "placement").when(F.col("event_type") == "click", "layering").otherwise("integration")
+    hashes = table(spark, sf_dir, "events").select(F.concat(F.lit("C-"), F.col("user_id") % 20).alias("entity"), stage.alias("stage"), F.concat(F.lit("E"), "event_id").alias("tx_hash"))
+    own = W.custody_report(cut(L.chain_of_custody(spark, sf_dir)), hashes)
+    return own.select("entity", F.array_join("stages", ">").alias("stages"), "overall", F.array_join("hashes", ",").alias("hashes"))
+
+
 # integration and risk
 @query(f"WITH {HV}, {D.FIRED}, a AS (SELECT address, round(least(1.0, avg(score) + least(0.30, 0.15 * (count(*) - 1))), 4) AS score, list_sort(list(DISTINCT signal)) AS signals FROM fired GROUP BY 1), t AS (SELECT * FROM a WHERE score >= 0.35 ORDER BY score DESC, address LIMIT 50) SELECT address, score, array_to_string(signals, ',') AS signals FROM t WHERE list_contains(signals, 'convergence')")
 def integration_list(spark, sf_dir):
