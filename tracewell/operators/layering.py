@@ -447,6 +447,6 @@ def alert_details(hits: DataFrame, seeds: DataFrame, evidence: DataFrame, pairs:
     total = F.aggregate(F.transform(field("confidence"), lambda c: F.round(c * 10_000).cast("long")), F.lit(0).cast("long"), lambda t, c: t + c)
     none = F.array().cast("array<string>")
     return out.select(
-        "seed", F.get(field("confidence"), 0).alias("confidence"), F.round(total / F.size("s") / 10_000, 4).alias("layering_score"), "placement_score", field("method").alias("methods"), F.map_from_arrays(field("method"), field("confidence")).alias("scores"), field("summary").alias("reasons"),
+        "seed", F.get(field("confidence"), 0).alias("confidence"), (F.round(total / F.size("s")) / 10_000).alias("layering_score"), "placement_score", field("method").alias("methods"), F.map_from_arrays(field("method"), field("confidence")).alias("scores"), field("summary").alias("reasons"),
         F.coalesce("hashes", none).alias("hashes"), F.coalesce("evidence", none).alias("evidence"), known("first_ts").alias("first_ts"), known("last_ts").alias("last_ts"), F.size("s").alias("detectors"), F.coalesce("bridge_pairs", F.lit(0)).alias("bridge_pairs"),
     )

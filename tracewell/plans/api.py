@@ -225,7 +225,7 @@ _TOLD = "hv JOIN hits ON seed = from_address AND CASE method WHEN 'peeling_chain
 
 @query(f"""WITH {HV}, {HITS}, h AS (SELECT seed, method, list_sort(list(DISTINCT tx_hash)) AS hs, min(ts) AS a, max(ts) AS b FROM {_TOLD} GROUP BY 1, 2), seeds AS (SELECT from_address AS seed, min(ts) AS sa, max(ts) AS sb, max(value) / 1000 AS p FROM ev GROUP BY 1),
  one AS (SELECT hits.*, hs, a, b FROM hits LEFT JOIN h USING (seed, method)), e AS (SELECT from_address AS seed, count(*) AS n FROM hv WHERE to_address = 'U3' GROUP BY 1)
-SELECT seed, round(max(confidence), 4) AS confidence, round(sum(round(confidence, 4)::DECIMAL(9,4))::DOUBLE / count(*), 4) AS layering_score, any_value(p) AS placement_score, string_agg(method || '=' || round(confidence * 10000)::BIGINT, ',' ORDER BY round(confidence, 4) DESC, method DESC) AS scores,
+SELECT seed, round(max(confidence), 4) AS confidence, round(sum(round(confidence * 10000)::BIGINT)::DOUBLE / count(*)) / 10000 AS layering_score, any_value(p) AS placement_score, string_agg(method || '=' || round(confidence * 10000)::BIGINT, ',' ORDER BY round(confidence, 4) DESC, method DESC) AS scores,
  string_agg('seen by ' || method, '; ' ORDER BY round(confidence, 4) DESC, method DESC) AS reasons, array_to_string(list_sort(list_distinct(flatten(list(coalesce(hs, []))))), ',') AS hashes,
  coalesce(first(a ORDER BY round(confidence, 4) DESC, method DESC) FILTER (a IS NOT NULL), any_value(sa)) AS first_ts, coalesce(first(b ORDER BY round(confidence, 4) DESC, method DESC) FILTER (b IS NOT NULL), any_value(sb)) AS last_ts, count(*) AS detectors, coalesce(any_value(n), 0) AS bridge_pairs
  FROM one JOIN seeds USING (seed) LEFT JOIN e USING (seed) GROUP BY 1""")
