@@ -108,6 +108,21 @@ def test_stages_follow_each_other(spark, docs):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_odd_rows(spark, docs):
+    """A null id, wholly repeated rows, a null id that is repeated and a very long text pass every stage."""
+    some = [r.text for r in docs.where("lang = 'en' and length(text) > 400").orderBy("doc_id").limit(6).collect()]
+    long = " ".join(f"{t} the part {k} of it is here" for k in range(150) for t in some[:3])
+    rows = [(None, some[3]), (None, some[4]), (None, some[4]), (9101, some[5]), (9101, some[5]), (9102, long)]
+    own = materialise(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "odd-docs")
+    for name in ("language_id", "line_dedup", "secret_scan"):
+        assert Counter(r.doc_id for r in STAGES[name](spark, own, SF).collect()) == Counter(i for i, _ in rows)
+    got = STAGES["near_duplicates"](spark, own, SF).collect()
+    assert Counter(r.text for r in got) == Counter(set(t for _, t in rows))
+    pieces = STAGES["packing"](spark, own, SF).collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(i for i, _ in rows)
+    assert max(r.piece for r in pieces if r.doc_id == 9102) > 5 and all(r.length == 2048 for r in pieces if r.doc_id == 9102 and r.piece == 0)
+
+
 @pytest.mark.parametrize("name", list(STAGES))
 def test_empty_input(spark, docs, name):
     assert STAGES[name](spark, docs.where(F.lit(False)), SF).count() == 0

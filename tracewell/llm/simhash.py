@@ -143,7 +143,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> Da
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits.
     Repeated rows give repeated rows. Null and blank texts share the zero fingerprint and link like
     any other. A null doc_id never becomes a component_id unless its component has nothing else.
-    An empty table gives an empty table; columns other than doc_id and text are ignored.
+    Very long texts are hashed whole, one text at a time, their bits counted in blocks. A bit set in exactly half of the shingles is 0; where several paths
+    lead to the same least doc_id, or rows share it, they have that one component. An empty table gives an empty table; columns other than doc_id and text are ignored.
     """
     own = materialise(fingerprints(docs, shingle), "fingerprints")
     fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fps")

@@ -220,7 +220,8 @@ def cut_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     id; runs are judged on the input. spans lists the maximal removed stretches as [start, end) in
     words, kept the kept words joined by one space. Null and blank texts have no words.
     Rows that share a doc_id don't affect each other; a row with a null doc_id neither loses words nor costs others theirs.
-    Texts of fewer than ``window`` words stay. An empty table gives no rows; other columns are ignored.
+    Texts of fewer than ``window`` words stay. Very long texts are taken whole: a task holds the words of one group of texts, some MB or its longest text.
+    Of equal runs in several documents the least doc_id keeps its own, all of them where it stands several times; equal hashes of a seed only add candidates. An empty table gives no rows; other columns are ignored.
     """
     if not SEED_WORDS < window <= 256:
         raise ValueError(f"window must be over {SEED_WORDS} and at most 256 words")
