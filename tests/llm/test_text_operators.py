@@ -172,6 +172,35 @@ def test_near_duplicates_at_the_least_similarity(spark):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_near_duplicates_by_simhash(spark, monkeypatch):
+    """SimHash links alone bring the near duplicates within its radius together, and similarity decides them; the tables bring the others."""
+    rng = np.random.default_rng(12)
+    made = []
+    for i in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 400)]
+        # one word changed, case only, and a third of the words new
+        made += [" ".join(x) for x in (words, [*words[:200], "changed", *words[201:]], [x.upper() for x in words], [*words, *(f"n{x}" for x in rng.integers(0, 50_000, 133))])]
+    # the same fingerprint, for the word in most shingles, without similarity
+    made += ["a " * 40 + f"b{k} c{k} d{k} e{k} f{k} g{k}" for k in range(3)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    fps = [r.fp for r in simhash.fingerprints(rows).orderBy("doc_id").collect()]
+    close = lambda x, y: bin((fps[x] ^ fps[y]) & (2**64 - 1)).count("1") <= 4
+    near = [k for k in range(0, 80, 4) if close(k, k + 1)]
+    assert len(near) > 10 and not any(close(k, k + 3) for k in range(0, 80, 4)) and close(80, 81)
+    pairs, members = simhash.simhash_groups(simhash.sketched(rows))
+    ids = {r.cid: r.doc_id for r in sorted(simhash.sketched(rows).collect(), key=lambda r: -r.doc_id)}
+    keys = {}
+    for r in members.collect():
+        keys.setdefault(ids[r.cid], set()).add(r.key)
+    assert all(keys[k] & keys[k + 1] for k in near) and len(keys[80] & keys[81] & keys[82]) == 1
+    assert all(close(ids[r.a], ids[r.b]) for r in pairs.collect())
+    every = [k for k in range(84) if k < 80 and k % 4 != 2 or k >= 80]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(rows).collect()) == _kept_by_brute_force([(i, t or "") for i, t in enumerate(made)])[0]
+    without = simhash.sketched
+    monkeypatch.setattr(simhash, "sketched", lambda docs: without(docs).selectExpr("doc_id", "text_key", "cid", "size", "fp", "cast(array() as array<long>) as keys"))
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(rows).collect()) == [k for k in every if k - 1 not in near]
+
+
 def test_near_duplicates_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     want, _ = _kept_by_brute_force([(r.doc_id, r.text or "") for r in docs.collect()])

@@ -182,21 +182,41 @@ def table_keys(shingles: np.ndarray, step: int = 512) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(raw[size * k : size * (k + 1)], k)) for k in range(TABLES)]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, cid, size, keys): texts of the same distinct shingles have one cid; keys in the hash tables."""
+def sketched(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, text_key, cid, size, fp, keys): texts of the same distinct shingles have one cid; fp as ``fingerprints`` has it, keys in the hash tables."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, sizes, keys = [], [], []
+            cids, sizes, fps, keys = [], [], [], []
             for one in batch.column(2):
-                shingles = distinct_shingles(one.as_py())
+                words = _ascii_words(one.as_py())
+                shingles = np.unique(shingle_hashes(words, NEAR_SHINGLE))
                 cids.append(signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42)))
                 sizes.append(len(shingles))
+                fps.append(signed(majority_bits(shingle_hashes(words, shingle))))
                 keys.append(table_keys(shingles))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "cid", "size", "keys"])
+            found = [pa.array(x, pa.int64()) for x in (cids, sizes, fps)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *found, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "cid", "size", "fp", "keys"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(kernel, "doc_id long, text_key long, cid long, size long, keys array<long>")
+    return source.mapInArrow(kernel, "doc_id long, text_key long, cid long, size long, fp long, keys array<long>")
+
+
+def simhash_groups(own: DataFrame, radius: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The SimHash links among the classes of ``own`` (cid, fp), as distinct pairs (a, b), and (key, cid), the members of each component of over one class.
+
+    The pairs join the classes of one fingerprint, and one class of each to one of the fingerprints that ``fingerprint_links`` links it to. Texts of a class may
+    have several fingerprints; the class is then in each of their components.
+    """
+    members = materialise(own.select("cid", "fp").distinct(), "fingerprints")
+    fps = materialise(members.groupBy("fp").agg(F.min("cid").alias("least")), "distinct-fps")
+    links = materialise(fingerprint_links(fps.select("fp"), radius), "fingerprint-links")
+    ends = links.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    same = members.join(fps, "fp").select(F.col("least").alias("x"), F.col("cid").alias("y"))
+    pairs = ends.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    named = materialise(members.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("key"), "cid").distinct(), "components")
+    return pairs, named.join(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,20 +277,21 @@ def prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
-def near_links(shared: DataFrame, texts: DataFrame, stars: int = 1, **rounds: int) -> DataFrame:
+def near_links(shared: DataFrame, texts: DataFrame, stars: int = 1, known: DataFrame | None = None, **rounds: int) -> DataFrame:
     """Edges (a, b) that connect just the groups which the near duplicates among the texts of each bucket make.
 
-    ``shared``: (key, cid, size) of the buckets with more than one text; ``stars`` and ``rounds`` as ``group_links`` has them.
+    ``shared``: (key, cid, size) of the buckets with more than one text; ``stars``, ``known`` and ``rounds`` as ``group_links`` has them.
     """
-    return group_links(shared.withColumn("asks", F.lit(True)), lambda pairs: alike_pairs(pairs, texts), _sizes_allow, lambda members: prefix_pairs(members, texts), stars=stars, **rounds)
+    return group_links(shared.withColumn("asks", F.lit(True)), lambda pairs: alike_pairs(pairs, texts), _sizes_allow, lambda members: prefix_pairs(members, texts), stars=stars, known=known, **rounds)
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The rows of ``docs``, with its columns, of which each group of near duplicates keeps the one of least doc_id.
 
     Two texts are near duplicates at an exact Jaccard similarity of their distinct five-word shingles of 0.8 or
-    more; groups are connected. Candidates are texts that share a bucket of one of TABLES MinHash tables, which
-    a pair misses with probability 4.7e-8 at 0.8. Texts of the same shingles
+    more; groups are connected. First the links of ``simhash_components`` (fingerprints at most ``radius`` bits apart, none missed) are decided by that
+    similarity, and what they leave apart in a component meets too. Near duplicates whose fingerprints are further apart meet
+    in the buckets of TABLES MinHash tables, which a pair misses with probability 4.7e-8 at 0.8; there, buckets of one group are done. Texts of the same shingles
     are one candidate, so copies cost one row. A-Z is lower-cased, words split at ASCII white space;
     a text of fewer than five words is one shingle.
     Null and blank texts are one group. Very long texts are read whole. Repeated rows leave one; of rows with the same least
@@ -281,12 +302,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialise(own.groupBy("cid").agg(F.min("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("least")), "sketch-classes")
     rows = classes.select("cid", "size", F.explode("keys").alias("key"))
     met = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
-    shared = materialise(rows.join(met, "key").select("key", "cid", "size"), "shared-buckets")
+    pairs, components = simhash_groups(own, radius)
+    components = components.join(classes.select("cid", "size"), "cid").select(F.xxhash64(F.lit("fp"), "key").alias("key"), "cid", "size")
+    shared = materialise(rows.join(met, "key").select("key", "cid", "size").unionByName(components), "shared-buckets")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"))
     needed = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("least.doc_id").alias("need_d"), F.col("least.text_key").alias("need_k"))
     texts = keyed.select("d", "k", F.col("row")["text"].cast("string").alias("text")).join(needed, F.col("d").eqNullSafe(F.col("need_d")) & (F.col("k") == F.col("need_k")))
     texts = materialise(texts.select("cid", "text").dropDuplicates(["cid"]), "candidate-texts")
-    roots = connected_components(near_links(shared, texts))
+    sizes = classes.select("cid", "size")
+    pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(_sizes_allow("size_a", "size_b")).select("a", "b")
+    known = materialise(alike_pairs(materialise(pairs, "simhash-pairs"), texts), "simhash-links")
+    roots = connected_components(near_links(shared, texts, known=known))
     kept = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("least").alias("least"))
     kept = kept.select(F.col("least.doc_id").alias("need_d"), F.col("least.text_key").alias("need_k"))
     one = keyed.join(kept.distinct(), keyed["d"].eqNullSafe(kept["need_d"]) & (keyed["k"] == kept["need_k"]), "left_semi").dropDuplicates(["d", "k"])
