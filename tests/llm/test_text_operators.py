@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -263,6 +265,39 @@ def test_substrings(docs, rows, monkeypatch):
     assert all(sum(b - a for a, b in r.spans) == r.n_removed for r in got)
 
 
+def test_hashes_of_words_and_anchors():
+    """Words are those of ``split``, equal ones alone share a hash, and anchors are the least of some stretch."""
+    odd = ["a", "a\0", "\0", "\0\0", "ab", "ba", "ä", "日本語", "😀"] + [k * "x" + end for k in (6, 7, 8, 15, 16, 62, 63, 64, 200) for end in ("", "y", "z", "\0")]
+    texts = ["ab", "cd ef", None, "", " \t\n\x0b\x0c\r", " ".join(odd), "\n".join(odd) + "\t", "ab", "x"]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.chunked_array([texts[:4], texts[4:]], pa.string())})
+    hashes = {}
+    for k, text, own in substrings._documents(table):
+        words = (texts[k] or "").encode().split()
+        assert bytes(text) == (texts[k] or "").encode() and len(own) == len(words)
+        for w, h in zip(words, own.tolist(), strict=True):
+            assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(hashes) == len(odd) + 3
+    assert not list(substrings._documents(table.slice(0, 0))) and [bytes(t) for _, t, _ in substrings._documents(table.slice(1, 1))] == [b"cd ef"]
+    for x in (np.random.default_rng(3).integers(0, 2**63, 300, dtype=np.uint64), np.ones(40, np.uint64), np.arange(13, dtype=np.uint64)):
+        grams, (at, keys) = substrings.runs(x, 5, 0), substrings.winnowed(x, 13)
+        want = {k for i in range(len(grams) - 8) for k in range(i, i + 9) if grams[k] == grams[i : i + 9].min()}
+        assert at.tolist() == sorted(want) and (keys == grams[at]).all()
+
+
+def test_anchors_cost_little_more_than_a_count_of_words():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"word{x}" for x in rng.zipf(1.2, 500) % 300_000) for _ in range(400)]
+    table = pa.table({"doc_id": pa.array(range(400), pa.int64()), "text": texts})
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    count = min(seconds(lambda: Counter(w for t in texts for w in t.encode().split())) for _ in range(3))
+    assert min(seconds(lambda: substrings._anchors(20, 13)((pa.scalar(0),), table)) for _ in range(3)) < 2 * count
+
+
 def test_lines(spark):
     rng = np.random.default_rng(3)
     prose = lambda: " ".join(f"own{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}" for x in rng.integers(0, 676, 30))

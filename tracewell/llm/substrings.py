@@ -17,9 +17,9 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +30,10 @@ PACKED = "bucket long, grp long, base long, n long, data binary"
 _RNG = np.random.default_rng(20240)
 #: Odd factors of the word hashes of a seed (row 0) and a window (rows 1 and 2).
 FACTORS = _RNG.integers(0, 2**63, (3, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class WordHashes(dict):
-    """XXH64 of words; a full one starts afresh."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Masks of the first 0 to 8 bytes.
+BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 64
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -47,22 +41,55 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def runs(hashes: np.ndarray, size: int, row: int) -> np.ndarray:
-    """A hash for each run of ``size`` word hashes."""
+def hashed_words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in the bytes ``raw``, which end at white space and at ``breaks``.
+
+    Words are taken in by eight bytes at a time, all words at once; those of over LONG_WORD bytes by XXH64.
+    """
+    solid = ~SPACE[raw]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = breaks[(breaks > 0) & (breaks < len(raw))]
+    first[inner], last[inner - 1] = solid[inner], solid[inner - 1]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    eights = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    hashes = sizes.astype(np.uint64) * FACTORS[0, -1]
+    for at in range(0, min(LONG_WORD, int(sizes.max(initial=0))), 8):
+        more = np.flatnonzero(sizes > at) if at else slice(None)
+        own = eights[starts[more] + at] & BYTES[np.minimum(sizes[more] - at, 8)]
+        hashes[more] = spread((hashes[more] ^ own) * FACTORS[0, -2])
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh64_intdigest(raw[starts[k] : starts[k] + sizes[k]].tobytes())
+    return starts, hashes
+
+
+def runs(hashes: np.ndarray, size: int, row: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """A hash for each run of ``size`` word hashes; only for those at ``starts``, if given."""
     n = len(hashes) - size + 1
-    total = np.zeros(n, np.uint64)
+    total = np.zeros(n if starts is None else len(starts), np.uint64)
     for k in range(size):
-        total += hashes[k : k + n] * FACTORS[row, k]
+        total += (hashes[k : k + n] if starts is None else hashes[starts + k]) * FACTORS[row, k]
     return spread(total)
 
 
+def stretched(pick: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The least or greatest (``pick`` np.minimum or np.maximum) of each ``width`` successive ones of ``x``, by stretches of doubled length."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        x, span = pick(x[:-step], x[step:]), span + step
+    return x
+
+
 def winnowed(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a document of at least ``window`` words."""
+    """Places and hashes of the anchors of a document of at least ``window`` words: all that are the least of a stretch that holds them."""
     grams = runs(hashes, SEED_WORDS, 0)
     width = window - SEED_WORDS + 1
-    # the rightmost least of each stretch
-    back = sliding_window_view(grams, width)[:, ::-1].argmin(axis=1)
-    at = np.unique(np.arange(len(back)) + width - 1 - back)
+    # the greatest of the leasts of the stretches around a place is its own hash just where it is the least of one
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(stretched(np.maximum, np.concatenate([edge, stretched(np.minimum, grams, width), edge]), width) == grams)
     return at, grams[at]
 
 
@@ -92,19 +119,26 @@ def _by_range(group: int, keys: np.ndarray, arrays: list[np.ndarray], buckets: i
     return _table([(int(bucket[a]), group, a, b - a, _pack([x[a:b] for x in arrays])) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def _documents(table: pa.Table, known: WordHashes, window: int) -> Iterator[tuple[int | None, list[bytes], np.ndarray | None]]:
-    for doc_id, text in zip(table["doc_id"].to_pylist(), table["text"], strict=True):
-        words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-        yield doc_id, words, np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) if len(words) >= window else None
+def _documents(table: pa.Table) -> Iterator[tuple[int | None, memoryview, np.ndarray]]:
+    """(id, text in UTF-8, hashes of its words) of each row; a null text is empty."""
+    text = pc.fill_null(table["text"].cast(pa.large_binary()), b"").combine_chunks()
+    _, offsets, data = text.buffers()
+    ends = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    starts, hashes = hashed_words(raw, ends)
+    held, cuts = memoryview(raw), np.searchsorted(starts, ends).tolist()
+    for k, doc_id in enumerate(table["doc_id"].to_pylist()):
+        yield doc_id, held[ends[k] : ends[k + 1]], hashes[cuts[k] : cuts[k + 1]]
 
 
 def _anchors(buckets: int, window: int):
     """Distinct anchors of a group, each with whether several of its documents hold it."""
 
     def kernel(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        known, found = WordHashes(), [np.zeros(0, np.uint64)]
-        for _, _, hashes in _documents(table, known, window):
-            if hashes is not None:
+        found = [np.zeros(0, np.uint64)]
+        for _, _, hashes in _documents(table):
+            if len(hashes) >= window:
                 found.append(np.unique(winnowed(hashes, window)[1]))
         anchors, counts = np.unique(np.concatenate(found), return_counts=True)
         return _by_range(keys[0].as_py(), anchors, [anchors, (counts > 1).astype(np.uint8)], buckets)
@@ -142,31 +176,33 @@ def _unpacked(table: pa.Table, kind: int, kinds: list[str]) -> list[np.ndarray]:
 
 
 def _windows(table: pa.Table, seeds: np.ndarray, window: int):
-    """Documents with the starts and keys of their windows around seeds; distinct keys of the group; least id of each."""
-    known, seeds, docs = WordHashes(), np.sort(seeds), []
+    """Documents (id, text, number of words) with the starts and keys of their windows around seeds; distinct keys of the group; least id of each."""
+    seeds, docs = np.sort(seeds), []
     key = np.dtype([("a", "<u8"), ("b", "<u4")])
-    for doc_id, words, hashes in _documents(table, known, window):
+    for doc_id, text, hashes in _documents(table):
         starts, own = np.zeros(0, np.int64), np.zeros(0, key)
-        if hashes is not None and len(seeds):
+        if len(hashes) >= window and len(seeds):
             at, anchors = winnowed(hashes, window)
             hit = at[seeds[np.minimum(np.searchsorted(seeds, anchors), len(seeds) - 1)] == anchors]
             if len(hit):
-                near = (hit[:, None] - np.arange(window - SEED_WORDS + 1)[None, :]).ravel()
-                starts = np.unique(near[(near >= 0) & (near <= len(hashes) - window)])
+                near = np.zeros(len(hashes), bool)
+                for k in range(window - SEED_WORDS + 1):
+                    near[hit[np.searchsorted(hit, k) :] - k] = True
+                starts = np.flatnonzero(near[: len(hashes) - window + 1])
                 own = np.zeros(len(starts), key)
-                own["a"], own["b"] = runs(hashes, window, 1)[starts], runs(hashes, window, 2)[starts].astype(np.uint32)
-        docs.append((doc_id, words, starts, own))
+                own["a"], own["b"] = runs(hashes, window, 1, starts), runs(hashes, window, 2, starts).astype(np.uint32)
+        docs.append((doc_id, text, len(hashes), starts, own))
     if not docs:
         return docs, np.zeros(0, key), np.zeros(0, np.int64), []
-    every = np.concatenate([d[3] for d in docs])
-    ids = np.concatenate([np.full(len(d[2]), NO_ID if d[0] is None else d[0], np.int64) for d in docs])
+    every = np.concatenate([d[4] for d in docs])
+    ids = np.concatenate([np.full(len(d[3]), NO_ID if d[0] is None else d[0], np.int64) for d in docs])
     order = np.lexsort((ids, every["b"], every["a"]))
     placed = every[order]
     first = np.ones(len(placed), bool)
     first[1:] = placed[1:] != placed[:-1]
     inverse = np.empty(len(every), np.int64)
     inverse[order] = np.cumsum(first) - 1
-    return docs, placed[first], ids[order][first], np.split(inverse, np.cumsum([len(d[2]) for d in docs])[:-1])
+    return docs, placed[first], ids[order][first], np.split(inverse, np.cumsum([len(d[3]) for d in docs])[:-1])
 
 
 def _extended(buckets: int, window: int):
@@ -199,15 +235,18 @@ def _cut(window: int):
         least = least.copy()
         least[index] = over
         out = []
-        for (doc_id, words, starts, _), of in zip(docs, inverse, strict=True):
-            edge = np.zeros(len(words) + 1, np.int64)
+        for (doc_id, text, n, starts, _), of in zip(docs, inverse, strict=True):
             gone = starts[least[of] < doc_id] if doc_id is not None and len(starts) else starts[:0]
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + window, -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            kept = b" ".join(compress(words, ~covered)) if covered.any() else b" ".join(words)
-            turn = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-            out.append((doc_id, len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest(), turn.reshape(-1, 2).tolist(), kept.decode("utf-8", "surrogatepass")))
+            words, turn, removed = bytes(text).split(), gone, 0
+            if len(gone):
+                edge = np.zeros(n + 1, np.int64)
+                edge[gone] += 1
+                edge[gone + window] -= 1
+                covered = np.cumsum(edge[:-1]) > 0
+                words, removed = list(compress(words, (~covered).tolist())), int(covered.sum())
+                turn = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+            kept = b" ".join(words)
+            out.append((doc_id, n, removed, hashlib.sha256(kept).hexdigest(), turn.reshape(-1, 2).tolist(), kept.decode("utf-8", "surrogatepass")))
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, schema, strict=True)], schema=schema)
 
     return kernel
