@@ -16,7 +16,7 @@ from tracewell.operators.graph import connected_components
 from tracewell.operators.heuristics import gate
 from tracewell.operators.relational import top_per_group, variation, with_entities
 from tracewell.operators.strong import strongly_connected
-from tracewell.sources.storage import cut, materialise
+from tracewell.sources.storage import cut, drop, fresh_path, materialise
 
 LEAST, CUTOFF = 0.55, 0.25
 
@@ -39,9 +39,11 @@ def structuring(flows: DataFrame, cfg: EngineConfig) -> DataFrame:
     before = w.orderBy("t").rangeBetween(Window.unboundedPreceding, -int(cfg.structuring_window * 1_000_000) - 1)
     x = F.when(F.col("value") > 0, F.col("value").cast("decimal(20,8)"))
     cents = (F.col("value").cast("decimal(18,2)") * 100).cast("long")
-    own = flows.select("dst", "src", "tx_hash", F.round(F.col("ts") * 1_000_000).cast("long").alias("t"), F.when(F.col("value") > 0, 1).otherwise(0).alias("pos"), x.alias("x"), (x * x).cast("decimal(38,12)").alias("xx"), cents.alias("cents"))
+    # numbered first, so that rows are shuffled and sorted without the wide decimals
+    own = flows.select("dst", "src", "tx_hash", F.round(F.col("ts") * 1_000_000).cast("long").alias("t"), "value").withColumn("rk", F.row_number().over(order))
+    own = own.select("dst", "src", "tx_hash", "t", "rk", F.when(F.col("value") > 0, 1).otherwise(0).alias("pos"), x.alias("x"), (x * x).cast("decimal(38,12)").alias("xx"), cents.alias("cents"))
     sums = {"n_pos": "pos", "s1": "x", "s2": "xx", "total": "cents"}
-    own = own.withColumns({"rk": F.row_number().over(order)} | {f"all_{k}": F.coalesce(F.sum(c).over(till), F.lit(0)) for k, c in sums.items()})
+    own = own.withColumns({f"all_{k}": F.coalesce(F.sum(c).over(till), F.lit(0)) for k, c in sums.items()})
     own = own.withColumn("out", F.max(F.struct("rk", *[f"all_{k}" for k in sums])).over(before))
     own = own.withColumns({"n": F.col("rk") - F.coalesce("out.rk", F.lit(0))} | {k: F.col(f"all_{k}") - F.coalesce(f"out.all_{k}", F.lit(0)) for k in sums})
     own = own.withColumn("total", F.col("total") / 100)
@@ -82,8 +84,8 @@ def micro_funding(flows: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def behaviors(flows: DataFrame, profiles: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """(entity, behavior, confidence, rank) of all three, best first."""
-    every = reduce(DataFrame.unionByName, [structuring(flows, cfg), smurfing(flows, profiles, cfg), micro_funding(flows, cfg)])
+    """(entity, behavior, confidence, rank) of all three, best first. They are written one after another, so that only one's shuffles are on disk."""
+    every = reduce(DataFrame.unionByName, [cut(x) for x in (structuring(flows, cfg), smurfing(flows, profiles, cfg), micro_funding(flows, cfg))])
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("confidence"), "behavior")))
 
 
@@ -97,11 +99,60 @@ def highlights(ranked: DataFrame) -> DataFrame:
     return own.select("entity", mode.alias("mode"), F.when(mode == "balanced", 3).when(mode == "paired", 2).otherwise(1).alias("shown"))
 
 
+def flow_pairs(flows: DataFrame) -> DataFrame:
+    """(a, b, and n_ab, total_ab, first_ab, n_ba, total_ba, first_ba): the transfers between two entities, each way, one row for both, a <= b."""
+    back = F.coalesce(F.col("src") > F.col("dst"), F.col("dst").isNull() & F.col("src").isNotNull())
+    own = flows.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("b"), back.alias("back"), "value", "ts")
+    ways = []
+    for way, here in (("ab", ~F.col("back")), ("ba", F.col("back"))):
+        ways += [F.count(F.when(here, 1)).alias(f"n_{way}"), exact_sum(F.when(here, F.col("value"))).alias(f"total_{way}"), F.min(F.when(here, F.col("ts"))).alias(f"first_{way}")]
+    return own.groupBy("a", "b").agg(*ways)
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(entity, peer, n, n_out, total_out, first_out, total_in, n_in) of each entity of each pair; a pair of one entity is one row, its transfers counted both ways."""
+    side = lambda me, peer: F.struct(F.col(me).alias("entity"), F.col(peer).alias("peer"), *[F.col(f"{c}_{me}{peer}").alias(f"{c}_out") for c in ("n", "total", "first")], F.col(f"n_{peer}{me}").alias("n_in"), F.col(f"total_{peer}{me}").alias("total_in"))
+    one = side("a", "b").withField("n_in", F.col("n_ab")).withField("total_in", F.col("total_ab"))
+    each = F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(side("a", "b"), side("b", "a")))
+    return pairs.select(F.explode(each).alias("s")).select("s.*").withColumn("n", F.col("n_out") + F.col("n_in"))
+
+
 def linked_entities(flows: DataFrame) -> DataFrame:
     """(entity, tx_count, degree): transfers with other entities and how many other entities."""
-    sides = flows.select(F.col("src").alias("entity"), F.col("dst").alias("peer")).unionByName(flows.select(F.col("dst").alias("entity"), F.col("src").alias("peer")))
-    pair = sides.groupBy("entity", "peer").agg(F.count("*").alias("n"))
-    return pair.groupBy("entity").agg(F.sum("n").alias("tx_count"), F.count("*").alias("degree"))
+    return _sides(flow_pairs(flows)).groupBy("entity").agg(F.sum("n").alias("tx_count"), F.count("*").alias("degree"))
+
+
+def source_edges(flows: DataFrame, cfg: EngineConfig, within: DataFrame | None = None) -> DataFrame:
+    """(at, up, total, first_ts, strength, many): the edges into each entity that a path can take, written; see ``trace``.
+
+    A path takes an entity's first ``branching`` sources that it doesn't hold and that carry its score over the cut-off. An edge's weight at a depth grows with its
+    ``strength`` (share, less for service-like sources) among edges of equal ``many`` (sources with many targets). So an edge is left out for every path
+    if ``branching + max_hops`` earlier ones of its kind are as strong: at most ``max_hops`` of their sources are in the path. Edges fall to as many classes by a hash,
+    and one is left out if each class has had one as strong.
+    """
+    spark = flows.sparkSession
+    at = {name: fresh_path(spark, name) for name in ("pairs", "edges")}
+    pairs = materialise(flow_pairs(flows), "pairs", at["pairs"])
+    sides = _sides(pairs)
+    linked = sides.groupBy("entity").agg(F.sum("n").alias("tx_count"), F.count("*").alias("degree"), F.count(F.when(F.col("n_out") > 0, 1)).alias("fan_out"), F.count(F.when(F.col("n_in") > 0, 1)).alias("fan_in"), F.round(F.sum("total_in"), 2).alias("total_in"))
+    linked = cut(linked)
+    into = linked.where("fan_in > 0").select(F.col("entity").alias("at"), "total_in")
+    if within is not None:
+        linked = linked.join(within, "entity", "left").withColumn("tx_count", F.col("tx_count") + F.coalesce("n", F.lit(0)))
+    service = (F.col("tx_count") >= max(20, cfg.service_tx)) | (F.col("degree") >= max(5, cfg.service_degree))
+    busy = linked.where("fan_out > 0").select(F.col("entity").alias("up"), service.alias("service"), (F.col("fan_out") > 3).alias("many"))
+    edges = sides.where("n_out > 0").select(F.col("entity").alias("up"), F.col("peer").alias("at"), F.col("total_out").alias("total"), F.col("first_out").alias("first_ts"))
+    edges = materialise(edges.join(busy, "up"), "edges", at["edges"])
+    drop(spark, at["pairs"])
+    share = 0.45 + 0.55 * F.least(F.lit(1.0), F.col("total") / F.greatest("total_in", "total", F.lit(1e-9)))
+    weighed = edges.join(into, "at").select("at", "up", "total", "first_ts", (share * F.when(F.col("service"), 0.6).otherwise(1.0)).alias("strength"), "many")
+    before = Window.partitionBy("at", "many").orderBy("first_ts", F.desc("total"), "up").rowsBetween(Window.unboundedPreceding, -1)
+    classes = cfg.branching + cfg.max_hops
+    own = F.pmod(F.xxhash64("up"), F.lit(classes))
+    least = F.least(*[F.coalesce(F.max(F.when(own == k, F.col("strength"))).over(before), F.lit(-1.0)) for k in range(classes)])
+    taken = cut(weighed.withColumn("least", least).where("strength > least").drop("least"))
+    drop(spark, at["edges"])
+    return taken
 
 
 def trace(flows: DataFrame, roots: DataFrame, cfg: EngineConfig, within: DataFrame | None = None) -> DataFrame:
@@ -111,29 +162,21 @@ def trace(flows: DataFrame, roots: DataFrame, cfg: EngineConfig, within: DataFra
     transfers, those ``within`` them (entity, n) included, or many counterparties); a path stops where nothing came in, where its score
     falls under the cut-off, or after ``max_hops``.
     """
-    edges = flows.groupBy(F.col("src").alias("up"), F.col("dst").alias("at")).agg(exact_sum("value").alias("total"), F.min("ts").alias("first_ts"))
-    into = edges.groupBy("at").agg(F.round(F.sum("total"), 2).alias("total_in"))
-    fan = edges.groupBy(F.col("up")).agg(F.count("*").alias("fan_out"))
-    linked = linked_entities(flows)
-    if within is not None:
-        linked = linked.join(within, "entity", "left").withColumn("tx_count", F.col("tx_count") + F.coalesce("n", F.lit(0)))
-    busy = linked.select(F.col("entity").alias("up"), ((F.col("tx_count") >= max(20, cfg.service_tx)) | (F.col("degree") >= max(5, cfg.service_degree))).alias("service"))
-    weighed = cut(edges.join(into, "at").join(fan, "up").join(busy, "up"))
+    edges = source_edges(flows, cfg, within)
     front = roots.select(F.col("entity").alias("root"), F.array("entity").alias("path"), F.lit(1.0).alias("score"))
     ends = []
     for depth in range(cfg.max_hops):
-        step = cut(front.join(weighed, F.element_at("path", -1) == F.col("at"), "left"))
+        step = cut(front.join(edges, F.element_at("path", -1) == F.col("at"), "left"))
         sourced = step.where(F.col("up").isNotNull())
         ends.append(step.where(F.col("up").isNull()).select("root", "path", "score", F.lit("no_incoming").alias("end")))
-        share = 0.45 + 0.55 * F.least(F.lit(1.0), F.col("total") / F.greatest("total_in", "total", F.lit(1e-9)))
-        weight = clamp(share * F.when(F.col("service"), 0.6).otherwise(1.0) * 0.95**depth * F.when(F.col("fan_out") > 3, 0.9).otherwise(1.0))
+        weight = clamp(F.col("strength") * 0.95**depth * F.when(F.col("many"), 0.9).otherwise(1.0))
         grown = sourced.withColumn("next", F.round(F.col("score") * weight, 6)).where(~F.array_contains("path", F.col("up")) & (F.col("next") >= CUTOFF))
         grown = top_per_group(grown, ["root", "path"], [F.col("first_ts"), F.desc("total"), F.col("up")], cfg.branching)
         stopped = sourced.select("root", "path", "score").distinct().join(grown.select("root", "path").distinct(), ["root", "path"], "left_anti")
         ends.append(stopped.select("root", "path", "score", F.lit("confidence_cutoff").alias("end")))
         front = grown.select("root", F.concat("path", F.array("up")).alias("path"), F.col("next").alias("score"))
     ends.append(front.select("root", "path", "score", F.lit("max_hops_reached").alias("end")))
-    return reduce(DataFrame.unionByName, ends)
+    return cut(reduce(DataFrame.unionByName, ends))
 
 
 def trace_hops(flows: DataFrame, traces: DataFrame, most: int = 20) -> DataFrame:

@@ -153,7 +153,6 @@ def placement_list(spark, sf_dir):
 @query(f"WITH {D.SCORED} SELECT entity, score, (SELECT count(*) FROM placed) AS placements, (SELECT count(DISTINCT entity) FROM ranked) AS suspicious FROM placed ORDER BY score DESC, entity LIMIT 5")
 def placement_summary(spark, sf_dir):
     _, ranked, placed = D._placed(spark, sf_dir)
-    placed = cut(placed)
     totals = placed.agg(F.count("*").alias("placements")).crossJoin(ranked.agg(F.countDistinct("entity").alias("suspicious")))
     return placed.orderBy(F.desc("score"), "entity").limit(5).select("entity", "score").crossJoin(F.broadcast(totals))
 

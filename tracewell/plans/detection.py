@@ -127,9 +127,14 @@ def micro_funding(spark, sf_dir):
 QUERIES |= {f.__name__: f for f in (structuring, smurfing, micro_funding)}
 
 
+def _behaved(flows):
+    """Profiles and behaviours of written flows, written too."""
+    profiles = cut(_profiles(flows))
+    return profiles, cut(P.behaviors(flows, profiles, CFG))
+
+
 def _ranked(spark, sf_dir):
-    flows = cut(_flows(spark, sf_dir))
-    return P.behaviors(flows, _profiles(flows), CFG)
+    return _behaved(cut(_flows(spark, sf_dir)))[1]
 
 
 @query(f"WITH {FLOW}, {RANKED} SELECT * FROM ranked")
@@ -164,10 +169,15 @@ def _trace_sql() -> str:
 TRACED = f"{FLOW}, {RANKED}, {_trace_sql()}"
 
 
+def _traced(flows):
+    """Profiles, behaviours and traces of written flows."""
+    profiles, ranked = _behaved(flows)
+    return profiles, ranked, P.trace(flows, ranked.select("entity").distinct(), CFG)
+
+
 def _traces(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    ranked = cut(P.behaviors(flows, _profiles(flows), CFG))
-    return flows, ranked, P.trace(flows, ranked.select("entity").distinct(), CFG)
+    flows = cut(_flows(spark, sf_dir))
+    return flows, *_traced(flows)[1:]
 
 
 @query(f"""WITH {TRACED} SELECT root, array_to_string(path, '>') AS path, score, "end" FROM traces""")
@@ -194,9 +204,14 @@ SCORED = f"""{TRACED}, best AS (SELECT entity, max(confidence) AS best FROM rank
  placed AS MATERIALIZED (SELECT * FROM (SELECT entity, round(b, 4) AS behavior_score, round(g, 4) AS graph_score, round(t, 4) AS temporal_score, history, round({_C("(0.4 * b + 0.4 * g + 0.2 * t) * CASE WHEN history THEN 0.8 ELSE 1.0 END")}, 4) AS score FROM parts) WHERE score >= 0.55)"""
 
 
+def _placed_of(flows):
+    """Profiles, traces, behaviours and placements of written flows."""
+    profiles, ranked, traces = _traced(flows)
+    return profiles, traces, ranked, cut(P.scores(traces, ranked, profiles, flows, CFG))
+
+
 def _placed(spark, sf_dir):
-    flows, ranked, traces = _traces(spark, sf_dir)
-    return traces, ranked, P.scores(traces, ranked, _profiles(flows), flows, CFG)
+    return _placed_of(cut(_flows(spark, sf_dir)))[1:]
 
 
 @query(f"WITH {SCORED} SELECT * FROM placed")

@@ -30,10 +30,10 @@ def _broken(store: RunStore, run: str, table: str, rows) -> None:
 def placement_runs_of(spark, sf_dir) -> RunStore:
     """Behaviours of two runs, placements and traces of the second, and a third that failed midway."""
     store, flows = RunStore(spark, fresh_path(spark, "placement-runs")), cut(D._flows(spark, sf_dir))
-    early = flows.where(F.col("ts") < CUT.timestamp())
-    store.save("PLR-1", DAY[0], {"behaviors": P.behaviors(early, D._profiles(early), D.CFG), "profiles": D._profiles(early)})
-    traces, ranked, placed = D._placed(spark, sf_dir)
-    store.save("PLR-2", DAY[1], {"behaviors": ranked, "profiles": D._profiles(flows), "traces": traces, "placements": placed})
+    profiles, ranked = D._behaved(flows.where(F.col("ts") < CUT.timestamp()))
+    store.save("PLR-1", DAY[0], {"behaviors": ranked, "profiles": profiles})
+    profiles, traces, ranked, placed = D._placed_of(flows)
+    store.save("PLR-2", DAY[1], {"behaviors": ranked, "profiles": profiles, "traces": traces, "placements": placed})
     _broken(store, "PLR-3", "placements", placed.limit(1))
     _broken(store, "PLR-3", "behaviors", ranked.limit(1))
     return store

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.sources.storage import drop, names_in, read_note, write_note
+from tracewell.sources.storage import drop, names_in, read_note, short_shuffles, write_note
 
 class KeyedStore:
     """Named tables of keyed rows under one folder, each in ``buckets`` folders by a hash of its key, and one manifest for all.
@@ -86,7 +86,8 @@ class RunStore:
         """Write all tables of ``run``, then its manifest; the same run again replaces its own rows only. A run in work is out of sight."""
         drop(self.spark, f"{self.path}/manifest/run={run}")
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/run_id={run}")
+            with short_shuffles(self.spark):
+                rows.write.mode("overwrite").parquet(f"{self.path}/{name}/run_id={run}")
         counts = {name: self.spark.read.parquet(f"{self.path}/{name}/run_id={run}").count() for name in tables}
         self.spark.createDataFrame([(run, completed_at, counts)], self.RUNS).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/run={run}")
 
