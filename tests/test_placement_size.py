@@ -35,14 +35,14 @@ def executions(spark):
 
 def shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    names = (files.apply(i).getName() for i in range(files.size()))
-    return {n for n in names if n.startswith("shuffle_")}
+    each = (files.apply(i) for i in range(files.size()))
+    return {x.getName(): x.length() for x in each if x.getName().startswith("shuffle_")}
 
 
 def left_over(spark, before):
-    """Shuffle files that are new and stay; they go without a wait for the job that wrote them."""
+    """Bytes of shuffle files that are new and stay; they go without a wait for the job that wrote them."""
     until = time.time() + 10
-    while (new := shuffle_files(spark) - before) and time.time() < until:
+    while (new := sum(n for k, n in shuffle_files(spark).items() if k not in before)) and time.time() < until:
         time.sleep(0.2)
     return new
 
@@ -54,12 +54,13 @@ def test_written_tables_leave_no_shuffles(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
-@pytest.mark.parametrize("name", ["behaviors_by_run"])
+@pytest.mark.parametrize("name", ["behaviors_by_run", "stored_placement_detail"])
 def test_no_statement_shuffles_the_flows_twice(spark, name):
     flows = D._flows(spark, SF).count()
     known, before = set(executions(spark)), shuffle_files(spark)
     found = queries()[name](spark, SF)
-    assert not left_over(spark, before)
+    # the first row of a sorted table has a shuffle of its own, of a row a partition
+    assert left_over(spark, before) < 10_000
     found.collect()
     assert max(n for e, n in executions(spark).items() if e not in known) < 1.5 * flows
 

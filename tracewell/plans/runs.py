@@ -13,7 +13,7 @@ from tracewell.operators.etl import keep_latest
 from tracewell.plans import detection as D
 from tracewell.plans import layering as L
 from tracewell.plans.base import ORACLES, query
-from tracewell.sources.storage import cut, fresh_path
+from tracewell.sources.storage import cut, fresh_path, short_shuffles
 from tracewell.sources.tables import RunStore
 from tracewell.sources.transfers import event_transfers, purchase_transfers
 
@@ -24,7 +24,8 @@ DAY = [datetime.datetime(2024, 2, d) for d in (1, 2, 3)]
 
 def _broken(store: RunStore, run: str, table: str, rows) -> None:
     """What a run leaves that failed after its first table."""
-    rows.write.parquet(f"{store.path}/{table}/run_id={run}")
+    with short_shuffles(store.spark):
+        rows.write.parquet(f"{store.path}/{table}/run_id={run}")
 
 
 def placement_runs_of(spark, sf_dir) -> RunStore:
