@@ -183,7 +183,7 @@ def trace_hops(flows: DataFrame, traces: DataFrame, most: int = 20) -> DataFrame
     """(root, path, hop, source, target, tx_hash): the first ``most`` transfers (by time, hash) of each step of each path, from its origin on."""
     steps = traces.select("root", "path", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("back", "target"), F.size("path").alias("n"))
     steps = steps.select("root", "path", "target", F.expr("path[back + 1]").alias("source"), (F.col("n") - 1 - F.col("back")).alias("hop"))
-    pairs = steps.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+    pairs = cut(steps.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
     shown = top_per_group(flows.join(pairs, ["src", "dst"], "left_semi"), ["src", "dst"], [F.col("ts"), F.col("tx_hash")], most)
     return steps.join(shown.select(F.col("src").alias("source"), F.col("dst").alias("target"), "tx_hash"), ["source", "target"]).select("root", "path", "hop", "source", "target", "tx_hash")
 
