@@ -228,7 +228,9 @@ def scores(traces: DataFrame, ranked: DataFrame, profiles: DataFrame, flows: Dat
     roots = roots.join(seen.select(F.col("entity").alias("root"), F.col("first_seen").alias("root_seen")), "root").join(seen, "entity")
     later = F.greatest(F.lit(0.0), F.col("root_seen") - F.col("first_seen")).cast("decimal(24,6)")
     roots = roots.groupBy("entity").agg(F.max("below").alias("below"), (F.sum(later).cast("double") / F.count("*")).alias("gap"))
-    sources = flows.select(F.col("src").alias("up"), F.col("dst").alias("entity")).distinct()
+    # most origins receive nothing, so few flows are looked at
+    fed = cut(graph.select("entity").join(profiles.where("n_in > 0").select("entity"), "entity", "left_semi"))
+    sources = flows.select(F.col("src").alias("up"), F.col("dst").alias("entity")).join(fed, "entity", "left_semi").distinct()
     history = sources.join(best.select(F.col("entity").alias("up")), "up", "left_semi").select("entity").distinct().withColumn("history", F.lit(True))
     own = graph.join(roots, "entity").join(best, "entity", "left").join(profiles.select("entity", "n_in"), "entity").join(history, "entity", "left").where("best is not null or below is not null")
     origin, below = F.coalesce("best", F.lit(0.0)), F.coalesce("below", F.lit(0.0))
