@@ -54,7 +54,7 @@ def test_written_tables_leave_no_shuffles(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
-@pytest.mark.parametrize("name", ["behaviors_by_run", "stored_placement_detail", "stored_placement_summary", "stored_placement_list", "trace_hops", "placement_scores", "placement_labels", "integration_feedback", "placement_detail", "placement_summary", "placement_list"])
+@pytest.mark.parametrize("name", "behaviors_by_run trace_hops trace_rows placement_scores placement_labels integration_feedback placement_detail placement_summary placement_list stored_placement_summary stored_placement_list stored_placement_detail".split())
 def test_no_statement_shuffles_the_flows_twice(spark, name):
     flows = D._flows(spark, SF).count()
     known, before = set(executions(spark)), shuffle_files(spark)

@@ -197,9 +197,12 @@ def trace_rows(flows: DataFrame, traces: DataFrame) -> DataFrame:
     own = own.withColumn("path_index", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "nodes")))
     hops = F.when(F.size("nodes") > 1, F.arrays_zip(F.expr("slice(nodes, 1, size(nodes) - 1)").alias("upstream"), F.expr("slice(nodes, 2, size(nodes) - 1)").alias("downstream")))
     alone = F.array(F.struct(F.get("nodes", 0).alias("upstream"), F.lit(None).cast("string").alias("downstream")))
-    each = own.select("root", F.get("nodes", 0).alias("origin"), "path_index", F.size("nodes").alias("n"), "score", "reason", F.posexplode(F.coalesce(hops, alone)).alias("depth", "hop")).select("*", "hop.upstream", "hop.downstream")
+    each = cut(own.select("root", F.get("nodes", 0).alias("origin"), "path_index", F.size("nodes").alias("n"), "score", "reason", F.posexplode(F.coalesce(hops, alone)).alias("depth", "hop")).select("*", "hop.upstream", "hop.downstream"))
     last = F.col("depth") == F.greatest(F.col("n") - 2, F.lit(0))
-    edges = flows.groupBy(F.col("src").alias("upstream"), F.col("dst").alias("downstream")).agg(exact_sum("value").alias("value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    # only the pairs of a hop are summed
+    pairs = cut(each.select("upstream", "downstream").distinct())
+    edges = flows.select(F.col("src").alias("upstream"), F.col("dst").alias("downstream"), "value", "ts").join(pairs, ["upstream", "downstream"], "left_semi")
+    edges = edges.groupBy("upstream", "downstream").agg(exact_sum("value").alias("value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     met = each.join(edges, ["upstream", "downstream"], "left")
     return met.select("root", "origin", "path_index", "depth", "upstream", "downstream", "score", last.cast("int").alias("is_terminal"), F.when(last, F.col("reason")).alias("reason"), F.coalesce("value", F.lit(0.0)).alias("value"), "first_ts", "last_ts")
 
